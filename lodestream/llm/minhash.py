@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -218,9 +218,10 @@ def near_duplicates(df: DataFrame, words: int = 5, threshold: tuple[int, int] =
 
 
 def keep_one(df: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """The rows of df whose document represents its component; each kept id's rows stay once."""
-    kept = near_duplicates(df, words, threshold).where("kept").select("doc_id")
-    return df.join(kept.dropDuplicates(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of df for each component, of the document that represents it; rows without an id all stay."""
+    kept = near_duplicates(df, words, threshold).where("kept").select("doc_id").dropDuplicates()
+    one = df.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(df.columns).union(df.where("doc_id IS NULL"))
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
