@@ -33,7 +33,7 @@ from . import common
 ROWS = 5
 MISS = 1e-6
 #: Marks word counts below the shingle size, so that "a b" and "a b" as part of a longer text differ.
-_SHORT = np.uint64(0x5851F42D4C957F2D)
+_SHORT = 0x5851F42D4C957F2D
 
 
 def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -68,7 +68,7 @@ def shingle_sets(texts: pa.Array, words: int):
         for j in range(1, k):
             s = common.mix64(s) * odd + h[j : n - k + 1 + j]
         if n < words:
-            s = s ^ (_SHORT * np.uint64(n))
+            s = s ^ np.uint64(_SHORT * n & 0xFFFFFFFFFFFFFFFF)
         s = common.mix64(s)
         s.sort()
         yield s[np.concatenate([[True], s[1:] != s[:-1]])]
