@@ -1,4 +1,9 @@
 """All queries and their SQL."""
 
+from .plans import search
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _plan in (search,):
+    QUERIES |= _plan.QUERIES
+    ORACLES |= _plan.ORACLES
