@@ -1,9 +1,9 @@
 """All queries and their SQL."""
 
-from .plans import search
+from .plans import index, logs, search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (search,):
+for _plan in (search, index, logs):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
