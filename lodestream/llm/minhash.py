@@ -9,7 +9,10 @@
 4. Candidates are confirmed on full shingle sets; confirmed links give components by min-label
    propagation with pointer jumping, each round written to the shared folder.
 5. Where a bucket still holds several components, its pairs across components that the sizes allow
-   are confirmed too, so the star loses no link; pairs inside a component need no test.
+   are confirmed too, so the star loses no link; pairs inside a component need no test. The members
+   outside the hub's component meet all members in salted blocks of bounded size; a block pair is
+   one row, its intersections are one product, a pair is tested in its first common band only, and
+   links alone leave the task.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. Defined results: a text
 without words, or null, has an empty set and its own component; with fewer words than a shingle has,
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROWS = 5
+#: Members of a block where a bucket's members meet.
+BLOCK = 128
 MISS = 1e-6
 #: Marks word counts below the shingle size, so that "a b" and "a b" as part of a longer text differ.
 _SHORT = 0x5851F42D4C957F2D
@@ -123,16 +128,74 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """rep and its sorted shingle hashes as bytes."""
+def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    """rep, its sorted shingle hashes and its band keys, as bytes."""
     kind = docs.schema["rep"].dataType.simpleString()
 
     def run(batches):
+        signer = Signer(bands, rows)
         for batch in common.small_batches(batches, 2000):
-            blobs = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.large_binary()).cast(pa.binary())], ["rep", "shingles"])
+            sets = list(shingle_sets(batch.column(1), words))
+            yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array([s.tobytes() for s in sets]), common.binary_array([signer.keys(s).tobytes() for s in sets])], ["rep", "shingles", "keys"])
+
+    return docs.mapInArrow(run, f"rep {kind}, shingles binary, keys binary")
+
+
+def _intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of sorted sets."""
+    both = np.concatenate(xs + ys)
+    names, at = np.unique(both, return_inverse=True)
+    if len(names) * (len(xs) + len(ys)) > 40_000_000:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in ys] for x in xs])
+    row = np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in xs + ys])
+    held = np.zeros((len(xs) + len(ys), len(names)), np.float32)
+    held[row, at] = 1
+    return np.rint(held[: len(xs)] @ held[len(xs) :].T).astype(np.int64)
+
+
+def links_across(rest: DataFrame, share: int, parts: int, block: int = BLOCK) -> DataFrame:
+    """Links a, b between members of one bucket under different labels, one of them not the bucket's main label.
+
+    rest has band, key, rep, label, main, n_all and n_other (the bucket's members, and those not under main), shingles, keys.
+    """
+    side = F.struct("rep", "label", "shingles", "keys")
+    size = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
+    dealt = rest.withColumns({"nx": size("n_all"), "ny": size("n_other")})
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    bucket = ["band", "key"]
+    x = dealt.withColumn("x", place("nx")).groupBy(*bucket, "x", "ny").agg(F.collect_list(side).alias("xs"))
+    y = dealt.where("label <> main").withColumn("y", place("ny")).groupBy(*bucket, "y", "nx").agg(F.collect_list(side).alias("ys"))
+    x = x.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).drop("ny")
+    y = y.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).drop("nx")
+    met = x.join(y, [*bucket, "x", "y"]).select("band", "xs", "ys")
+    kind = rest.schema["rep"].dataType.simpleString()
 
-    return docs.mapInArrow(run, f"rep {kind}, shingles binary")
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for band, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                xs, ys = xs.as_py(), ys.as_py()
+                label_x, label_y = (np.array([m["label"] for m in side]) for side in (xs, ys))
+                key_x, key_y = (np.frombuffer(b"".join(m["keys"] for m in side), np.int64).reshape(len(side), -1) for side in (xs, ys))
+                set_x, set_y = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (xs, ys))
+                n_x, n_y = (np.array([len(s) for s in side]) for side in (set_x, set_y))
+                same = key_x[:, None, band] == key_y[None, :, band]
+                for j in range(band):
+                    same &= key_x[:, None, j] != key_y[None, :, j]
+                low, high = np.minimum(n_x[:, None], n_y), np.maximum(n_x[:, None], n_y)
+                test = same & (label_x[:, None] != label_y) & (low * parts >= high * share)
+                use_x, use_y = np.flatnonzero(test.any(1)), np.flatnonzero(test.any(0))
+                if not len(use_x):
+                    continue
+                inner = _intersections([set_x[i] for i in use_x], [set_y[i] for i in use_y])
+                hit = test[np.ix_(use_x, use_y)] & (inner * parts >= (n_x[use_x][:, None] + n_y[use_y] - inner) * share)
+                for i, j in np.argwhere(hit):
+                    a.append(xs[use_x[i]]["rep"])
+                    b.append(ys[use_y[j]]["rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(1).type.value_type.field("rep").type), pa.array(b, batch.column(1).type.value_type.field("rep").type)], ["a", "b"])
+
+    links = met.mapInArrow(run, f"a {kind}, b {kind}")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def common_counts(pairs: DataFrame) -> DataFrame:
@@ -185,7 +248,7 @@ def near_duplicates(df: DataFrame, words: int = 5, threshold: tuple[int, int] =
     stars = common.materialise(held.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
     texts = docs.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    prints = common.materialise(sets_of(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), words), "sets")
+    prints = common.materialise(sets_of(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), words, bands, rows), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = prints.select(F.col("rep").alias("a"), F.col("shingles").alias("set_x"))
@@ -198,17 +261,13 @@ def near_duplicates(df: DataFrame, words: int = 5, threshold: tuple[int, int] =
     links = common.materialise(confirmed(stars), "links")
     labels = components(links, "first")
     # What the stars have not joined: pairs across components in one bucket.
-    placed = held.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "hub", "n", F.coalesce("label", "rep").alias("label"))
+    placed = held.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "hub", F.coalesce("label", "rep").alias("label"))
     placed = common.materialise(placed, "placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("n").alias("most")).where("lo <> hi").select("band", "key", "lo")
-    rest = placed.join(mixed, ["band", "key"])
-    x = rest.select("band", "key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n")))
-    # Every pair of different components has a side outside the least one; the hub's pairs are done.
-    y = rest.where("label <> lo AND rep <> hub").select("band", "key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n", "hub")))
-    close = (F.col("x_n") * parts >= F.col("y_n") * share) & (F.col("y_n") * parts >= F.col("x_n") * share)
-    apart = x.join(y, ["band", "key"]).where((F.col("x_label") != F.col("y_label")) & (F.col("x_rep") != F.col("y_hub")) & close)
-    pairs = apart.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-    more = common.materialise(confirmed(pairs), "more")
+    mixed = placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("label"))).alias("main"), F.count("*").alias("n_all"))
+    rest = placed.join(mixed.where("lo <> hi").drop("lo", "hi"), ["band", "key"]).drop("hub")
+    others = rest.where("label <> main").groupBy("band", "key").agg(F.count("*").alias("n_other"))
+    rest = rest.join(others, ["band", "key"]).join(prints, "rep")
+    more = common.materialise(links_across(rest, share, parts), "more")
     if not more.isEmpty():
         labels = components(links.union(more), "second")
     tops = classes.select(*sets, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*sets, F.coalesce("label", "rep").alias("top"))
