@@ -24,7 +24,7 @@ def nonempty_lines(c: Column) -> Column:
 
 def first_line(c: Column) -> Column:
     """The first line with text, without its heading or list mark and without inline marks."""
-    line = F.element_at(F.filter(F.split(c, "\n", -1), lambda x: x.rlike("(?U)\\S")), 1)
+    line = F.try_element_at(F.filter(F.split(c, "\n", -1), lambda x: x.rlike("(?U)\\S")), F.lit(1))
     bare = F.regexp_replace(F.trim(line), "^(?:#{1,6}|[-*+>]|[0-9]+[.)])\\s+", "")
     return F.coalesce(F.trim(F.regexp_replace(bare, "[*_`]", "")), F.lit(""))
 
