@@ -28,7 +28,7 @@ def test_message_parts():
     parts = markdown.split_message("hi\r\n\r\n```py\nx\n```\n| a | b |\n|---|:-:|\n| 1 | 2\\|3 |\n\nbye")
     assert [(k, t) for _, k, t in parts] == [("plain", "hi"), ("code", "x"), ("table", "| a | b |\n|---|:-:|\n| 1 | 2\\|3 |"), ("plain", "bye")]
     assert markdown.split_message("```\n```")[0][1] == "plain"
-    assert markdown.split_row("| a\\|b | c |") == ["a|b", "c"]
+    assert markdown.split_row("| a\\|b | c |") == ["a\\|b", "c"]
 
 
 def test_html_main_content_drops_navigation():
