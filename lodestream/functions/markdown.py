@@ -11,25 +11,10 @@ _SEPARATOR = re.compile(r"^:?-+:?$")
 
 
 def split_row(row: str) -> list[str]:
-    """Cells of a table row; a backslash keeps the next character."""
-    cells, cell, escaped = [], "", False
-    for c in row.strip():
-        if escaped:
-            cell, escaped = cell + c, False
-        elif c == "\\":
-            cell, escaped = cell + c, True
-        elif c == "|":
-            cells.append(cell.strip())
-            cell = ""
-        else:
-            cell += c
-    cells.append(cell.strip())
+    """Trimmed cells of a table row; an escaped pipe is part of its cell and keeps its backslash."""
     edge = row.strip()
-    if edge.startswith("|"):
-        cells = cells[1:]
-    if cells and not cells[-1] and edge.endswith("|"):
-        cells = cells[:-1]
-    return cells
+    cells = [c.strip() for c in re.sub(r"(\\.)|\|", lambda m: m[1] or "\0", edge).split("\0")]
+    return cells[edge.startswith("|") : len(cells) - (len(cells) > 1 and not cells[-1])]
 
 
 def has_pipe(row: str) -> bool:
