@@ -160,14 +160,17 @@ def links_across(rest: DataFrame, share: int, parts: int, block: int = BLOCK) ->
     """
     side = F.struct("rep", "label", "shingles", "keys")
     size = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
-    dealt = rest.withColumns({"nx": size("n_all"), "ny": size("n_other")})
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     bucket = ["band", "key"]
+    # A bucket that fits a block is gathered once; larger ones are dealt, and their blocks meet in pairs.
+    whole = rest.where(F.col("n_all") <= block).groupBy(*bucket).agg(F.collect_list(side).alias("xs"), F.first("main").alias("main"))
+    whole = whole.select("band", "xs", F.filter("xs", lambda m: m.label != F.col("main")).alias("ys"))
+    dealt = rest.where(F.col("n_all") > block).withColumns({"nx": size("n_all"), "ny": size("n_other")})
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     x = dealt.withColumn("x", place("nx")).groupBy(*bucket, "x", "ny").agg(F.collect_list(side).alias("xs"))
     y = dealt.where("label <> main").withColumn("y", place("ny")).groupBy(*bucket, "y", "nx").agg(F.collect_list(side).alias("ys"))
     x = x.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).drop("ny")
     y = y.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).drop("nx")
-    met = x.join(y, [*bucket, "x", "y"]).select("band", "xs", "ys")
+    met = whole.union(x.join(y, [*bucket, "x", "y"]).select("band", "xs", "ys"))
     kind = rest.schema["rep"].dataType.simpleString()
 
     def run(batches):
