@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     for t, y in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(0).slice(a, b - a).to_pylist(), strict=True):
                         if t and y == label:
                             seen.update({f for w in set(_WORD.findall(t.lower())) if len(w) < 64 for f in features(w)})
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([label] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "toxic", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([label] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "toxic", "n"])
 
     counts = train.mapInArrow(count, "feature string, toxic int, n long")
     bad, good, both = sizes[1], sizes[0], sizes[0] + sizes[1]
