@@ -49,12 +49,14 @@ def _round(seq, last, free, room, least, wide):
     if len(best) > room:
         best = np.sort(best[np.argsort(-count[best], kind="stable")[:room]])
     chosen = run[edge[best]]
-    firsts = np.zeros(free, bool)
-    firsts[(chosen >> key(32 if wide else 16)).astype(np.int64)] = True
-    at = np.flatnonzero(firsts[seq[:-1]] & inner)
-    rule = np.minimum(np.searchsorted(chosen, pairs[at]), len(chosen) - 1)
-    hit = chosen[rule] == pairs[at]
-    at, rule = at[hit], rule[hit]
+    # A rule is found by a hash of its pair; of rules with one hash the first is kept.
+    slot = lambda p: ((p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+    chosen = chosen[np.sort(np.unique(slot(chosen), return_index=True)[1])]
+    table = np.zeros(1 << 20, np.int16)
+    table[slot(chosen)] = np.arange(len(chosen))
+    rule = table[slot(pairs)]
+    at = np.flatnonzero((chosen[rule] == pairs) & inner)
+    rule = rule[at].astype(np.int64)
     # Of occurrences that overlap in a chain, the first, third, ... are replaced.
     begins = np.concatenate([[True], np.diff(at) > 1])
     place = np.arange(len(at))
@@ -156,7 +158,7 @@ def write_shards(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, i
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             own = ids.type
-            for a, b in common.chunks(texts, 6_000_000):
+            for a, b in common.chunks(texts, 20_000_000):
                 flat, bounds = common.with_end(*enc.encode_batch(texts.slice(a, b - a)), end_id)
                 names = ids.slice(a, b - a).to_pylist()
                 i = 0
