@@ -36,6 +36,8 @@ from . import common
 ROWS = 5
 #: Members of a block where a bucket's members meet.
 BLOCK = 128
+#: Bytes of text whose sets a task holds at a time (a longer text is taken alone); a set takes up to four times its text's bytes.
+SETS_BYTES = 4_000_000
 MISS = 1e-6
 #: Marks word counts below the shingle size, so that "a b" and "a b" as part of a longer text differ.
 _SHORT = 0x5851F42D4C957F2D
@@ -114,7 +116,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
         signer = Signer(bands, rows)
         for batch in batches:
-            for a, b in common.chunks(batch.column(1), 8_000_000):
+            for a, b in common.chunks(batch.column(1), SETS_BYTES):
                 counts, marks, keys = [], [], []
                 for s in shingle_sets(batch.column(1).slice(a, b - a), words):
                     counts.append(len(s))
@@ -134,9 +136,10 @@ def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         signer = Signer(bands, rows)
-        for batch in common.small_batches(batches, 2000):
-            sets = list(shingle_sets(batch.column(1), words))
-            yield pa.RecordBatch.from_arrays([batch.column(0), common.binary_array([s.tobytes() for s in sets]), common.binary_array([signer.keys(s).tobytes() for s in sets])], ["rep", "shingles", "keys"])
+        for batch in batches:
+            for a, b in common.chunks(batch.column(1), SETS_BYTES):
+                sets = list(shingle_sets(batch.column(1).slice(a, b - a), words))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), common.binary_array([s.tobytes() for s in sets]), common.binary_array([signer.keys(s).tobytes() for s in sets])], ["rep", "shingles", "keys"])
 
     return docs.mapInArrow(run, f"rep {kind}, shingles binary, keys binary")
 

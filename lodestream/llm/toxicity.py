@@ -34,6 +34,8 @@ from .minhash import shingle_sets
 TRAIN_ROWS = 40_000
 #: Features that the model keeps at most, the most certain first.
 FEATURES = 20_000
+#: Bytes of text that a task splits into tokens at a time (a longer text is taken alone), and pieces whose scores it remembers.
+PART_BYTES, MEMORY = 4_000_000, 200_000
 PREFIXES = (4, 5, 6)
 DRIFT, TOP, SURE, ODDS = 0.1, 6.0, 3.0, 2.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -64,7 +66,7 @@ class _Pieces(dict):
         self.lexicon = lexicon
 
     def __missing__(self, piece: str) -> float:
-        if len(self) > 500_000:
+        if len(self) > MEMORY:
             self.clear()
         get = self.lexicon.get
         best = max((get(f, 0.0) for w in _WORD.findall(piece.lower()) for f in features(w)), default=0.0)
@@ -99,6 +101,11 @@ def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> li
 
 def found(texts: pa.Array, pieces: _Pieces):
     """For each text its number of tokens, its segments and its tokens' positive scores."""
+    for a, b in common.chunks(texts, PART_BYTES):
+        yield from _found(texts.slice(a, b - a), pieces)
+
+
+def _found(texts: pa.Array, pieces: _Pieces):
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     bounds = split.offsets.to_numpy().astype(np.int64)
     coded = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
@@ -236,7 +243,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         pieces = _Pieces(model.lexicon)
         for batch in batches:
-            for a, b in common.chunks(batch.column(1)):
+            for a, b in common.chunks(batch.column(1), PART_BYTES):
                 scores, spans = [], []
                 for n, parts, _ in found(batch.column(1).slice(a, b - a), pieces):
                     scores.append(model.score(min(evidence(model, n, parts), 40.0)))
@@ -258,7 +265,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
-            for a, b in common.chunks(batch.column(at)):
+            for a, b in common.chunks(batch.column(at), PART_BYTES):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array([model.score(min(evidence(model, n, p), 40.0)) < limit for n, p, _ in found(part.column(at), pieces)], pa.bool_()))
 
