@@ -26,6 +26,8 @@ from . import common
 BLOCK, PAD, RATE = 1152, 192, 8000
 #: Frames of a seek point.
 SEEK = 1
+#: Bytes worked on together (a longer payload is taken alone); NumPy needs about 150 times as much.
+TOGETHER = 700_000
 
 
 def _table(poly: int, bits: int) -> np.ndarray:
@@ -417,31 +419,23 @@ def seek_points(stream: bytes) -> list[tuple[int, int, int]]:
 
 
 def _in_batches(batches, column: int, work):
-    """work(values) for runs of about 2 MB of a binary column, with the batch's other columns."""
+    """work(values) for runs of about TOGETHER bytes of a binary column, with the batch's other columns."""
     for batch in batches:
-        for a, b in common.chunks(batch.column(column), 2_000_000):
+        for a, b in common.chunks(batch.column(column), TOGETHER):
             part = batch.slice(a, b - a)
             yield part, work(part.column(column))
 
 
-def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pad: int = PAD, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_bytes (before padding with spaces) and media (a FLAC stream)."""
-
+def _encoded(batches, pad: int, block: int):
     def work(texts):
         raw = [(t or "").encode() for t in texts.to_pylist()]
         return [len(r) for r in raw], encode_streams([r + b" " * (-len(r) % pad or (0 if r else pad)) for r in raw], block)
 
-    def run(batches):
-        for part, (sizes, streams) in _in_batches(batches, 1, work):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), common.binary_array(streams)], ["doc_id", "n_bytes", "media"])
+    for part, (sizes, streams) in _in_batches(batches, 1, work):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), common.binary_array(streams)], ["doc_id", "n_bytes", "media"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
-
-
-def decode_media(df: DataFrame) -> DataFrame:
-    """Adds pcm (the payload read back) and feature to doc_id, n_bytes and media."""
 
+def _decoded(batches):
     def feature(pcm: bytes, stream: bytes) -> str:
         x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
         crossings = int((np.diff(np.sign(x)) != 0).sum())
@@ -452,16 +446,34 @@ def decode_media(df: DataFrame) -> DataFrame:
         pcm = decode_streams(streams)
         return pcm, list(map(feature, pcm, streams))
 
-    def run(batches):
-        for part, (pcm, features) in _in_batches(batches, 2, work):
-            yield pa.RecordBatch.from_arrays([*part.columns, common.binary_array(pcm), pa.array(features, pa.string())], ["doc_id", "n_bytes", "media", "pcm", "feature"])
+    for part, (pcm, features) in _in_batches(batches, 2, work):
+        yield pa.RecordBatch.from_arrays([*part.columns, common.binary_array(pcm), pa.array(features, pa.string())], ["doc_id", "n_bytes", "media", "pcm", "feature"])
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {df.schema[id_col].dataType.simpleString()}, n_bytes long, media binary"
 
+
+def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pad: int = PAD, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_bytes (before padding with spaces) and media (a FLAC stream)."""
+    rows, kind = _rows(df, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _encoded(batches, pad, block), kind)
+
+
+def decode_media(df: DataFrame) -> DataFrame:
+    """Adds pcm (the payload read back) and feature to doc_id, n_bytes and media."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary, pcm binary, feature string")
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, f"doc_id {kind}, n_bytes long, media binary, pcm binary, feature string")
+
+
+def store_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pad: int = PAD, block: int = BLOCK) -> DataFrame:
+    """decode_media(encode_media(df)) in one Python worker a task instead of two."""
+    rows, kind = _rows(df, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, pad, block)), f"{kind}, pcm binary, feature string")
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    both = decode_media(encode_media(common.table(spark, sf_dir, "documents")))
+    both = store_and_read(common.table(spark, sf_dir, "documents"))
     size = F.octet_length("pcm")
     return both.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),
