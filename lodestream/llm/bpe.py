@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import Encoder, vocabulary
+from .tokens import Encoder, encoder, vocabulary
 
 _END = "\x00"
 _PAIRS = 1_000_000
+#: Bytes of text encoded at a time (a longer text is taken alone).
+PART_BYTES = 6_000_000
 
 
 class PrefixCoder:
@@ -128,50 +130,66 @@ class PrefixCoder:
         return out[::-1]
 
 
-_coders: dict[str, tuple[Encoder, list[str]]] = {}
+_coders: dict[str, Encoder] = {}
+_tokens: dict[str, list[str]] = {}
 
 
-def _coder(path: str) -> tuple[Encoder, list[str]]:
+def _coder(path: str) -> Encoder:
     if path not in _coders:
-        enc = Encoder(path, PrefixCoder(path))
-        names = [enc.lib.id_to_token(i) or "" for i in range(enc.lib.get_vocab_size())]
-        _coders[path] = enc, names
+        _coders[path] = Encoder(path, PrefixCoder(path))
     return _coders[path]
 
 
+def _names(path: str) -> list[str]:
+    if path not in _tokens:
+        lib = (_coders.get(path) or encoder(path)).lib
+        _tokens[path] = [lib.id_to_token(i) or "" for i in range(lib.get_vocab_size())]
+    return _tokens[path]
+
+
+def _encoded(batches, path: str):
+    enc = _coder(path)
+    for batch in batches:
+        texts = batch.column(1)
+        for a, b in common.chunks(texts, PART_BYTES):
+            flat, bounds = enc.encode_batch(texts.slice(a, b - a))
+            for c in range(0, b - a, 2000):
+                own = bounds[c : c + 2001]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + c, len(own) - 1), common.slices_of(flat[own[0] : own[-1]].astype("<u4"), own - own[0])], ["doc_id", "ids"])
+
+
+def _decoded(batches, path: str):
+    names = _names(path).__getitem__
+    for batch in common.small_batches(batches, 2000):
+        texts = [" ".join(map(names, np.frombuffer(x, "<u4").tolist())) if x else "" for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), f"doc_id {df.schema[id_col].dataType.simpleString()}, ids binary"
+
+
 def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit)."""
     path = tokenizer or vocabulary()
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        enc, _ = _coder(path)
-        for batch in batches:
-            texts = batch.column(1)
-            for a, b in common.chunks(texts):
-                flat, bounds = enc.encode_batch(texts.slice(a, b - a))
-                for c in range(0, b - a, 2000):
-                    own = bounds[c : c + 2001]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a + c, len(own) - 1), common.slices_of(flat[own[0] : own[-1]].astype("<u4"), own - own[0])], ["doc_id", "ids"])
-
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary")
+    rows, kind = _rows(df, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _encoded(batches, path), kind)
 
 
 def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Adds `decoded` to doc_id and ids: the tokens, special ones included, with spaces between them."""
     path = tokenizer or vocabulary()
+    kind = df.schema["doc_id"].dataType.simpleString()
+    return df.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, ids binary, decoded string")
 
-    def run(batches):
-        names = _coder(path)[1].__getitem__
-        for batch in common.small_batches(batches, 2000):
-            texts = [" ".join(map(names, np.frombuffer(x, "<u4").tolist())) if x else "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+def encode_and_decode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(df)) in one Python worker a task instead of two."""
+    path = tokenizer or vocabulary()
+    rows, kind = _rows(df, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"{kind}, decoded string")
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
-    both = decode(encode(common.table(spark, sf_dir, "documents")))
+    both = encode_and_decode(common.table(spark, sf_dir, "documents"))
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
