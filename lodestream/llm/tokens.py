@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -67,15 +68,18 @@ class Encoder:
         added = self.lib.get_added_tokens_decoder()
         self._special = {t.content: i for i, t in added.items()}
         self._special_re = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if added else None
+        self._plain = not any(s.isascii() and s.isalpha() for s in self._special)
         self._model_ids = word_ids or (lambda chars: [t.id for t in self.lib.model.tokenize(chars)])
         self._words = _Words(self._word, WORDS)
         self._pieces = _Words(self.encode, PIECES)
 
     def chars(self, word: str) -> str:
-        return "".join(map(self._to_char.__getitem__, word.encode()))
+        # Letters and digits of ASCII stand for themselves.
+        return word if word.isascii() and word.isalnum() else "".join(map(self._to_char.__getitem__, word.encode()))
 
     def _word(self, word: str) -> bytes:
-        return np.asarray(self._model_ids(self.chars(word)), "<u4").tobytes()
+        ids = self._model_ids(self.chars(word))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -90,7 +94,9 @@ class Encoder:
         if not text:
             return b""
         get = self._words.__getitem__
-        if self._special_re is None or "<|" not in text and not any(s in text for s in self._special):
+        if self._plain and text.isascii() and text.isalpha():
+            return get(text.lower())
+        if self._special_re is None or not self._special_re.search(text):
             return b"".join(map(get, self.words(text)))
         out, at = [], 0
         for m in self._special_re.finditer(text):
