@@ -192,3 +192,9 @@ def test_registered_queries_return_every_document(spark, name):
             pad = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
             assert r.payload_sha256 == hashlib.sha256(pad).hexdigest() and r.tail_crc32 == zlib.crc32(pad[-16:])
     assert name == "op7_topk" or set(rows.doc_id) == set(range(200))
+
+
+def test_one_worker_gives_the_same_as_two(spark, odd):
+    """The queries' single pass against the two operators in turn."""
+    for once, twice in ((bpe.encode_and_decode(odd), bpe.decode(bpe.encode(odd))), (flac.store_and_read(odd), flac.decode_media(flac.encode_media(odd)))):
+        assert once.schema == twice.schema and sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
