@@ -4,8 +4,8 @@ A candidate is a run of base64 letters. A window of fixed width moves over it on
 time; counts per character are updated as letters enter and leave, so the entropy of every window
 costs constant time. A window counts if its entropy reaches the bound of its character class
 (hexadecimal digits, or letters and digits in both cases) and it holds the kinds of characters that
-random strings have. Adjacent windows are joined, allow-listed strings suppressed, and what lies
-inside a base span is not told again.
+random strings have. Adjacent windows are joined, what lies inside a base span is not told again,
+and of the parts that are left those without a digit and allow-listed strings are suppressed.
 
 Spans are code points, end exclusive. Kinds: assign, access, hex, then entropy (added by the method).
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are
@@ -35,6 +35,7 @@ WINDOW, HEX_BITS, MIXED_BITS = 20, 3.0, 3.6
 # Strings that documentation uses in place of secrets.
 ALLOWED = ("EXAMPLE", "example", "XXXX", "xxxx", "0123456789", "abcdefghij", "ABCDEFGHIJ", "deadbeef", "1234567890", "placeholder")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+_DIGIT = re.compile(r"[0-9]")
 _BITS = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)]
 _LIKELY = r"(?i)(password|passwd|secret|token|api_?key)|[A-Za-z0-9+/_=\-]{20}"
 
@@ -56,7 +57,8 @@ def _class(upper: int, lower: int, digit: int, odd: int, beyond: int) -> float |
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    found = []
+    """Joined windows that count, whatever else is known of their letters."""
+    found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if run.isalpha():
@@ -87,7 +89,18 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
                         found[-1] = (found[-1][0], b)
                     else:
                         found.append((a, b))
-    return [(a, b) for a, b in found if not allowed(text, a, b)]
+    return found
+
+
+def uncovered(a: int, b: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a span that no base span (sorted by start) covers."""
+    out = []
+    for x, y, _ in base:
+        if x < b and y > a:
+            if x > a:
+                out.append((a, x))
+            a = y
+    return [*out, (a, b)] if a < b else out
 
 
 def allowed(text: str, a: int, b: int) -> bool:
@@ -106,7 +119,8 @@ def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[i
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(a, b, "entropy") for a, b in entropy_spans(text) if not any(x < b and y > a for x, y, _ in base)]
+    parts = [p for a, b in entropy_spans(text) for p in uncovered(a, b, base)]
+    more = [(a, b, "entropy") for a, b in parts if _DIGIT.search(text, a, b) and not allowed(text, a, b)]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

@@ -182,6 +182,19 @@ def test_secrets():
     assert secrets.spans_of("id 123e4567-e89b-12d3-a456-426614174000")[1] == [] and secrets.spans_of(None) == ([], [])
 
 
+def test_secrets_beside_base_spans_stay():
+    rnd = random.Random(6)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for _ in range(300):
+        for first, kind in (("AKIA" + draw(upper + digits, 16), "access"), (draw("0123456789abcdef", 32), "hex")):
+            text = f"{first}_{draw(upper, 6)}{draw(digits, 5)}{draw(lower, 7)}{draw(upper + lower + digits, 14)} end"
+            spans = secrets.spans_of(text)[1]
+            assert [k for *_, k in spans] == [kind, "entropy"] and spans[0][1] <= spans[1][0]
+    assert secrets.uncovered(5, 30, [(0, 8, "hex"), (10, 12, "hex"), (11, 11, "hex"), (28, 40, "hex")]) == [(8, 10), (12, 28)]
+    assert [k for *_, k in secrets.spans_of("token=A1b2C3d4E5f6G7h8I9j0KkLl")[1]] == ["assign"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries_return_every_document(spark, name):
     rows = queries.QUERIES[name](spark, DIR).toPandas()
