@@ -2,18 +2,23 @@
 
 A block is a run of lines around words that license notices use. Each template is a raw zstandard
 dictionary; a block is compressed without and with each, and the templates are ranked by how much
-smaller they make it. The best ranked are confirmed by their exact wording: the template's words
-are aligned with the block's, and the words that differ are counted; numbers of versions must be
-the same. The confirmed template with the fewest differences names the license.
-
-Spans are code points of the block's lines. Defined results: a null or empty text has none; equal
-texts have equal findings; repeated rows are kept; other columns of the input are ignored.
+smaller they make it. All that make the block, or the wording alone, smaller by the least gain are
+confirmed by their exact wording, wherever it begins in the block: the template's words are aligned
+with the words there, and the words that differ are counted; numbers of versions must be the same.
+Of wordings that overlap the one with the fewest differences stays, and what stands between the notices found is
+scanned again in the same way.
+
+Spans are code points, from the first to the last word of a wording. Defined results: a null or
+empty text has none; equal texts have equal findings; repeated rows are kept; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -46,8 +51,8 @@ TEMPLATES = {
 _TRIGGER = re.compile(r"licen[sc]|permission\x20|redistribut|copyright|spdx|public\x20domain", re.ASCII | re.IGNORECASE)
 _LIKELY = r"(?i)licen[sc]|permission |redistribut|copyright|spdx|public domain"
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*")
-#: Characters on each side of a trigger that a block takes from a longer line; templates to confirm; the least gain and share of words.
-AROUND, BEST, GAIN, SHARE = 400, 4, 0.25, 0.85
+#: Characters on each side of a trigger that a block takes from a longer line; the least gain and share of words.
+AROUND, GAIN, SHARE = 400, 0.25, 0.85
 _SHORT = 3
 
 
@@ -80,12 +85,15 @@ class Scanner:
 
     def gains(self, block: str) -> list[tuple[float, int]]:
         """How much smaller each template makes the block, relative to the template's size, best first."""
+        return sorted(((self.gain(i, block), i) for i in range(len(self.rows))), reverse=True)
+
+    def gain(self, i: int, block: str) -> float:
         data = block.encode()
         base = len(self.plain.compress(data))
-        return sorted(((base - len(c.compress(data))) / min(len(t), base), i) for i, (_, t, _, c) in enumerate(self.rows))[::-1]
+        return (base - len(self.rows[i][3].compress(data))) / min(len(self.rows[i][1]), base)
 
-    def differences(self, i: int, own: list[str]) -> tuple[int, int] | None:
-        """Words of the template that the block lacks or has more between, and how many agree; None if it isn't the template's wording."""
+    def spread(self, i: int, own: list[str]) -> tuple[int, int, int, int] | None:
+        """Differing words, agreeing words, first word and end of the template's wording with any number of words between; None if it isn't there."""
         template = self.rows[i][2]
         same = [m for m in difflib.SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
         agree = sum(m.size for m in same)
@@ -95,20 +103,91 @@ class Scanner:
         if any(x not in kept and template[x][0].isdigit() for x in range(len(template))):
             return None
         between = sum(y.b - x.b - x.size for x, y in zip(same, same[1:], strict=False))
-        return len(template) - agree + between, agree
+        return len(template) - agree + between, agree, same[0].b, same[-1].b + same[-1].size
 
-    def find(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
-        """Start, end, license, gain and differing words of every confirmed block."""
-        out = []
-        for a, b in blocks_of(text or ""):
-            own = words(text[a:b])
-            ranked = [(g, i) for g, i in self.gains(text[a:b])[:BEST] if g >= GAIN]
-            sure = [(d[0], -d[1], -g, i) for g, i in ranked if (d := self.differences(i, own))]
-            if sure:
-                d, _, g, i = min(sure)
-                out.append((a, b, self.rows[i][0], -g, d))
+    def wordings(self, i: int, own: list[str]) -> list[tuple[int, int, int, int]]:
+        """The same for every place where the wording begins, with at most its own length and ten words more between; they may overlap."""
+        template = self.rows[i][2]
+        least = max(_SHORT, math.ceil(SHARE * len(template)))
+        if least > len(template):
+            return []
+        # One of these is the first word that agrees.
+        first = {w: x for x, w in reversed(list(enumerate(template[: len(template) - least + 1])))}
+        needed, numbers, out, done = Counter(template), {w for w in template if w[0].isdigit()}, [], 0
+        for at, word in enumerate(own):
+            x = first.get(word)
+            if x is None or at < done or any(w[0].isdigit() for w in template[:x]):
+                continue
+            window = own[at : at + 2 * len(template) + 10]
+            if window[: len(template)] == template:
+                done = at + len(template)
+                out.append((0, len(template), at, done))
+                continue
+            if not numbers.issubset(window) or sum((needed & Counter(window)).values()) < least:
+                continue
+            # The fewest differences; if these leave out too many words, the fewest words left out.
+            for weight in (1, len(window)):
+                found = _align(template, x, window, weight)
+                if found and len(template) - found[0] >= least:
+                    out.append((found[0] + found[1], len(template) - found[0], at, at + found[2]))
+                    break
         return out
 
+    def notices(self, text: str) -> list[tuple[int, int, str, float, int]]:
+        """Start, end, license, gain and differing words of every notice of a block."""
+        tokens = [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
+        out, parts = [], [(0, len(tokens))]
+        while parts:
+            low, high = parts.pop()
+            if high - low < _SHORT:
+                continue
+            own = [w for w, _, _ in tokens[low:high]]
+            sure, ranked = [], self.gains(text[tokens[low][1] : tokens[high - 1][2]])
+            for g, i in ranked:
+                for d, n, a, b in self.wordings(i, own):
+                    # Among many notices a template may gain little over those like it: then the wording is measured alone.
+                    gain = g if g >= GAIN else self.gain(i, text[tokens[low + a][1] : tokens[low + b - 1][2]])
+                    if gain >= GAIN:
+                        sure.append((d, -n, -gain, i, a, b))
+            if not sure:
+                sure = sorted((d[0], -d[1], -g, i, *d[2:]) for g, i in ranked if g >= GAIN and (d := self.spread(i, own)))[:1]
+            taken, at = bytearray(len(own)), []
+            for d, _, g, i, a, b in sorted(sure):
+                if not any(taken[a:b]):
+                    taken[a:b] = b"\1" * (b - a)
+                    at.append((a, b))
+                    out.append((tokens[low + a][1], tokens[low + b - 1][2], self.rows[i][0], -g, d))
+            if at:
+                at.sort()
+                parts += [(low + a, low + b) for a, b in zip([0, *(b for _, b in at)], [*(a for a, _ in at), len(own)], strict=True)]
+        return sorted(out)
+
+    def find(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
+        """Start, end, license, gain and differing words of every confirmed notice."""
+        return [(a + x, a + y, *rest) for a, b in blocks_of(text or "") for x, y, *rest in self.notices(text[a:b])]
+
+
+def _align(template: list[str], x: int, window: list[str], weight: int) -> tuple[int, int, int] | None:
+    """Words left out, words between and end of the template's wording whose word x is the window's first; a word left out costs weight, one between 1, numbers stay."""
+    far = (float("inf"), 0, 0)
+    row = [(weight * x, x, 0)] + [far] * (len(window) - 1)
+    for w in template[x + 1 :]:
+        lost = (float("inf"), 0, 0) if w[0].isdigit() else (weight, 1, 0)
+        new, before = [], far
+        for y, own in enumerate(window):
+            # Column y: the window's words up to y are used.
+            cost, left, more = row[y]
+            best = (cost + lost[0], left + lost[1], more)
+            if before[0] + 1 < best[0]:
+                best = (before[0] + 1, before[1], before[2] + 1)
+            if y and w == own and row[y - 1][0] <= best[0]:
+                best = row[y - 1]
+            new.append(best)
+            before = best
+        row = new
+    cost, y = min((c[0], y) for y, c in enumerate(row))
+    return (row[y][1], row[y][2], y + 1) if cost < float("inf") else None
+
 
 def scan(df: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and findings: start, end, license, gain, edits."""

@@ -156,6 +156,23 @@ def test_licenses():
     assert not s.find("Licensed under the Apache License, Version 1.1.") and not s.find("the licence office") and s.find(None) == []
 
 
+def test_licenses_on_touching_lines():
+    s = licenses.Scanner(licenses.TEMPLATES)
+    rows = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    rnd = random.Random(8)
+    lists = [[p, q] for p in rows for q in rows] + [rnd.choices(rows, k=40) for _ in range(10)] + [rows[:1] * 2000]
+    for own in lists:
+        for gap in ("\n", " and "):
+            text = gap.join(t for _, t in own)
+            found = s.find(text)
+            assert [x[2] for x in found] == [name for name, _ in own]
+            assert all(licenses.words(text[a:b]) == licenses.words(t) and not d for (a, b, _, _, d), (_, t) in zip(found, own, strict=True))
+    # Words left out and words between count as before, wherever the notice stands.
+    near = "Released under the MIT License.\nThis work is licensed under the terms of the GNU General Public License, version 3.\nLicensed under CC BY 5.0."
+    assert [(x[2], x[4]) for x in s.find(near)] == [("MIT", 0), ("GPL-3.0", 3)]
+    assert [(x[2], x[4]) for x in s.find("Licensed under " + "very long " * 20 + "CC BY 4.0.")] == [("CC-BY-4.0", 40)]
+
+
 def test_top_k_matches_sql(spark):
     rows = [(i, [((i * j) % 17 - 8) / 16 for j in range(1, 9)]) for i in range(200)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8)]
     embeddings = spark.createDataFrame(rows, "vec_id long, embedding array<double>").toPandas()  # noqa: F841
