@@ -3,8 +3,9 @@
 A candidate is a run of base64 letters. A window of fixed width moves over it one letter at a
 time; counts per character are updated as letters enter and leave, so the entropy of every window
 costs constant time. A window counts if its entropy reaches the bound of its character class
-(hexadecimal digits, or letters and digits in both cases) and it holds the kinds of characters that
-random strings have. Adjacent windows are joined, what lies inside a base span is not told again,
+(hexadecimal digits; lower-case letters and digits; upper-case letters and digits; letters and digits
+in both cases; base64 with any number of symbols) and it holds the kinds of characters that random
+strings have. Adjacent windows are joined, what lies inside a base span is not told again,
 and of the parts that are left those without a digit and allow-listed strings are suppressed.
 
 Spans are code points, end exclusive. Kinds: assign, access, hex, then entropy (added by the method).
@@ -31,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Width of the window and the least bits per letter, by class.
-WINDOW, HEX_BITS, MIXED_BITS = 20, 3.0, 3.6
+WINDOW, HEX_BITS, MIXED_BITS, LOWER_BITS, UPPER_BITS, BASE64_BITS = 20, 3.0, 3.6, 3.5, 3.4, 3.8
 # Strings that documentation uses in place of secrets.
 ALLOWED = ("EXAMPLE", "example", "XXXX", "xxxx", "0123456789", "abcdefghij", "ABCDEFGHIJ", "deadbeef", "1234567890", "placeholder")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
@@ -49,11 +50,19 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def _class(upper: int, lower: int, digit: int, odd: int, beyond: int) -> float | None:
     """The least entropy of a window with so many letters of each sort (beyond: letters outside a-f), or None."""
-    if odd > 2 or not digit:
+    if not digit:
         return None
-    if not beyond and not odd and not (upper and lower):
+    if upper >= 3 and lower >= 3:
+        if odd <= 2 and digit >= 3:
+            return MIXED_BITS
+        # Names of many words have fewer letters of either case, and digits are few in base64.
+        return BASE64_BITS if upper >= (6 if odd <= 2 else 5) and lower >= 5 else None
+    if odd > 2 or (upper and lower):
+        return None
+    if not beyond and not odd:
         return HEX_BITS if digit >= 3 and upper + lower >= 3 else None
-    return MIXED_BITS if digit >= 3 and upper >= 3 and lower >= 3 else None
+    # Base32 has six digits among 32 letters.
+    return UPPER_BITS if upper >= 3 else LOWER_BITS if lower >= 3 and digit >= 2 else None
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:

@@ -212,6 +212,16 @@ def test_secrets_beside_base_spans_stay():
     assert [k for *_, k in secrets.spans_of("token=A1b2C3d4E5f6G7h8I9j0KkLl")[1]] == ["assign"]
 
 
+def test_secrets_of_every_class():
+    rnd = random.Random(7)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters, n in ((lower + digits, 36), (upper + digits, 36), (upper + "234567", 32), (upper + lower + digits + "+/", 40), (upper + lower + digits + "+/" * 5, 40)):
+        texts = ["key " + "".join(rnd.choice(letters) for _ in range(n)) + " end" for _ in range(500)]
+        assert sum([k for *_, k in secrets.spans_of(t)[1]] == ["entropy"] for t in texts) >= 490
+    for plain in ("2024-01-15-10-22-33-backup", "/Users/Anna/Documents/Project2/Final", "someCamelCaseNameOfTwoWords2", "MAX_BUFFER_SIZE_OF_2048_BYTES"):
+        assert secrets.spans_of(plain)[1] == []
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries_return_every_document(spark, name):
     rows = queries.QUERIES[name](spark, DIR).toPandas()
