@@ -6,8 +6,10 @@ conditions. The trees are boosted on the driver from the features of a bounded s
 sentences, which the same expressions compute; half of them choose each kind's threshold, as the
 least probability at which the required precision holds.
 
-Candidates beyond the base patterns: bracketed e-mail addresses (a [at] b [dot] c), IPv6 addresses,
-cards with dots or slashes, telephone numbers without a plus sign. Base spans always stay; added
+Candidates beyond the base patterns: e-mail addresses with at and dot in brackets or as words, in any
+case, IPv6 addresses, whole or compressed, cards with dots or slashes, telephone numbers without a
+plus sign, of two groups, three or five pairs. Several patterns generate one kind, and candidates
+may overlap; the trees choose. Base spans always stay; added
 ones never overlap them. Spans are code points, end exclusive.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are
@@ -32,17 +34,24 @@ BASE = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Several generators a kind, each a scan of its own, so that candidates overlap; beside each a pattern that is true wherever it matches.
+_LOCAL, _LABEL, _OWN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}", "[A-Za-z0-9-]{2,63}", r"(?<![0-9A-Za-z.+/-])"
+_GROUPS, _DONE = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}", r"(?![0-9A-Za-z/])(?![.-][0-9])"
 MORE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[\[(]dot[\])]|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
-    "card": r"(?<![0-9./])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.+/-])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z/])(?![.-][0-9])",
-}
-LIKELY = {
-    "email": r"[\[(]at[\])]",
-    "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:",
-    "card": r"[0-9]{4}[./][0-9]{4}[./]",
-    "phone": r"[0-9]\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}",
+    "email": (
+        (rf"(?i){_LOCAL}\x20?[\[({{<]\x20?at\x20?[\])}}>]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:[\[({{<]\x20?dot\x20?[\])}}>]|\.)\x20?{_LABEL}){{1,4}}", r"(?i)[\[({<]\x20?at\x20?[\])}>]"),
+        (rf"(?i){_LOCAL}\x20at\x20[A-Za-z0-9-]{{1,63}}(?:(?:\x20dot\x20|\.){_LABEL}){{1,4}}", r"(?i)\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20|\.)[A-Za-z0-9-]"),
+    ),
+    "ip": (
+        (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
+        (rf"(?<![0-9A-Za-z:])(?:{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![0-9A-Za-z:])", "::"),
+    ),
+    "card": ((r"(?<![0-9./])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9])", r"[0-9]{4}[./][0-9]{4}[./]"),),
+    "phone": (
+        (rf"{_OWN}(?:\([0-9]{{2,4}}\)[\x20.-]?|[0-9]{{2,4}}[\x20.-])[0-9]{{3,4}}[\x20.-][0-9]{{3,4}}{_DONE}", r"[0-9]\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}"),
+        (rf"{_OWN}(?:\([0-9]{{2,5}}\)\x20?|[0-9]{{2,5}}[\x20/-])[0-9]{{5,8}}{_DONE}", r"[0-9][)\x20/-]\x20?[0-9]{5}"),
+        (rf"{_OWN}[0-9]{{2}}(?:[\x20.-][0-9]{{2}}){{4}}{_DONE}(?!\x20[0-9])", r"[0-9]{2}(?:[\x20.-][0-9]{2}){4}"),
+    ),
 }
 _NONE = "array<struct<kind:int,start:int,end:int,text:string>>"
 CONTEXT = 32
@@ -100,14 +109,14 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    parts = [F.when(text.rlike(LIKELY[k]), located(text, MORE[k], i)).otherwise(F.array().cast(_NONE)) for i, k in enumerate(KINDS)]
+    parts = [F.when(text.rlike(likely), located(text, pattern, i)).otherwise(F.array().cast(_NONE)) for i, k in enumerate(KINDS) for pattern, likely in MORE[k]]
     return F.concat(*parts)
 
 
 # Words near personal data of each kind, and near numbers that are none.
 NEAR = ("mail|contact|write|reach", "ip|host|server|address|login|peer", "card|visa|credit|debit|payment|master", "phone|tel|call|mobile|fax|dial|sms")
 AGAINST = "order|invoice|isbn|version|build|ref|serial|total|price|sku|batch|hash|time|page|item|score"
-FEATURES = ("kind", "length", "digits", "seps", "near", "against", "luhn", "opens", "groups")
+FEATURES = ("kind", "length", "digits", "seps", "near", "against", "luhn", "opens", "groups", "zero", "gap", "dot")
 
 
 def features(text: Column, s: Column) -> list[Column]:
@@ -119,6 +128,7 @@ def features(text: Column, s: Column) -> list[Column]:
     return [
         s.kind, F.length(s.text), n, F.length(F.regexp_replace(s.text, "[0-9A-Za-z]", "")), near.cast("int"), before.rlike(rf"\b(?:{AGAINST})").cast("int"),
         F.when(n > 0, luhn(digits(s.text)).cast("int")).otherwise(0), s.text.startswith("(").cast("int"), F.size(F.split(s.text, "[^0-9A-Za-z]+")),
+        digits(s.text).startswith("0").cast("int"), F.contains(s.text, F.lit("::")).cast("int"), s.text.rlike(r"(?i)\bdot\b").cast("int"),
     ]
 
 
@@ -142,8 +152,22 @@ def _examples(spark: SparkSession, n: int) -> DataFrame:
     last = F.when(good, check).otherwise((check + 1 + F.pmod(F.xxhash64("id", F.lit("off")), F.lit(9))) % 10)
     dot = pick("dot", ".", "/")
     card = F.concat(three[0], dot, three[1], dot, three[2], dot, three[3], last.cast("string"))
-    mail = F.concat(F.lit("user"), part("m", 1, 99), pick("at", " [at] ", "(at)", " (at) "), F.lit("host"), part("h", 1, 99), pick("dot2", " [dot] ", "(dot)", "."), pick("tld", "org", "net", "com"))
     ip = F.when(good, F.concat_ws(":", *(hexa(f"x{i}") for i in range(8)))).otherwise(F.concat_ws(":", *(part(f"t{i}", 10, 60) for i in range(4))))
+    # Every generator has its forms, and things that look like them: half of the e-mail and address examples, two thirds of the telephone ones.
+    form = F.pmod(F.xxhash64("id", F.lit("form")), F.lit(6))
+    bare = F.pmod(F.xxhash64("id", F.lit("bare")), F.lit(2)) == 0
+    numbered = lambda word, salt: F.concat(word, F.when(bare, F.lit("")).otherwise(part(salt, 1, 99)))
+    at = F.when(form % 2 == 0, pick("at", " [at] ", "(at)", " (at) ", " [AT] ", "{at}", " <at> ")).otherwise(pick("at2", " at ", " at ", " AT "))
+    # Without a dot in words, only what stands before tells an address from prose.
+    said = F.concat(numbered(pick("user", "user", "jo", "anna.k", "m_weber"), "m"), at, numbered(pick("host", "host", "example", "mailbox"), "h"), pick("dot2", " [dot] ", "(dot)", "{dot}", " dot ", " DOT ", "."), pick("tld", "org", "net", "com"))
+    prose = F.concat(pick("verb", "look", "met", "arrived", "sold"), at, numbered(pick("place", "noon", "page", "section", "cafe"), "h"), F.lit("."), pick("next", "Then", "html", "We", "There"))
+    mail = F.when(good, said).otherwise(prose)
+    short = F.concat(pick("net", "2001:db8::", "fe80::", "2a02:26f7::", "fd00:12::"), F.concat_ws(":", *(F.when(F.pmod(F.xxhash64("id", F.lit("groups")), F.lit(4)) >= i, hexa(f"z{i}")) for i in range(4))))
+    scope = F.concat(pick("s1", "add", "face", "a", "bed", "12", "3", "dead"), F.lit("::"), pick("s2", "bad", "cafe", "b", "30", "4", "fade"))
+    ip = F.when(form % 2 == 0, ip).otherwise(F.when(good, short).otherwise(scope))
+    two = F.when(good, F.concat(F.lit("0"), part("a2", 20, 9999), pick("sep2", " ", "/", "-"), part("b2", 100000, 99999999))).otherwise(F.concat(part("a3", 10, 2999), pick("sep2", " ", "/", "-"), part("b3", 10000, 99999999)))
+    pairs = F.concat(F.when(good, F.concat(F.lit("0"), part("w", 1, 10))).otherwise(part("w2", 10, 100)), *(x for i in range(3, 7) for x in (pick("sep3", " ", "-"), part(f"w{i}", 10, 100))))
+    phone = F.when(form < 2, phone).when(form < 4, two).otherwise(pairs)
     value = F.element_at(F.array(mail, ip, card, phone), kind + 1)
     return spark.range(n).select("id", kind.alias("k"), good.cast("int").alias("y"), F.concat(F.lit("noted "), lead, F.lit(" "), value, F.lit(" today")).alias("text"))
 
@@ -236,7 +260,7 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"))))
     likely = F.lit(False)
-    for pattern in LIKELY.values():
+    for pattern in (p for k in KINDS for _, p in MORE[k]):
         likely = likely | text.rlike(pattern)
     own = df.withColumn("_base", base_spans(text))
     more = F.when(likely, added_spans(text, F.col("_base"), model)).otherwise(F.array().cast(_NONE[:-2] + ",p:double>>"))

@@ -150,6 +150,18 @@ def test_pii_base_spans(spark, odd):
     assert clean[10] == "mail [EMAIL], ip [IP], call [PHONE]" and clean[0] is None
 
 
+def test_pii_common_forms(spark):
+    private = {
+        "server 2001:db8::8a2e:370:7334 up": "ip:7:30", "login fe80::1ff:fe23:4567:890a now": "ip:6:30", "call 06 12 34 56 78 today": "phone:5:19", "tel 030 12345678 now": "phone:4:16",
+        "mobile 0171 2345678 ok": "phone:7:19", "mail bob [AT] host [DOT] org": "email:5:28", "write ann{at}host{dot}com please": "email:6:25", "contact joe at example dot com or": "email:8:30",
+        "at 12:30:45:10 time": "", "std::vector a::b": "", "order 2024 12345678 price": "", "order 12 34 56 78 90": "", "look at page.html": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(private)), "doc_id long, text string")
+    assert {r.text: r.s for r in pii.find(rows).select("text", pii.listed(pii.F.col("spans")).alias("s")).collect()} == private
+    both = spark.createDataFrame([("tel 030 123 4567 12345678",)], "text string").select(pii.candidates(pii.F.col("text")).alias("c")).first().c
+    assert any(a.start < b.end and b.start < a.end for i, a in enumerate(both) for b in both[i + 1 :])
+
+
 def test_licenses():
     s = licenses.Scanner(licenses.TEMPLATES)
     assert [x[2] for x in s.find("aa\nLicensed under CC BY-NC 4.0.\nbb\n\n\nThis work is licensed under the GNU General Public License, version 3.")] == ["CC-BY-NC-4.0", "GPL-3.0"]
