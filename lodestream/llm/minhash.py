@@ -4,20 +4,29 @@
    its least value. An empty bin takes the value of the first full bin in its own fixed random order
    (optimal densification). Bins are grouped into bands; the number of bands is derived from the
    threshold so that a linked pair without a common bucket has a chance of about one in a million.
-2. Documents with the same set form one class, represented by its smallest id.
-3. In each bucket every class is a candidate of the bucket's smallest class only (a star).
-4. Candidates are confirmed on full shingle sets; confirmed links give components by min-label
-   propagation with pointer jumping, each round written to the shared folder.
-5. Where a bucket still holds several components, its pairs across components that the sizes allow
-   are confirmed too, so the star loses no link; pairs inside a component need no test. The members
-   outside the hub's component meet all members in salted blocks of bounded size; a block pair is
-   one row, its intersections are one product, a pair is tested in its first common band only, and
-   links alone leave the task.
+2. Documents with the same set form one class, a node.
+3. In each bucket every node is a candidate of the bucket's smallest node only (a star).
+4. Candidates of fitting sizes are confirmed on full shingle sets; confirmed links give components by
+   min-label propagation with pointer jumping, each round written to the shared folder.
+5. Where a bucket still holds several components, members under other labels than the hub's meet all
+   members, in blocks bounded by members and bytes. There a pair is a candidate in its first common
+   band only, if the sizes allow a link and if the lesser counts of shingles by hash range sum to
+   enough; this bound never falls short of the intersection. Only members in a candidate pair bring
+   their full sets, once for each pair of blocks, and a block yields the links of a forest, at most
+   one less than its members. So the star loses no link, no pair is a row, and nothing grows with
+   the square of a group but the bounded work inside blocks.
+
+Hot keys: sums and least values are taken before a shuffle; where a join's key can be hot (a bucket,
+a hub, a label, a set, an id), both sides are written tables, so that Spark's skew join splits it.
+Intermediate tables are deleted as soon as nothing reads them.
 
 Words are runs of anything but ASCII white space, after lower-casing A-Z. Defined results: a text
 without words, or null, has an empty set and its own component; with fewer words than a shingle has,
 the whole sequence is the one shingle; rows that repeat an id count as copies of that id's documents
-(their sets are linked); null ids are dropped, as nothing can refer to them; an empty table gives none.
+(their sets are linked, and n_shingles is each row's own); a null id keeps its row, links nothing and
+has a null component; very long texts are taken alone, in memory of a few times their size; equal
+smallest values need no order, as results depend on sets alone; an empty table gives none; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +43,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROWS = 5
-#: Members of a block where a bucket's members meet.
-BLOCK = 128
+#: Members of a block where a bucket's members meet, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 1024, 8_000_000
 #: Bytes of text whose sets a task holds at a time (a longer text is taken alone); a set takes up to four times its text's bytes.
 SETS_BYTES = 4_000_000
 MISS = 1e-6
@@ -130,162 +139,303 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
+def counts_of(shingles: np.ndarray) -> bytes:
+    """How many shingles fall in each of 2**m equal ranges of hashes, m by the set's size.
+
+    The sum of the lesser counts of two sets is never below the size of their intersection. Empty
+    (no bound) where a count needs more than 16 bits.
+    """
+    m = min(9, max(4, len(shingles).bit_length() - 2))
+    n = np.bincount((shingles >> np.uint64(64 - m)).astype(np.int64), minlength=1 << m)
+    return n.astype("<u2").tobytes() if n.max(initial=0) < 1 << 16 else b""
+
+
 def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """rep, its sorted shingle hashes and its band keys, as bytes."""
-    kind = docs.schema["rep"].dataType.simpleString()
+    """node, n, counts, keys (band keys) and shingles (sorted hashes) of the rows whose set is set_a, set_b."""
 
     def run(batches):
         signer = Signer(bands, rows)
         for batch in batches:
             for a, b in common.chunks(batch.column(1), SETS_BYTES):
-                sets = list(shingle_sets(batch.column(1).slice(a, b - a), words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), common.binary_array([s.tobytes() for s in sets]), common.binary_array([signer.keys(s).tobytes() for s in sets])], ["rep", "shingles", "keys"])
-
-    return docs.mapInArrow(run, f"rep {kind}, shingles binary, keys binary")
-
+                part = batch.slice(a, b - a)
+                own = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3)], 1)
+                sets = list(shingle_sets(part.column(1), words))
+                at = [i for i, s in enumerate(sets) if xxhash.xxh3_128_digest(s.tobytes()) == own[i].astype("<i8").tobytes()]
+                sets = [sets[i] for i in at]
+                blobs = [common.binary_array([f(s) for s in sets]) for f in (counts_of, lambda s: signer.keys(s).tobytes(), lambda s: s.tobytes())]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), *blobs], ["node", "n", "counts", "keys", "shingles"])
 
-def _intersections(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections of sorted sets."""
-    both = np.concatenate(xs + ys)
-    names, at = np.unique(both, return_inverse=True)
-    if len(names) * (len(xs) + len(ys)) > 40_000_000:
-        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in ys] for x in xs])
-    row = np.repeat(np.arange(len(xs) + len(ys)), [len(s) for s in xs + ys])
-    held = np.zeros((len(xs) + len(ys), len(names)), np.float32)
-    held[row, at] = 1
-    return np.rint(held[: len(xs)] @ held[len(xs) :].T).astype(np.int64)
+    return docs.select("node", "text", "set_a", "set_b").mapInArrow(run, "node long, n long, counts binary, keys binary, shingles binary")
 
 
-def links_across(rest: DataFrame, share: int, parts: int, block: int = BLOCK) -> DataFrame:
-    """Links a, b between members of one bucket under different labels, one of them not the bucket's main label.
-
-    rest has band, key, rep, label, main, n_all and n_other (the bucket's members, and those not under main), shingles, keys.
-    """
-    side = F.struct("rep", "label", "shingles", "keys")
-    size = lambda n: F.greatest(F.ceil(F.col(n) / block), F.lit(1)).cast("int")
-    bucket = ["band", "key"]
-    # A bucket that fits a block is gathered once; larger ones are dealt, and their blocks meet in pairs.
-    whole = rest.where(F.col("n_all") <= block).groupBy(*bucket).agg(F.collect_list(side).alias("xs"), F.first("main").alias("main"))
-    whole = whole.select("band", "xs", F.filter("xs", lambda m: m.label != F.col("main")).alias("ys"))
-    dealt = rest.where(F.col("n_all") > block).withColumns({"nx": size("n_all"), "ny": size("n_other")})
-    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    x = dealt.withColumn("x", place("nx")).groupBy(*bucket, "x", "ny").agg(F.collect_list(side).alias("xs"))
-    y = dealt.where("label <> main").withColumn("y", place("ny")).groupBy(*bucket, "y", "nx").agg(F.collect_list(side).alias("ys"))
-    x = x.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ny") - 1))).drop("ny")
-    y = y.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))).drop("nx")
-    met = whole.union(x.join(y, [*bucket, "x", "y"]).select("band", "xs", "ys"))
-    kind = rest.schema["rep"].dataType.simpleString()
-
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for band, xs, ys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                xs, ys = xs.as_py(), ys.as_py()
-                label_x, label_y = (np.array([m["label"] for m in side]) for side in (xs, ys))
-                key_x, key_y = (np.frombuffer(b"".join(m["keys"] for m in side), np.int64).reshape(len(side), -1) for side in (xs, ys))
-                set_x, set_y = ([np.frombuffer(m["shingles"], np.uint64) for m in side] for side in (xs, ys))
-                n_x, n_y = (np.array([len(s) for s in side]) for side in (set_x, set_y))
-                same = key_x[:, None, band] == key_y[None, :, band]
-                for j in range(band):
-                    same &= key_x[:, None, j] != key_y[None, :, j]
-                low, high = np.minimum(n_x[:, None], n_y), np.maximum(n_x[:, None], n_y)
-                test = same & (label_x[:, None] != label_y) & (low * parts >= high * share)
-                use_x, use_y = np.flatnonzero(test.any(1)), np.flatnonzero(test.any(0))
-                if not len(use_x):
-                    continue
-                inner = _intersections([set_x[i] for i in use_x], [set_y[i] for i in use_y])
-                hit = test[np.ix_(use_x, use_y)] & (inner * parts >= (n_x[use_x][:, None] + n_y[use_y] - inner) * share)
-                for i, j in np.argwhere(hit):
-                    a.append(xs[use_x[i]]["rep"])
-                    b.append(ys[use_y[j]]["rep"])
-            yield pa.RecordBatch.from_arrays([pa.array(a, batch.column(1).type.value_type.field("rep").type), pa.array(b, batch.column(1).type.value_type.field("rep").type)], ["a", "b"])
-
-    links = met.mapInArrow(run, f"a {kind}, b {kind}")
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def common_counts(pairs: DataFrame) -> DataFrame:
-    """a, b and `common`, the size of the intersection of their sets."""
-    kind = pairs.schema["a"].dataType.simpleString()
+def confirm(pairs: DataFrame, share: int, parts: int) -> DataFrame:
+    """The pairs a, b whose sets set_x and set_y are linked."""
 
     def run(batches):
         for batch in common.small_batches(batches, 500):
-            sizes = []
+            hit = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                at = np.searchsorted(s, t)
-                sizes.append(int((s[np.minimum(at, len(s) - 1)] == t).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["a", "b", "common"])
-
-    return pairs.select("a", "b", "set_x", "set_y").mapInArrow(run, f"a {kind}, b {kind}, common long")
+                inner = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+                hit.append(inner * parts >= (len(s) + len(t) - inner) * share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return pairs.select("a", "b", "set_x", "set_y").mapInArrow(run, "a long, b long")
+
+
+_GROUP = ["band", "key", "x", "y"]
+_MEMBER = "band int, key long, x int, y int, role int, node long, label long"
+
+
+class _Members:
+    """The members of one group: role bit 1 stands for side x, 2 for side y."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.table = table = pa.Table.from_batches(parts)
+        column = lambda name: table.column(name).combine_chunks()
+        self.band = column("band")[0].as_py()
+        self.role, self.node, self.label, self.n = (column(c).to_numpy(zero_copy_only=False) for c in ("role", "node", "label", "n"))
+        self.keys = np.frombuffer(b"".join(column("keys").to_pylist()), np.int64).reshape(len(self.n), -1)
+        self.x, self.y = np.flatnonzero(self.role & 1), np.flatnonzero(self.role & 2)
+        counts = [np.frombuffer(c, "<u2") for c in column("counts").to_pylist()]
+        self.width = np.array([len(c) for c in counts])
+        self.counts = {int(w): np.stack([counts[i] for i in np.flatnonzero(self.width == w)]) for w in np.unique(self.width)}
+        self.row = np.zeros(len(self.n), np.int64)
+        for w in self.counts:
+            own = np.flatnonzero(self.width == w)
+            self.row[own] = np.arange(len(own))
+
+    def bound(self, i: int, at: np.ndarray) -> np.ndarray:
+        """No intersection of member i with the members at is larger."""
+        out = np.minimum(self.n[i], self.n[at])
+        mine = self.counts[int(self.width[i])][self.row[i]]
+        for w in np.unique(self.width[at]):
+            least = min(int(w), len(mine))
+            if not least:
+                continue
+            own = at[self.width[at] == w]
+            theirs = self.counts[int(w)][self.row[own]]
+            fold = lambda c: c.reshape(*c.shape[:-1], least, -1).sum(-1, dtype=np.int64) if c.shape[-1] > least else c
+            out[self.width[at] == w] = np.minimum(fold(mine), fold(theirs)).sum(-1, dtype=np.int64)
+        return out
+
+    def used(self, share: int, parts: int) -> np.ndarray:
+        """Whether each member is in a pair of x and y under different labels that may be linked and meets in no earlier band."""
+        used = np.zeros(len(self.n), bool)
+        for i in self.x:
+            n, at = self.n[i], self.y[~used[self.y]] if used[i] else self.y
+            at = at[(self.label[at] != self.label[i]) & (np.minimum(n, self.n[at]) * parts >= np.maximum(n, self.n[at]) * share)]
+            at = at[~(self.keys[at, : self.band] == self.keys[i, : self.band]).any(1)]
+            if len(at):
+                at = at[self.bound(i, at) * (parts + share) >= (n + self.n[at]) * share]
+                used[at] = True
+                used[i] |= len(at) > 0
+        return used
+
+
+def _groups(batches):
+    """The groups of rows that come sorted by group; a group may span batches."""
+    parts: list[pa.RecordBatch] = []
+    mark = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in _GROUP]
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, b in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+            own = tuple(c[a] for c in columns)
+            if own != mark and parts:
+                yield parts
+                parts = []
+            mark = own
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield parts
+
+
+def _likely(share: int, parts: int):
+    """Keeps the members that are in a candidate pair."""
 
+    def run(batches):
+        for group in _groups(batches):
+            if sum(p.num_rows for p in group) > 1:
+                g = _Members(group)
+                used = g.used(share, parts)
+                if used.any():
+                    yield from g.table.select([f.split()[0] for f in _MEMBER.split(", ")]).filter(pa.array(used)).to_batches()
+
+    return run
+
+
+#: Entries of the matrix that holds which sets have which shingles.
+MATRIX = 40_000_000
+
+
+def _intersections(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray):
+    """Runs of x and the sizes of their intersections with all of y."""
+    flat = np.concatenate(sets)
+    names, at = np.unique(flat, return_inverse=True)
+    often = np.bincount(at) > 1
+    column = np.cumsum(often) - 1
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    use = often[at]
+    row, at = row[use], column[at[use]]
+    width = int(often.sum())
+    # Shingles in slices, so that the matrices stay bounded.
+    part = max(1, MATRIX // len(sets))
+    for a in range(0, len(x), 256):
+        own = x[a : a + 256]
+        inner = np.zeros((len(own), len(y)), np.float64)
+        for low in range(0, width, part):
+            held = np.zeros((len(sets), min(part, width - low)), np.float32)
+            here = (at >= low) & (at < low + part) if part < width else slice(None)
+            held[row[here], at[here] - low] = 1
+            inner += held[own] @ held[y].T
+        yield own, np.rint(inner).astype(np.int64)
+
+
+def _joined(share: int, parts: int):
+    """Links between labels that join each group's components: a forest, at most one less than its members."""
 
-def components(links: DataFrame, name: str = "labels") -> DataFrame:
-    """node and label, the smallest node that it reaches; links has columns a and b."""
-    both = common.materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-links")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = common.materialise(labels, name)
+    def run(batches):
+        for group in _groups(batches):
+            g = _Members(group)
+            sets = [np.frombuffer(s, np.uint64) for s in g.table.column("shingles").to_pylist()]
+            label, a, b = g.label.copy(), [], []
+            for own, inner in _intersections(sets, g.x, g.y):
+                hit = inner * parts >= (g.n[own][:, None] + g.n[g.y] - inner) * share
+                for i in np.flatnonzero(hit.any(1)):
+                    mine = label[own[i]]
+                    for other in np.unique(label[g.y[hit[i]]]):
+                        if other != mine:
+                            a.append(mine)
+                            b.append(other)
+                            label[label == other] = mine
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def links_across(rest: DataFrame, prints: DataFrame, share: int, parts: int, space: common.Space) -> DataFrame:
+    """Links a, b between labels whose members share a bucket, one of them not under the bucket's main label.
+
+    rest has band, key, node, label, main, n_all, n_other and bytes (of the bucket's members, those not under main, and all sets).
+    """
+    blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+    rest = rest.withColumns({"nx": blocks("n_all"), "ny": F.least(blocks("n_all"), F.greatest(blocks("n_other"), F.lit(1)))})
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    other = F.col("label") != F.col("main")
+    steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    one = F.col("nx") == 1
+    pick = lambda c, x, y, role: rest.where(c).select("band", "key", x.alias("x"), y.alias("y"), role.cast("int").alias("role"), "node", "label")
+    whole = pick(one, F.lit(0), F.lit(0), F.when(other, 3).otherwise(1))
+    xs, ys = pick(~one, place("nx"), F.explode(steps("ny")), F.lit(1)), pick(~one & other, F.explode(steps("nx")), place("ny"), F.lit(2))
+    members = whole.unionByName(xs).unionByName(ys)
+
+    def dealt(df, *columns):
+        full = df.join(prints.select("node", "n", "counts", "keys", *columns), "node")
+        return full.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+    likely = space.keep(dealt(members).mapInArrow(_likely(share, parts), _MEMBER), "likely")
+    return dealt(likely, "shingles").mapInArrow(_joined(share, parts), "a long, b long").distinct()
+
+
+def components(links: DataFrame, space: common.Space) -> DataFrame:
+    """node and label, the smallest node that it reaches; links has columns a and b.
+
+    Joins whose key may be hot (a hub, a large component's label) read written tables on both sides,
+    so that Spark can split the hot key's rows.
+    """
+    both = space.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = space.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         # The least label among the neighbours, then the label of that label.
-        seen = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        roots = labels.select(F.col("node").alias("via"), F.col("label").alias("top"))
-        step = step.join(roots, "via").select("node", "old", F.least("via", "top").alias("label"))
-        step = common.materialise(step, name)
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
+        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = space.keep(labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via")), "step")
+        if step.where("old <> via").isEmpty():
+            space.drop(both, step)
             return labels
+        after = step.join(labels.select(F.col("node").alias("via"), F.col("label").alias("top")), "via").select("node", F.least("via", "top").alias("label"))
+        before, labels = labels, space.keep(after, "labels")
+        space.drop(before, step)
 
 
 def near_duplicates(df: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5), rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept; sets are linked if parts * intersection >= share * union, threshold = (share, parts)."""
+    return _grouped(df, words, threshold, rows, id_col, text_col)[0]
+
+
+def _grouped(df: DataFrame, words: int, threshold: tuple[int, int], rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """near_duplicates' rows, and whether an id repeats."""
     share, parts = threshold
     bands = bands_for(share / parts, rows)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = common.materialise(signatures(docs, words, bands, rows), "minhash")
-    sets = ["set_a", "set_b"]
-    full = signed.where("n_shingles > 0")
+    space, sets = common.Space(df.sparkSession), ["set_a", "set_b"]
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = space.keep(signatures(docs, words, bands, rows), "minhash")
+    full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    # Equal sets form one class, a node with a number of its own.
     classes = full.groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = common.materialise(classes, "classes")
-    # Two sets under one id (a repeated id) are one node: the class keeps its own smallest id.
-    member = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
-    hubs = member.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
-    held = common.materialise(member.join(hubs, ["band", "key"]), "buckets")
-    stars = common.materialise(held.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    sizes = classes.groupBy("rep").agg(F.max("n").alias("n"))
-    texts = docs.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    prints = common.materialise(sets_of(texts.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), words, bands, rows), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        x = prints.select(F.col("rep").alias("a"), F.col("shingles").alias("set_x"))
-        y = prints.select(F.col("rep").alias("b"), F.col("shingles").alias("set_y"))
-        found = common_counts(pairs.join(y, "b").join(x, "a"))
-        n_a, n_b = sizes.select(F.col("rep").alias("a"), F.col("n").alias("n_a")), sizes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"))
-        found = found.join(n_a, "a").join(n_b, "b")
-        return found.where(F.col("common") * parts >= (F.col("n_a") + F.col("n_b") - F.col("common")) * share).select("a", "b")
-
-    links = common.materialise(confirmed(stars), "links")
-    labels = components(links, "first")
-    # What the stars have not joined: pairs across components in one bucket.
-    placed = held.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", "hub", F.coalesce("label", "rep").alias("label"))
-    placed = common.materialise(placed, "placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("rep") == F.col("hub"), F.col("label"))).alias("main"), F.count("*").alias("n_all"))
-    rest = placed.join(mixed.where("lo <> hi").drop("lo", "hi"), ["band", "key"]).drop("hub")
-    others = rest.where("label <> main").groupBy("band", "key").agg(F.count("*").alias("n_other"))
-    rest = rest.join(others, ["band", "key"]).join(prints, "rep")
-    more = common.materialise(links_across(rest, share, parts), "more")
+    classes = space.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    member = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    hubs = space.keep(member.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size"), "hubs")
+    held = space.keep(member.join(hubs, ["band", "key"]), "buckets")
+    # An id may repeat: then its rows' classes are linked.
+    ids = full.groupBy("doc_id").agg(F.count("*").alias("rows"), *(f(s).alias(f"{k}_{s}") for s in sets for k, f in (("lo", F.min), ("hi", F.max)))).where("rows > 1")
+    ids = space.keep(ids, "repeated")
+    repeats = not ids.isEmpty()
+    needed = held.select("node").distinct().join(classes.select("node", "rep", *sets), "node").withColumnRenamed("rep", "doc_id")
+    prints = sets_of(docs.where("doc_id IS NOT NULL").join(space.keep(needed, "needed"), "doc_id"), words, bands, rows)
+    prints = space.keep(prints.dropDuplicates(["node"]) if repeats else prints, "sets")
+
+    stars = held.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = prints.select("node", "n")
+    near = F.least("n_a", "n_b") * parts >= F.greatest("n_a", "n_b") * share
+    stars = space.keep(stars.join(sizes.toDF("b", "n_b"), "b"), "stars")
+    stars = space.keep(stars.join(sizes.toDF("a", "n_a"), "a").where(near).select("a", "b"), "stars")
+    with_sets = lambda df, at, name: df.join(prints.select(F.col("node").alias(at), F.col("shingles").alias(name)), at)
+    links = space.keep(confirm(with_sets(with_sets(stars, "b", "set_y"), "a", "set_x"), share, parts), "links")
+    if repeats:
+        many = full.join(ids.where("lo_set_a <> hi_set_a OR lo_set_b <> hi_set_b").select("doc_id"), "doc_id").select("doc_id", *sets).distinct()
+        many = space.keep(many.join(classes.select("node", *sets), sets).select("doc_id", "node"), "many")
+        first = space.keep(many.groupBy("doc_id").agg(F.min("node").alias("a")), "first")
+        links = links.union(many.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    labels = components(links, space)
+
+    # What the stars have not joined: members of one bucket under different labels.
+    placed = space.keep(held.join(labels, "node", "left").select("band", "key", "node", "n", "hub", F.coalesce("label", "node").alias("label")), "placed")
+    own = placed.groupBy("band", "key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.max((F.col("node") == F.col("hub")).cast("int")).alias("is_main"))
+    mixed = own.groupBy("band", "key").agg(F.count("*").alias("labels"), F.sum("c").alias("n_all"), (F.sum("n") * 8).alias("bytes"), F.max(F.when(F.col("is_main") == 1, F.col("label"))).alias("main"), F.sum(F.when(F.col("is_main") == 0, F.col("c"))).alias("n_other"))
+    mixed = space.keep(mixed.where("labels > 1").drop("labels"), "mixed")
+    rest = space.keep(placed.drop("n", "hub").join(mixed, ["band", "key"]), "rest")
+    more = space.keep(links_across(rest, prints, share, parts, space), "more")
     if not more.isEmpty():
-        labels = components(links.union(more), "second")
-    tops = classes.select(*sets, "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*sets, F.coalesce("label", "rep").alias("top"))
+        tops = components(more, space)
+        labels = space.keep(labels.unionByName(classes.select("node", F.col("node").alias("label")).join(labels, "node", "left_anti")), "labels")
+        labels = space.keep(labels.join(tops.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+    # The smallest id of each component that has a link.
+    reps = space.keep(labels.join(classes.select("node", "rep", *sets), "node"), "reps")
+    least = space.keep(reps.groupBy("label").agg(F.min("rep").alias("top")), "least")
+    linked = space.keep(reps.join(least, "label").select(*sets, "top"), "linked")
+    tops = space.keep(classes.select(*sets, "rep").join(linked, sets, "left").select(*sets, F.coalesce("top", "rep").alias("top")), "tops")
+    space.drop_all_but(signed, tops)
     found = signed.drop("bands").join(tops, sets, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("top")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept")), repeats
 
 
 def keep_one(df: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """One row of df for each component, of the document that represents it; rows without an id all stay."""
-    kept = near_duplicates(df, words, threshold).where("kept").select("doc_id").dropDuplicates()
-    one = df.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of df for each component, of the document that represents it; rows without an id all stay.
+
+    Of several rows under that id the one with the smallest hash of its columns stays.
+    """
+    grouped, repeats = _grouped(df, words, threshold)
+    kept = grouped.where("kept").select("doc_id")
+    one = df.join(kept.distinct() if repeats else kept, "doc_id", "left_semi")
+    if repeats:
+        row = F.struct(*df.columns)
+        one = one.groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row")).select("_row.*")
     return one.select(df.columns).union(df.where("doc_id IS NULL"))
 
 
