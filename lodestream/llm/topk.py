@@ -6,10 +6,13 @@ the block's postings into a dense array of scores. Partition selection keeps eac
 the block, with ties to the smaller id, and a ranked merge over blocks gives the whole result.
 All pairs of a stated query set and the table are scored; no index is approximated.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part; a
-repeated id counts once (its smallest vector); vectors of another dimension than the query's are
-compared over the components both have; quantised components are cut to +-2^31; with fewer than k
-candidates all are returned; an empty table gives no rows.
+Defined results: vectors that are null, or hold null or non-finite components (also once scaled),
+take no part; rows with a null id neither; every other row is a candidate of its own and, where it
+is asked for, a query of its own, also if ids repeat; vectors of another dimension than the query's
+are compared over the components both have (an empty one scores 0); ties go to the smaller id; scores
+are exact integers of any size, and one that no 64-bit integer holds is ranked exactly and returned
+as null; with fewer than k candidates all are returned; an empty table gives no rows; very long
+vectors make blocks of fewer rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,50 +24,55 @@ from pyspark.sql import functions as F
 
 from . import common
 
-QUERIES, CANDIDATES = 1024, 4096
+#: Rows of a block of queries and of candidates, and bytes of a block's vectors.
+QUERIES, CANDIDATES, BLOCK_BYTES = 1024, 8192, 8_000_000
 
 
 def quantise(df: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    x = F.transform(vector_col, lambda v: v.cast("double"))
-    real = F.col(vector_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    limit = float(1 << 31)
-    whole = F.transform(x, lambda v: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(v * scale).cast("double"))).cast("long"))
-    return df.where(F.col(id_col).isNotNull() & real).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
+    """id and v, the components' integers as doubles (which hold them exactly)."""
+    # A double above 2**63 is whole, and floor would cut it to a long.
+    floor = lambda y: F.when(F.abs(y) < float(1 << 62), F.floor(y).cast("double")).otherwise(y)
+    scaled = F.transform(vector_col, lambda v: v.cast("double") * scale)
+    real = F.col(vector_col).isNotNull() & F.forall(scaled, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
+    return df.where(F.col(id_col).isNotNull() & real).select(F.col(id_col).cast("long").alias("id"), F.transform(scaled, floor).alias("v"))
 
 
 def blocks(df: DataFrame, size: int, rows: int, name: str) -> DataFrame:
-    """Rows dealt by a hash of their ids into blocks of about `size`; a block is its ids and vectors."""
+    """Rows dealt by a hash of their numbers into blocks of about `size`; a block is its rows' numbers, ids and vectors."""
     count = max(1, -(-rows // size))
-    dealt = df.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
-    return dealt.groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vectors"))
+    dealt = df.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
+    return dealt.groupBy(name).agg(*(F.collect_list(c).alias(f"{name}_{c}") for c in ("row", "id", "v")))
 
 
-def _matrix(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids ascending and their vectors by component (terms first); a repeated id keeps its smallest vector."""
-    names = ids.to_numpy(zero_copy_only=False)
+def _matrix(rows: pa.Array, ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and vectors by component (terms first), by ascending id."""
+    names, rows = (x.to_numpy(zero_copy_only=False) for x in (ids, rows))
     size = np.diff(vectors.offsets.to_numpy())
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
     width = int(size.max(initial=0))
-    out = np.zeros((len(names), width), np.int64)
+    out = np.zeros((len(names), width))
     if width:
-        out[np.arange(width) < size[:, None]] = flat
-    order = np.argsort(names, kind="stable")
-    if len(np.unique(names)) < len(names):
-        order = np.lexsort((*out.T[::-1], names))
-        order = order[np.concatenate([[True], names[order][1:] != names[order][:-1]])]
-    return names[order], np.ascontiguousarray(out[order].T)
+        out[np.arange(width) < size[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((rows, names))
+    return rows[order], names[order], np.ascontiguousarray(out[order].T)
 
 
 def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
-    """Scores (queries x candidates) from weights by term; only a term's non-zero weights are touched."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(postings).max(initial=0)) * max(1, len(queries))
-    kind = np.int32 if most < 1 << 31 else np.int64
-    queries, postings = queries.astype(kind), postings.astype(kind)
+    """Exact scores (queries x candidates) from whole weights by term; only a term's non-zero weights are touched.
+
+    The smallest integers that hold any sum are used: 32 bits, 64 bits, or Python's own.
+    """
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(postings).max(initial=0)) * max(1, len(queries))
+    kind = np.int32 if most < 1 << 30 else np.int64 if most < 1 << 62 else object
+    if kind is object:
+        whole = np.frompyfunc(int, 1, 1)
+        queries, postings = whole(queries), whole(postings)
+    else:
+        queries, postings = queries.astype(kind), postings.astype(kind)
     scores = np.zeros((queries.shape[1], postings.shape[1]), kind)
     part = np.empty_like(scores)
     for q, p in zip(queries, postings, strict=False):
         rows, at = np.flatnonzero(q), np.flatnonzero(p)
-        if 2 * len(at) > len(p) and 2 * len(rows) > len(q):
+        if kind is not object and 2 * len(at) > len(p) and 2 * len(rows) > len(q):
             np.multiply.outer(q, p, out=part)
             scores += part
         elif len(at) and len(rows):
@@ -72,57 +80,67 @@ def accumulate(queries: np.ndarray, postings: np.ndarray) -> np.ndarray:
     return scores
 
 
-def best(scores: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Places of each row's k best, earlier places first on ties; own is each row's place to leave out, or -1."""
+def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places of each row's k best scores, earlier places first on ties."""
     n = scores.shape[1]
-    key = scores.astype(np.int64) * n + (n - 1 - np.arange(n))
-    has = np.flatnonzero(own >= 0)
-    key[has, own[has]] = -(1 << 62)
-    return np.argpartition(-key, k - 1, axis=1)[:, :k] if k < n else np.broadcast_to(np.arange(n), scores.shape)
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score for frames of id and v (array of long)."""
-    vectors = common.materialise(vectors, "vectors")
-    n = vectors.count()
-    asked = common.materialise(queries, "queries")
-    theirs = blocks(asked, QUERIES, asked.count(), "q")
-    groups = max(1, -(-n // CANDIDATES))
-    ours = blocks(vectors, CANDIDATES, n, "c")
+    if k >= n:
+        return np.divmod(np.arange(scores.size), max(n, 1))
+    down = -scores
+    least = -(np.sort(down, axis=1) if scores.dtype == object else np.partition(down, k - 1, axis=1))[:, k - 1 : k]
+    above, level = scores > least, scores == least
+    take = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    return np.nonzero(take.astype(bool))
+
+
+def top_k(vectors: DataFrame, asked: str, k: int = 20) -> DataFrame:
+    """query_id, rank, vec_id, score for a frame of id and v (array of whole doubles); `asked` is the condition on rows that are queries."""
+    vectors = common.materialise(vectors.select("id", "v").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    queries = vectors.where(asked)
+    size = vectors.agg(F.count("*").alias("n"), F.count_if(F.expr(asked)).alias("q"), F.max(F.size("v")).alias("width")).first()
+    fit = max(1, BLOCK_BYTES // (8 * max(size.width or 0, 1)))
+    theirs = blocks(queries, min(QUERIES, fit), size.q, "q")
+    groups = max(1, -(-size.n // min(CANDIDATES, fit)))
+    ours = blocks(vectors, min(CANDIDATES, fit), size.n, "c")
     met = theirs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(ours, "c")
 
     def run(batches):
         for batch in common.small_batches(batches, 1):
-            column = {x: batch.column(batch.schema.get_field_index(x)) for x in ("q_ids", "q_vectors", "c_ids", "c_vectors")}
-            q_ids, q = _matrix(column["q_ids"].flatten(), column["q_vectors"].flatten())
-            c_ids, c = _matrix(column["c_ids"].flatten(), column["c_vectors"].flatten())
+            column = lambda x: batch.column(batch.schema.get_field_index(x)).flatten()  # noqa: B023, E731
+            q_rows, q_ids, q = _matrix(*(column(f"q_{x}") for x in ("row", "id", "v")))
+            c_rows, c_ids, c = _matrix(*(column(f"c_{x}") for x in ("row", "id", "v")))
             for a in range(0, len(q_ids), 128):
-                ids = q_ids[a : a + 128]
+                # One more than asked for, as a query may find itself.
                 scores = accumulate(q[:, a : a + 128], c)
-                at = np.searchsorted(c_ids, ids)
-                at[(at == len(c_ids)) | (c_ids[np.minimum(at, len(c_ids) - 1)] != ids)] = -1
-                keep = best(scores, at, min(k, len(c_ids)))
-                row = np.repeat(np.arange(len(ids)), keep.shape[1])
-                col = keep.ravel()
-                other = col != at[row]
+                row, col = best(scores, k + 1)
+                other = c_rows[col] != q_rows[a + row]
                 row, col = row[other], col[other]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(c_ids[col]), pa.array(scores[row, col].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    every = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+                found = [int(x) for x in scores[row, col]]
+                exact = pa.array(found, pa.int64()) if scores.dtype != object else pa.array([x if -(1 << 63) <= x < 1 << 63 else None for x in found], pa.int64())
+                # Larger scores are ranked by text of equal width.
+                wide = pa.array([None if -(1 << 63) <= x < 1 << 63 else f"{'1' if x > 0 else '0'}{abs(x) if x > 0 else 10**WIDE - 1 + x:0{WIDE}d}" for x in found], pa.string()) if scores.dtype == object else pa.nulls(len(found), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(q_rows[a + row]), pa.array(q_ids[a + row]), pa.array(c_ids[col]), exact, wide], ["row", "query_id", "vec_id", "score", "wide"])
+
+    every = met.mapInArrow(run, "row long, query_id long, vec_id long, score long, wide string")
+    # Scores beyond 64 bits stand before (or behind) all that fit.
+    sign = F.when(F.col("wide").isNull(), 0).when(F.col("wide").startswith("1"), 1).otherwise(-1)
+    order = Window.partitionBy("row").orderBy(sign.desc(), F.desc("wide"), F.desc("score"), "vec_id")
+    ranked = every.withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+#: Digits of the largest sum of products of doubles.
+WIDE = 640
+
+
 def op7_topk(spark, sf_dir: str) -> DataFrame:
-    vectors = quantise(common.table(spark, sf_dir, "embeddings"))
-    return top_k(vectors, vectors.where("id % 20 = 0"))
+    return top_k(quantise(common.table(spark, sf_dir, "embeddings")), "id % 20 = 0")
 
 
 OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH v AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r AS own, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
