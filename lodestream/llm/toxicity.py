@@ -4,14 +4,17 @@ Words and word beginnings get log-odds of toxic against clean training documents
 informative Dirichlet prior (the features' frequencies over both). Features whose log-odds are many
 standard errors above zero are the lexicon; a token scores its best feature, any other token a
 small negative drift. One linear scan finds all maximal scoring segments of a document
-(Ruzzo and Tompa). The best segment's tail probability follows an extreme-value law whose rate
-solves E[exp(rate * score)] = 1 over the tokens of clean documents and whose scale is fitted to
-their expected number of high segments; a logistic curve over the summed evidence of all
-significant segments gives the score.
-
-Only text enters a score. Defined results: a null or empty text has no evidence and gets the
-curve's value at zero; without training rows of both labels every score is 0; repeated rows are
-scored alike; labels that repeat an id count as toxic if any says so.
+(Ruzzo and Tompa). A segment's tail probability follows an extreme-value law whose rate solves
+E[exp(rate * score)] = 1 over the tokens of clean documents and whose scale is fitted to their
+expected number of high segments; significant segments are the passages told, and a logistic curve
+over the logarithm of the summed evidence gives the score.
+
+Only text enters a score, and the model is a function of the rows alone, however they are dealt.
+Defined results: a null or empty text has no evidence and gets the curve's value at zero; without
+training rows of both labels every score is 0; repeated rows are scored alike; labels that repeat an
+id count as toxic if any says so; of near copies in training the one with the smallest id (then
+text) counts; equal sums make no larger segment; a very long text is taken alone, in time and memory
+linear in its length; an empty table gives none; other columns are ignored (or kept, by keep_clean).
 """
 
 from __future__ import annotations
@@ -32,12 +35,12 @@ from .minhash import shingle_sets
 
 #: Labelled rows that training reads at most, chosen by a hash of their ids.
 TRAIN_ROWS = 40_000
-#: Features that the model keeps at most, the most certain first.
-FEATURES = 20_000
 #: Bytes of text that a task splits into tokens at a time (a longer text is taken alone), and pieces whose scores it remembers.
 PART_BYTES, MEMORY = 4_000_000, 200_000
 PREFIXES = (4, 5, 6)
 DRIFT, TOP, SURE, ODDS = 0.1, 6.0, 3.0, 2.0
+#: The largest tail probability of a passage that is told.
+RARE = 0.05
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -55,7 +58,7 @@ class Model:
     trained: bool = False
 
     def score(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * evidence + self.offset)))) if self.trained else 0.0
+        return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.slope * math.log1p(evidence) + self.offset)))) if self.trained else 0.0
 
 
 class _Pieces(dict):
@@ -77,26 +80,30 @@ class _Pieces(dict):
 
 def segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[float, int, int]]:
     """All maximal segments (score, first place, last place) of positive scores with `drift` lost at every place between."""
-    stack: list[tuple[float, float, int, int]] = []  # sums before and after, first and last place
+    # Per segment: sums before and after, first and last place, and the segment left of it with a smaller sum before (-1: none).
+    low: list[float] = []
+    high: list[float] = []
+    ends: list[tuple[int, int]] = []
+    link: list[int] = []
     total, seen = 0.0, -1
     for at, s in zip(places, scores, strict=True):
         total -= drift * (at - seen - 1)
-        low, high, first = total, total + s, at
-        total, seen = high, at
-        parked: list[tuple[float, float, int, int]] = []
-        while stack:
-            if stack[-1][0] >= low:
-                parked.append(stack.pop())
-                continue
-            if stack[-1][1] >= high:
-                stack += reversed(parked)
+        left, first = total, at
+        total, seen = total + s, at
+        j = len(low) - 1
+        while True:
+            while j >= 0 and low[j] >= left:
+                j = link[j]
+            if j < 0 or high[j] >= total:
                 break
-            low, _, first, _ = stack.pop()
-            parked = []
-        else:
-            stack += reversed(parked)
-        stack.append((low, high, first, at))
-    return [(hi - lo, a, b) for lo, hi, a, b in stack]
+            # What lies between j and here joins j.
+            left, first, j, cut = low[j], ends[j][0], link[j], j
+            del low[cut:], high[cut:], ends[cut:], link[cut:]
+        low.append(left)
+        high.append(total)
+        ends.append((first, at))
+        link.append(j)
+    return [(hi - lo, a, b) for lo, hi, (a, b) in zip(low, high, ends, strict=True)]
 
 
 def found(texts: pa.Array, pieces: _Pieces):
@@ -126,6 +133,11 @@ def evidence(model: Model, n: int, parts: list[tuple[float, int, int]]) -> float
     return sum(max(0.0, model.rate * s - max(floor, 0.0)) for s, _, _ in parts)
 
 
+def tail(model: Model, n: int, s: float) -> float:
+    """The chance that clean text of n tokens holds a segment of that score or more."""
+    return -math.expm1(-model.scale * max(n, 1) * math.exp(-model.rate * s))
+
+
 def solve_rate(drift: float, hit: float, weights: Counter) -> float:
     """The positive root of E[exp(rate * score)] = 1 for tokens that score -drift or, with chance hit, by weights."""
     total = sum(weights.values())
@@ -168,12 +180,14 @@ def _one_of_copies(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in common.chunks(batch.column(1), 8_000_000):
-                keys = [(int(s[0].view(np.int64)), int(common.mix64(s).min().view(np.int64))) if len(s) else (0, 0) for s in shingle_sets(batch.column(1).slice(a, b - a), 3)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], ["toxic", "text", "k1", "k2"])
+            for a, b in common.chunks(batch.column(2), 8_000_000):
+                keys = [(int(s[0].view(np.int64)), int(common.mix64(s).min().view(np.int64))) if len(s) else (0, 0) for s in shingle_sets(batch.column(2).slice(a, b - a), 3)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], ["doc_id", "toxic", "text", "k1", "k2"])
 
-    keyed = train.select("toxic", "text").mapInArrow(run, "toxic int, text string, k1 long, k2 long")
-    return keyed.dropDuplicates(["toxic", "k1"]).dropDuplicates(["toxic", "k2"]).select("toxic", "text")
+    kind = train.schema["doc_id"].dataType.simpleString()
+    keyed = train.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, text string, k1 long, k2 long")
+    one = keyed.groupBy("toxic", "k1").agg(F.min(F.struct("doc_id", "text", "k2")).alias("row")).select("toxic", "row.*")
+    return one.groupBy("toxic", "k2").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("toxic", "row.text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -194,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     seen: Counter = Counter()
                     for t, y in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(0).slice(a, b - a).to_pylist(), strict=True):
                         if t and y == label:
-                            seen.update({f for w in set(_WORD.findall(t.lower())) if len(w) < 64 for f in features(w)})
+                            seen.update({f for w in set(_WORD.findall(t.lower())) for f in features(w)})
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([label] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "toxic", "n"])
 
     counts = train.mapInArrow(count, "feature string, toxic int, n long")
@@ -205,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     table = table.withColumn("a", (F.col("y1") + F.col("y0")) / both * strength)
     table = table.withColumn("odds", F.log((F.col("y1") + F.col("a")) / (bad + strength - F.col("y1") - F.col("a"))) - F.log((F.col("y0") + F.col("a")) / (good + strength - F.col("y0") - F.col("a"))))
     table = table.withColumn("sure", F.col("odds") / F.sqrt(1 / (F.col("y1") + F.col("a")) + 1 / (F.col("y0") + F.col("a"))))
-    kept = table.where((F.col("sure") >= SURE) & (F.col("odds") >= ODDS)).orderBy(F.desc("sure"), "feature").limit(FEATURES).select("feature", "odds").collect()
+    kept = table.where((F.col("sure") >= SURE) & (F.col("odds") >= ODDS)).select("feature", "odds").collect()
     model = Model({r["feature"]: round(min(r["odds"], TOP), 6) for r in kept}, trained=True)
 
     def measure(batches):
@@ -221,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     clean = train.mapInArrow(measure, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
     tokens = max(1, sum(r["n"] for r in clean if r["value"] == 0))
-    hits = Counter({r["value"]: r["n"] for r in clean if r["value"] > 0})
+    hits = Counter({v: n for v, n in sorted((r["value"], r["n"]) for r in clean) if v > 0})  # in one order, as sums of floats depend on it
     hits[2 * TOP / 3] += 1  # one more than seen
     model.rate = solve_rate(DRIFT, min(0.5, sum(hits.values()) / tokens), hits)
     model.scale = sum(hits.values()) / tokens * sum(n * math.exp(model.rate * s) for s, n in hits.items()) / sum(hits.values())
@@ -233,12 +247,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["x", "y", "n"])
 
     seen = train.mapInArrow(weigh, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
-    model.slope, model.offset = logistic([(min(r["x"], 40.0), r["y"], r["n"]) for r in seen])
+    model.slope, model.offset = logistic(sorted((math.log1p(r["x"]), r["y"], r["n"]) for r in seen))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and the document's segments (tokens first to last, with their score), most toxic first."""
+    """doc_id, score and the document's significant segments (tokens first to last, with score and tail probability), most toxic first."""
 
     def run(batches):
         pieces = _Pieces(model.lexicon)
@@ -246,14 +260,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for a, b in common.chunks(batch.column(1), PART_BYTES):
                 scores, spans = [], []
                 for n, parts, _ in found(batch.column(1).slice(a, b - a), pieces):
-                    scores.append(model.score(min(evidence(model, n, parts), 40.0)))
-                    spans.append([{"first": x, "last": y, "score": s} for s, x, y in sorted(parts, reverse=True)])
-                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
+                    scores.append(model.score(evidence(model, n, parts)))
+                    spans.append([{"first": x, "last": y, "score": s, "tail": p} for s, x, y in sorted(parts, key=lambda g: (-g[0], g[1])) if (p := tail(model, n, s)) <= RARE])
+                kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("tail", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "segments"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, segments array<struct<first:long,last:long,score:double>>")
+    return rows.mapInArrow(run, f"doc_id {kind}, score double, segments array<struct<first:long,last:long,score:double,tail:double>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -267,7 +281,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
             at = batch.schema.get_field_index("text") if at is None else at
             for a, b in common.chunks(batch.column(at), PART_BYTES):
                 part = batch.slice(a, b - a)
-                yield part.filter(pa.array([model.score(min(evidence(model, n, p), 40.0)) < limit for n, p, _ in found(part.column(at), pieces)], pa.bool_()))
+                yield part.filter(pa.array([model.score(evidence(model, n, p)) < limit for n, p, _ in found(part.column(at), pieces)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
