@@ -9,8 +9,9 @@ Of wordings that overlap the one with the fewest differences stays, and what sta
 scanned again in the same way.
 
 Spans are code points, from the first to the last word of a wording. Defined results: a null or
-empty text has none; equal texts have equal findings; repeated rows are kept; other columns of the
-input are ignored.
+empty text has none; equal texts have equal findings; repeated rows are kept; of wordings with equal
+differences the longer, then the one of more gain, then the earlier template stays; a very long line
+is one block, scanned whole; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -51,22 +52,23 @@ TEMPLATES = {
 _TRIGGER = re.compile(r"licen[sc]|permission\x20|redistribut|copyright|spdx|public\x20domain", re.ASCII | re.IGNORECASE)
 _LIKELY = r"(?i)licen[sc]|permission |redistribut|copyright|spdx|public domain"
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*")
-#: Characters on each side of a trigger that a block takes from a longer line; the least gain and share of words.
-AROUND, GAIN, SHARE = 400, 0.25, 0.85
+#: The least gain and share of words.
+GAIN, SHARE = 0.25, 0.85
 _SHORT = 3
 
 
 def blocks_of(text: str) -> list[tuple[int, int]]:
-    """Spans of lines, or of their parts near a trigger, that may hold a notice; touching ones are joined."""
+    """Spans of the whole lines that may hold a notice; touching ones are joined."""
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+    at, hit = 0, _TRIGGER.search(text)
+    while hit:
+        a, b = text.rfind("\n", at, hit.start()) + 1 or at, text.find("\n", hit.end())
         b = len(text) if b < 0 else b
-        a, b = max(a, m.start() - AROUND), min(b, m.end() + AROUND)
         if out and a <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
+        at, hit = b, _TRIGGER.search(text, b)
     return out
 
 
@@ -95,6 +97,8 @@ class Scanner:
     def spread(self, i: int, own: list[str]) -> tuple[int, int, int, int] | None:
         """Differing words, agreeing words, first word and end of the template's wording with any number of words between; None if it isn't there."""
         template = self.rows[i][2]
+        if sum((Counter(template) & Counter(own)).values()) < max(_SHORT, SHARE * len(template)):
+            return None
         same = [m for m in difflib.SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
         agree = sum(m.size for m in same)
         if agree < max(_SHORT, SHARE * len(template)):
@@ -197,7 +201,7 @@ def scan(df: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, id_
 
     def run(batches):
         scanner = Scanner(templates)
-        for batch in common.small_batches(batches, 2000):
+        for batch in (b.slice(i, j - i) for b in batches for i, j in common.chunks(b.column(1))):
             likely = pc.match_substring_regex(pc.fill_null(batch.column(1), ""), _LIKELY).to_pylist()
             found = [[dict(zip(("start", "end", "license", "gain", "edits"), x, strict=True)) for x in scanner.find(t.as_py())] if y else [] for t, y in zip(batch.column(1), likely, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, shape)], ["doc_id", "findings"])

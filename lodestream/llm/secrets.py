@@ -5,12 +5,15 @@ time; counts per character are updated as letters enter and leave, so the entrop
 costs constant time. A window counts if its entropy reaches the bound of its character class
 (hexadecimal digits; lower-case letters and digits; upper-case letters and digits; letters and digits
 in both cases; base64 with any number of symbols) and it holds the kinds of characters that random
-strings have. Adjacent windows are joined, what lies inside a base span is not told again,
-and of the parts that are left those without a digit and allow-listed strings are suppressed.
+strings have. Adjacent windows are joined. What a base span, a UUID, or an address on the web covers
+is not told again, nor what stands within REACH letters of a string that documentation uses in place
+of secrets; of the parts that are left, those without a digit or of few different letters are
+suppressed. So an allow-listed string takes its own surroundings away, never a whole long span.
 
 Spans are code points, end exclusive. Kinds: assign, access, hex, then entropy (added by the method).
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are
-kept; other columns of the input are ignored.
+kept; spans that begin together come in the order of the kinds; a very long text takes time linear in
+its length; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ WINDOW, HEX_BITS, MIXED_BITS, LOWER_BITS, UPPER_BITS, BASE64_BITS = 20, 3.0, 3.6
 # Strings that documentation uses in place of secrets.
 ALLOWED = ("EXAMPLE", "example", "XXXX", "xxxx", "0123456789", "abcdefghij", "ABCDEFGHIJ", "deadbeef", "1234567890", "placeholder")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
+_ADDRESS = re.compile(r"(?<![^ \n])(?:https?://|www\.)[^ \n]*")
+_ALLOWED = re.compile("|".join(ALLOWED))
+#: Letters before and after an allow-listed string that are suppressed with it: as many as documented keys have.
+REACH = 40
 _DIGIT = re.compile(r"[0-9]")
 _BITS = [n * math.log2(n) if n else 0.0 for n in range(WINDOW + 1)]
 _LIKELY = r"(?i)(password|passwd|secret|token|api_?key)|[A-Za-z0-9+/_=\-]{20}"
@@ -101,26 +108,31 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def uncovered(a: int, b: int, base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """The parts of a span that no base span (sorted by start) covers."""
-    out = []
-    for x, y, _ in base:
-        if x < b and y > a:
+def uncovered(spans: list[tuple[int, int]], covers: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of spans (sorted, apart) that no cover (sorted by start) covers."""
+    out, i, reach = [], 0, 0
+    for a, b in spans:
+        while i < len(covers) and covers[i][0] <= a:
+            reach, i = max(reach, covers[i][1]), i + 1
+        a = max(a, reach)
+        while i < len(covers) and covers[i][0] < b:
+            x, y = covers[i]
             if x > a:
                 out.append((a, x))
-            a = y
-    return [*out, (a, b)] if a < b else out
+            reach, i = max(reach, y), i + 1
+            a = max(a, reach)
+        if a < b:
+            out.append((a, b))
+    return out
 
 
-def allowed(text: str, a: int, b: int) -> bool:
-    """Whether a span is a known example, part of a UUID, or of a path or address."""
-    span = text[a:b]
-    if any(x in span for x in ALLOWED) or len(set(span)) < 8:
-        return True
-    if any(m.start() < b - max(0, a - 36) and m.end() > a - max(0, a - 36) for m in _UUID.finditer(text[max(0, a - 36) : b + 36])):
-        return True
-    before = text[max(0, a - 200) : a]
-    return before[max(before.rfind(" "), before.rfind("\n")) + 1 :].startswith(("http://", "https://", "www."))
+def suppressed(text: str) -> list[tuple[int, int]]:
+    """UUIDs, addresses on the web, and what stands near an example in the same run of letters."""
+    out = [m.span() for m in _UUID.finditer(text)] + [m.span() for m in _ADDRESS.finditer(text)]
+    if _ALLOWED.search(text):
+        for run in CANDIDATE.finditer(text):
+            out += [(max(run.start(), m.start() - REACH), min(run.end(), m.end() + REACH)) for m in _ALLOWED.finditer(text, *run.span())]
+    return out
 
 
 def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -128,8 +140,9 @@ def spans_of(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[i
     if not text:
         return [], []
     base = base_spans(text)
-    parts = [p for a, b in entropy_spans(text) for p in uncovered(a, b, base)]
-    more = [(a, b, "entropy") for a, b in parts if _DIGIT.search(text, a, b) and not allowed(text, a, b)]
+    found = entropy_spans(text)
+    parts = uncovered(found, sorted([(a, b) for a, b, _ in base] + suppressed(text))) if found else []
+    more = [(a, b, "entropy") for a, b in parts if _DIGIT.search(text, a, b) and len(set(text[a:b])) >= 8]
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -142,7 +155,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in common.small_batches(batches, 2000):
+        for batch in (b.slice(i, j - i) for b in batches for i, j in common.chunks(b.column(1))):
             # The library's linear scan leaves few texts to the patterns.
             likely = pc.match_substring_regex(pc.fill_null(batch.column(1), ""), _LIKELY).to_pylist()
             found = [spans_of(t.as_py()) if x else ([], []) for t, x in zip(batch.column(1), likely, strict=True)]
