@@ -1,17 +1,21 @@
 """Token ids as compressed binary shards: Re-Pair grammars with random-access decoding.
 
 A shard holds a bounded run of documents in ascending order of their ids. Frequent pairs of
-neighbouring symbols are replaced by nonterminals, round after round; a round counts all pairs of
-the shard, takes the most frequent ones and replaces their occurrences from left to right. No pair
+neighbouring symbols are replaced by nonterminals, round after round, until no pair is frequent (or
+no symbol is free). A round takes the most frequent pairs and replaces their occurrences from left
+to right. The first counts all pairs of the shard; as counts of old pairs only fall, later ones count
+the pairs with a symbol of the round before, and those that were frequent and not taken. No pair
 crosses the end of a document. The file keeps the rules, the length of each rule's expansion and
-each document's place in the sequence, so one document can be read without the others.
+each document's place in the sequence, so one document, or a run of its ids, can be read without the
+others: stored lengths tell which symbols to expand, and only these are.
 
 File layout, little-endian: magic "RPR1"; seven u32: symbol width in bytes, first nonterminal,
 rules, rounds, documents, symbols, ids; then rules (pairs of symbols), expansion lengths (u32 per
 rule), the number of rules after each round (u32), symbols per document (u32), the symbols.
 
 Defined results: a null or empty text is the end id alone; null ids come first; repeated rows are
-kept, in the order of their texts; an empty table gives no rows.
+kept, in the order of their texts; of pairs equally frequent the smaller is taken; a very long text
+is a shard of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,66 +32,82 @@ from . import common
 from .tokens import encoder, vocabulary
 
 MAGIC = b"RPR1"
-ROUNDS, NEW, LEAST = 4, 4000, 8
+#: Pairs that a round replaces at most, and the least occurrences of a frequent one.
+NEW, LEAST = 4096, 8
 #: Ids of a shard; a longer document has a shard of its own.
 SHARD = 1 << 20
 
 
-def _round(seq, last, free, room, least, wide):
-    """The most frequent pairs of seq and seq with them replaced, or None if no pair is frequent."""
-    key = np.uint64 if wide else np.uint32
-    pairs = (seq[:-1].astype(key) << key(32 if wide else 16)) | seq[1:]
-    inner = ~last[:-1]
-    run = np.sort(pairs[inner])
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+
+
+def _counted(pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent pairs and their counts."""
+    run = np.sort(pairs)
     if not len(run):
-        return None
+        return run, np.empty(0, np.int64)
     edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
     count = np.diff(np.append(edge, len(run)))
-    best = np.flatnonzero(count >= least)
-    if not len(best) or room <= 0:
-        return None
-    if len(best) > room:
-        best = np.sort(best[np.argsort(-count[best], kind="stable")[:room]])
-    chosen = run[edge[best]]
-    # A rule is found by a hash of its pair; of rules with one hash the first is kept.
-    slot = lambda p: ((p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
-    chosen = chosen[np.sort(np.unique(slot(chosen), return_index=True)[1])]
-    table = np.zeros(1 << 20, np.int16)
-    table[slot(chosen)] = np.arange(len(chosen))
-    rule = table[slot(pairs)]
-    at = np.flatnonzero((chosen[rule] == pairs) & inner)
-    rule = rule[at].astype(np.int64)
-    # Of occurrences that overlap in a chain, the first, third, ... are replaced.
-    begins = np.concatenate([[True], np.diff(at) > 1])
-    place = np.arange(len(at))
-    take = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
-    at, rule = at[take], rule[take]
-    seq, last = seq.copy(), last.copy()
-    seq[at] = free + rule
-    last[at] = last[at + 1]
-    keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    rules = np.stack([chosen >> key(32 if wide else 16), chosen & key(0xFFFFFFFF if wide else 0xFFFF)], 1)
-    return rules, seq[keep], last[keep]
-
-
-def compress(flat: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, new: int = NEW, least: int = LEAST) -> bytes:
+    return run[edge[count >= least]], count[count >= least]
+
+
+def compress(flat: np.ndarray, bounds: np.ndarray, new: int = NEW, least: int = LEAST) -> bytes:
     """The file of a shard of documents flat[bounds[i] : bounds[i + 1]]."""
     free = int(flat.max()) + 1 if len(flat) else 0
     wide = free > 60_000
-    kind = np.uint32 if wide else np.uint16
+    kind, key, half = (np.uint32, np.uint64, 32) if wide else (np.uint16, np.uint32, 16)
     top = (1 << 32) - 1 if wide else 1 << 16
     first, seq, last = free, flat.astype(kind), np.zeros(len(flat), bool)
     last[bounds[1:][np.diff(bounds) > 0] - 1] = True
     full = np.diff(bounds) > 0
     rules, levels = [], []
-    for _ in range(rounds):
-        done = _round(seq, last, free, min(new, top - free), least, wide)
-        if done is None:
-            break
-        rules.append(done[0].astype(kind))
-        _, seq, last = done
-        free += len(done[0])
+    fresh, waiting, table = 0, np.empty(0, key), np.zeros(1 << 20, np.int16)
+    while len(seq) > 1 and free < top:
+        where = np.flatnonzero(~last[:-1])
+        late = where[(seq[where] >= fresh) | (seq[where + 1] >= fresh)] if levels else where
+        value = lambda at: (seq[at].astype(key) << key(half)) | seq[at + 1]  # noqa: B023, E731
+        pairs = value(late)
+        found, count = _counted(pairs, least)
+        if len(waiting):
+            # Pairs of old symbols that were left over, at most one of a slot at a time; they stand anywhere.
+            late, pairs = where, value(where)
+            old = waiting[np.isin(waiting, found, invert=True)]
+            slots, at = np.unique(_slot(old), return_index=True)
+            table[slots] = np.arange(len(at))
+            rule = table[_slot(pairs)]
+            n = np.bincount(rule[old[at][rule] == pairs], minlength=len(at)) if len(at) else np.empty(0, np.int64)
+            table[slots] = 0
+            waiting = np.delete(old, at)
+            found, count = np.concatenate([found, old[at][n >= least]]), np.concatenate([count, n[n >= least]])
+        if not len(found):
+            if not len(waiting):
+                break
+            continue
+        order = np.lexsort((found, -count))
+        # A rule is found by a hash of its pair; of pairs with one hash the most frequent is taken, the others wait.
+        take = np.sort(np.unique(_slot(found[order]), return_index=True)[1])[: min(new, top - free)]
+        chosen = found[order[take]]
+        waiting = np.concatenate([np.delete(found[order], take), waiting])
+        slots = _slot(chosen)
+        table[slots] = np.arange(len(chosen))
+        rule = table[_slot(pairs)]
+        own = np.flatnonzero(chosen[rule] == pairs)
+        at, rule = late[own], rule[own].astype(np.int64)
+        table[slots] = 0
+        # Of occurrences that overlap in a chain, the first, third, ... are replaced; the others lose a symbol to them.
+        begins = np.concatenate([[True], np.diff(at) > 1])
+        place = np.arange(len(at))
+        once = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+        at, rule = at[once], rule[once]
+        seq[at] = free + rule
+        last[at] = last[at + 1]
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        seq, last = seq[keep], last[keep]
+        rules.append(np.stack([chosen >> key(half), chosen & key((1 << half) - 1)], 1).astype(kind))
+        fresh = free
+        free += len(chosen)
         levels.append(free - first)
     pairs = np.concatenate(rules) if rules else np.empty((0, 2), kind)
     per_doc = np.zeros(len(bounds) - 1, np.uint32)
@@ -127,18 +147,38 @@ class Shard:
             return out
 
         self.rules, self.sizes = read(2 * rules, kind).reshape(-1, 2), read(rules, "<u4")
-        levels, self.per_doc, self.seq = read(rounds, "<u4"), read(docs, "<u4"), read(symbols, kind)
-        self.flat, self.starts, self.lengths = _expansions(first, self.rules, levels.astype(np.int64))
-        self.ends = np.cumsum(self.per_doc.astype(np.int64))
-
-    def document(self, i: int) -> np.ndarray:
+        self.levels, self.per_doc, self.seq = read(rounds, "<u4").astype(np.int64), read(docs, "<u4"), read(symbols, kind)
+        self.first, self.ends = first, np.cumsum(self.per_doc.astype(np.int64))
+
+    def size_of(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids that each symbol stands for."""
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        out[rule] = self.sizes[symbols[rule].astype(np.int64) - self.first]
+        return out
+
+    def document(self, i: int, start: int = 0, length: int | None = None) -> np.ndarray:
+        """The ids of document i, or of a run of them; symbols outside the run are passed over by their stored lengths."""
         part = self.seq[self.ends[i] - self.per_doc[i] : self.ends[i]]
-        return common.ragged(self.flat, self.starts[part], self.lengths[part])
+        ends = np.cumsum(self.size_of(part))
+        stop = int(ends[-1]) if length is None and len(ends) else min(start + (length or 0), int(ends[-1]) if len(ends) else 0)
+        a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
+        skip, part = start - (int(ends[a - 1]) if a else 0), part[a:b]
+        while (rule := part >= self.first).any():
+            both = self.rules[np.where(rule, part.astype(np.int64) - self.first, 0)]
+            part = np.stack([np.where(rule, both[:, 0], part), both[:, 1]], 1).ravel()[np.stack([np.ones(len(rule), bool), rule], 1).ravel()]
+            ends = np.cumsum(self.size_of(part))
+            a, b = np.searchsorted(ends, skip, "right"), np.searchsorted(ends, skip + stop - start, "left") + 1
+            skip, part = skip - (int(ends[a - 1]) if a else 0), part[a:b]
+        return part[skip : skip + stop - start].astype(np.uint32)
 
     def all(self) -> tuple[np.ndarray, np.ndarray]:
-        size = self.lengths[self.seq]
-        flat = common.ragged(self.flat, self.starts[self.seq], size)
-        return flat, np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], self.ends])]
+        """All ids, and where each document begins."""
+        flat, starts, lengths = _expansions(self.first, self.rules, self.levels)
+        if (lengths[self.first :] != self.sizes).any():
+            raise ValueError("a rule's stored length is wrong")
+        size = lengths[self.seq]
+        return common.ragged(flat, starts[self.seq], size), np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], self.ends])]
 
 
 def write_shards(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, path: str | None = None) -> DataFrame:
