@@ -173,21 +173,21 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     """doc_id and ids (binary, little-endian unsigned 32-bit)."""
     path = tokenizer or vocabulary()
     rows, kind = _rows(df, id_col, text_col)
-    return rows.mapInArrow(lambda batches: _encoded(batches, path), kind)
+    return common.map_arrow(rows, lambda batches: _encoded(batches, path), kind)
 
 
 def decode(df: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Adds `decoded` to doc_id and ids: the tokens, special ones included, with spaces between them."""
     path = tokenizer or vocabulary()
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, ids binary, decoded string")
+    return common.map_arrow(df.select("doc_id", "ids"), lambda batches: _decoded(batches, path), f"doc_id {kind}, ids binary, decoded string")
 
 
 def encode_and_decode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """decode(encode(df)) in one Python worker a task instead of two."""
     path = tokenizer or vocabulary()
     rows, kind = _rows(df, id_col, text_col)
-    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, path), path), f"{kind}, decoded string")
+    return common.map_arrow(rows, lambda batches: _decoded(_encoded(batches, path), path), f"{kind}, decoded string")
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:

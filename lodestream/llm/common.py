@@ -80,6 +80,21 @@ class Space:
         self.drop(*(t for i, (t, _) in list(self.held.items()) if i not in keep))
 
 
+BATCH_BYTES = 8_000_000
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, so that a Python worker's memory does not depend on the rows' size.
+
+    The bound is a setting of the session, read when a plan is built; a smaller one of the user stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name, "")
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def small_batches(batches, rows: int = 1000):
     """Arrow batches cut to at most `rows` rows, so that a task's working set stays bounded."""
     for b in batches:

@@ -457,19 +457,19 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pad: int = PAD, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes (before padding with spaces) and media (a FLAC stream)."""
     rows, kind = _rows(df, id_col, text_col)
-    return rows.mapInArrow(lambda batches: _encoded(batches, pad, block), kind)
+    return common.map_arrow(rows, lambda batches: _encoded(batches, pad, block), kind)
 
 
 def decode_media(df: DataFrame) -> DataFrame:
     """Adds pcm (the payload read back) and feature to doc_id, n_bytes and media."""
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(_decoded, f"doc_id {kind}, n_bytes long, media binary, pcm binary, feature string")
+    return common.map_arrow(df.select("doc_id", "n_bytes", "media"), _decoded, f"doc_id {kind}, n_bytes long, media binary, pcm binary, feature string")
 
 
 def store_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pad: int = PAD, block: int = BLOCK) -> DataFrame:
     """decode_media(encode_media(df)) in one Python worker a task instead of two."""
     rows, kind = _rows(df, id_col, text_col)
-    return rows.mapInArrow(lambda batches: _decoded(_encoded(batches, pad, block)), f"{kind}, pcm binary, feature string")
+    return common.map_arrow(rows, lambda batches: _decoded(_encoded(batches, pad, block)), f"{kind}, pcm binary, feature string")
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:

@@ -207,7 +207,7 @@ def scan(df: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, shape)], ["doc_id", "findings"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, findings array<struct<start:long,end:long,license:string,gain:double,edits:long>>")
+    return common.map_arrow(rows, run, f"doc_id {kind}, findings array<struct<start:long,end:long,license:string,gain:double,edits:long>>")
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:

@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(mark[:, 0].copy()), pa.array(mark[:, 1].copy()), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
+    return common.map_arrow(docs, run, f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def counts_of(shingles: np.ndarray) -> bytes:
@@ -165,7 +165,7 @@ def sets_of(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 blobs = [common.binary_array([f(s) for s in sets]) for f in (counts_of, lambda s: signer.keys(s).tobytes(), lambda s: s.tobytes())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([len(s) for s in sets], pa.int64()), *blobs], ["node", "n", "counts", "keys", "shingles"])
 
-    return docs.select("node", "text", "set_a", "set_b").mapInArrow(run, "node long, n long, counts binary, keys binary, shingles binary")
+    return common.map_arrow(docs.select("node", "text", "set_a", "set_b"), run, "node long, n long, counts binary, keys binary, shingles binary")
 
 
 def confirm(pairs: DataFrame, share: int, parts: int) -> DataFrame:
@@ -180,7 +180,7 @@ def confirm(pairs: DataFrame, share: int, parts: int) -> DataFrame:
                 hit.append(inner * parts >= (len(s) + len(t) - inner) * share)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return pairs.select("a", "b", "set_x", "set_y").mapInArrow(run, "a long, b long")
+    return common.map_arrow(pairs.select("a", "b", "set_x", "set_y"), run, "a long, b long")
 
 
 _GROUP = ["band", "key", "x", "y"]
@@ -337,8 +337,8 @@ def links_across(rest: DataFrame, prints: DataFrame, share: int, parts: int, spa
         full = df.join(prints.select("node", "n", "counts", "keys", *columns), "node")
         return full.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
-    likely = space.keep(dealt(members).mapInArrow(_likely(share, parts), _MEMBER), "likely")
-    return dealt(likely, "shingles").mapInArrow(_joined(share, parts), "a long, b long").distinct()
+    likely = space.keep(common.map_arrow(dealt(members), _likely(share, parts), _MEMBER), "likely")
+    return common.map_arrow(dealt(likely, "shingles"), _joined(share, parts), "a long, b long").distinct()
 
 
 def components(links: DataFrame, space: common.Space) -> DataFrame:

@@ -40,7 +40,7 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, task long, task_start long, doc_tokens long, ids binary")
+    return common.map_arrow(rows, run, f"doc_id {kind}, task long, task_start long, doc_tokens long, ids binary")
 
 
 def cut(tokens: DataFrame, length: int = 2048) -> DataFrame:
@@ -70,7 +70,7 @@ def cut(tokens: DataFrame, length: int = 2048) -> DataFrame:
                 )
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return common.map_arrow(placed, run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def pack(df: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -219,7 +219,7 @@ def write_shards(df: DataFrame, tokenizer: str | None = None, end_id: int = 1, i
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = ordered.mapInArrow(run, f"task long, task_start long, doc_ids array<{kind}>, n_ids long, file binary")
+    shards = common.map_arrow(ordered, run, f"task long, task_start long, doc_ids array<{kind}>, n_ids long, file binary")
     if path is None:
         return common.materialise(shards, "repair")
     shards.write.parquet(path)
@@ -243,7 +243,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     )
 
     kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    return common.map_arrow(placed, run, f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def op3_token_output(spark, sf_dir: str) -> DataFrame:

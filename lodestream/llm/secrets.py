@@ -164,7 +164,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, *text], ["doc_id", "n_assign", "n_access", "n_hex", "base", "spans"])
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
+    return common.map_arrow(rows, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base string, spans string")
 
 
 def digest(spans) -> str:

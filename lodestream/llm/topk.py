@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, asked: str, k: int = 20) -> DataFrame:
                 wide = pa.array([None if -(1 << 63) <= x < 1 << 63 else f"{'1' if x > 0 else '0'}{abs(x) if x > 0 else 10**WIDE - 1 + x:0{WIDE}d}" for x in found], pa.string()) if scores.dtype == object else pa.nulls(len(found), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(q_rows[a + row]), pa.array(q_ids[a + row]), pa.array(c_ids[col]), exact, wide], ["row", "query_id", "vec_id", "score", "wide"])
 
-    every = met.mapInArrow(run, "row long, query_id long, vec_id long, score long, wide string")
+    every = common.map_arrow(met, run, "row long, query_id long, vec_id long, score long, wide string")
     # Scores beyond 64 bits stand before (or behind) all that fit.
     sign = F.when(F.col("wide").isNull(), 0).when(F.col("wide").startswith("1"), 1).otherwise(-1)
     order = Window.partitionBy("row").orderBy(sign.desc(), F.desc("wide"), F.desc("score"), "vec_id")

@@ -180,12 +180,12 @@ def _one_of_copies(train: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for a, b in common.chunks(batch.column(2), 8_000_000):
+            for a, b in common.chunks(batch.column(2), PART_BYTES):
                 keys = [(int(s[0].view(np.int64)), int(common.mix64(s).min().view(np.int64))) if len(s) else (0, 0) for s in shingle_sets(batch.column(2).slice(a, b - a), 3)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1))], ["doc_id", "toxic", "text", "k1", "k2"])
 
     kind = train.schema["doc_id"].dataType.simpleString()
-    keyed = train.select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id {kind}, toxic int, text string, k1 long, k2 long")
+    keyed = common.map_arrow(train.select("doc_id", "toxic", "text"), run, f"doc_id {kind}, toxic int, text string, k1 long, k2 long")
     one = keyed.groupBy("toxic", "k1").agg(F.min(F.struct("doc_id", "text", "k2")).alias("row")).select("toxic", "row.*")
     return one.groupBy("toxic", "k2").agg(F.min(F.struct("doc_id", "text")).alias("row")).select("toxic", "row.text")
 
@@ -203,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     def count(batches):
         for batch in batches:
-            for a, b in common.chunks(batch.column(1), 8_000_000):
+            for a, b in common.chunks(batch.column(1), PART_BYTES):
                 for label in (0, 1):
                     seen: Counter = Counter()
                     for t, y in zip(batch.column(1).slice(a, b - a).to_pylist(), batch.column(0).slice(a, b - a).to_pylist(), strict=True):
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                             seen.update({f for w in set(_WORD.findall(t.lower())) for f in features(w)})
                     yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([label] * len(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], ["feature", "toxic", "n"])
 
-    counts = train.mapInArrow(count, "feature string, toxic int, n long")
+    counts = common.map_arrow(train, count, "feature string, toxic int, n long")
     bad, good, both = sizes[1], sizes[0], sizes[0] + sizes[1]
     side = lambda v: F.sum(F.when(F.col("toxic") == v, F.col("n")).otherwise(0)).cast("double")
     table = counts.groupBy("feature").agg(side(1).alias("y1"), side(0).alias("y0")).where("y1 >= 3")
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     hits.update(np.round(scores, 1).tolist())
             yield pa.RecordBatch.from_arrays([pa.array([0.0, *hits]), pa.array([tokens, *hits.values()], pa.int64())], ["value", "n"])
 
-    clean = train.mapInArrow(measure, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
+    clean = common.map_arrow(train, measure, "value double, n long").groupBy("value").agg(F.sum("n").alias("n")).collect()
     tokens = max(1, sum(r["n"] for r in clean if r["value"] == 0))
     hits = Counter({v: n for v, n in sorted((r["value"], r["n"]) for r in clean) if v > 0})  # in one order, as sums of floats depend on it
     hits[2 * TOP / 3] += 1  # one more than seen
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             seen = Counter((round(evidence(model, n, parts), 1), y) for y, (n, parts, _) in zip(batch.column(0).to_pylist(), found(batch.column(1), pieces), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.float64()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["x", "y", "n"])
 
-    seen = train.mapInArrow(weigh, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    seen = common.map_arrow(train, weigh, "x double, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
     model.slope, model.offset = logistic(sorted((math.log1p(r["x"]), r["y"], r["n"]) for r in seen))
     return model
 
@@ -267,7 +267,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, score double, segments array<struct<first:long,last:long,score:double,tail:double>>")
+    return common.map_arrow(rows, run, f"doc_id {kind}, score double, segments array<struct<first:long,last:long,score:double,tail:double>>")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -283,7 +283,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFr
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array([model.score(evidence(model, n, p)) < limit for n, p, _ in found(part.column(at), pieces)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_arrow(docs, run, docs.schema)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
