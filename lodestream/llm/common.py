@@ -89,7 +89,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     The bound is a setting of the session, read when a plan is built; a smaller one of the user stays.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = conf.get(name, "")
+    now = conf.get(name)
     if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)

@@ -77,7 +77,8 @@ def test_scores_by_brute_force(spark, model):
             hit = max([3.0 for x in w.lower().split() if x == "vile"] + [2.0 for x in w.lower().split() if x.startswith("filth") and len(x) > 5] or [0])
             line[i] = hit or -toxicity.DRIFT
         if len(words) > 1000:
-            assert r.score > 0.5 and len(r.segments) >= 1
+            # So many tokens hold a segment of 8 by chance.
+            assert r.score < 0.5 and r.segments == []
             continue
         if "　" in (texts[r.doc_id] or ""):
             continue
