@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.chunking import ChunkLines
+from ..functions.chunking import CHUNKS_SQL, chunks_of
 from ..sources import corpus
 
 
 def chunk_documents(spark, sf_dir) -> DataFrame:
-    """The table function's chunks of every document."""
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source_text"))
-    return docs.lateralJoin(ChunkLines(F.col("source_text").outer())).select((F.col("doc_id") * 100000 + F.col("ordinal")).alias("chunk_id"), "doc_id", "ordinal", "start_line", "end_line", F.length("text").alias("n_chars"))
+    """The chunks of every document."""
+    own = chunks_of(corpus.table(spark, sf_dir, "documents"), "doc_id")
+    return own.select("chunk_id", "doc_id", "ordinal", "start_line", "end_line", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def chunk_line_coverage(spark, sf_dir):
@@ -192,6 +192,7 @@ _VALUES = lambda rows, cols: "(VALUES " + ", ".join("(" + ", ".join("NULL" if v
 
 QUERIES = {f.__name__: f for f in (chunk_documents, chunk_line_coverage, chunk_ordinal_density, nonblank_line_stats, oversize_line_pieces, index_change_actions, index_progress_counts, index_prune_missing, index_upsert_snapshot, content_hash_dedup, sidecar_orphans, root_status_counts, root_overview, root_strict_lookup, root_conflicts, settings_drift, status_projection, corpus_counts, bounded_count, run_reconcile, latest_run, scan_path_filter)}
 ORACLES = {
+    "chunk_documents": f"WITH RECURSIVE {CHUNKS_SQL} SELECT chunk_id, file_id AS doc_id, ordinal, start_line, end_line, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256 FROM chunks",
     "chunk_line_coverage": _STATS + " SELECT doc_id, CAST(first_pos + 1 AS INTEGER) AS first_line, CAST(last_pos + 1 AS INTEGER) AS last_line FROM g",
     "chunk_ordinal_density": _STATS + " SELECT doc_id, TRUE AS dense FROM g",
     "nonblank_line_stats": _STATS + " SELECT doc_id, n_lines, CAST(first_pos AS INTEGER) AS first_pos, CAST(last_pos AS INTEGER) AS last_pos FROM g",

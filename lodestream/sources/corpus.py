@@ -25,6 +25,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def index(spark: SparkSession, sf_dir: str):
+    """The index of the documents' chunks, built once a session."""
+    from .store import index_of
+
+    return index_of(spark, f"{sf_dir}/documents.parquet", files(spark, sf_dir))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).chunks
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for the first chunk of each file."""
+    from ..functions.chunking import ORDINAL_BITS
+
+    return table(spark, sf_dir, "embeddings").select(F.shiftleft(F.col("vec_id").cast("long"), ORDINAL_BITS).alias("chunk_id"), "embedding")
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as session lines with a synthetic clock."""
     c = table(spark, sf_dir, "conversations")

@@ -54,7 +54,7 @@ def test_bm25_agrees_with_sqlite(spark):
     con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(texts, 1)))
     df = spark.createDataFrame(list(enumerate(texts, 1)), "chunk_id long, text string")
     for terms in (["ana"], ["banana"], ["banana", "bread"]):
-        match = " AND ".join(map(lexical.quote_term, terms))
+        match = " AND ".join('"' + t.replace('"', '""') + '"' for t in terms)
         want = dict(con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (match,)).fetchall())
         got = {r.chunk_id: r.bm25 for r in lexical.bm25(df, terms, True).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
