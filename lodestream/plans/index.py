@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.chunking import CHUNKS_SQL, chunks_of
-from ..sources import corpus
+from ..sources import corpus, files
 
 
 def chunk_documents(spark, sf_dir) -> DataFrame:
@@ -50,25 +50,6 @@ def snapshots(spark, sf_dir):
     return now, before
 
 
-def change_actions(now: DataFrame, before: DataFrame, most: int = 20 * 1024 * 1024, force: bool = False) -> DataFrame:
-    """What to do with every file; a content hash decides only where size or time differ."""
-    both = now.join(before, "file_id", "full_outer")
-    same = (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime"))
-    action = (
-        F.when(F.col("path").isNull(), "removed").when(F.col("size") > most, "skipped").when(F.col("status").isNull(), "index").when(F.lit(force) | (F.col("status") == "failed"), "index")
-        .when(same, "skip").when(F.col("hash") == F.col("old_hash"), "touch").otherwise("index")
-    )
-    return both.withColumn("action", action)
-
-
-def index_change_actions(spark, sf_dir):
-    return change_actions(*snapshots(spark, sf_dir)).select("file_id", "action")
-
-
-def index_progress_counts(spark, sf_dir):
-    return change_actions(*snapshots(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
-
-
 def index_prune_missing(spark, sf_dir):
     """Earlier files of a fully scanned root that the scan has not seen."""
     now, before = snapshots(spark, sf_dir)
@@ -163,42 +144,25 @@ def latest_run(spark, sf_dir):
 
 
 _PATHS = ["/r/a.md", "/r/.git/b.md", "/r/node_modules/c.txt", "/r/s/d.PDF", "/r/s/e.exe", "/r/.hidden/f.md", "/r/s/g.docx", "/r/dist/h.txt"]
-# Folders that a scan passes over, and supported endings.
-EXCLUDED = ("node_modules", "__pycache__", "venv", "dist", "build", "target", "vendor", "site-packages")
-SUPPORTED = (".md", ".txt", ".markdown", ".rst", ".csv", ".pdf", ".docx", ".pptx")
-
-
-def scan_paths(paths: DataFrame, root: str, recursive: bool = True) -> DataFrame:
-    rest = F.slice(F.split(F.substring(F.col("path"), len(root) + 2, 1 << 30), "/"), 1, 1 << 30)
-    folders = F.slice(rest, 1, F.size(rest) - 1)
-    bad = F.exists(folders, lambda s: s.startswith(".") | s.isin(*EXCLUDED))
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    keep = F.col("path").startswith(root + "/") & ~bad & ext.isin(*SUPPORTED)
-    return paths.where(keep if recursive else keep & (F.size(folders) == 0)).withColumn("ext", ext)
-
-
 def scan_path_filter(spark, sf_dir):
-    return scan_paths(spark.createDataFrame([(p,) for p in _PATHS], "path string"), "/r").select("path", "ext")
+    return files.keep(spark.createDataFrame([(p,) for p in _PATHS], "path string"), "/r").select("path", "ext")
 
 
 _D = "documents"
 _NOW = "now AS (SELECT doc_id AS file_id, n_chars AS size, doc_id * 1000 AS mtime, sha256(text) AS hash FROM documents)"
 _BEFORE = "bef AS (SELECT file_id, CASE WHEN file_id % 10 = 1 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN file_id % 10 = 3 THEN '-' ELSE hash END AS old_hash FROM now WHERE file_id % 10 <> 0)"
-_ACTION = f"WITH {_NOW}, a AS (SELECT file_id, CASE file_id % 10 WHEN 0 THEN 'index' WHEN 1 THEN 'index' WHEN 2 THEN 'touch' WHEN 3 THEN 'index' ELSE 'skip' END AS action FROM now)"
 _ST = "s AS (SELECT doc_id AS file_id, source, CASE doc_id % 20 WHEN 3 THEN 'failed' WHEN 4 THEN 'skipped' ELSE 'indexed' END AS status FROM documents)"
 _LINES = "l AS (SELECT doc_id, unnest(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10))) AS line, generate_subscripts(string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)), 1) - 1 AS pos FROM documents WHERE text <> '')"
 _STATS = f"WITH {_LINES}, g AS (SELECT doc_id, count(*) AS n_lines, min(pos) AS first_pos, max(pos) AS last_pos FROM l WHERE regexp_matches(line, '\\S') GROUP BY doc_id)"
 _VALUES = lambda rows, cols: "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows) + f") v({cols})"
 
-QUERIES = {f.__name__: f for f in (chunk_documents, chunk_line_coverage, chunk_ordinal_density, nonblank_line_stats, oversize_line_pieces, index_change_actions, index_progress_counts, index_prune_missing, index_upsert_snapshot, content_hash_dedup, sidecar_orphans, root_status_counts, root_overview, root_strict_lookup, root_conflicts, settings_drift, status_projection, corpus_counts, bounded_count, run_reconcile, latest_run, scan_path_filter)}
+QUERIES = {f.__name__: f for f in (chunk_documents, chunk_line_coverage, chunk_ordinal_density, nonblank_line_stats, oversize_line_pieces, index_prune_missing, index_upsert_snapshot, content_hash_dedup, sidecar_orphans, root_status_counts, root_overview, root_strict_lookup, root_conflicts, settings_drift, status_projection, corpus_counts, bounded_count, run_reconcile, latest_run, scan_path_filter)}
 ORACLES = {
     "chunk_documents": f"WITH RECURSIVE {CHUNKS_SQL} SELECT chunk_id, file_id AS doc_id, ordinal, start_line, end_line, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256 FROM chunks",
     "chunk_line_coverage": _STATS + " SELECT doc_id, CAST(first_pos + 1 AS INTEGER) AS first_line, CAST(last_pos + 1 AS INTEGER) AS last_line FROM g",
     "chunk_ordinal_density": _STATS + " SELECT doc_id, TRUE AS dense FROM g",
     "nonblank_line_stats": _STATS + " SELECT doc_id, n_lines, CAST(first_pos AS INTEGER) AS first_pos, CAST(last_pos AS INTEGER) AS last_pos FROM g",
     "oversize_line_pieces": f"WITH {_LINES} SELECT doc_id, CAST(pos + 1 AS INTEGER) AS line_no, CAST(ceil(length(line) / 2000.0) AS BIGINT) AS pieces FROM l WHERE length(line) > 2000",
-    "index_change_actions": _ACTION + " SELECT file_id, action FROM a",
-    "index_progress_counts": _ACTION + " SELECT action, count(*) AS n FROM a GROUP BY action",
     "index_prune_missing": "SELECT doc_id AS file_id FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 17 = 5",
     "index_upsert_snapshot": f"WITH {_NOW}, {_BEFORE} SELECT file_id, CASE WHEN file_id % 3 = 0 THEN hash ELSE old_hash END AS hash, CASE WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS version FROM now LEFT JOIN bef USING (file_id) WHERE bef.file_id IS NOT NULL OR file_id % 3 = 0",
     "content_hash_dedup": "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",

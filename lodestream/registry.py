@@ -1,9 +1,9 @@
 """All queries and their SQL."""
 
-from .plans import content, index, logs, search
+from .plans import build, content, index, logs, search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (search, index, logs, content):
+for _plan in (search, index, build, logs, content):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES
