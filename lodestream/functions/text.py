@@ -39,6 +39,13 @@ def pad_right(c: Column, columns: int) -> Column:
     return F.concat(c, F.repeat(F.lit(" "), F.greatest(F.lit(columns) - display_width(c), F.lit(0))))
 
 
+def pad_centre(c: Column, columns: int) -> Column:
+    """A label in the middle of so many columns, filled with spaces that do not break; a longer one stays."""
+    spare = F.greatest(F.lit(columns) - F.length(c), F.lit(0))
+    left = F.floor(spare / 2).cast("int")
+    return F.concat(F.repeat(F.lit("\u00a0"), left), c, F.repeat(F.lit("\u00a0"), spare - left))
+
+
 def basename(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.split(c, "[\\\\/]", -1), lambda x: x != ""), F.lit(-1)), F.lit("/"))
 
@@ -54,6 +61,17 @@ def version(c: Column) -> Column:
     return F.regexp_extract(c, "v?([0-9]+\\.[0-9]+(?:\\.[0-9]+)?)", 1)
 
 
+def tool_version(tool: Column, printed: Column) -> Column:
+    """The version out of what a tool prints; each tool has its own form, and a text of another form gives none."""
+    trimmed = F.regexp_replace(printed, "^\\s+|\\s+$", "")
+    second = F.coalesce(F.try_element_at(F.split(trimmed, "\\s+"), F.lit(2)), F.lit(""))
+    first_line = F.regexp_replace(F.element_at(F.split(printed, "\n"), 1), "^(?:Terraform|OpenTofu) ", "")
+    return (
+        F.when(tool == "node", F.regexp_replace(trimmed, "^v", "")).when(tool.isin("python", "rust"), second).when(tool == "go", F.regexp_extract(trimmed, "^go version go(\\S+)", 1))
+        .when(tool == "bun", trimmed).when(tool == "terraform", F.regexp_replace(F.trim(first_line), "^v", ""))
+    )
+
+
 def level(c: Column) -> Column:
     """The colour of the unrounded value."""
     return F.when(c >= DANGER, "danger").when(c >= WARN, "warn").otherwise("normal")
@@ -83,7 +101,7 @@ def file_stem(path: Column) -> Column:
 
 def int_or(c: Column, default: int, least: int = 1) -> Column:
     """The leading integer of a text if it is at least `least`, else the default."""
-    n = F.regexp_extract(c, "^\\s*([+-]?[0-9]{1,9})", 1).try_cast("long")
+    n = F.regexp_extract(c, "^\\s*([+-]?[0-9]+)", 1).try_cast("long")
     return F.when(n >= least, n).otherwise(F.lit(default).cast("long"))
 
 

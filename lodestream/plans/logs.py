@@ -109,14 +109,6 @@ def config_scan_classify(spark, sf_dir):
     return found.join(F.broadcast(known), "path", "left").select("path", F.coalesce("kind", F.lit("other")).alias("kind"))
 
 
-def config_rewrite(spark, sf_dir):
-    """The switch set to true, or removed with a parent that it leaves empty."""
-    r = spark.createDataFrame([(1, "set", '{"sandbox":{"enabled":false}}'), (2, "remove", '{"sandbox":{"enabled":false,"mode":"x"}}'), (3, "remove", '{"sandbox":{"enabled":true}}')], "id int, action string, raw string")
-    box = F.from_json(F.get_json_object("raw", "$.sandbox"), "map<string,string>")
-    new = F.when(F.col("action") == "set", F.map_concat(F.map_filter(box, lambda k, _: k != "enabled"), F.create_map(F.lit("enabled"), F.lit("true")))).otherwise(F.map_filter(box, lambda k, _: k != "enabled"))
-    return r.select("id", F.when(F.size(new) == 0, F.lit("{}")).otherwise(F.to_json(F.struct(new.alias("sandbox")))).alias("raw"))
-
-
 def findings_grouped(spark, sf_dir):
     """Findings by file and line; lines without a number are a group of their own."""
     l = corpus.table(spark, sf_dir, "lineitem").select(F.format_string("f%04d", "l_suppkey").alias("file"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("line"), F.col("l_returnflag").alias("source"), "l_orderkey")
@@ -194,7 +186,7 @@ def frontmatter_descriptions(spark, sf_dir):
 _S = "s AS (SELECT conv_id AS file, 1704067200 + conv_id * 3600 + turn * 60 AS ts, 'p' || (conv_id % 7) AS project, role AS type, text FROM conversations)"
 _Q = f"WITH {_S}, q AS (SELECT file, min(ts) AS start_ts, max(ts) AS end_ts FROM s WHERE ts >= 1704121200 AND ts < 1704207600 GROUP BY file HAVING bool_or(type = 'user') AND bool_or(type = 'assistant'))"
 _F = "f AS (SELECT event_id, 'tool' || (user_id % 7) AS tool_name, 'e' || (CAST(floor(value) AS BIGINT) % 5) AS pattern, strftime(ts, '%Y%m%d') AS dt FROM events WHERE event_type = 'error')"
-QUERIES = {f.__name__: f for f in (session_window_qualify, session_bounds, session_timeline_islands, session_jst_clock, session_file_prune, failure_groups_having, failure_top_tool, failure_by_period, log_partition_period, log_partition_delete, config_tristate, config_precedence, config_scan_classify, config_rewrite, findings_grouped, findings_failed_reviewers, pr_pick_top1, pr_json_parse, match_score, secret_paths, branch_issue_type, source_fallback, union_flatten, frontmatter_descriptions)}
+QUERIES = {f.__name__: f for f in (session_window_qualify, session_bounds, session_timeline_islands, session_jst_clock, session_file_prune, failure_groups_having, failure_top_tool, failure_by_period, log_partition_period, log_partition_delete, config_tristate, config_precedence, config_scan_classify, findings_grouped, findings_failed_reviewers, pr_pick_top1, pr_json_parse, match_score, secret_paths, branch_issue_type, source_fallback, union_flatten, frontmatter_descriptions)}
 ORACLES = {
     "session_window_qualify": _Q + " SELECT file FROM q",
     "session_bounds": _Q + " SELECT file, start_ts, end_ts FROM q",
@@ -212,7 +204,6 @@ SELECT project, min(a) AS start_ts, max(b) AS end_ts, count(*) AS sessions FROM
     "config_tristate": "SELECT * FROM (VALUES (1, 'missing'), (2, 'unset'), (3, 'true'), (4, 'false'), (5, 'error'), (6, 'error'), (7, 'error'), (8, 'error')) v(id, state)",
     "config_precedence": "SELECT * FROM (VALUES (1, 'false', 'managed'), (2, 'false', 'project'), (3, 'false', NULL)) v(site, effective, decided_by)",
     "config_scan_classify": "SELECT * FROM (VALUES ('/h/w/.claude', 'current'), ('/h/.claude', 'user'), ('/h/x/.claude', 'other')) v(path, kind)",
-    "config_rewrite": """SELECT * FROM (VALUES (1, '{"sandbox":{"enabled":"true"}}'), (2, '{"sandbox":{"mode":"x"}}'), (3, '{}')) v(id, raw)""",
     "findings_grouped": "SELECT 'f' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS file, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS line, count(*) AS n, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS sources FROM lineitem GROUP BY 1, 2",
     "findings_failed_reviewers": "SELECT 'b' AS reviewer",
     "pr_pick_top1": "WITH p AS (SELECT o_custkey AS branch, o_orderkey AS number, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_totalprice > 200000 THEN 'DRAFT' ELSE 'OPEN' END WHEN 'F' THEN 'MERGED' ELSE 'CLOSED' END AS state FROM orders) SELECT branch, number, state FROM p QUALIFY row_number() OVER (PARTITION BY branch ORDER BY list_position(['OPEN', 'DRAFT', 'MERGED', 'CLOSED'], state), number DESC) = 1",

@@ -1,9 +1,9 @@
 """All queries and their SQL."""
 
-from .plans import build, content, index, logs, search
+from .plans import audit, build, content, index, journals, logs, search, surface
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _plan in (search, index, build, logs, content):
+for _plan in (search, index, build, logs, journals, audit, content, surface):
     QUERIES |= _plan.QUERIES
     ORACLES |= _plan.ORACLES

@@ -50,5 +50,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return as_failures(table(spark, sf_dir, "events"))
+
+
+def as_failures(events: DataFrame) -> DataFrame:
+    """Failure records of an event table or stream."""
+    e = events.where("event_type = 'error'")
     return e.select("event_id", F.concat(F.lit("tool"), (F.col("user_id") % 7).cast("string")).alias("tool_name"), F.concat(F.lit("e"), (F.floor(F.col("value")) % 5).cast("string")).alias("pattern"), F.date_format("ts", "yyyyMMdd").alias("dt"))
