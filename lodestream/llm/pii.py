@@ -13,7 +13,10 @@ may overlap; the trees choose. Base spans always stay; added
 ones never overlap them. Spans are code points, end exclusive.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are
-kept; other columns of the input are ignored (or kept, by `redact`).
+kept; of added spans that overlap the likelier stays, then the earlier, then the first kind; a very
+long text takes time that grows with its length and little more with its matches; an empty table
+gives no rows; other columns are ignored (or kept, by `redact` and `find`, which replaces columns
+named base and spans).
 """
 
 from __future__ import annotations
@@ -55,21 +58,34 @@ MORE = {
 }
 _NONE = "array<struct<kind:int,start:int,end:int,text:string>>"
 CONTEXT = 32
-PRECISION, ROUNDS, RATE, EXAMPLES = 0.98, 24, 0.3, 4096
+PRECISION, ROUNDS, RATE, EXAMPLES = 0.98, 32, 0.3, 8192
+
+
+#: Matches that one step gathers; places are summed within steps, then over them.
+STEP = 128
 
 
 def located(text: Column, pattern: str, kind: int) -> Column:
     """All matches, leftmost and without overlap, as structs of kind, start, end, text."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out"))
 
-    def step(acc, x):
+    def one(acc, x):
         a = acc.at + F.length(x["gap"])
         b = a + F.length(x["hit"])
         return F.struct(b.alias("at"), F.concat(acc.out, F.array(F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), x["hit"].alias("text")))).alias("out"))
 
-    return F.aggregate(both, start, step, lambda acc: acc.out)
+    def gathered(own):
+        def some(acc, i):
+            start = F.struct(acc.at.alias("at"), F.array().cast(_NONE).alias("out"))
+            # The inner sum is bound to a name, as an expression would be computed again wherever it stands.
+            part = F.transform(F.array(F.aggregate(F.slice(own, i * STEP + 1, STEP), start, one)), lambda p: F.struct(p.at.alias("at"), F.concat(acc.out, F.array(p.out)).alias("out")))
+            return F.element_at(part, 1)
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_NONE}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), ((F.size(own) - 1) / STEP).cast("int")), start, some, lambda acc: F.flatten(acc.out))
+
+    return F.element_at(F.transform(F.array(both), gathered), 1)
 
 
 def digits(x: Column) -> Column:
@@ -114,36 +130,50 @@ def candidates(text: Column) -> Column:
 
 
 # Words near personal data of each kind, and near numbers that are none.
-NEAR = ("mail|contact|write|reach", "ip|host|server|address|login|peer", "card|visa|credit|debit|payment|master", "phone|tel|call|mobile|fax|dial|sms")
-AGAINST = "order|invoice|isbn|version|build|ref|serial|total|price|sku|batch|hash|time|page|item|score"
-FEATURES = ("kind", "length", "digits", "seps", "near", "against", "luhn", "opens", "groups", "zero", "gap", "dot")
+NEAR = (
+    "e?-?mails?|contact|write|reach|send|cc|schreib|ecri[rv]|escrib", "ip|hosts?|server|address|login|peer|ping|ssh|connect|gateway|dns|from|node",
+    "card|visa|credit|debit|payment|master|pay|amex|charged?|billing|karte|carte|tarjeta", "phone|tel|call|mobile|fax|dial|sms|ring|text|cell|contact|hotline|reach|telefon|anruf|appel|llam|number",
+)
+AGAINST = "order|invoice|isbn|version|build|ref|serial|total|price|sku|batch|hash|time|page|item|score|tracking|model|part|case|ticket|between|ratio|measured|license"
+FEATURES = ("kind", "length", "digits", "seps", "near", "against", "luhn", "opens", "groups", "zero", "gap", "dot", "bracket", "long_hex", "dates")
 
 
 def features(text: Column, s: Column) -> list[Column]:
+    """What the trees see of a candidate: its form, and how far before it the last words for and against it stand (CONTEXT: none)."""
     before = F.lower(text.substr(F.greatest(s.start - CONTEXT, F.lit(0)) + 1, F.least(s.start, F.lit(CONTEXT))))
-    near = F.lit(False)
+    far = lambda words: F.when(before.rlike(rf"\b(?:{words})"), F.length(F.regexp_extract(before, rf"^(?s:.*)\b(?:{words})((?s:.*))$", 1))).otherwise(CONTEXT)
+    near = F.lit(CONTEXT)
     for i, words in enumerate(NEAR):
-        near = near | ((s.kind == i) & before.rlike(rf"\b(?:{words})"))
+        near = F.when(s.kind == i, far(words)).otherwise(near)
     n = F.length(digits(s.text))
     return [
-        s.kind, F.length(s.text), n, F.length(F.regexp_replace(s.text, "[0-9A-Za-z]", "")), near.cast("int"), before.rlike(rf"\b(?:{AGAINST})").cast("int"),
+        s.kind, F.length(s.text), n, F.length(F.regexp_replace(s.text, "[0-9A-Za-z]", "")), near, far(AGAINST),
         F.when(n > 0, luhn(digits(s.text)).cast("int")).otherwise(0), s.text.startswith("(").cast("int"), F.size(F.split(s.text, "[^0-9A-Za-z]+")),
         digits(s.text).startswith("0").cast("int"), F.contains(s.text, F.lit("::")).cast("int"), s.text.rlike(r"(?i)\bdot\b").cast("int"),
+        s.text.rlike(r"(?i)[\[({<]\x20?at\x20?[\])}>]").cast("int"), s.text.rlike("[0-9A-Fa-f]{3}:").cast("int"), s.text.rlike(r"^(?:19|20)[0-9]{2}[\x20./-]").cast("int"),
     ]
 
 
+# What stands before a value in the generated sentences, by kind; before things that are none; and what tells nothing.
+_BEFORE = (
+    ("write to", "mail me:", "contact", "reach me under", "e-mail", "please send it to", "my email is", "cc", "schreib an"), ("server", "host", "ssh to", "the ip is", "login from", "connect to", "ping", "gateway", "dns"),
+    ("card", "visa", "paid with credit card", "charge", "my debit card", "Karte", "billing card", "amex"), ("please call", "fax", "tel.", "phone:", "mobile", "sms to", "my number is", "dial", "Telefon", "ring me on", "hotline", "call us at"),
+)
+_NEVER = ("order", "invoice no.", "isbn", "version", "build", "ref", "serial", "total", "price", "sku", "batch", "page", "score", "tracking", "case", "between", "ratio", "model", "part", "ticket")
+_PLAIN = ("as told", "noted", "and then", "we saw", "it said", "later")
+
+
 def _examples(spark: SparkSession, n: int) -> DataFrame:
     """Generated sentences with one candidate each and whether it is personal data."""
-    pick = lambda salt, *v: F.element_at(F.array(*map(F.lit, v)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(v))) + 1).cast("int"))
+    pick = lambda salt, *v: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in v)), (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(len(v))) + 1).cast("int"))
     part = lambda salt, low, high: (F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(high - low)) + low).cast("string")
     hexa = lambda salt: F.lower(F.hex(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(60000)) + 4096))
     kind = F.pmod(F.col("id"), F.lit(4)).cast("int")
     good = F.pmod(F.xxhash64("id", F.lit("good")), F.lit(2)) == 0
-    words = [w.split("|") for w in NEAR]
-    own = F.element_at(F.array(*(pick(f"own{i}", *w) for i, w in enumerate(words))), kind + 1)
-    # Words before the value fit it, tell nothing, or fit the contrary: 13, 5 and 2 of 20.
-    turn, other = F.pmod(F.xxhash64("id", F.lit("lead")), F.lit(20)), pick("bad", *AGAINST.split("|"))
-    lead = F.when(turn < 5, F.lit("as told")).when(good == (turn >= 7), own).otherwise(other)
+    own = F.element_at(F.array(*(pick(f"own{i}", *w) for i, w in enumerate(_BEFORE))), kind + 1)
+    # Before a true value mostly words that fit it, before others mostly words that don't; few of 400 fit the contrary.
+    turn = F.pmod(F.xxhash64("id", F.lit("lead")), F.lit(400))
+    lead = F.when(turn < 100, pick("plain", *_PLAIN)).when((turn < 102) != good, own).otherwise(pick("never", *_NEVER))
     sep = pick("sep", " ", "-", ".")
     phone = F.concat(F.when(good & (F.pmod(F.xxhash64("id", F.lit("open")), F.lit(2)) == 0), F.concat(F.lit("("), part("a", 200, 999), F.lit(") "))).otherwise(F.concat(part("a", 200, 999), sep)), part("b", 200, 999), sep, part("c", 1000, 9999))
     three = [part("p", 1000, 9999), part("q", 1000, 9999), part("r", 1000, 9999), part("s", 100, 999)]
@@ -152,24 +182,24 @@ def _examples(spark: SparkSession, n: int) -> DataFrame:
     last = F.when(good, check).otherwise((check + 1 + F.pmod(F.xxhash64("id", F.lit("off")), F.lit(9))) % 10)
     dot = pick("dot", ".", "/")
     card = F.concat(three[0], dot, three[1], dot, three[2], dot, three[3], last.cast("string"))
-    ip = F.when(good, F.concat_ws(":", *(hexa(f"x{i}") for i in range(8)))).otherwise(F.concat_ws(":", *(part(f"t{i}", 10, 60) for i in range(4))))
+    ip = F.when(good, F.concat_ws(":", *(hexa(f"x{i}") for i in range(8)))).when(F.pmod(F.xxhash64("id", F.lit("mac")), F.lit(2)) == 0, F.concat_ws(":", *(F.lpad(F.hex(F.pmod(F.xxhash64("id", F.lit(f"m{i}")), F.lit(256))), 2, "0") for i in range(6)))).otherwise(F.concat_ws(":", *(part(f"t{i}", 10, 60) for i in range(4))))
     # Every generator has its forms, and things that look like them: half of the e-mail and address examples, two thirds of the telephone ones.
     form = F.pmod(F.xxhash64("id", F.lit("form")), F.lit(6))
     bare = F.pmod(F.xxhash64("id", F.lit("bare")), F.lit(2)) == 0
     numbered = lambda word, salt: F.concat(word, F.when(bare, F.lit("")).otherwise(part(salt, 1, 99)))
     at = F.when(form % 2 == 0, pick("at", " [at] ", "(at)", " (at) ", " [AT] ", "{at}", " <at> ")).otherwise(pick("at2", " at ", " at ", " AT "))
     # Without a dot in words, only what stands before tells an address from prose.
-    said = F.concat(numbered(pick("user", "user", "jo", "anna.k", "m_weber"), "m"), at, numbered(pick("host", "host", "example", "mailbox"), "h"), pick("dot2", " [dot] ", "(dot)", "{dot}", " dot ", " DOT ", "."), pick("tld", "org", "net", "com"))
-    prose = F.concat(pick("verb", "look", "met", "arrived", "sold"), at, numbered(pick("place", "noon", "page", "section", "cafe"), "h"), F.lit("."), pick("next", "Then", "html", "We", "There"))
+    said = F.concat(numbered(pick("user", "user", "jo", "anna.k", "m_weber", "bob", "jane.doe", "k-smith", "info", "sales"), "m"), at, numbered(pick("host", "host", "example", "mailbox", "corp", "my-firm", "uni", "shop", "bank"), "h"), pick("dot2", " [dot] ", "(dot)", "{dot}", " dot ", " DOT ", "."), pick("tld", "org", "net", "com", "de", "fr", "io", "co", "edu"))
+    prose = F.concat(pick("verb", "look", "met", "arrived", "sold", "stay", "laugh", "work", "shout", "land"), at, numbered(pick("place", "noon", "page", "section", "cafe", "home", "dawn", "once", "least", "work"), "h"), F.lit("."), pick("next", "Then", "html", "We", "There", "It", "He", "And", "pdf"))
     mail = F.when(good, said).otherwise(prose)
     short = F.concat(pick("net", "2001:db8::", "fe80::", "2a02:26f7::", "fd00:12::"), F.concat_ws(":", *(F.when(F.pmod(F.xxhash64("id", F.lit("groups")), F.lit(4)) >= i, hexa(f"z{i}")) for i in range(4))))
     scope = F.concat(pick("s1", "add", "face", "a", "bed", "12", "3", "dead"), F.lit("::"), pick("s2", "bad", "cafe", "b", "30", "4", "fade"))
     ip = F.when(form % 2 == 0, ip).otherwise(F.when(good, short).otherwise(scope))
-    two = F.when(good, F.concat(F.lit("0"), part("a2", 20, 9999), pick("sep2", " ", "/", "-"), part("b2", 100000, 99999999))).otherwise(F.concat(part("a3", 10, 2999), pick("sep2", " ", "/", "-"), part("b3", 10000, 99999999)))
-    pairs = F.concat(F.when(good, F.concat(F.lit("0"), part("w", 1, 10))).otherwise(part("w2", 10, 100)), *(x for i in range(3, 7) for x in (pick("sep3", " ", "-"), part(f"w{i}", 10, 100))))
+    two = F.when(good, F.concat(F.lit("0"), part("a2", 20, 9999), pick("sep2", " ", "/", "-"), part("b2", 100000, 99999999))).otherwise(F.concat(pick("nought", "", "0"), part("a3", 10, 2999), pick("sep2", " ", "/", "-"), part("b3", 10000, 99999999)))
+    pairs = F.concat(F.when(good, F.concat(F.lit("0"), part("w", 1, 10))).otherwise(pick("nought2", part("w2", 10, 100), F.concat(F.lit("0"), part("w3", 1, 10)))), *(x for i in range(3, 7) for x in (pick("sep3", " ", "-"), part(f"w{i}", 10, 100))))
     phone = F.when(form < 2, phone).when(form < 4, two).otherwise(pairs)
     value = F.element_at(F.array(mail, ip, card, phone), kind + 1)
-    return spark.range(n).select("id", kind.alias("k"), good.cast("int").alias("y"), F.concat(F.lit("noted "), lead, F.lit(" "), value, F.lit(" today")).alias("text"))
+    return spark.range(n).select("id", kind.alias("k"), good.cast("int").alias("y"), F.concat(F.lit("well "), lead, F.lit(" "), value, pick("after", " today", "", ".", ", thanks", "\nend")).alias("text"))
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple]:
@@ -262,9 +292,10 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     likely = F.lit(False)
     for pattern in (p for k in KINDS for _, p in MORE[k]):
         likely = likely | text.rlike(pattern)
-    own = df.withColumn("_base", base_spans(text))
-    more = F.when(likely, added_spans(text, F.col("_base"), model)).otherwise(F.array().cast(_NONE[:-2] + ",p:double>>"))
-    return own.withColumn("_more", more).withColumn("base", bare(F.col("_base"))).withColumn("spans", F.array_sort(F.concat("base", bare(F.col("_more"))))).drop("_base", "_more")
+    first, second = (next(n for i in range(len(df.columns) + 1) if (n := f"_{name}{i}") not in df.columns) for name in ("pii_base", "pii_more"))
+    own = df.withColumn(first, base_spans(text))
+    more = F.when(likely, added_spans(text, F.col(first), model)).otherwise(F.array().cast(_NONE[:-2] + ",p:double>>"))
+    return own.withColumn(second, more).withColumn("spans", F.array_sort(F.concat(bare(F.col(first)), bare(F.col(second))))).withColumn("base", bare(F.col(first))).drop(first, second)
 
 
 def listed(spans: Column) -> Column:
