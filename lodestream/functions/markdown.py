@@ -1,10 +1,12 @@
-"""Markdown parts of messages: fenced code first, then tables, the rest plain; pure Python cores and table functions."""
+"""Markdown parts of messages: fenced code first, then tables, the rest plain; a pure core and an Arrow map."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql.functions import udtf
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})(.*)$")
 _SEPARATOR = re.compile(r"^:?-+:?$")
@@ -23,13 +25,13 @@ def has_pipe(row: str) -> bool:
 
 def table_at(lines: list[str], i: int) -> int | None:
     """The line after the table that begins at line i."""
-    if i + 1 >= len(lines) or any(re.match(r" {4}|\t", x) for x in lines[i : i + 2]) or not has_pipe(lines[i]):
+    if i + 1 >= len(lines) or re.match(r" {4}|\t", lines[i]) or not has_pipe(lines[i]):
         return None
     head, mark = split_row(lines[i]), split_row(lines[i + 1])
     if len(head) != len(mark) or not all(_SEPARATOR.match(c) for c in mark):
         return None
     j = i + 2
-    while j < len(lines) and lines[j].strip() and has_pipe(lines[j]):
+    while j < len(lines) and lines[j].strip() and "|" in lines[j]:
         j += 1
     return j
 
@@ -79,7 +81,15 @@ def split_message(text: str | None) -> list[tuple[int, str, str]]:
     return [(n, k, t) for n, (k, t) in enumerate(parts)]
 
 
-@udtf(returnType="ord: int, kind: string, part: string")
-class SplitMessage:
-    def eval(self, text: str):
-        yield from split_message(text)
+def parts_of(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, ord, kind and part of every message's parts, worked on in Arrow batches."""
+
+    def run(batches):
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = split_message(body.as_py())
+                if found:
+                    ord_, kind, part = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), pa.array(ord_, pa.int32()), pa.array(kind, pa.string()), pa.array(part, pa.string())], [key, "ord", "kind", "part"])
+
+    return rows.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} long, ord int, kind string, part string")

@@ -57,10 +57,6 @@ def model_label(c: Column) -> Column:
     return c
 
 
-def version(c: Column) -> Column:
-    return F.regexp_extract(c, "v?([0-9]+\\.[0-9]+(?:\\.[0-9]+)?)", 1)
-
-
 def tool_version(tool: Column, printed: Column) -> Column:
     """The version out of what a tool prints; each tool has its own form, and a text of another form gives none."""
     trimmed = F.regexp_replace(printed, "^\\s+|\\s+$", "")
@@ -72,6 +68,26 @@ def tool_version(tool: Column, printed: Column) -> Column:
     )
 
 
+# Files, folders (with a slash) and endings that show a kind of project, and those that rule it out.
+PROJECTS = {
+    "node": (("package.json", ".node-version", ".nvmrc", "node_modules/"), ("js", "mjs", "cjs", "ts", "mts", "cts"), ("bunfig.toml", "bun.lock", "bun.lockb", "deno.json", "deno.jsonc", "deno.lock", "esy.lock/")),
+    "python": (("requirements.txt", ".python-version", "pyproject.toml", "Pipfile", "tox.ini", "setup.py", "__init__.py"), ("py", "ipynb"), ()),
+    "rust": (("Cargo.toml",), ("rs",), ()),
+    "go": (("go.mod", "go.sum", "go.work", "glide.yaml", "Gopkg.yml", "Gopkg.lock", ".go-version", "Godeps/"), ("go",), ()),
+    "bun": (("bun.lock", "bun.lockb", "bunfig.toml"), (), ()),
+    "terraform": ((".terraform/",), ("tf", "tofu", "tfplan", "tfstate"), ()),
+}
+
+
+def project(kind: str, entries: Column, virtual_env: Column) -> Column:
+    """Whether a folder's entries (folders end with a slash) show that kind; for Python a set variable does, too."""
+    names, ends, never = PROJECTS[kind]
+    named = lambda own: F.arrays_overlap(entries, F.array(*map(F.lit, own))) if own else F.lit(False)
+    ended = F.exists(entries, lambda e: e.rlike(rf"\.(?:{'|'.join(ends)})$")) if ends else F.lit(False)
+    found = (named(names) | ended) & ~named(never)
+    return found | virtual_env.isNotNull() if kind == "python" else found
+
+
 def level(c: Column) -> Column:
     """The colour of the unrounded value."""
     return F.when(c >= DANGER, "danger").when(c >= WARN, "warn").otherwise("normal")

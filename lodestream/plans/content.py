@@ -33,10 +33,6 @@ def page_size_guard(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", text.size_guard(F.col("html"), 5000).alias("guard"))
 
 
-def robots_status_gate(spark, sf_dir):
-    return _values(spark, "status", [200, 301, 401, 403, 404, 429, 500, 503], "int").select("status", text.robots_gate(F.col("status")).alias("gate"))
-
-
 def page_main_content(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", html.main_content("html").alias("markdown"))
 
@@ -50,12 +46,11 @@ _ROBOTS = "# whole line\nUser-agent: *\nDisallow: /private\n\nUser-agent: bot\nD
 
 @F.pandas_udf(BooleanType())
 def _allowed(rules, agent, url):
-    out = []
-    for r, a, u in zip(rules, agent, url, strict=True):
-        p = robotparser.RobotFileParser()
-        p.parse([x for x in r.splitlines() if not x.strip().startswith("#")])
-        out.append(p.can_fetch(a, u))
-    return rules.__class__(out)
+    parsers = {}
+    for r in rules.unique():
+        parsers[r] = robotparser.RobotFileParser()
+        parsers[r].parse([x for x in r.splitlines() if not x.strip().startswith("#")])
+    return rules.__class__([parsers[r].can_fetch(a, u) for r, a, u in zip(rules, agent, url, strict=True)])
 
 
 def robots_rules(spark, sf_dir):
@@ -63,14 +58,6 @@ def robots_rules(spark, sf_dir):
     return r.select("id", _allowed("rules", "agent", "url").alias("allowed"))
 
 
-def candidate_cascade(spark, sf_dir):
-    """Candidates that answer, ranked (input order without a rank); the first verified of three wins, the others are listed."""
-    c = spark.createDataFrame([("a", 1, False, None), ("b", 2, True, 2), ("c", 3, True, 1), ("d", 4, True, 3), ("e", 5, True, 4)], "url string, pos int, answers boolean, ranked int")
-    top = c.where("answers").withColumn("r", F.row_number().over(Window.orderBy(F.coalesce("ranked", "pos"), "pos"))).where("r <= 3")
-    win = top.where("url <> 'c'").agg(F.min_by("url", "r").alias("winner"))
-    return c.crossJoin(F.broadcast(win)).where("url <> winner").select("winner", F.col("url").alias("other"))
-
-
 _WORDS = ["abc", "日本語", "é", "é", "ｱｲ", "a日", "", "😀x"]
 
 
@@ -99,10 +86,6 @@ def model_label(spark, sf_dir):
     return _values(spark, "id", ["vendor/tiny-4-1-20250101", "big-3-5[1m]", "plain"]).select("id", text.model_label(F.col("id")).alias("label"))
 
 
-def version_parse(spark, sf_dir):
-    return _values(spark, "out", ["v20.11.1", "Python 3.13.2", "rustc 1.80.0 (abc)", "go version go1.22.1 linux/amd64", "Terraform v1.9.0\non linux", "none"]).select("out", text.version(F.col("out")).alias("version"))
-
-
 _GIT = [(1, 128, ""), (2, 0, "# branch.head main\n# branch.upstream o/main\n# branch.ab +0 -0"), (3, 0, "# branch.head dev\n# branch.upstream o/dev\n# branch.ab +2 -0"), (4, 0, "# branch.head x\n1 .M N... a.py"), (5, 0, "# branch.head new")]
 
 
@@ -126,42 +109,17 @@ def rate_limit_summary(spark, sf_dir):
 _DIRS = [(1, ["package.json", "src"]), (2, ["pyproject.toml"]), (3, ["Cargo.toml", "x.py"]), (4, ["main.tf"]), (5, ["package.json", "bun.lock"]), (6, ["readme"])]
 
 
-def project_detect(spark, sf_dir):
-    d = spark.createDataFrame(_DIRS, "id int, entries array<string>")
-    has = lambda *n: F.arrays_overlap("entries", F.array(*map(F.lit, n)))
-    ends = lambda s: F.exists("entries", lambda e: e.endswith(s))
-    return d.select("id", (has("package.json", "node_modules") & ~has("bun.lock", "bun.lockb")).alias("node"), (has("pyproject.toml", "requirements.txt", "setup.py", ".venv") | ends(".py")).alias("python"), has("Cargo.toml").alias("rust"), ends(".tf").alias("terraform"))
-
-
 def lookup_labels(spark, sf_dir):
     labels = spark.createDataFrame([("clean", "green"), ("uncommitted", "yellow"), ("unpushed", "cyan"), ("no-git", "gray")], "status string, color string")
     return git_status_class(spark, sf_dir).join(F.broadcast(labels), "status", "left").select("id", "color")
 
 
-def review_flags(spark, sf_dir):
-    dim = spark.createDataFrame([(1, "lint"), (2, "test"), (3, "docs")], "ord int, label string")
-    return dim.select("ord", "label", F.array_contains(F.array(F.lit("test"), F.lit("lint")), F.col("label")).alias("done"))
-
-
 def split_message_parts(spark, sf_dir):
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.lateralJoin(markdown.SplitMessage(F.col("text").outer())).select("doc_id", "ord", "kind", F.length("part").alias("n_chars"))
-
-
-_DIFF = [(1, "@@ -1,2 +10,3 @@"), (2, " a"), (3, "-b"), (4, "+c"), (5, " d"), (6, "@@ -9 +30 @@"), (7, "+e")]
-
-
-def diff_line_numbers(spark, sf_dir):
-    """New-side line numbers: the hunk's start plus counted lines; deletions have none."""
-    d = spark.createDataFrame(_DIFF, "n int, line string")
-    hunk = F.sum(F.col("line").startswith("@@").cast("int")).over(Window.orderBy("n"))
-    own = d.withColumn("hunk", hunk).withColumn("start", F.regexp_extract("line", r"^@@ -\S+ \+([0-9]+)", 1).try_cast("int")).withColumn("counts", (~F.col("line").rlike("^(-|@@)")).cast("int"))
-    w = Window.partitionBy("hunk").orderBy("n")
-    return own.withColumn("at", F.first("start").over(w) + F.sum("counts").over(w) - 1).where("counts = 1").select("n", F.col("at").alias("line_no"))
-
-
-def int_parse_default(spark, sf_dir):
-    return _values(spark, "x", ["5", "12abc", "0", "-3", "x", ""]).select("x", text.int_or(F.col("x"), 10).alias("value"))
+    """The parts of each document, some of which get a table and a code block."""
+    d = corpus.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    more = F.when(F.col("doc_id") % 3 == 0, F.lit("\n\n| a | b |\n| --- | :-: |\n| 1 | \\| |\n\n```py\nx = 1\n```\n")).otherwise("")
+    flat = F.translate("text", "|`~\n\r", "     ")
+    return markdown.parts_of(d.select("doc_id", F.concat(flat, more).alias("text")), "doc_id").select("doc_id", "ord", "kind", F.length("part").alias("n_chars"))
 
 
 def decode_bytes(spark, sf_dir):
@@ -204,9 +162,6 @@ def _fold(handler, rows):
     return lambda spark, sf_dir: state.fold(spark.createDataFrame(rows, "key string, ts long, event string"), handler)
 
 
-refresh_schedule = _fold(state.refresh, [("s", 0, "main"), ("s", 100, "main"), ("s", 300, "main:error"), ("s", 330, "main"), ("s", 361, "main"), ("s", 370, "dev")])
-ttl_expiry = _fold(state.expire, [("b", 0, "press"), ("b", 2, "tick"), ("b", 4, "tick"), ("b", 5, "press"), ("b", 7, "press"), ("b", 9, "tick")])
-reload_state_machine = _fold(state.reload, [("r", 0, "start"), ("r", 1, "start"), ("r", 2, "ok"), ("r", 3, "tick"), ("r", 4, "start"), ("r", 5, "error")])
 
 
 def fold_groups(spark, sf_dir):
@@ -219,35 +174,25 @@ def turn_visibility(spark, sf_dir):
     return t.select("tool", "open", (F.array_contains("shown", F.col("tool")) & F.col("open")).alias("visible"))
 
 
-def override_state(spark, sf_dir):
-    o = spark.createDataFrame([("a", None, True), ("b", False, True), ("c", True, False)], "key string, manual boolean, recent boolean")
-    return o.select("key", F.coalesce("manual", "recent").alias("is_open"))
-
-
-def ordered_distinct(spark, sf_dir):
-    o = spark.createDataFrame([(1, ["b", "a"], "b"), (2, ["b"], "c")], "id int, held array<string>, item string")
-    return o.select("id", F.array_join(F.array_distinct(F.concat("held", F.array("item"))), ",").alias("held"))
-
-
 def _rows(cols, *rows):
     lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({cols})"
 
 
 _E = "e AS (SELECT event_id, user_id, CAST(epoch(ts) AS BIGINT) AS ts, event_type, value FROM events)"
-_NAMES = """page_robots_url page_html_sniff page_size_guard robots_status_gate page_main_content page_full_markdown robots_rules candidate_cascade display_width first_line nonempty_lines path_basename name_from_path
-model_label version_parse git_status_class level_color rate_limit_summary project_detect lookup_labels review_flags split_message_parts diff_line_numbers int_parse_default decode_bytes latest_value_state ring_buffer_last2
-dedup_first_seen turn_assignment key_change_detection refresh_schedule ttl_expiry reload_state_machine fold_groups turn_visibility override_state ordered_distinct"""
+_NAMES = """page_robots_url page_html_sniff page_size_guard page_main_content page_full_markdown robots_rules display_width first_line nonempty_lines path_basename name_from_path
+model_label git_status_class level_color rate_limit_summary lookup_labels split_message_parts decode_bytes latest_value_state ring_buffer_last2
+dedup_first_seen turn_assignment key_change_detection fold_groups turn_visibility"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLES = {
+    "split_message_parts": """WITH d AS (SELECT doc_id, regexp_replace(translate(text, '|`~' || chr(10) || chr(13), '     '), '^\\s+$', '') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 0 AS ord, 'plain' AS kind, CAST(length(t) AS INTEGER) AS n_chars FROM d WHERE t <> '' UNION ALL
+SELECT doc_id, CASE WHEN t <> '' THEN 1 ELSE 0 END + k, (['table', 'code'])[k + 1], ([34, 5])[k + 1] FROM d, range(2) r(k) WHERE doc_id % 3 = 0""",
     "first_line": _rows("t, line", ("# Title\nx", "Title"), ("\n  - item *one*\n", "item one"), ("plain `code`", "plain code"), ("", ""), ("1. first", "first")),
-    "version_parse": _rows("out, version", ("v20.11.1", "20.11.1"), ("Python 3.13.2", "3.13.2"), ("rustc 1.80.0 (abc)", "1.80.0"), ("go version go1.22.1 linux/amd64", "1.22.1"), ("Terraform v1.9.0\non linux", "1.9.0"), ("none", "")),
     "page_robots_url": "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/robots.txt' AS robots_url FROM pages",
     "page_html_sniff": "SELECT page_id, contains(substr(html, 1, 100), '<html') AS is_html FROM pages",
     "page_size_guard": "SELECT page_id, CASE WHEN length(html) > 5000 THEN 'error' ELSE 'ok' END AS guard FROM pages",
-    "robots_status_gate": "SELECT s AS status, CASE WHEN s IN (401, 403) THEN 'deny' WHEN s BETWEEN 400 AND 499 THEN 'allow' ELSE 'parse' END AS gate FROM (VALUES (200), (301), (401), (403), (404), (429), (500), (503)) v(s)",
     "robots_rules": _rows("id, allowed", (1, True), (2, False), (3, False)),
-    "candidate_cascade": _rows("winner, other", ("b", "a"), ("b", "c"), ("b", "d"), ("b", "e")),
     "display_width": _rows("label, width, padded", *((w, n, len(w) + 10 - n) for w, n in zip(_WORDS, (3, 6, 1, 1, 2, 3, 0, 3), strict=True))),
     "nonempty_lines": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS n FROM documents",
     "path_basename": "SELECT doc_id AS file_id, doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.txt' WHEN 'de' THEN '.pdf' ELSE '.docx' END AS name FROM documents",
@@ -256,11 +201,7 @@ ORACLES = {
     "git_status_class": _rows("id, status, branch", (1, "no-git", None), (2, "clean", "main"), (3, "unpushed", "dev"), (4, "uncommitted", "x"), (5, "unpushed", "new")),
     "level_color": f"WITH {_E} SELECT event_id, CAST(floor(value + 0.5) AS BIGINT) AS shown, CASE WHEN value >= 80 THEN 'danger' WHEN value >= 50 THEN 'warn' ELSE 'normal' END AS color FROM e",
     "rate_limit_summary": _rows("ord, shown", (1, "5h:--"), (2, "7d:50%")),
-    "project_detect": _rows("id, node, python, rust, terraform", (1, True, False, False, False), (2, False, True, False, False), (3, False, True, True, False), (4, False, False, False, True), (5, False, False, False, False), (6, False, False, False, False)),
     "lookup_labels": _rows("id, color", (1, "gray"), (2, "green"), (3, "cyan"), (4, "yellow"), (5, "cyan")),
-    "review_flags": _rows("ord, label, done", (1, "lint", True), (2, "test", True), (3, "docs", False)),
-    "diff_line_numbers": "SELECT n, CAST(a AS BIGINT) AS line_no FROM (VALUES (2, 10), (4, 11), (5, 12), (7, 30)) v(n, a)",
-    "int_parse_default": "SELECT x, CAST(v AS BIGINT) AS value FROM (VALUES ('5', 5), ('12abc', 12), ('0', 10), ('-3', 10), ('x', 10), ('', 10)) t(x, v)",
     "decode_bytes": _rows("id, text", (1, "é"), (2, "ab"), (3, "検索"), (4, "")),
     "latest_value_state": f"WITH {_E} SELECT user_id, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "ring_buffer_last2": f"WITH {_E}, r AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS back, event_id FROM e) SELECT * FROM r WHERE back <= 2",
@@ -269,6 +210,4 @@ ORACLES = {
     "key_change_detection": f"WITH {_E}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM e) SELECT user_id, count(*) AS changes FROM l WHERE b IS NULL OR b <> event_type GROUP BY user_id",
     "fold_groups": "SELECT conv_id, CAST(sum(n) AS BIGINT) AS lines, sum(n) > 1 AS foldable FROM (SELECT conv_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS n FROM conversations) GROUP BY conv_id",
     "turn_visibility": _rows("tool, open, visible", ("t1", True, True), ("t9", True, False), ("t1", False, False)),
-    "override_state": _rows("key, is_open", ("a", True), ("b", False), ("c", True)),
-    "ordered_distinct": _rows("id, held", (1, "b,a"), (2, "b,c")),
 }

@@ -100,27 +100,6 @@ def root_strict_lookup(spark, sf_dir):
     return asked.join(roots, "source", "left").select("source", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-def root_conflicts(spark, sf_dir):
-    """Roots that equal, hold or lie within one another: ancestors are an equi-join, not a comparison of all pairs."""
-    roots = spark.createDataFrame([("/a",), ("/a/b",), ("/ab",), ("/c/d/e",), ("/c/d",), ("/x",)], "root string")
-    part = F.split("root", "/")
-    above = roots.select("root", F.explode(F.transform(F.sequence(F.lit(2), F.size(part)), lambda n: F.array_join(F.slice(part, 1, n), "/"))).alias("outer_root")).where("root <> outer_root")
-    return above.join(roots.withColumnRenamed("root", "outer_root"), "outer_root").select(F.col("root").alias("inner_root"), "outer_root")
-
-
-def settings_drift(spark, sf_dir):
-    expected = spark.createDataFrame([("model", "m2"), ("dim", "64"), ("chunk", "800"), ("schema", "1")], "key string, expected string")
-    stored = spark.createDataFrame([("model", "m1"), ("dim", "64"), ("chunk", None)], "key string, value string")
-    return expected.join(stored, "key", "left").where("value IS NOT NULL AND value <> expected").select("key", "value", "expected")
-
-
-def status_projection(spark, sf_dir):
-    stored = spark.createDataFrame([(1, "completed", 10, 3), (2, "interrupted", 5, 0)], "run_id int, state string, scanned int, failed int")
-    live = spark.createDataFrame([(2, 7, None)], "run_id int, scanned int, failed int")
-    j = stored.alias("s").join(live.alias("l"), "run_id", "left")
-    return j.select("run_id", F.when(F.col("l.scanned").isNotNull(), "running").otherwise(F.col("s.state")).alias("state"), F.coalesce("l.scanned", "s.scanned").alias("scanned"), F.coalesce("l.failed", "s.failed").alias("failed"))
-
-
 def corpus_counts(spark, sf_dir):
     d, e = (corpus.table(spark, sf_dir, t).agg(F.count("*").alias(n)) for t, n in (("documents", "files"), ("embeddings", "vectors")))
     return d.crossJoin(e)
@@ -133,21 +112,7 @@ def bounded_count(spark, sf_dir):
 _RUNS = [(1, "full", "completed"), (2, "incremental", "running"), (3, "incremental", "preparing_model"), (4, "full", "failed")]
 
 
-def run_reconcile(spark, sf_dir):
-    r = spark.createDataFrame(_RUNS, "run_id int, mode string, state string")
-    return r.select("run_id", F.when(F.col("state").isin("running", "preparing_model"), "interrupted").otherwise(F.col("state")).alias("state"))
-
-
-def latest_run(spark, sf_dir):
-    r = spark.createDataFrame(_RUNS, "run_id int, mode string, state string")
-    return r.agg(F.max_by("mode", "run_id").alias("mode"), F.max_by("state", "run_id").alias("state"))
-
-
 _PATHS = ["/r/a.md", "/r/.git/b.md", "/r/node_modules/c.txt", "/r/s/d.PDF", "/r/s/e.exe", "/r/.hidden/f.md", "/r/s/g.docx", "/r/dist/h.txt"]
-def scan_path_filter(spark, sf_dir):
-    return files.keep(spark.createDataFrame([(p,) for p in _PATHS], "path string"), "/r").select("path", "ext")
-
-
 _D = "documents"
 _NOW = "now AS (SELECT doc_id AS file_id, n_chars AS size, doc_id * 1000 AS mtime, sha256(text) AS hash FROM documents)"
 _BEFORE = "bef AS (SELECT file_id, CASE WHEN file_id % 10 = 1 THEN 'failed' ELSE 'indexed' END AS status, CASE WHEN file_id % 10 = 3 THEN '-' ELSE hash END AS old_hash FROM now WHERE file_id % 10 <> 0)"
@@ -156,7 +121,7 @@ _LINES = "l AS (SELECT doc_id, unnest(string_split(CASE WHEN ends_with(text, chr
 _STATS = f"WITH {_LINES}, g AS (SELECT doc_id, count(*) AS n_lines, min(pos) AS first_pos, max(pos) AS last_pos FROM l WHERE regexp_matches(line, '\\S') GROUP BY doc_id)"
 _VALUES = lambda rows, cols: "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows) + f") v({cols})"
 
-QUERIES = {f.__name__: f for f in (chunk_documents, chunk_line_coverage, chunk_ordinal_density, nonblank_line_stats, oversize_line_pieces, index_prune_missing, index_upsert_snapshot, content_hash_dedup, sidecar_orphans, root_status_counts, root_overview, root_strict_lookup, root_conflicts, settings_drift, status_projection, corpus_counts, bounded_count, run_reconcile, latest_run, scan_path_filter)}
+QUERIES = {f.__name__: f for f in (chunk_documents, chunk_line_coverage, chunk_ordinal_density, nonblank_line_stats, oversize_line_pieces, index_prune_missing, index_upsert_snapshot, content_hash_dedup, sidecar_orphans, root_status_counts, root_overview, root_strict_lookup, corpus_counts, bounded_count)}
 ORACLES = {
     "chunk_documents": f"WITH RECURSIVE {CHUNKS_SQL} SELECT chunk_id, file_id AS doc_id, ordinal, start_line, end_line, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256 FROM chunks",
     "chunk_line_coverage": _STATS + " SELECT doc_id, CAST(first_pos + 1 AS INTEGER) AS first_line, CAST(last_pos + 1 AS INTEGER) AS last_line FROM g",
@@ -170,12 +135,6 @@ ORACLES = {
     "root_status_counts": f"WITH {_ST} SELECT source, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM s GROUP BY source",
     "root_overview": f"WITH {_ST}, r AS (SELECT 'src' || i AS source FROM range(21) t(i)) SELECT r.source, count(s.file_id) FILTER (status = 'indexed') AS indexed, (SELECT count(*) FROM s) AS total_files FROM r LEFT JOIN s USING (source) GROUP BY r.source",
     "root_strict_lookup": "SELECT q AS source, q IN (SELECT source FROM documents) AS known FROM (VALUES ('src1'), ('src3'), ('nowhere')) v(q)",
-    "root_conflicts": "WITH r AS (SELECT * FROM (VALUES ('/a'), ('/a/b'), ('/ab'), ('/c/d/e'), ('/c/d'), ('/x')) v(p)) SELECT a.p AS inner_root, b.p AS outer_root FROM r a JOIN r b ON starts_with(a.p, b.p || '/')",
-    "settings_drift": "SELECT 'model' AS key, 'm1' AS value, 'm2' AS expected",
-    "status_projection": "SELECT * FROM (VALUES (1, 'completed', 10, 3), (2, 'running', 7, 0)) v(run_id, state, scanned, failed)",
     "corpus_counts": "SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM embeddings) AS vectors",
     "bounded_count": "SELECT count(*) AS n FROM (SELECT doc_id FROM documents LIMIT 50)",
-    "run_reconcile": f"SELECT run_id, CASE WHEN state IN ('running', 'preparing_model') THEN 'interrupted' ELSE state END AS state FROM {_VALUES(_RUNS, 'run_id, mode, state')}",
-    "latest_run": f"SELECT mode, state FROM {_VALUES(_RUNS, 'run_id, mode, state')} ORDER BY run_id DESC LIMIT 1",
-    "scan_path_filter": "SELECT * FROM (VALUES ('/r/a.md', '.md'), ('/r/s/d.PDF', '.pdf'), ('/r/s/g.docx', '.docx')) v(path, ext)",
 }

@@ -39,11 +39,6 @@ def session_timeline_islands(spark, sf_dir):
     return islands(spans).select("project", "start_ts", "end_ts", "sessions")
 
 
-def session_jst_clock(spark, sf_dir):
-    rows = spark.createDataFrame([("2024-01-02T11:38:00Z",), ("2024-01-02T15:00:30.500Z",), ("soon",)], "iso string")
-    return rows.select("iso", text.jst_clock(F.col("iso")).alias("clock"))
-
-
 def session_file_prune(spark, sf_dir):
     f = corpus.sessions(spark, sf_dir).groupBy("file").agg(F.max("ts").alias("mtime"), F.sum(F.length("text")).alias("size"))
     low, _ = text.jst_window(F.lit(DAY))
@@ -87,22 +82,9 @@ def config_state(raw):
     )
 
 
-def config_tristate(spark, sf_dir):
-    return spark.createDataFrame(_CONFIG, "id int, raw string").select("id", config_state(F.col("raw")).alias("state"))
-
-
 _LAYERS = [(1, 1, "managed", "a.json", "unset"), (1, 1, "managed", "b.json", "true"), (1, 1, "managed", "c.json", "false"), (1, 2, "local", "l", "true"), (2, 2, "local", "l", "missing"), (2, 3, "project", "p", "false"), (2, 4, "user", "u", "true"), (3, 4, "user", "u", "unset")]
 
 
-def config_precedence(spark, sf_dir):
-    """Within a layer the last decided source holds, over layers the first decided one; otherwise false."""
-    r = spark.createDataFrame(_LAYERS, "site int, layer int, name string, path string, state string")
-    sure = F.col("state").isin("true", "false")
-    per = r.groupBy("site", "layer", "name").agg(F.max_by(F.when(sure, F.col("state")), F.when(sure, F.col("path"))).alias("state"))
-    held = F.col("state").isNotNull()
-    return per.groupBy("site").agg(F.coalesce(F.min_by("state", F.when(held, F.col("layer"))), F.lit("false")).alias("effective"), F.min_by("name", F.when(held, F.col("layer"))).alias("decided_by"))
-
-
 def config_scan_classify(spark, sf_dir):
     found = spark.createDataFrame([("/h/w/.claude",), ("/h/.claude",), ("/h/x/.claude",)], "path string")
     known = spark.createDataFrame([("/h/w/.claude", "current"), ("/h/.claude", "user")], "path string, kind string")
@@ -159,12 +141,6 @@ _BRANCH = ["feature/login/12", "fix/7", "docs/readme", "main", "hotfix/x/99a"]
 TYPES = {"feature": "feat", "fix": "fix", "hotfix": "fix", "docs": "docs", "refactor": "refactor", "test": "test", "chore": "chore"}
 
 
-def branch_issue_type(spark, sf_dir):
-    b = spark.createDataFrame([(x,) for x in _BRANCH], "branch string")
-    kinds = spark.createDataFrame(list(TYPES.items()), "prefix string, type string")
-    return b.withColumn("prefix", F.regexp_extract("branch", "^([^/]+)/", 1)).join(F.broadcast(kinds), "prefix", "left").select("branch", "type", text.issue_number(F.col("branch")).alias("issue"))
-
-
 def source_fallback(spark, sf_dir):
     """Staged files if there are any, else those of the working tree."""
     staged = spark.createDataFrame([], "path string")
@@ -186,7 +162,7 @@ def frontmatter_descriptions(spark, sf_dir):
 _S = "s AS (SELECT conv_id AS file, 1704067200 + conv_id * 3600 + turn * 60 AS ts, 'p' || (conv_id % 7) AS project, role AS type, text FROM conversations)"
 _Q = f"WITH {_S}, q AS (SELECT file, min(ts) AS start_ts, max(ts) AS end_ts FROM s WHERE ts >= 1704121200 AND ts < 1704207600 GROUP BY file HAVING bool_or(type = 'user') AND bool_or(type = 'assistant'))"
 _F = "f AS (SELECT event_id, 'tool' || (user_id % 7) AS tool_name, 'e' || (CAST(floor(value) AS BIGINT) % 5) AS pattern, strftime(ts, '%Y%m%d') AS dt FROM events WHERE event_type = 'error')"
-QUERIES = {f.__name__: f for f in (session_window_qualify, session_bounds, session_timeline_islands, session_jst_clock, session_file_prune, failure_groups_having, failure_top_tool, failure_by_period, log_partition_period, log_partition_delete, config_tristate, config_precedence, config_scan_classify, findings_grouped, findings_failed_reviewers, pr_pick_top1, pr_json_parse, match_score, secret_paths, branch_issue_type, source_fallback, union_flatten, frontmatter_descriptions)}
+QUERIES = {f.__name__: f for f in (session_window_qualify, session_bounds, session_timeline_islands, session_file_prune, failure_groups_having, failure_top_tool, failure_by_period, log_partition_period, log_partition_delete, config_scan_classify, findings_grouped, findings_failed_reviewers, pr_pick_top1, pr_json_parse, match_score, secret_paths, source_fallback, union_flatten, frontmatter_descriptions)}
 ORACLES = {
     "session_window_qualify": _Q + " SELECT file FROM q",
     "session_bounds": _Q + " SELECT file, start_ts, end_ts FROM q",
@@ -194,15 +170,12 @@ ORACLES = {
 m AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY project ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM g),
 i AS (SELECT *, sum(o) OVER (PARTITION BY project ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m)
 SELECT project, min(a) AS start_ts, max(b) AS end_ts, count(*) AS sessions FROM i GROUP BY project, k""",
-    "session_jst_clock": "SELECT * FROM (VALUES ('2024-01-02T11:38:00Z', '20:38'), ('2024-01-02T15:00:30.500Z', '00:00'), ('soon', 'soon')) v(iso, clock)",
     "session_file_prune": f"WITH {_S} SELECT file, CAST(sum(length(text)) AS BIGINT) AS size FROM s GROUP BY file HAVING max(ts) >= 1704121200 AND sum(length(text)) >= 1000",
     "failure_groups_having": f"WITH {_F} SELECT tool_name, pattern, count(*) AS n FROM f GROUP BY ALL HAVING count(*) >= 2",
     "failure_top_tool": f"WITH {_F} SELECT tool_name, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, tool_name LIMIT 1",
     "failure_by_period": f"WITH {_F} SELECT dt, count(*) AS n FROM f WHERE dt BETWEEN '20240105' AND '20240111' GROUP BY dt",
     "log_partition_period": f"WITH {_F} SELECT DISTINCT dt FROM f WHERE dt > '20240120' AND dt <= '20240127'",
     "log_partition_delete": f"WITH {_F} SELECT dt, count(*) AS n FROM f WHERE dt <> '20240103' GROUP BY dt",
-    "config_tristate": "SELECT * FROM (VALUES (1, 'missing'), (2, 'unset'), (3, 'true'), (4, 'false'), (5, 'error'), (6, 'error'), (7, 'error'), (8, 'error')) v(id, state)",
-    "config_precedence": "SELECT * FROM (VALUES (1, 'false', 'managed'), (2, 'false', 'project'), (3, 'false', NULL)) v(site, effective, decided_by)",
     "config_scan_classify": "SELECT * FROM (VALUES ('/h/w/.claude', 'current'), ('/h/.claude', 'user'), ('/h/x/.claude', 'other')) v(path, kind)",
     "findings_grouped": "SELECT 'f' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS file, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS line, count(*) AS n, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS sources FROM lineitem GROUP BY 1, 2",
     "findings_failed_reviewers": "SELECT 'b' AS reviewer",
@@ -210,7 +183,6 @@ SELECT project, min(a) AS start_ts, max(b) AS end_ts, count(*) AS sessions FROM
     "pr_json_parse": "SELECT 7 AS number, 'DRAFT' AS state",
     "match_score": "WITH r AS (SELECT l_suppkey, l_linestatus AS s, least(l_quantity / p_size, 1.0::DOUBLE) AS r FROM lineitem JOIN part ON l_partkey = p_partkey), g AS (SELECT l_suppkey, round(100 * (0.7::DOUBLE * coalesce(avg(r) FILTER (s = 'O'), 0) + 0.3::DOUBLE * coalesce(avg(r) FILTER (s = 'F'), 0)), 6) AS percent FROM r GROUP BY 1) SELECT l_suppkey, percent, CASE WHEN percent >= 90 THEN 'A' WHEN percent >= 70 THEN 'B' WHEN percent >= 50 THEN 'C' ELSE 'D' END AS bucket FROM g",
     "secret_paths": "SELECT * FROM (VALUES ('a/.env', 'env'), ('a/.env.example', NULL), ('k/server.pem', 'key'), ('id_rsa', 'ssh'), ('id_rsa.pub', NULL), ('conf/credentials.json', 'credentials'), ('.npmrc', 'config'), ('src/main.py', NULL)) v(path, category)",
-    "branch_issue_type": "SELECT * FROM (VALUES ('feature/login/12', 'feat', '12'), ('fix/7', 'fix', '7'), ('docs/readme', 'docs', NULL), ('main', NULL, NULL), ('hotfix/x/99a', 'fix', NULL)) v(branch, type, issue)",
     "source_fallback": "SELECT * FROM (VALUES ('a.py'), ('b.py')) v(path)",
     "union_flatten": "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (3, 'c')) v(id, finding)",
     "frontmatter_descriptions": "SELECT * FROM (VALUES ('s1', 'first'), ('s3', 'third')) v(file, description)",

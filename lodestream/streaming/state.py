@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -45,18 +46,22 @@ def reload(state: tuple | None, ts: int, event: str) -> tuple[tuple, str]:
     return (name,), name
 
 
-def fold(rows: DataFrame, handler: Handler, schema: str = "key string, ts long, event string, result string") -> DataFrame:
-    """A batch of key, ts, event through a handler."""
+def fold(rows: DataFrame, handler: Handler) -> DataFrame:
+    """A batch of key, ts, event through a handler: keys come sorted, one state is held at a time, and no key's events are gathered."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        pdf = pdf.sort_values(["ts", "event"])
-        for ts, event in zip(pdf.ts, pdf.event, strict=True):
-            state, result = handler(state, int(ts), event)
-            out.append(result)
-        return pdf.assign(result=out)[["key", "ts", "event", "result"]]
+    def run(batches):
+        held, state = object(), None
+        for batch in batches:
+            out = []
+            for key, ts, event in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != held:
+                    held, state = key, None
+                state, result = handler(state, ts, event)
+                out.append(result)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], ["key", "ts", "event", "result"])
 
-    return rows.groupBy("key").applyInPandas(one, schema)
+    own = rows.select("key", "ts", "event").repartition("key").sortWithinPartitions("key", "ts", "event")
+    return own.mapInArrow(run, "key string, ts long, event string, result string")
 
 
 def run_stream(events: DataFrame, handler: Handler, state_schema: str) -> DataFrame:
