@@ -385,7 +385,8 @@ def _grouped(df: DataFrame, words: int, threshold: tuple[int, int], rows: int =
     ids = space.keep(ids, "repeated")
     repeats = not ids.isEmpty()
     needed = held.select("node").distinct().join(classes.select("node", "rep", *sets), "node").withColumnRenamed("rep", "doc_id")
-    prints = sets_of(docs.where("doc_id IS NOT NULL").join(space.keep(needed, "needed"), "doc_id"), words, bands, rows)
+    # Texts are shuffled at any size, so that a small table takes the way of a large one.
+    prints = sets_of(docs.where("doc_id IS NOT NULL").join(space.keep(needed, "needed").hint("merge"), "doc_id"), words, bands, rows)
     prints = space.keep(prints.dropDuplicates(["node"]) if repeats else prints, "sets")
 
     stars = held.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
