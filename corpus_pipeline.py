@@ -2,8 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of documents. Defined results:
-null and empty texts pass the first three stages as they are and pack to the end id alone; an empty
-table stays empty; further columns of documents are carried along.
+null and empty texts pass the first three stages as they are and pack to the end id alone; rows that
+repeat an id count as copies of one document, of which the row with the smallest hash stays; rows
+without an id all stay; of a group of near copies the smallest id stays; very long texts are taken
+whole; an empty table stays empty; further columns of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,12 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, space = common.table(spark, sf_dir, "documents"), common.Space(spark)
     for name, stage in STAGES:
-        path = common.scratch_path(spark, f"pipeline-{name}")
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        done = space.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What the stage read is no longer needed.
+        space.drop_all_but(done)
+        docs = done
     return docs
 
 
