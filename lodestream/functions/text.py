@@ -50,9 +50,9 @@ def basename(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(F.split(c, "[\\\\/]", -1), lambda x: x != ""), F.lit(-1)), F.lit("/"))
 
 
-def model_label(c: Column) -> Column:
-    """A model id without vendor, date and brackets, in words with a dotted version."""
-    for pattern, new in (("^.*/", ""), ("\\[.*\\]$", ""), ("-[0-9]{8}$", ""), ("(\\d)-(\\d)", "$1.$2"), ("-", " ")):
+def model_label(c: Column, vendor: str = "vendor") -> Column:
+    """A model id without its vendor, bracket and date; the numbers at its end become a version."""
+    for pattern, new in ((f"^{vendor}-", ""), ("\\[[^\\[\\]]*\\]$", ""), ("-[0-9]{8}$", ""), ("-([0-9]+)-([0-9]+)$", "$1.$2"), ("-([0-9]+)$", "$1")):
         c = F.regexp_replace(c, pattern, new)
     return c
 

@@ -45,7 +45,7 @@ _ROBOTS = "# whole line\nUser-agent: *\nDisallow: /private\n\nUser-agent: bot\nD
 
 
 @F.pandas_udf(BooleanType())
-def _allowed(rules, agent, url):
+def allowed(rules, agent, url):
     parsers = {}
     for r in rules.unique():
         parsers[r] = robotparser.RobotFileParser()
@@ -53,22 +53,9 @@ def _allowed(rules, agent, url):
     return rules.__class__([parsers[r].can_fetch(a, u) for r, a, u in zip(rules, agent, url, strict=True)])
 
 
-def robots_rules(spark, sf_dir):
-    r = spark.createDataFrame([(1, _ROBOTS, "me", "http://h/a"), (2, _ROBOTS, "me", "http://h/private/a"), (3, _ROBOTS, "bot", "http://h/a")], "id int, rules string, agent string, url string")
-    return r.select("id", _allowed("rules", "agent", "url").alias("allowed"))
-
-
 _WORDS = ["abc", "日本語", "é", "é", "ｱｲ", "a日", "", "😀x"]
 
 
-def display_width(spark, sf_dir):
-    return _values(spark, "label", _WORDS).select("label", text.display_width(F.col("label")).alias("width"), F.length(text.pad_right(F.col("label"), 10)).alias("padded"))
-
-
-def first_line(spark, sf_dir):
-    return _values(spark, "t", ["# Title\nx", "\n  - item *one*\n", "plain `code`", "", "1. first"]).select("t", text.first_line(F.col("t")).alias("line"))
-
-
 def nonempty_lines(spark, sf_dir):
     d = corpus.table(spark, sf_dir, "documents")
     return d.select("doc_id", text.nonempty_lines(F.col("text")).alias("n"))
@@ -78,42 +65,17 @@ def path_basename(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("file_id", text.basename(F.col("path")).alias("name"))
 
 
-def name_from_path(spark, sf_dir):
-    return _values(spark, "p", ["/a/b/guide.md", "x.md", "/", "C:\\d\\e.txt"]).select("p", text.file_stem(F.col("p")).alias("name"))
-
-
-def model_label(spark, sf_dir):
-    return _values(spark, "id", ["vendor/tiny-4-1-20250101", "big-3-5[1m]", "plain"]).select("id", text.model_label(F.col("id")).alias("label"))
-
-
 _GIT = [(1, 128, ""), (2, 0, "# branch.head main\n# branch.upstream o/main\n# branch.ab +0 -0"), (3, 0, "# branch.head dev\n# branch.upstream o/dev\n# branch.ab +2 -0"), (4, 0, "# branch.head x\n1 .M N... a.py"), (5, 0, "# branch.head new")]
 
 
-def git_status_class(spark, sf_dir):
-    g = spark.createDataFrame(_GIT, "id int, code int, out string")
-    return g.select("id", text.git_status(F.col("code"), F.col("out")).alias("status"), text.branch_header(F.col("out"), "head").alias("branch"))
-
-
 def level_color(spark, sf_dir):
     e = corpus.table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v"))
     return e.select("event_id", text.rounded(F.col("v")).alias("shown"), text.level(F.col("v")).alias("color"))
 
 
-def rate_limit_summary(spark, sf_dir):
-    """Fixed order of the two windows; a window without a value shows dashes."""
-    dim = spark.createDataFrame([(1, "5h"), (2, "7d")], "ord int, kind string")
-    own = spark.createDataFrame([("7d", 49.5), ("x", 1.0)], "kind string, used double")
-    return dim.join(own, "kind", "left").select("ord", F.coalesce(F.concat("kind", F.lit(":"), text.rounded(F.col("used")).cast("string"), F.lit("%")), F.concat("kind", F.lit(":--"))).alias("shown"))
-
-
 _DIRS = [(1, ["package.json", "src"]), (2, ["pyproject.toml"]), (3, ["Cargo.toml", "x.py"]), (4, ["main.tf"]), (5, ["package.json", "bun.lock"]), (6, ["readme"])]
 
 
-def lookup_labels(spark, sf_dir):
-    labels = spark.createDataFrame([("clean", "green"), ("uncommitted", "yellow"), ("unpushed", "cyan"), ("no-git", "gray")], "status string, color string")
-    return git_status_class(spark, sf_dir).join(F.broadcast(labels), "status", "left").select("id", "color")
-
-
 def split_message_parts(spark, sf_dir):
     """The parts of each document, some of which get a table and a code block."""
     d = corpus.table(spark, sf_dir, "documents").where("text IS NOT NULL")
@@ -122,11 +84,6 @@ def split_message_parts(spark, sf_dir):
     return markdown.parts_of(d.select("doc_id", F.concat(flat, more).alias("text")), "doc_id").select("doc_id", "ord", "kind", F.length("part").alias("n_chars"))
 
 
-def decode_bytes(spark, sf_dir):
-    rows = [(1, "é".encode()), (2, b"\xef\xbb\xbfab"), (3, "検索".encode("cp932")), (4, b"")]
-    return spark.createDataFrame(rows, "id int, raw binary").select("id", documents.decoded("raw").alias("text"))
-
-
 def _events(spark, sf_dir):
     return corpus.table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "event_type", "value")
 
@@ -169,45 +126,30 @@ def fold_groups(spark, sf_dir):
     return g.groupBy("conv_id").agg(F.sum("n").alias("lines"), (F.sum("n") > 1).alias("foldable"))
 
 
-def turn_visibility(spark, sf_dir):
-    t = spark.createDataFrame([("t1", ["t1", "t2"], True), ("t9", ["t1"], True), ("t1", ["t1"], False)], "tool string, shown array<string>, open boolean")
-    return t.select("tool", "open", (F.array_contains("shown", F.col("tool")) & F.col("open")).alias("visible"))
-
-
 def _rows(cols, *rows):
     lit = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({cols})"
 
 
 _E = "e AS (SELECT event_id, user_id, CAST(epoch(ts) AS BIGINT) AS ts, event_type, value FROM events)"
-_NAMES = """page_robots_url page_html_sniff page_size_guard page_main_content page_full_markdown robots_rules display_width first_line nonempty_lines path_basename name_from_path
-model_label git_status_class level_color rate_limit_summary lookup_labels split_message_parts decode_bytes latest_value_state ring_buffer_last2
-dedup_first_seen turn_assignment key_change_detection fold_groups turn_visibility"""
+_NAMES = """page_robots_url page_html_sniff page_size_guard page_main_content page_full_markdown nonempty_lines path_basename
+level_color split_message_parts latest_value_state ring_buffer_last2
+dedup_first_seen turn_assignment key_change_detection fold_groups"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLES = {
     "split_message_parts": """WITH d AS (SELECT doc_id, regexp_replace(translate(text, '|`~' || chr(10) || chr(13), '     '), '^\\s+$', '') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, 0 AS ord, 'plain' AS kind, CAST(length(t) AS INTEGER) AS n_chars FROM d WHERE t <> '' UNION ALL
 SELECT doc_id, CASE WHEN t <> '' THEN 1 ELSE 0 END + k, (['table', 'code'])[k + 1], ([34, 5])[k + 1] FROM d, range(2) r(k) WHERE doc_id % 3 = 0""",
-    "first_line": _rows("t, line", ("# Title\nx", "Title"), ("\n  - item *one*\n", "item one"), ("plain `code`", "plain code"), ("", ""), ("1. first", "first")),
     "page_robots_url": "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/robots.txt' AS robots_url FROM pages",
     "page_html_sniff": "SELECT page_id, contains(substr(html, 1, 100), '<html') AS is_html FROM pages",
     "page_size_guard": "SELECT page_id, CASE WHEN length(html) > 5000 THEN 'error' ELSE 'ok' END AS guard FROM pages",
-    "robots_rules": _rows("id, allowed", (1, True), (2, False), (3, False)),
-    "display_width": _rows("label, width, padded", *((w, n, len(w) + 10 - n) for w, n in zip(_WORDS, (3, 6, 1, 1, 2, 3, 0, 3), strict=True))),
     "nonempty_lines": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS n FROM documents",
     "path_basename": "SELECT doc_id AS file_id, doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.txt' WHEN 'de' THEN '.pdf' ELSE '.docx' END AS name FROM documents",
-    "name_from_path": _rows("p, name", ("/a/b/guide.md", "guide"), ("x.md", "x"), ("/", "/"), ("C:\\d\\e.txt", "e.txt")),
-    "model_label": _rows("id, label", ("vendor/tiny-4-1-20250101", "tiny 4.1"), ("big-3-5[1m]", "big 3.5"), ("plain", "plain")),
-    "git_status_class": _rows("id, status, branch", (1, "no-git", None), (2, "clean", "main"), (3, "unpushed", "dev"), (4, "uncommitted", "x"), (5, "unpushed", "new")),
     "level_color": f"WITH {_E} SELECT event_id, CAST(floor(value + 0.5) AS BIGINT) AS shown, CASE WHEN value >= 80 THEN 'danger' WHEN value >= 50 THEN 'warn' ELSE 'normal' END AS color FROM e",
-    "rate_limit_summary": _rows("ord, shown", (1, "5h:--"), (2, "7d:50%")),
-    "lookup_labels": _rows("id, color", (1, "gray"), (2, "green"), (3, "cyan"), (4, "yellow"), (5, "cyan")),
-    "decode_bytes": _rows("id, text", (1, "é"), (2, "ab"), (3, "検索"), (4, "")),
     "latest_value_state": f"WITH {_E} SELECT user_id, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "ring_buffer_last2": f"WITH {_E}, r AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS back, event_id FROM e) SELECT * FROM r WHERE back <= 2",
     "dedup_first_seen": f"WITH {_E} SELECT user_id, event_type, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
     "turn_assignment": f"WITH {_E} SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn_id FROM e",
     "key_change_detection": f"WITH {_E}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM e) SELECT user_id, count(*) AS changes FROM l WHERE b IS NULL OR b <> event_type GROUP BY user_id",
     "fold_groups": "SELECT conv_id, CAST(sum(n) AS BIGINT) AS lines, sum(n) > 1 AS foldable FROM (SELECT conv_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS n FROM conversations) GROUP BY conv_id",
-    "turn_visibility": _rows("tool, open, visible", ("t1", True, True), ("t9", True, False), ("t1", False, False)),
 }

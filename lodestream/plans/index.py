@@ -124,7 +124,7 @@ _VALUES = lambda rows, cols: "(VALUES " + ", ".join("(" + ", ".join("NULL" if v
 QUERIES = {f.__name__: f for f in (chunk_documents, chunk_line_coverage, chunk_ordinal_density, nonblank_line_stats, oversize_line_pieces, index_prune_missing, index_upsert_snapshot, content_hash_dedup, sidecar_orphans, root_status_counts, root_overview, root_strict_lookup, corpus_counts, bounded_count)}
 ORACLES = {
     "chunk_documents": f"WITH RECURSIVE {CHUNKS_SQL} SELECT chunk_id, file_id AS doc_id, ordinal, start_line, end_line, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS text_sha256 FROM chunks",
-    "chunk_line_coverage": _STATS + " SELECT doc_id, CAST(first_pos + 1 AS INTEGER) AS first_line, CAST(last_pos + 1 AS INTEGER) AS last_line FROM g",
+    "chunk_line_coverage": _STATS + " SELECT doc_id, CAST(first_pos + 1 AS INTEGER) AS CAST(last_pos + 1 AS INTEGER) AS last_line FROM g",
     "chunk_ordinal_density": _STATS + " SELECT doc_id, TRUE AS dense FROM g",
     "nonblank_line_stats": _STATS + " SELECT doc_id, n_lines, CAST(first_pos AS INTEGER) AS first_pos, CAST(last_pos AS INTEGER) AS last_pos FROM g",
     "oversize_line_pieces": f"WITH {_LINES} SELECT doc_id, CAST(pos + 1 AS INTEGER) AS line_no, CAST(ceil(length(line) / 2000.0) AS BIGINT) AS pieces FROM l WHERE length(line) > 2000",

@@ -85,12 +85,6 @@ def config_state(raw):
 _LAYERS = [(1, 1, "managed", "a.json", "unset"), (1, 1, "managed", "b.json", "true"), (1, 1, "managed", "c.json", "false"), (1, 2, "local", "l", "true"), (2, 2, "local", "l", "missing"), (2, 3, "project", "p", "false"), (2, 4, "user", "u", "true"), (3, 4, "user", "u", "unset")]
 
 
-def config_scan_classify(spark, sf_dir):
-    found = spark.createDataFrame([("/h/w/.claude",), ("/h/.claude",), ("/h/x/.claude",)], "path string")
-    known = spark.createDataFrame([("/h/w/.claude", "current"), ("/h/.claude", "user")], "path string, kind string")
-    return found.join(F.broadcast(known), "path", "left").select("path", F.coalesce("kind", F.lit("other")).alias("kind"))
-
-
 def findings_grouped(spark, sf_dir):
     """Findings by file and line; lines without a number are a group of their own."""
     l = corpus.table(spark, sf_dir, "lineitem").select(F.format_string("f%04d", "l_suppkey").alias("file"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("line"), F.col("l_returnflag").alias("source"), "l_orderkey")
@@ -98,12 +92,6 @@ def findings_grouped(spark, sf_dir):
     return g
 
 
-def findings_failed_reviewers(spark, sf_dir):
-    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "reviewer string")
-    done = spark.createDataFrame([("a", 3), ("c", 0)], "reviewer string, n int")
-    return asked.join(done, "reviewer", "left_anti")
-
-
 def pr_pick_top1(spark, sf_dir):
     o = corpus.table(spark, sf_dir, "orders")
     state = F.when(F.col("o_orderstatus") == "O", F.when(F.col("o_totalprice") > 200000, "DRAFT").otherwise("OPEN")).when(F.col("o_orderstatus") == "F", "MERGED").otherwise("CLOSED")
@@ -115,11 +103,6 @@ def pr_pick_top1(spark, sf_dir):
 _PRS = '[{"number":7,"state":"OPEN","url":"https://github.com/a/b/pull/7","isDraft":true},{"number":9,"state":"MERGED","url":"http://x/9","isDraft":false}]'
 
 
-def pr_json_parse(spark, sf_dir):
-    p = spark.createDataFrame([(_PRS,)], "out string").select(F.explode(F.from_json("out", "array<struct<number:int,state:string,url:string,isDraft:boolean>>")).alias("p"))
-    return p.where(F.col("p.url").startswith("https://github.com/")).select("p.number", F.when((F.col("p.state") == "OPEN") & F.col("p.isDraft"), "DRAFT").otherwise(F.col("p.state")).alias("state"))
-
-
 def match_score(spark, sf_dir):
     """70 % required and 30 % wanted, each the mean of capped ratios, in percent and by bucket."""
     l, p = corpus.table(spark, sf_dir, "lineitem"), corpus.table(spark, sf_dir, "part")
@@ -132,37 +115,15 @@ def match_score(spark, sf_dir):
 _SECRET = ["a/.env", "a/.env.example", "k/server.pem", "id_rsa", "id_rsa.pub", "conf/credentials.json", ".npmrc", "src/main.py"]
 
 
-def secret_paths(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in _SECRET], "path string").select("path", text.secret_path(F.col("path")).alias("category"))
-
-
 _BRANCH = ["feature/login/12", "fix/7", "docs/readme", "main", "hotfix/x/99a"]
 # Branch prefixes and the commit type of each.
 TYPES = {"feature": "feat", "fix": "fix", "hotfix": "fix", "docs": "docs", "refactor": "refactor", "test": "test", "chore": "chore"}
 
 
-def source_fallback(spark, sf_dir):
-    """Staged files if there are any, else those of the working tree."""
-    staged = spark.createDataFrame([], "path string")
-    tree = spark.createDataFrame([("a.py",), ("b.py",)], "path string")
-    none = staged.limit(1).agg(F.count("*").alias("n")).where("n = 0")
-    return staged.unionByName(tree.crossJoin(none).select("path"))
-
-
-def union_flatten(spark, sf_dir):
-    r = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, ["c", None])], "id int, found array<string>")
-    return r.select("id", F.explode(F.array_compact("found")).alias("finding"))
-
-
-def frontmatter_descriptions(spark, sf_dir):
-    r = spark.createDataFrame([("s1", "---\nname: a\ndescription: first\n---"), ("s2", "no description: here"), ("s3", "description: third")], "file string, body string")
-    return r.select("file", F.explode(F.split("body", "\n")).alias("line")).where(F.col("line").rlike("^description:")).select("file", F.trim(F.regexp_replace("line", "^description:", "")).alias("description"))
-
-
 _S = "s AS (SELECT conv_id AS file, 1704067200 + conv_id * 3600 + turn * 60 AS ts, 'p' || (conv_id % 7) AS project, role AS type, text FROM conversations)"
 _Q = f"WITH {_S}, q AS (SELECT file, min(ts) AS start_ts, max(ts) AS end_ts FROM s WHERE ts >= 1704121200 AND ts < 1704207600 GROUP BY file HAVING bool_or(type = 'user') AND bool_or(type = 'assistant'))"
 _F = "f AS (SELECT event_id, 'tool' || (user_id % 7) AS tool_name, 'e' || (CAST(floor(value) AS BIGINT) % 5) AS pattern, strftime(ts, '%Y%m%d') AS dt FROM events WHERE event_type = 'error')"
-QUERIES = {f.__name__: f for f in (session_window_qualify, session_bounds, session_timeline_islands, session_file_prune, failure_groups_having, failure_top_tool, failure_by_period, log_partition_period, log_partition_delete, config_scan_classify, findings_grouped, findings_failed_reviewers, pr_pick_top1, pr_json_parse, match_score, secret_paths, source_fallback, union_flatten, frontmatter_descriptions)}
+QUERIES = {f.__name__: f for f in (session_window_qualify, session_bounds, session_timeline_islands, session_file_prune, failure_groups_having, failure_top_tool, failure_by_period, log_partition_period, log_partition_delete, findings_grouped, pr_pick_top1, match_score)}
 ORACLES = {
     "session_window_qualify": _Q + " SELECT file FROM q",
     "session_bounds": _Q + " SELECT file, start_ts, end_ts FROM q",
@@ -176,14 +137,7 @@ SELECT project, min(a) AS start_ts, max(b) AS end_ts, count(*) AS sessions FROM
     "failure_by_period": f"WITH {_F} SELECT dt, count(*) AS n FROM f WHERE dt BETWEEN '20240105' AND '20240111' GROUP BY dt",
     "log_partition_period": f"WITH {_F} SELECT DISTINCT dt FROM f WHERE dt > '20240120' AND dt <= '20240127'",
     "log_partition_delete": f"WITH {_F} SELECT dt, count(*) AS n FROM f WHERE dt <> '20240103' GROUP BY dt",
-    "config_scan_classify": "SELECT * FROM (VALUES ('/h/w/.claude', 'current'), ('/h/.claude', 'user'), ('/h/x/.claude', 'other')) v(path, kind)",
     "findings_grouped": "SELECT 'f' || lpad(CAST(l_suppkey AS VARCHAR), 4, '0') AS file, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS line, count(*) AS n, array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') AS sources FROM lineitem GROUP BY 1, 2",
-    "findings_failed_reviewers": "SELECT 'b' AS reviewer",
     "pr_pick_top1": "WITH p AS (SELECT o_custkey AS branch, o_orderkey AS number, CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_totalprice > 200000 THEN 'DRAFT' ELSE 'OPEN' END WHEN 'F' THEN 'MERGED' ELSE 'CLOSED' END AS state FROM orders) SELECT branch, number, state FROM p QUALIFY row_number() OVER (PARTITION BY branch ORDER BY list_position(['OPEN', 'DRAFT', 'MERGED', 'CLOSED'], state), number DESC) = 1",
-    "pr_json_parse": "SELECT 7 AS number, 'DRAFT' AS state",
     "match_score": "WITH r AS (SELECT l_suppkey, l_linestatus AS s, least(l_quantity / p_size, 1.0::DOUBLE) AS r FROM lineitem JOIN part ON l_partkey = p_partkey), g AS (SELECT l_suppkey, round(100 * (0.7::DOUBLE * coalesce(avg(r) FILTER (s = 'O'), 0) + 0.3::DOUBLE * coalesce(avg(r) FILTER (s = 'F'), 0)), 6) AS percent FROM r GROUP BY 1) SELECT l_suppkey, percent, CASE WHEN percent >= 90 THEN 'A' WHEN percent >= 70 THEN 'B' WHEN percent >= 50 THEN 'C' ELSE 'D' END AS bucket FROM g",
-    "secret_paths": "SELECT * FROM (VALUES ('a/.env', 'env'), ('a/.env.example', NULL), ('k/server.pem', 'key'), ('id_rsa', 'ssh'), ('id_rsa.pub', NULL), ('conf/credentials.json', 'credentials'), ('.npmrc', 'config'), ('src/main.py', NULL)) v(path, category)",
-    "source_fallback": "SELECT * FROM (VALUES ('a.py'), ('b.py')) v(path)",
-    "union_flatten": "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (3, 'c')) v(id, finding)",
-    "frontmatter_descriptions": "SELECT * FROM (VALUES ('s1', 'first'), ('s3', 'third')) v(file, description)",
 }

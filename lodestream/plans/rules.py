@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources import corpus, files
+from ..sources import corpus, documents, files
 from ..streaming import state
 from . import logs
 
@@ -165,6 +165,134 @@ def ordered_distinct(spark, sf_dir) -> DataFrame:
     return l.select("l_orderkey", F.array_join(F.array_distinct(F.concat(held, F.array(F.lit("N")))), ",").alias("held"))
 
 
+def config_scan_classify(spark, sf_dir) -> DataFrame:
+    """Settings folders that are the session's own, the user's, or others."""
+    p = corpus.table(spark, sf_dir, "part")
+    found = p.select("p_partkey", F.concat(F.lit("/h/"), (F.col("p_partkey") % 60).cast("string"), F.lit("/.tool")).alias("path"))
+    known = corpus.table(spark, sf_dir, "nation").select(F.concat(F.lit("/h/"), F.col("n_nationkey").cast("string"), F.lit("/.tool")).alias("path"), F.when(F.col("n_nationkey") == 7, "user").otherwise("current").alias("kind"))
+    return found.join(F.broadcast(known), "path", "left").select("p_partkey", F.coalesce("kind", F.lit("other")).alias("kind"))
+
+
+def findings_failed_reviewers(spark, sf_dir) -> DataFrame:
+    """Who was asked and gave no result."""
+    asked = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("reviewer"))
+    done = corpus.table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("reviewer"))
+    return asked.join(done, "reviewer", "left_anti")
+
+
+def pr_json_parse(spark, sf_dir) -> DataFrame:
+    """Requests out of printed JSON: those of the known host, drafts told apart from open ones; damaged output has none."""
+    o = corpus.table(spark, sf_dir, "orders")
+    one = lambda k, url, state: F.concat(F.lit('{"number":'), k.cast("string"), F.lit(',"state":"'), state, F.lit('","url":"'), url, F.lit('","isDraft":'), (k % 4 == 0).cast("string"), F.lit("}"))
+    k = F.col("o_orderkey")
+    out = F.concat(F.lit("["), one(k, F.lit("https://git.example/a/1"), _pick(k, "OPEN", "MERGED", "CLOSED")), F.lit(","), one(k + 1, F.lit("http://other/2"), F.lit("OPEN")), F.lit("]"))
+    out = F.when(k % 19 == 0, F.substring(out, 1, 30)).otherwise(out)
+    p = o.select("o_orderkey", F.explode(F.from_json(out, "array<struct<number:long,state:string,url:string,isDraft:boolean>>")).alias("p"))
+    return p.where(F.col("p.url").startswith("https://git.example/")).select("o_orderkey", "p.number", F.when((F.col("p.state") == "OPEN") & F.col("p.isDraft"), "DRAFT").otherwise(F.col("p.state")).alias("state"))
+
+
+_SECRET = ("a/.env", "a/.ENV.local", ".env.example", "k/server.pem", "k/store.JKS", "id_rsa", "id_ed25519.pub", "conf/credentials.json", "secrets", "token.txt", ".npmrc", "x/.htpasswd", "src/main.py", "keyboard", "a.env")
+
+
+def secret_paths(spark, sf_dir) -> DataFrame:
+    p = corpus.table(spark, sf_dir, "part")
+    path = F.concat((F.col("p_size") % 5).cast("string"), F.lit("/"), _pick(F.col("p_partkey"), *_SECRET))
+    return p.select("p_partkey", text.secret_path(path).alias("category"))
+
+
+def source_fallback(spark, sf_dir) -> DataFrame:
+    """Each set's staged files if it has any, else those of its working tree."""
+    o = corpus.table(spark, sf_dir, "orders").select((F.col("o_custkey") % 300).alias("change_set"), F.col("o_orderkey").alias("file"), (F.col("o_orderkey") % 9 == 0).alias("staged"))
+    staged = o.where("staged")
+    return staged.unionByName(o.join(staged.select("change_set").distinct(), "change_set", "left_anti")).select("change_set", "file")
+
+
+def union_flatten(spark, sf_dir) -> DataFrame:
+    """Results of several finders in one list, without what is null."""
+    o = corpus.table(spark, sf_dir, "orders")
+    found = F.when(F.col("o_custkey") % 7 == 0, F.lit(None)).otherwise(F.array(F.when(F.col("o_orderkey") % 2 == 0, F.lit("even")), F.when(F.col("o_orderkey") % 3 == 0, F.lit("third")), F.lit(None)))
+    return o.select("o_orderkey", F.explode(F.array_compact(found)).alias("finding"))
+
+
+def frontmatter_descriptions(spark, sf_dir) -> DataFrame:
+    """The lines that begin with description: in each file."""
+    p = corpus.table(spark, sf_dir, "part")
+    body = F.concat(F.lit("---\nname: x\n"), _pick(F.col("p_partkey"), "description: ", "no description: ", "description:", " description: "), F.col("p_type"), F.lit("\n---"))
+    lines = p.select("p_partkey", F.explode(F.split(body, "\n")).alias("line")).where(F.col("line").rlike("^description:"))
+    return lines.select("p_partkey", F.trim(F.regexp_replace("line", "^description:", "")).alias("description"))
+
+
+_ROBOTS = "# whole line\nUser-agent: *\nDisallow: /private\n\nUser-agent: bot\nDisallow: /\n\nUser-agent: guest\nAllow: /open\nDisallow: /o"
+
+
+def robots_rules(spark, sf_dir) -> DataFrame:
+    """Whether an agent may read a path."""
+    from .content import allowed
+
+    e = corpus.table(spark, sf_dir, "events")
+    agent, path = _pick(F.col("event_id"), "me", "bot", "guest"), _pick(F.col("user_id"), "/a", "/private/x", "/open/y", "/other", "/")
+    return e.select("event_id", allowed(F.lit(_ROBOTS), agent, F.concat(F.lit("http://h"), path)).alias("allowed"))
+
+
+def git_status_class(spark, sf_dir) -> DataFrame:
+    o = corpus.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    out = F.concat(F.lit("# branch.head b"), k.cast("string"), F.when(k % 4 != 1, F.lit("\n# branch.upstream o/b")).otherwise(""), F.when(k % 4 != 1, F.concat(F.lit("\n# branch.ab +"), (F.col("o_custkey") % 3).cast("string"), F.lit(" -0"))).otherwise(""), F.when(k % 5 == 0, F.lit("\n1 .M N... a.py")).otherwise(""))
+    code = F.when(k % 11 == 0, 128).otherwise(0)
+    return o.select("o_orderkey", text.git_status(code, out).alias("status"), F.when(code == 0, text.branch_header(out, "head")).alias("branch"))
+
+
+def lookup_labels(spark, sf_dir) -> DataFrame:
+    labels = spark.createDataFrame([("clean", "green"), ("uncommitted", "yellow"), ("unpushed", "cyan"), ("no-git", "gray")], "status string, color string")
+    return git_status_class(spark, sf_dir).join(F.broadcast(labels), "status", "left").select("o_orderkey", "color")
+
+
+def rate_limit_summary(spark, sf_dir) -> DataFrame:
+    """For each customer both windows in fixed order; a window without a value shows dashes."""
+    dim = spark.createDataFrame([(1, "5h"), (2, "7d")], "ord int, kind string")
+    c = corpus.table(spark, sf_dir, "customer").select("c_custkey")
+    own = corpus.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), _pick(F.col("o_orderkey"), "5h", "7d", "x").alias("kind")).agg(F.max(F.col("o_orderkey") % 1000 / 10).alias("used"))
+    both = c.join(F.broadcast(dim), how="cross").join(own, ["c_custkey", "kind"], "left")
+    return both.select("c_custkey", "ord", F.concat("kind", F.lit(":"), F.coalesce(F.concat(text.rounded(F.col("used")).cast("string"), F.lit("%")), F.lit("--"))).alias("shown"))
+
+
+def decode_bytes(spark, sf_dir) -> DataFrame:
+    """Texts out of bytes: UTF-8 with and without a mark, another charset, and bytes of none."""
+    d = corpus.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    utf8 = F.encode("text", "UTF-8")
+    i = F.col("doc_id")
+    raw = F.when(i % 9 == 0, F.lit(bytearray("検索".encode("cp932")))).when(i % 9 == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), utf8)).when(i % 9 == 2, F.lit(bytearray(b"ab\x81"))).otherwise(utf8)
+    return d.select("doc_id", F.sha2(documents.decoded(raw), 256).alias("text_sha256"))
+
+
+_WIDE = (("日本語", 6), ("é", 1), ("e\u0301", 1), ("ｱｲ", 2), ("\U0001f600x", 3), ("", 0), ("한글", 4), ("a\u200bb", 2))
+
+
+def display_width(spark, sf_dir) -> DataFrame:
+    p = corpus.table(spark, sf_dir, "part")
+    label = F.concat(F.col("p_type"), _pick(F.col("p_partkey"), *(w for w, _ in _WIDE)))
+    return p.select("p_partkey", text.display_width(label).alias("width"), F.length(text.pad_right(label, 60)).alias("padded"))
+
+
+def first_line(spark, sf_dir) -> DataFrame:
+    """The first line with text, without its mark and inline marks."""
+    p = corpus.table(spark, sf_dir, "part")
+    t = F.concat(_pick(F.col("p_size"), "", "\n", "  \n\n"), _pick(F.col("p_partkey"), "# ", "  - ", "1. ", "", "### ", "> "), F.lit("*"), F.col("p_type"), F.lit("* `x`\nmore"))
+    return p.select("p_partkey", text.first_line(t).alias("line"))
+
+
+def name_from_path(spark, sf_dir) -> DataFrame:
+    p = corpus.table(spark, sf_dir, "part")
+    path = F.concat(_pick(F.col("p_size"), "/a/b/", "", "C:\\d\\", "x/"), F.lit("n"), F.col("p_partkey").cast("string"), _pick(F.col("p_partkey"), ".md", ".txt", "", ".md.md", "/"))
+    return p.select("p_partkey", text.file_stem(path).alias("name"))
+
+
+def model_label(spark, sf_dir) -> DataFrame:
+    p = corpus.table(spark, sf_dir, "part")
+    name = F.concat(_pick(F.col("p_size"), "vendor-", "", "own-vendor-"), F.lit("m"), _pick(F.col("p_partkey"), "-4-1", "-5", "", "-4-20250101", "-3-5-20240601[1m]", "[x]"))
+    return p.select("p_partkey", text.model_label(name).alias("label"))
+
+
 def _events(spark, sf_dir, event, step: int) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = corpus.table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w))
@@ -205,8 +333,28 @@ _WAIT = f"s.target = {_NAME} AND x.ts < s.due"
 _TO = "CASE WHEN s.st = 'idle' AND x.event = 'start' THEN 'loading' WHEN s.st = 'loading' AND x.event = 'ok' THEN 'done' WHEN s.st = 'loading' AND x.event = 'error' THEN 'failed' WHEN s.st IN ('done', 'failed') AND x.event = 'tick' THEN 'idle' ELSE s.st END"
 _JSON = (None, "{}", '{"sandbox":{"enabled":true}}', '{"sandbox":{"enabled":false}}', '{"sandbox":{"enabled":"yes"}}', "[1]", "{bad", '{"sandbox":3}', '{"a":1,"sandbox":{"b":{"enabled":true}}}', '{"sandbox":{"enabled":1}}', "")
 _HAS = lambda names, ends=(): f"len(list_filter(l, lambda e: e IN {(*names, '')} OR regexp_matches(e, '[.]({'|'.join(ends) or '#'})$'))) > 0"
-QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile, latest_run, status_projection, scan_path_filter, config_tristate, config_precedence, robots_status_gate, candidate_cascade, diff_line_numbers, int_parse_default, session_jst_clock, branch_issue_type, project_detect, review_flags, override_state, ordered_distinct, refresh_schedule, ttl_expiry, reload_state_machine)}
+QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile, latest_run, status_projection, scan_path_filter, config_tristate, config_precedence, robots_status_gate, candidate_cascade, diff_line_numbers, int_parse_default, session_jst_clock, branch_issue_type, project_detect, review_flags, override_state, ordered_distinct, refresh_schedule, ttl_expiry, reload_state_machine,
+    config_scan_classify, findings_failed_reviewers, pr_json_parse, secret_paths, source_fallback, union_flatten, frontmatter_descriptions, robots_rules, git_status_class, lookup_labels, rate_limit_summary, decode_bytes, display_width, first_line, name_from_path, model_label)}
+_GIT = "g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no-git' WHEN o_orderkey % 5 = 0 THEN 'uncommitted' WHEN o_orderkey % 4 = 1 OR o_custkey % 3 > 0 THEN 'unpushed' ELSE 'clean' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN 'b' || o_orderkey END AS branch FROM orders)"
 ORACLES = {
+    "config_scan_classify": "SELECT p_partkey, CASE WHEN p_partkey % 60 = 7 THEN 'user' WHEN p_partkey % 60 IN (SELECT n_nationkey FROM nation) THEN 'current' ELSE 'other' END AS kind FROM part",
+    "findings_failed_reviewers": "SELECT c_custkey AS reviewer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0)",
+    "pr_json_parse": f"SELECT o_orderkey, o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN 'DRAFT' ELSE {_choose('o_orderkey', 'OPEN', 'MERGED', 'CLOSED')} END AS state FROM orders WHERE o_orderkey % 19 <> 0",
+    "secret_paths": f"""WITH n AS (SELECT p_partkey, lower(regexp_extract({_choose('p_partkey', *_SECRET)}, '[^/]+$')) AS n FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(n, '(example|sample|template|dist)$|[.]pub$') THEN NULL WHEN regexp_matches(n, '^[.]env([.].+)?$') THEN 'env' WHEN regexp_matches(n, '[.](pem|key|p12|pfx|jks|keystore)$') THEN 'key' WHEN regexp_matches(n, '^id_(rsa|dsa|ecdsa|ed25519)$') THEN 'ssh'
+  WHEN regexp_matches(n, '^(credentials|secrets?|token)([.].+)?$') THEN 'credentials' WHEN regexp_matches(n, '^[.](npmrc|pypirc|netrc|htpasswd)$') THEN 'config' END AS category FROM n""",
+    "source_fallback": "WITH o AS (SELECT o_custkey % 300 AS change_set, o_orderkey AS file, o_orderkey % 9 = 0 AS staged FROM orders) SELECT change_set, file FROM o WHERE staged OR change_set NOT IN (SELECT change_set FROM o WHERE staged)",
+    "union_flatten": "SELECT o_orderkey, 'even' AS finding FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'third' FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 3 = 0",
+    "frontmatter_descriptions": "SELECT p_partkey, trim(p_type) AS description FROM part WHERE p_partkey % 4 IN (0, 2)",
+    "robots_rules": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id % 5 <> 1 WHEN 1 THEN FALSE ELSE user_id % 5 <> 3 END AS allowed FROM events",
+    "git_status_class": f"WITH {_GIT} SELECT o_orderkey, status, branch FROM g",
+    "lookup_labels": f"WITH {_GIT} SELECT o_orderkey, CASE status WHEN 'clean' THEN 'green' WHEN 'uncommitted' THEN 'yellow' WHEN 'unpushed' THEN 'cyan' ELSE 'gray' END AS color FROM g",
+    "rate_limit_summary": f"WITH o AS (SELECT o_custkey, {_choose('o_orderkey', '5h', '7d', 'x')} AS kind, max(o_orderkey % 1000 / 10.0::DOUBLE) AS used FROM orders GROUP BY ALL) SELECT c_custkey, ord, v.kind || ':' || coalesce(CAST(floor(used + 0.5) AS BIGINT) || '%', '--') AS shown FROM customer CROSS JOIN (VALUES (1, '5h'), (2, '7d')) v(ord, kind) LEFT JOIN o ON o_custkey = c_custkey AND o.kind = v.kind",
+    "decode_bytes": "SELECT doc_id, sha256(CASE doc_id % 9 WHEN 0 THEN '検索' WHEN 2 THEN 'ab' || chr(65533) ELSE text END) AS text_sha256 FROM documents WHERE text IS NOT NULL",
+    "display_width": "WITH w AS (SELECT p_partkey, length(p_type) + ([" + ", ".join(str(n) for _, n in _WIDE) + "])[p_partkey % 8 + 1] AS width, length(p_type) + ([" + ", ".join(str(len(w)) for w, _ in _WIDE) + "])[p_partkey % 8 + 1] AS n FROM part) SELECT p_partkey, CAST(width AS INTEGER) AS width, CAST(n + greatest(60 - width, 0) AS INTEGER) AS padded FROM w",
+    "first_line": "SELECT p_partkey, p_type || ' x' AS line FROM part",
+    "name_from_path": "SELECT p_partkey, 'n' || p_partkey || (['', '.txt', '', '.md', ''])[p_partkey % 5 + 1] AS name FROM part",
+    "model_label": "SELECT p_partkey, (['', '', 'own-vendor-'])[p_size % 3 + 1] || 'm' || (['4.1', '5', '', '4', '3.5', ''])[p_partkey % 6 + 1] AS label FROM part",
     "root_conflicts": """WITH r AS (SELECT p_partkey AS id, '/' || array_to_string((['a' || p_partkey % 5, 'b' || p_partkey % 7, 'c' || p_partkey % 3])[1:p_size % 3 + 1], '/') AS root FROM part WHERE p_partkey <= 400)
 SELECT a.id AS inner_id, count(*) FILTER (a.root = b.root) AS equal, count(*) FILTER (a.root <> b.root) AS inside FROM r a JOIN r b ON a.id <> b.id AND (starts_with(a.root, b.root || '/') OR a.root = b.root AND a.id < b.id) GROUP BY a.id""",
     "settings_drift": "SELECT n_nationkey AS key, lower(n_name) AS value, n_name AS expected FROM nation WHERE n_nationkey % 4 <> 3 AND n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0 AND lower(n_name) <> n_name",
