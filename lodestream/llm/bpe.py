@@ -7,8 +7,10 @@ are compatible if the merge order never joins symbols across their border: the s
 border are followed in merge order along the right side of the one token and the left side of the
 other.
 
-Defined results: a null or empty text has no ids and decodes to ""; repeated rows are kept; other
-columns of the input are ignored.
+Defined results: a null or empty text has no ids and decodes to ""; repeated rows and rows without an
+id are kept; no two tokens can both be the last of a prefix, so there are no ties; a very long text is
+taken alone, a very long word in time linear in its length times the longest token's; an empty table
+gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ so pass two knows every document's offset without moving a document: it cuts at
 borders and returns one record per piece.
 
 Defined results: a null or empty text is the end id alone; documents with equal ids or texts are
-packed once per row; an empty table gives no pieces; other columns of the input are ignored.
+packed once per row; rows without an id too; the order of the corpus is that of the input's parts and
+rows, so ties need none; a very long text is one row of ids and many pieces; an empty table gives no
+pieces; other columns of the input are ignored.
 """
 
 from __future__ import annotations
