@@ -176,7 +176,7 @@ def config_scan_classify(spark, sf_dir) -> DataFrame:
 def findings_failed_reviewers(spark, sf_dir) -> DataFrame:
     """Who was asked and gave no result."""
     asked = corpus.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("reviewer"))
-    done = corpus.table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("reviewer"))
+    done = corpus.table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("reviewer"))
     return asked.join(done, "reviewer", "left_anti")
 
 
@@ -338,7 +338,7 @@ QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile
 _GIT = "g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no-git' WHEN o_orderkey % 5 = 0 THEN 'uncommitted' WHEN o_orderkey % 4 = 1 OR o_custkey % 3 > 0 THEN 'unpushed' ELSE 'clean' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN 'b' || o_orderkey END AS branch FROM orders)"
 ORACLES = {
     "config_scan_classify": "SELECT p_partkey, CASE WHEN p_partkey % 60 = 7 THEN 'user' WHEN p_partkey % 60 IN (SELECT n_nationkey FROM nation) THEN 'current' ELSE 'other' END AS kind FROM part",
-    "findings_failed_reviewers": "SELECT c_custkey AS reviewer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0)",
+    "findings_failed_reviewers": "SELECT c_custkey AS reviewer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)",
     "pr_json_parse": f"SELECT o_orderkey, o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN 'DRAFT' ELSE {_choose('o_orderkey', 'OPEN', 'MERGED', 'CLOSED')} END AS state FROM orders WHERE o_orderkey % 19 <> 0",
     "secret_paths": f"""WITH n AS (SELECT p_partkey, lower(regexp_extract({_choose('p_partkey', *_SECRET)}, '[^/]+$')) AS n FROM part)
 SELECT p_partkey, CASE WHEN regexp_matches(n, '(example|sample|template|dist)$|[.]pub$') THEN NULL WHEN regexp_matches(n, '^[.]env([.].+)?$') THEN 'env' WHEN regexp_matches(n, '[.](pem|key|p12|pfx|jks|keystore)$') THEN 'key' WHEN regexp_matches(n, '^id_(rsa|dsa|ecdsa|ed25519)$') THEN 'ssh'

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,32 +48,45 @@ def changed_at(spark: SparkSession, path: str) -> int:
 
 
 def grams(c, length: int = GRAM):
-    """The distinct grams of a text."""
-    return F.when(F.length(c) >= length, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (length - 1)), lambda i: F.substring(c, i, F.lit(length))))).otherwise(F.array().cast("array<string>"))
+    """The distinct grams of a text, out of its letters, which are split once."""
+    windows = lambda letters: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(letters) - length), lambda i: F.concat(*(letters[i + k] for k in range(length)))))
+    return F.when(F.length(c) >= length, F.element_at(F.transform(F.array(F.split(c, "")), windows), 1)).otherwise(F.array().cast("array<string>"))
 
 
-@dataclass
 class Index:
-    """chunks (with dl, their number of grams), postings (bucket, gram, chunk_id), the grams' chunk counts, and the corpus' own counts."""
+    """chunks (with dl, their number of grams) and stats (n, avgdl), written when the index is built; postings (bucket, gram, chunk_id) and the grams' chunk counts, written when they are first asked for."""
 
-    chunks: DataFrame
-    postings: DataFrame
-    gram_counts: DataFrame
-    stats: DataFrame
+    def __init__(self, chunks: DataFrame, stats: DataFrame):
+        self.chunks, self.stats = chunks, stats
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        spark, path = self.chunks.sparkSession, fresh(self.chunks.sparkSession, "postings")
+
+        def run(batches):
+            for batch in batches:
+                for a in range(0, batch.num_rows, 500):
+                    own = batch.slice(a, 500)
+                    found = [sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) for t in own.column(1).to_pylist()]
+                    ids = np.repeat(own.column(0).to_numpy(), [len(g) for g in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([g for own_grams in found for g in own_grams], pa.string())], ["chunk_id", "gram"])
+
+        posted = self.chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(run, "chunk_id long, gram string")
+        posted = posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
+        posted.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+        return spark.read.parquet(path)
+
+    @cached_property
+    def gram_counts(self) -> DataFrame:
+        return kept(self.postings.groupBy("bucket", "gram").agg(F.count("*").alias("n")), "gram-counts")
 
 
 def build(files: DataFrame) -> Index:
-    """The index of files (file_id, path, text_path, ext, text), written once; nothing else is kept in step with it."""
+    """The index of files (file_id, path, text_path, ext, text); nothing else is kept in step with it."""
     dl = F.greatest(F.length("text") - (GRAM - 1), F.lit(0))
     own = chunks_of(files.select("file_id", "text")).join(files.select("file_id", "path", "text_path", "ext"), "file_id").withColumn("dl", dl)
     chunks = kept(own, "chunks")
-    spark, path = files.sparkSession, fresh(files.sparkSession, "postings")
-    posted = chunks.select("chunk_id", F.explode(grams(F.lower("text"))).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-    posted.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
-    postings = spark.read.parquet(path)
-    counts = kept(postings.groupBy("bucket", "gram").agg(F.count("*").alias("n")), "gram-counts")
-    stats = kept(chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats")
-    return Index(chunks, postings, counts, stats)
+    return Index(chunks, kept(chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats"))
 
 
 _built: dict[tuple, Index] = {}
