@@ -68,9 +68,6 @@ def log_partition_delete(spark, sf_dir):
     return corpus.failures(spark, sf_dir).join(F.broadcast(asked), "dt", "left_anti").groupBy("dt").agg(F.count("*").alias("n"))
 
 
-_CONFIG = [(1, None), (2, "{}"), (3, '{"sandbox":{"enabled":true}}'), (4, '{"sandbox":{"enabled":false}}'), (5, '{"sandbox":{"enabled":"yes"}}'), (6, "[1]"), (7, "{bad"), (8, '{"sandbox":3}')]
-
-
 def config_state(raw):
     """missing, unset, true, false or error of a nested switch."""
     v = F.try_parse_json(raw)
@@ -82,9 +79,6 @@ def config_state(raw):
     )
 
 
-_LAYERS = [(1, 1, "managed", "a.json", "unset"), (1, 1, "managed", "b.json", "true"), (1, 1, "managed", "c.json", "false"), (1, 2, "local", "l", "true"), (2, 2, "local", "l", "missing"), (2, 3, "project", "p", "false"), (2, 4, "user", "u", "true"), (3, 4, "user", "u", "unset")]
-
-
 def findings_grouped(spark, sf_dir):
     """Findings by file and line; lines without a number are a group of their own."""
     l = corpus.table(spark, sf_dir, "lineitem").select(F.format_string("f%04d", "l_suppkey").alias("file"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("line"), F.col("l_returnflag").alias("source"), "l_orderkey")
@@ -100,9 +94,6 @@ def pr_pick_top1(spark, sf_dir):
     return o.groupBy(F.col("o_custkey").alias("branch")).agg(best.alias("b")).select("branch", (-F.col("b.k")).alias("number"), "b.state")
 
 
-_PRS = '[{"number":7,"state":"OPEN","url":"https://github.com/a/b/pull/7","isDraft":true},{"number":9,"state":"MERGED","url":"http://x/9","isDraft":false}]'
-
-
 def match_score(spark, sf_dir):
     """70 % required and 30 % wanted, each the mean of capped ratios, in percent and by bucket."""
     l, p = corpus.table(spark, sf_dir, "lineitem"), corpus.table(spark, sf_dir, "part")
@@ -115,7 +106,6 @@ def match_score(spark, sf_dir):
 _SECRET = ["a/.env", "a/.env.example", "k/server.pem", "id_rsa", "id_rsa.pub", "conf/credentials.json", ".npmrc", "src/main.py"]
 
 
-_BRANCH = ["feature/login/12", "fix/7", "docs/readme", "main", "hotfix/x/99a"]
 # Branch prefixes and the commit type of each.
 TYPES = {"feature": "feat", "fix": "fix", "hotfix": "fix", "docs": "docs", "refactor": "refactor", "test": "test", "chore": "chore"}
 
