@@ -1,6 +1,6 @@
 """The subpackage's registered queries and the SQL of those that SQL can express."""
 
-from . import bpe, flac, licenses, minhash, packing, pii, repair, secrets, topk, toxicity
+from . import bpe, extraction, flac, licenses, minhash, negatives, packing, pii, repair, secrets, spelling, topk, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_media": flac.op8_media,
     "op9_bpe": bpe.op9_bpe,
     "op10_secrets": secrets.op10_secrets,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_extraction": extraction.op13_extraction,
 }
-ORACLE_SQL = {"op2_minhash": minhash.OP2_SQL, "op7_topk": topk.OP7_SQL}
+ORACLE_SQL = {"op2_minhash": minhash.OP2_SQL, "op7_topk": topk.OP7_SQL, "op11_spelling": spelling.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL}

@@ -28,13 +28,13 @@ from . import common
 QUERIES, CANDIDATES, BLOCK_BYTES = 1024, 8192, 8_000_000
 
 
-def quantise(df: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id and v, the components' integers as doubles (which hold them exactly)."""
+def quantise(df: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", extra: tuple[str, ...] = ()) -> DataFrame:
+    """id and v, the components' integers as doubles (which hold them exactly), and `extra` columns."""
     # A double above 2**63 is whole, and floor would cut it to a long.
     floor = lambda y: F.when(F.abs(y) < float(1 << 62), F.floor(y).cast("double")).otherwise(y)
     scaled = F.transform(vector_col, lambda v: v.cast("double") * scale)
     real = F.col(vector_col).isNotNull() & F.forall(scaled, lambda y: y.isNotNull() & ~F.isnan(y) & (F.abs(y) < float("inf")))
-    return df.where(F.col(id_col).isNotNull() & real).select(F.col(id_col).cast("long").alias("id"), F.transform(scaled, floor).alias("v"))
+    return df.where(F.col(id_col).isNotNull() & real).select(F.col(id_col).cast("long").alias("id"), F.transform(scaled, floor).alias("v"), *extra)
 
 
 def blocks(df: DataFrame, size: int, rows: int, name: str) -> DataFrame:
