@@ -62,7 +62,7 @@ def compress(flat: np.ndarray, bounds: np.ndarray, new: int = NEW, least: int =
     last[bounds[1:][np.diff(bounds) > 0] - 1] = True
     full = np.diff(bounds) > 0
     rules, levels = [], []
-    fresh, waiting, table = 0, np.empty(0, key), np.zeros(1 << 20, np.int16)
+    fresh, waiting, table = 0, np.empty(0, key), np.zeros(1 << 20, np.int32)
     while len(seq) > 1 and free < top:
         where = np.flatnonzero(~last[:-1])
         late = where[(seq[where] >= fresh) | (seq[where + 1] >= fresh)] if levels else where

@@ -51,6 +51,17 @@ def test_no_frequent_pair_is_left(new):
     assert max(count.values()) < repair.LEAST
 
 
+def test_many_waiting_pairs():
+    """More pairs wait than a 16-bit place could tell; none that is frequent is left while symbols are free."""
+    flat = np.random.default_rng(4).integers(0, 300, 1_000_000).astype(np.uint32)
+    shard = repair.Shard(repair.compress(flat, np.array([0, len(flat)])))
+    assert (shard.all()[0] == flat).all() and len(shard.rules) < 65_000 - 300
+    seq = shard.seq.astype(np.uint64)
+    _, n = np.unique((seq[:-1] << np.uint64(32)) | seq[1:], return_counts=True)
+    # A chain of one symbol holds half as many occurrences as pairs.
+    assert (n >= 2 * repair.LEAST).sum() == 0 and (n >= repair.LEAST).sum() <= 3
+
+
 def test_one_long_document_and_odd_shards():
     flat = np.full(3_000_000, 7, np.uint32)
     blob = repair.compress(flat, np.array([0, 3_000_000]))
