@@ -1,22 +1,25 @@
 """License scans by conditional compression.
 
-A block is a run of lines around words that license notices use. Each template is a raw zstandard
-dictionary; a block is compressed without and with each, and the templates are ranked by how much
-smaller they make it. All that make the block, or the wording alone, smaller by the least gain are
-confirmed by their exact wording, wherever it begins in the block: the template's words are aligned
-with the words there, and the words that differ are counted; numbers of versions must be the same.
-Of wordings that overlap the one with the fewest differences stays, and what stands between the notices found is
-scanned again in the same way.
+A block is the whole lines around words that license notices use, with as many words before and
+behind as the longest wording can take, whatever breaks, comment marks and empty lines stand between:
+a notice wrapped over many lines is one block. Each template is a raw zstandard dictionary; a block
+is compressed without and with each, and the templates are ranked by how much smaller they make it.
+All that make the block, or the wording alone, smaller by the least gain are confirmed by their exact
+wording, wherever it begins in the block: the template's words are aligned with the words there, and
+the words that differ are counted; numbers of versions must be the same. Of wordings that overlap the
+one with the most words that agree stays, a differing word counting against three of them, and what
+stands between the notices found is scanned again in the same way.
 
 Spans are code points, from the first to the last word of a wording. Defined results: a null or
-empty text has none; equal texts have equal findings; repeated rows are kept; of wordings with equal
-differences the longer, then the one of more gain, then the earlier template stays; a very long line
-is one block, scanned whole; an empty table gives no rows; other columns of the input are ignored.
+empty text has none; equal texts have equal findings; repeated rows are kept; of wordings that are
+equal in this the one with fewer differences, then of more gain, then the earlier template stays; a
+very long line is one block, scanned whole; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
+import itertools
 import math
 import re
 from collections import Counter
@@ -28,47 +31,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .license_texts import TEMPLATES, TEXTS
 
-# Common notices of public licenses.
-TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    "LGPL-2.1": ("This work is licensed under the GNU Lesser General Public License, version 2.1.",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    "BSD-2-Clause": ("Released under the BSD 2-Clause License.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.",),
-    "CC0-1.0": ("Licensed under CC0 1.0.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-}
+__all__ = ["TEMPLATES", "TEXTS", "Scanner", "scan"]
 _TRIGGER = re.compile(r"licen[sc]|permission\x20|redistribut|copyright|spdx|public\x20domain", re.ASCII | re.IGNORECASE)
 _LIKELY = r"(?i)licen[sc]|permission |redistribut|copyright|spdx|public domain"
 _WORD = re.compile(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*")
 #: The least gain and share of words.
 GAIN, SHARE = 0.25, 0.85
-_SHORT = 3
+_SHORT, _LONG = 3, 20
 
 
-def blocks_of(text: str) -> list[tuple[int, int]]:
-    """Spans of the whole lines that may hold a notice; touching ones are joined."""
+def _before(text: str, at: int, floor: int, words: int) -> int:
+    """Where the `words` words before `at` begin, not below floor."""
+    size = 16 * words
+    while True:
+        low = max(floor, at - size)
+        found = [m.start() for m in _WORD.finditer(text, low, at)]
+        if low == floor or len(found) > words:  # the first may be cut
+            return found[-words] if len(found) >= words else low
+        size *= 2
+
+
+def _behind(text: str, at: int, words: int) -> int:
+    """Where the `words` words behind `at` end; `at` may cut one more."""
+    found = [m.end() for m in itertools.islice(_WORD.finditer(text, at), words + 1)]
+    return found[-1] if len(found) > words else len(text)
+
+
+def blocks_of(text: str, reach: int) -> list[tuple[int, int]]:
+    """Spans of the whole lines within `reach` words of a word that notices use; those that meet are joined."""
     out: list[tuple[int, int]] = []
-    at, hit = 0, _TRIGGER.search(text)
+    hit = _TRIGGER.search(text)
     while hit:
-        a, b = text.rfind("\n", at, hit.start()) + 1 or at, text.find("\n", hit.end())
+        first = last = hit
+        # What is nearer than this is surely within reach.
+        while (hit := _TRIGGER.search(text, last.end())) and hit.start() - last.end() < reach:
+            last = hit
+        low = _before(text, first.start(), out[-1][1] if out else 0, reach)
+        a = text.rfind("\n", out[-1][1] if out else 0, low) + 1 or (out[-1][1] if out else 0)
+        b = text.find("\n", _behind(text, last.end(), reach))
         b = len(text) if b < 0 else b
         if out and a <= out[-1][1] + 1:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
-        at, hit = b, _TRIGGER.search(text, b)
+        while hit and hit.end() <= b:
+            # What the block holds already makes it longer.
+            b = text.find("\n", _behind(text, hit.end(), reach))
+            b = len(text) if b < 0 else b
+            out[-1] = (out[-1][0], b)
+            last, hit = hit, _TRIGGER.search(text, hit.end())
     return out
 
 
@@ -80,10 +93,14 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
         self.rows = []
+        self.counts = []
         for name, texts in templates.items():
             for t in texts:
                 own = zstandard.ZstdCompressionDict(t.encode() if len(t) >= 8 else (t * 8).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                self.rows.append((name, t, words(t), zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_dict_id=False)))
+                self.rows.append((name, t, tuple(words(t)), zstandard.ZstdCompressor(level=3, dict_data=own, write_content_size=False, write_dict_id=False)))
+                self.counts.append(Counter(self.rows[-1][2]))
+        # A wording has at most its own length and ten words between.
+        self.reach = max((2 * len(r[2]) + 10 for r in self.rows), default=0)
 
     def gains(self, block: str) -> list[tuple[float, int]]:
         """How much smaller each template makes the block, relative to the template's size, best first."""
@@ -97,8 +114,6 @@ class Scanner:
     def spread(self, i: int, own: list[str]) -> tuple[int, int, int, int] | None:
         """Differing words, agreeing words, first word and end of the template's wording with any number of words between; None if it isn't there."""
         template = self.rows[i][2]
-        if sum((Counter(template) & Counter(own)).values()) < max(_SHORT, SHARE * len(template)):
-            return None
         same = [m for m in difflib.SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
         agree = sum(m.size for m in same)
         if agree < max(_SHORT, SHARE * len(template)):
@@ -117,16 +132,19 @@ class Scanner:
             return []
         # One of these is the first word that agrees.
         first = {w: x for x, w in reversed(list(enumerate(template[: len(template) - least + 1])))}
-        needed, numbers, out, done = Counter(template), {w for w in template if w[0].isdigit()}, [], 0
+        needed, numbers, out, done, sure = self.counts[i], {w for w in template if w[0].isdigit()}, [], 0, 0
         for at, word in enumerate(own):
             x = first.get(word)
             if x is None or at < done or any(w[0].isdigit() for w in template[:x]):
                 continue
             window = own[at : at + 2 * len(template) + 10]
-            if window[: len(template)] == template:
+            if tuple(window[: len(template)]) == template:
                 done = at + len(template)
                 out.append((0, len(template), at, done))
                 continue
+            # Within a wording that differs only a whole one is looked for, and a long one begins where most of its next words follow.
+            if at < sure or len(template) > _LONG and len(set(template[x : x + 8]).intersection(window[:10])) < 5:
+                continue
             if not numbers.issubset(window) or sum((needed & Counter(window)).values()) < least:
                 continue
             # The fewest differences; if these leave out too many words, the fewest words left out.
@@ -134,6 +152,7 @@ class Scanner:
                 found = _align(template, x, window, weight)
                 if found and len(template) - found[0] >= least:
                     out.append((found[0] + found[1], len(template) - found[0], at, at + found[2]))
+                    sure = at + found[2]
                     break
         return out
 
@@ -146,17 +165,19 @@ class Scanner:
             if high - low < _SHORT:
                 continue
             own = [w for w, _, _ in tokens[low:high]]
+            held = Counter(own)
             sure, ranked = [], self.gains(text[tokens[low][1] : tokens[high - 1][2]])
+            likely = {i for i, n in enumerate(self.counts) if sum((n & held).values()) >= SHARE * n.total()}
             for g, i in ranked:
-                for d, n, a, b in self.wordings(i, own):
+                for d, n, a, b in self.wordings(i, own) if i in likely else ():
                     # Among many notices a template may gain little over those like it: then the wording is measured alone.
                     gain = g if g >= GAIN else self.gain(i, text[tokens[low + a][1] : tokens[low + b - 1][2]])
                     if gain >= GAIN:
-                        sure.append((d, -n, -gain, i, a, b))
+                        sure.append((3 * d - n, d, -gain, i, a, b))
             if not sure:
-                sure = sorted((d[0], -d[1], -g, i, *d[2:]) for g, i in ranked if g >= GAIN and (d := self.spread(i, own)))[:1]
+                sure = sorted((3 * d[0] - d[1], d[0], -g, i, *d[2:]) for g, i in ranked if g >= GAIN and i in likely and (d := self.spread(i, own)))[:1]
             taken, at = bytearray(len(own)), []
-            for d, _, g, i, a, b in sorted(sure):
+            for _, d, g, i, a, b in sorted(sure):
                 if not any(taken[a:b]):
                     taken[a:b] = b"\1" * (b - a)
                     at.append((a, b))
@@ -168,7 +189,7 @@ class Scanner:
 
     def find(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
         """Start, end, license, gain and differing words of every confirmed notice."""
-        return [(a + x, a + y, *rest) for a, b in blocks_of(text or "") for x, y, *rest in self.notices(text[a:b])]
+        return [(a + x, a + y, *rest) for a, b in blocks_of(text or "", self.reach) for x, y, *rest in self.notices(text[a:b])]
 
 
 def _align(template: list[str], x: int, window: list[str], weight: int) -> tuple[int, int, int] | None:

@@ -39,7 +39,12 @@ WINDOW, HEX_BITS, MIXED_BITS, LOWER_BITS, UPPER_BITS, BASE64_BITS = 20, 3.0, 3.6
 # Strings that documentation uses in place of secrets.
 ALLOWED = ("EXAMPLE", "example", "XXXX", "xxxx", "0123456789", "abcdefghij", "ABCDEFGHIJ", "deadbeef", "1234567890", "placeholder")
 _UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-_ADDRESS = re.compile(r"(?<![^ \n])(?:https?://|www\.)[^ \n]*")
+_ADDRESS = re.compile(r"(?<![A-Za-z0-9])(?:https?://|www\.)[^\s\"'<>]*")
+#: A part between slashes that is more than a word, and the words of a name.
+_ODD = re.compile(r"[0-9+]|[a-z][A-Z]|[A-Z]{2}")
+_NAMED = re.compile(r"[A-Z]?[a-z]{3,}")
+#: The share of its letters that words have in a name.
+NAME = 0.7
 _ALLOWED = re.compile("|".join(ALLOWED))
 #: Letters before and after an allow-listed string that are suppressed with it: as many as documented keys have.
 REACH = 40
@@ -73,7 +78,8 @@ def _class(upper: int, lower: int, digit: int, odd: int, beyond: int) -> float |
 
 
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Joined windows that count, whatever else is known of their letters."""
+    """The tokens of joined windows that count, but for names, whatever else is known of their letters."""
+    out: list[tuple[int, int]] = []
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         run = m[0]
@@ -105,7 +111,53 @@ def entropy_spans(text: str) -> list[tuple[int, int]]:
                         found[-1] = (found[-1][0], b)
                     else:
                         found.append((a, b))
-    return found
+        # Tokens of the run's windows; those that meet are one.
+        whole: list[tuple[int, int]] = []
+        while found and found[-1][0] >= m.start():
+            whole.append(found.pop())
+        for a, b in reversed(whole):
+            if out and b <= out[-1][1]:
+                continue
+            a, b = grown(text, m.span(), a, b)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+    return [(a, b) for a, b in out if not is_name(text[a:b])]
+
+
+def grown(text: str, run: tuple[int, int], a: int, b: int) -> tuple[int, int]:
+    """The token around text[a:b] in its run of candidate letters."""
+    low, high = run
+    sign = text.rfind("=", low, a) + 1
+    low = max(low, sign)
+    while a > low:
+        cut = text.rfind("/", low, a) + 1 or low
+        if cut == a:  # a slash stands just before
+            before = max(text.rfind("/", low, a - 1) + 1, low)
+            if not _ODD.search(text, before, a - 1):
+                break
+            a = before
+        else:
+            a = cut
+    while b < high and text[b] != "=" and text[b - 1] != "=":
+        ends = [x for x in (text.find("/", b, high), text.find("=", b, high)) if x >= 0]
+        cut = min(ends, default=high)
+        if cut == b:  # a slash stands just behind
+            ends = [x for x in (text.find("/", b + 1, high), text.find("=", b + 1, high)) if x >= 0]
+            cut = min(ends, default=high)
+            if not _ODD.search(text, b + 1, cut):
+                break
+        b = cut
+    for _ in range(2):
+        b += b < high and text[b] == "="
+    return a, b
+
+
+def is_name(part: str) -> bool:
+    """Whether a string in both cases is made of words for the most part, such as a name in a program."""
+    letters = sum(c.isalpha() for c in part)
+    return part.lower() != part and part.upper() != part and sum(len(w) for w in _NAMED.findall(part)) >= NAME * letters
 
 
 def uncovered(spans: list[tuple[int, int]], covers: list[tuple[int, int]]) -> list[tuple[int, int]]:

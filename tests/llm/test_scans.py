@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import time
 from collections import Counter
 
@@ -24,6 +25,7 @@ def brute_spans(text):
     """Every window's entropy from scratch, letter by letter marks in place of spans."""
     base = brute_base(text)
     mark, off = [False] * len(text), [False] * len(text)
+    grow, tokens = [], set()
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         for i in range(m.start(), m.end() - 19):
             w = text[i : i + 20]
@@ -32,6 +34,7 @@ def brute_spans(text):
             least = secrets._class(upper, lower, digit, odd, beyond)
             if least is not None and -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values()) >= least - 1e-12:
                 mark[i : i + 20] = [True] * 20
+                grow.append((m.start(), m.end(), i))
         for x in secrets.ALLOWED:
             for i in range(m.start(), m.end() - len(x) + 1):
                 if text.startswith(x, i):
@@ -39,9 +42,35 @@ def brute_spans(text):
                     off[a:b] = [True] * (b - a)
     for a, b, _ in base:
         off[a:b] = [True] * (b - a)
-    for word in re.finditer(r"[^ \n]+", text):
-        if word[0].startswith(("http://", "https://", "www.")):
-            off[word.start() : word.end()] = [True] * len(word[0])
+    for word in re.finditer(r"[^\s\"'<>]+", text):
+        for i in range(word.start(), word.end()):
+            if text.startswith(("http://", "https://", "www."), i) and not (i and text[i - 1].isascii() and text[i - 1].isalnum()):
+                off[i : word.end()] = [True] * (word.end() - i)
+    # A window's token, letter by letter: what may be passed is any letter but an equals sign, and a slash before an odd part.
+    odd = lambda part: re.search("[0-9+]|[a-z][A-Z]|[A-Z][A-Z]", part) is not None
+    for low, high, i in grow:
+        joined = [j for j in range(low, high) if mark[j]]
+        a, b = i, i + 20
+        while a - 1 in joined:
+            a -= 1
+        while b in joined:
+            b += 1
+        while a > low and text[a - 1] != "=" and (text[a - 1] != "/" or odd(re.split("[/=]", text[low : a - 1])[-1])):
+            a -= 1
+        while b < high and text[b] != "=" and text[b - 1] != "=" and (text[b] != "/" or odd(re.split("[/=]", text[b + 1 : high])[0])):
+            b += 1
+        for _ in range(2):
+            b += b < high and text[b] == "="
+        tokens.add((a, b))
+    mark = [False] * len(text)
+    for a, b in sorted(tokens):
+        mark[a:b] = [True] * (b - a)
+    for on, run in itertools.groupby(range(len(text)), key=mark.__getitem__):
+        run = list(run)
+        part = text[run[0] : run[-1] + 1]
+        words = sum(len(w) for w in re.findall("[A-Z]?[a-z][a-z][a-z]+", part))
+        if on and re.search("[a-z]", part) and re.search("[A-Z]", part) and words >= 0.7 * sum(c.isalpha() for c in part):
+            mark[run[0] : run[-1] + 1] = [False] * len(run)
     for m in re.finditer("-".join(f"[0-9a-fA-F]{{{n}}}" for n in (8, 4, 4, 4, 12)), text):
         off[m.start() : m.end()] = [True] * 36
     more = []
@@ -72,6 +101,7 @@ def test_an_example_takes_its_surroundings_only():
     key = "".join(rnd.choice("ABCDEFGHJKLMabcdefghjklm0123456789") for _ in range(200))
     spans = secrets.spans_of(key + "EXAMPLE" + key)[1]
     assert [(a, b) for a, b, _ in spans] == [(0, 160), (247, 407)]
+    assert secrets.spans_of("(https://example.org/a1B2c3D4e5F6g7H8i9J0k1L2m3) 'www.a.b/Q1w2E3r4T5y6U7i8O9p0'")[1] == []
     assert secrets.spans_of("k wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")[1] == []
     assert secrets.spans_of("https://host/" + "a1B2c3D4/" * 60)[1] == []
     began = time.process_time()
@@ -79,6 +109,22 @@ def test_an_example_takes_its_surroundings_only():
     assert time.process_time() - began < 30
 
 
+def test_whole_tokens_are_told():
+    rnd = random.Random(2)
+    pool = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n: "".join(rnd.choice(pool) for _ in range(n))
+    whole = 0
+    for _ in range(500):
+        key = rnd.choice(["ghp_" + draw(36), "eyJ" + draw(50), "sk-" + draw(40), draw(38) + "==", draw(12) + "+" + draw(9) + "/1" + draw(20)])
+        spans = secrets.spans_of(f"the key is {key}, so")[1]
+        whole += spans == [(11, 11 + len(key), "entropy")]
+        assert all((a, b) == (11, 11 + len(key)) for a, b, _ in spans)
+    assert whole >= 495
+    assert secrets.spans_of("QWxhZGRpbjpvcGVuIHNlc2FtZQ==")[1] == [(0, 28, "entropy")]
+    for name in ("ThisIsALongJavaClassNameWithV2AndMore", "getHttpResponseCodeFor404Pages", "AbstractSingletonProxyFactoryBean2Test"):
+        assert secrets.spans_of(name)[1] == []
+
+
 def test_scans_of_odd_tables(spark):
     rows = [(1, None, "x", 1), (1, "", "x", 1), (None, "Released under the MIT License.", "x", 1), (2, "token=abcdef12 " + "word " * 1_000_000, "x", 1), (2, "token=abcdef12 " + "word " * 1_000_000, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string, findings int")
@@ -109,6 +155,58 @@ def test_licenses_by_brute_force():
         assert [x[:3] for x in scanner.find(text) if not x[4]] == sorted(want), text
 
 
+#: Notices as files hold them, with what must be told of each.
+WHOLE = {
+    "MIT": ("Permission is hereby", "DEALINGS IN THE SOFTWARE"), "BSD-2-Clause": ("Redistribution and use", "POSSIBILITY OF SUCH DAMAGE"), "BSD-3-Clause": ("Redistribution and use", "POSSIBILITY OF SUCH DAMAGE"),
+    "Apache-2.0": ("Licensed under the Apache", "under the License"), "GPL-2.0": ("This program is free", "for more details"), "GPL-3.0": ("This program is free", "for more details"), "AGPL-3.0": ("This program is free", "for more details"),
+    "LGPL-2.1": ("This library is free", "for more details"), "MPL-2.0": ("This Source Code Form", "mozilla.org/MPL/2.0"), "ISC": ("Permission to use", "PERFORMANCE OF THIS SOFTWARE"), "0BSD": ("Permission to use", "PERFORMANCE OF THIS SOFTWARE"),
+    "Zlib": ("This software is provided", "any source distribution"), "MIT-0": ("Permission is hereby", "DEALINGS IN THE SOFTWARE"), "Unlicense": ("This is free", "by any means"), "BSL-1.0": ("Permission is hereby", "subject to the following"),
+}
+
+
+def test_notices_over_many_lines():
+    """Wrapped at several widths, in comments of several languages, indented, in paragraphs and with other text around."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    prose = "The house was cold and the road was long, so that they went on by sea. "
+    for name, (first, last) in WHOLE.items():
+        whole = max(licenses.TEXTS[name], key=len)
+        marked = whole.replace(" Redistributions", "\n\n1. Redistributions").replace(" The above", "\n\nThe above").replace(" THE SOFTWARE IS", "\n\nTHE SOFTWARE IS").replace(" Unless req", "\n\nUnless req")
+        for width in (50, 72, 80):
+            lines = [x for part in marked.split("\n\n") for x in [*textwrap.wrap(part, width), ""]]
+            for mark, before, behind in (("", "", ""), (" * ", "/*\n", "\n */"), ("# ", "#!/bin/sh\n", "\n"), ("// ", "", "\n"), ("    ", "\n\n", ""), (";; ", "", ""), ("> ", "", "")):
+                text = f"{prose * 30}\n{before}Copyright (c) 2021 Jo Doe\n" + "\n".join(mark + x for x in lines) + f"{behind}\n\n{prose * 30}"
+                found = scanner.find(text)
+                assert [x[2] for x in found] == [name], (name, width, mark, found)
+                a, b = found[0][:2]
+                assert text[a:].startswith(first[:10]) and text[:b].endswith(last.split()[-1].split("/")[-1]) and found[0][4] <= 6, (name, text[a:b])
+
+
+def test_blocks_are_all_within_reach():
+    rnd = random.Random(9)
+    for _ in range(400):
+        text = "".join(rnd.choice(["license", "word", "a", "7", "  ", "\n", "\n\n", " ", " ", " * ", "permission ", "x" * 40]) for _ in range(rnd.randint(0, 120)))
+        reach = rnd.randint(1, 9)
+        tokens = [m.span() for m in re.finditer(r"[A-Za-z]+|[0-9]+(?:\.[0-9]+)*", text)]
+        mark = [False] * (len(text) + 1)
+        for m in licenses._TRIGGER.finditer(text):
+            before, behind = [s for s in tokens if s[0] < m.start()][-reach:], [s for s in tokens if s[0] >= m.end()][:reach]
+            a = min([m.start(), *(s[0] for s in before)])
+            b = max([m.end(), *(s[1] for s in behind)])
+            mark[a:b] = [True] * (b - a)
+        blocks = licenses.blocks_of(text, reach)
+        assert all(a <= b for a, b in blocks) and all(x[1] < y[0] for x, y in zip(blocks, blocks[1:], strict=False))
+        assert all(any(a <= i < b for a, b in blocks) for i, x in enumerate(mark) if x), (text, reach, blocks)
+
+
+def test_tags_and_catalogue():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    assert len(licenses.TEXTS) >= 40
+    for name in licenses.TEXTS:
+        assert [x[2] for x in scanner.find(f"x = 1\n# SPDX-License-Identifier: {name}\ny = 2")] == [name]
+    assert all(licenses._TRIGGER.search(t) for texts in licenses.TEMPLATES.values() for t in texts)
+    assert scanner.find("We read a license for the boat, and the permission to sail; all rights were kept.") == []
+
+
 def test_notices_in_a_very_long_line():
     s = licenses.Scanner(licenses.TEMPLATES)
     long = "some words of prose that go on and on " * 20_000
