@@ -28,6 +28,8 @@ from .tokens import Encoder, encoder, vocabulary
 
 _END = "\x00"
 _PAIRS = 1_000_000
+#: Words kept beside them.
+WORDS = 200_000
 #: Bytes of text encoded at a time (a longer text is taken alone).
 PART_BYTES = 6_000_000
 
@@ -138,7 +140,7 @@ _tokens: dict[str, list[str]] = {}
 
 def _coder(path: str) -> Encoder:
     if path not in _coders:
-        _coders[path] = Encoder(path, PrefixCoder(path))
+        _coders[path] = Encoder(path, PrefixCoder(path), WORDS)
     return _coders[path]
 
 

@@ -62,7 +62,7 @@ def compress(flat: np.ndarray, bounds: np.ndarray, new: int = NEW, least: int =
     last[bounds[1:][np.diff(bounds) > 0] - 1] = True
     full = np.diff(bounds) > 0
     rules, levels = [], []
-    fresh, waiting, table = 0, np.empty(0, key), np.zeros(1 << 20, np.int32)
+    fresh, waiting, table, large = 0, np.empty(0, key), np.zeros(1 << 20, np.int16), None
     while len(seq) > 1 and free < top:
         where = np.flatnonzero(~last[:-1])
         late = where[(seq[where] >= fresh) | (seq[where + 1] >= fresh)] if levels else where
@@ -74,10 +74,14 @@ def compress(flat: np.ndarray, bounds: np.ndarray, new: int = NEW, least: int =
             late, pairs = where, value(where)
             old = waiting[np.isin(waiting, found, invert=True)]
             slots, at = np.unique(_slot(old), return_index=True)
-            table[slots] = np.arange(len(at))
-            rule = table[_slot(pairs)]
+            if len(at) > 1 << 15 and large is None:
+                large = np.zeros(1 << 20, np.int32)
+            # Places that 16 bits hold are looked up faster.
+            places = large if len(at) > 1 << 15 else table
+            places[slots] = np.arange(len(at))
+            rule = places[_slot(pairs)]
             n = np.bincount(rule[old[at][rule] == pairs], minlength=len(at)) if len(at) else np.empty(0, np.int64)
-            table[slots] = 0
+            places[slots] = 0
             waiting = np.delete(old, at)
             found, count = np.concatenate([found, old[at][n >= least]]), np.concatenate([count, n[n >= least]])
         if not len(found):

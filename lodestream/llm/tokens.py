@@ -1,8 +1,9 @@
 """Encoding texts with a word-level BPE vocabulary file of the tokenizers library.
 
 A text falls into words that the merges never cross, so ids are kept per word in a bounded
-dictionary and joined. Texts outside Latin-1 go through the library's own normaliser and
-splitter; Latin-1 texts are split by an equal regular expression.
+dictionary and joined. A batch's distinct pieces between white space are split together, as one
+text of lines. Pieces outside Latin-1 go through the library's own normaliser and splitter; Latin-1
+ones are split by an equal regular expression.
 """
 
 from __future__ import annotations
@@ -16,14 +17,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of a worker's dictionaries of pieces between white space and of words; each is emptied when full.
-PIECES, WORDS = 600_000, 200_000
+#: Entries of a worker's dictionary of words, which is emptied when full.
+WORDS = 600_000
 
 # The splitter's pattern for lower-case Latin-1 texts.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
 _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t\n\x0b\x0c\r \u0085 "
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
+_SPLIT, _LINES = re.compile(_PATTERN), re.compile(_PATTERN + "|\n")
+_BEYOND = re.compile("[^\x00-\xff]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -43,7 +46,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self._most:
             self.clear()
-        ids = self._encode(word)
+        ids = self._encode(word) if word != "\n" else b""
         if len(word) < 64:
             self[word] = ids
         return ids
@@ -52,7 +55,7 @@ class _Words(dict):
 class Encoder:
     """encode(text) gives little-endian unsigned 32-bit ids, equal to the library's with add_special_tokens=False."""
 
-    def __init__(self, path: str, word_ids: Callable[[str], list[int]] | None = None):
+    def __init__(self, path: str, word_ids: Callable[[str], list[int]] | None = None, most: int = WORDS):
         from tokenizers import Tokenizer
 
         self.path = path
@@ -70,15 +73,15 @@ class Encoder:
         self._special_re = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if added else None
         self._plain = not any(s.isascii() and s.isalpha() for s in self._special)
         self._model_ids = word_ids or (lambda chars: [t.id for t in self.lib.model.tokenize(chars)])
-        self._words = _Words(self._word, WORDS)
-        self._pieces = _Words(self.encode, PIECES)
+        self._words = _Words(self._word, most)
 
     def chars(self, word: str) -> str:
         # Letters and digits of ASCII stand for themselves.
         return word if word.isascii() and word.isalnum() else "".join(map(self._to_char.__getitem__, word.encode()))
 
     def _word(self, word: str) -> bytes:
-        ids = self._model_ids(self.chars(word))
+        # Letters and digits of ASCII stand for themselves.
+        ids = self._model_ids(word if word.isascii() and word.isalnum() else self.chars(word))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def words(self, text: str) -> list[str]:
@@ -106,10 +109,35 @@ class Encoder:
         out += map(get, self.words(text[at:]))
         return b"".join(out)
 
+    def _odd(self, piece: str) -> bool:
+        return _BEYOND.search(piece) is not None or (self._special_re is not None and self._special_re.search(piece) is not None)
+
+    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces without ASCII white space, joined, and how many each has."""
+        text = "\n".join(pieces)
+        if self._odd(text):
+            # Few pieces are odd; the others are coded together.
+            odd = np.fromiter(map(self._odd, pieces), bool, len(pieces))
+            apart = {i: self.encode(pieces[i]) for i in np.flatnonzero(odd).tolist()}
+            flat, size = self._coded([p for p, x in zip(pieces, odd.tolist(), strict=True) if not x])
+            whole = np.zeros(len(pieces), np.int64)
+            whole[~odd] = size
+            ends = np.cumsum(whole)
+            cuts = [0, *(int(ends[i]) for i in apart), len(flat)]
+            parts = [x for a, b, ids in zip(cuts, cuts[1:], [*apart.values(), b""], strict=False) for x in (flat[a:b], np.frombuffer(ids, "<u4"))]
+            for i, ids in apart.items():
+                whole[i] = len(ids) // 4
+            return np.concatenate(parts), whole
+        # A line break has no ids and ends a piece.
+        ids = list(map(self._words.__getitem__, _LINES.findall(text.lower())))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        ends = np.append(np.cumsum(size)[size == 0], size.sum())
+        return np.frombuffer(b"".join(ids), "<u4"), np.diff(ends, prepend=0)
+
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and where each text begins in it (n + 1 offsets).
 
-        Pieces between ASCII white space are looked up once per batch, as the merges cross none.
+        Distinct pieces between ASCII white space are coded once per batch, as the merges cross none.
         """
         texts = pc.fill_null(texts, "")
         pieces = pc.ascii_split_whitespace(texts)
@@ -118,9 +146,7 @@ class Encoder:
         bounds = bounds - bounds[0]
         if not len(coded):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        ids = list(map(self._pieces.__getitem__, coded.dictionary.to_pylist()))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
+        flat, size = self._coded(coded.dictionary.to_pylist())
         at = coded.indices.to_numpy()
         lengths = size[at]
         ends = np.cumsum(lengths)
