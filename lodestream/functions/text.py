@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Display ranges, colour bounds, project markers, labels and path patterns.
-WIDE = "[\\u1100-\\u115f\\u2e80-\\u303e\\u3041-\\ua4cf\\uac00-\\ud7a3\\uf900-\\ufaff\\ufe30-\\ufe6f\\uff00-\\uff60\\uffe0-\\uffe6]|[\\x{1f300}-\\x{1faff}]|[\\x{20000}-\\x{3fffd}]"
-NARROW = "[\\u0300-\\u036f\\u200b-\\u200f\\ufe00-\\ufe0f]"
+WIDE = "[\\u1100-\\u115f\\u2e80-\\ua4cf\\uac00-\\ud7a3\\uf900-\\ufaff\\ufe30-\\ufe6f\\uff00-\\uff60\\uffe0-\\uffe6]|[\\x{1f300}-\\x{1faff}]"
+NARROW = "[\\u0300-\\u036f\\u200b-\\u200d\\ufe0f]"
 WARN, DANGER = 50, 80
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
@@ -23,10 +25,10 @@ def nonempty_lines(c: Column) -> Column:
 
 
 def first_line(c: Column) -> Column:
-    """The first line with text, without its heading or list mark and without inline marks."""
+    """The first line with text, without its heading or list mark and without double stars, double lines and backticks."""
     line = F.try_element_at(F.filter(F.split(c, "\n", -1), lambda x: x.rlike("(?U)\\S")), F.lit(1))
-    bare = F.regexp_replace(F.trim(line), "^(?:#{1,6}|[-*+>]|[0-9]+[.)])\\s+", "")
-    return F.coalesce(F.trim(F.regexp_replace(bare, "[*_`]", "")), F.lit(""))
+    bare = F.regexp_replace(line, "(?U)^\\s*(?:#+|[-*]|[0-9]+\\.)\\s+", "")
+    return F.coalesce(F.regexp_replace(F.regexp_replace(bare, "\\*\\*|__|`", ""), "(?U)^\\s+|\\s+$", ""), F.lit(""))
 
 
 def display_width(c: Column) -> Column:
@@ -51,14 +53,14 @@ def basename(c: Column) -> Column:
 
 
 def model_label(c: Column, vendor: str = "vendor") -> Column:
-    """A model id without its vendor, bracket and date; the numbers at its end become a version."""
+    """A model id without its vendor, bracket and date; the numbers at its end become a version. The patterns are fixed values."""
     for pattern, new in ((f"^{vendor}-", ""), ("\\[[^\\[\\]]*\\]$", ""), ("-[0-9]{8}$", ""), ("-([0-9]+)-([0-9]+)$", "$1.$2"), ("-([0-9]+)$", "$1")):
         c = F.regexp_replace(c, pattern, new)
     return c
 
 
 def tool_version(tool: Column, printed: Column) -> Column:
-    """The version out of what a tool prints; each tool has its own form, and a text of another form gives none."""
+    """The version out of what a tool prints; each tool has its own form (fixed values), and a text of another form gives none."""
     trimmed = F.regexp_replace(printed, "^\\s+|\\s+$", "")
     second = F.coalesce(F.try_element_at(F.split(trimmed, "\\s+"), F.lit(2)), F.lit(""))
     first_line = F.regexp_replace(F.element_at(F.split(printed, "\n"), 1), "^(?:Terraform|OpenTofu) ", "")
@@ -99,14 +101,23 @@ def rounded(c: Column) -> Column:
 
 
 def git_status(code: Column, out: Column) -> Column:
-    ahead = F.coalesce(F.regexp_extract(out, "(?m)^# branch\\.ab \\+([0-9]+)", 1).try_cast("int"), F.lit(0))
-    return F.when(code != 0, "no-git").when(out.rlike("(?m)^[^#\\s]"), "uncommitted").when((ahead > 0) | ~out.rlike("(?m)^# branch\\.upstream "), "unpushed").otherwise("clean")
+    """What a status of lines and branch headers says: commits to push stand before changes; a first commit or a detached head has nothing to push."""
+    header = lambda key: F.coalesce(branch_header(out, key), F.lit(""))
+    nothing = (header("oid") == "(initial)") | (header("head") == "(detached)")
+    unpushed = ~nothing & (branch_header(out, "upstream").isNull() | header("ab").rlike("^\\+[1-9]"))
+    return F.when(code != 0, "no-git").when(unpushed, "unpushed").when(out.rlike("(?m)^[^#\n]"), "uncommitted").otherwise("clean")
 
 
 def branch_header(out: Column, key: str) -> Column:
     return F.nullif(F.regexp_extract(out, f"(?m)^# branch\\.{key} (.*)$", 1), F.lit(""))
 
 
+def branch_name(code: Column, out: Column) -> Column:
+    """The branch; empty without git and on a detached head."""
+    head = F.coalesce(branch_header(out, "head"), F.lit(""))
+    return F.when((code != 0) | (head == "(detached)"), "").otherwise(head)
+
+
 def issue_number(branch: Column) -> Column:
     return F.nullif(F.regexp_extract(branch, "(?:^|/)([0-9]+)$", 1), F.lit(""))
 
@@ -137,14 +148,30 @@ def size_guard(text: Column, most: int = 200_000, force: bool = False) -> Column
     return F.when((F.length(text) > most) & ~F.lit(force), "error").otherwise("ok")
 
 
+# Classes of paths that may hold secrets, with the patterns of each, in their order; * is any text without a slash.
+SECRETS = {
+    "env": (".env*", ".envrc", ".dev.vars"),
+    "key": ("*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "*.keystore", "id_rsa", "id_ecdsa", "id_ed25519"),
+    "credentials": ("credentials", "credentials.json", "client_secret*.json", "service-account*.json", "*secret*.json", "secrets.yml", "secrets.yaml"),
+    "tool": (".npmrc", ".pypirc", ".netrc", ".pgpass", ".my.cnf", ".aws/credentials", ".ssh/**"),
+    "infra": ("*.tfvars", "*.tfstate", "*.tfstate.backup"),
+}
+#: Samples and public keys.
+NO_SECRETS = ("*.example", "*.sample", "*.template", "*.pub")
+
+
+def path_pattern(*patterns: str) -> str:
+    """One regular expression for paths whose end fits a pattern; ** is all below a folder."""
+    own = [re.escape(p).replace(r"\*\*", ".+").replace(r"\*", "[^/]*") for p in patterns]
+    return f"(?i)(?:^|/)(?:{'|'.join(own)})$"
+
+
 def secret_path(path: Column) -> Column:
     """The class of a path that may hold secrets, or null; samples and public keys are exempt."""
-    name = F.lower(basename(path))
-    exempt = name.rlike("(example|sample|template|dist)$|\\.pub$")
-    return (
-        F.when(exempt, F.lit(None)).when(name.rlike("^\\.env(\\..+)?$"), "env").when(name.rlike("\\.(pem|key|p12|pfx|jks|keystore)$"), "key")
-        .when(name.rlike("^id_(rsa|dsa|ecdsa|ed25519)$"), "ssh").when(name.rlike("^(credentials|secrets?|token)(\\..+)?$"), "credentials").when(name.rlike("^\\.(npmrc|pypirc|netrc|htpasswd)$"), "config")
-    )
+    out = F.when(path.rlike(path_pattern(*NO_SECRETS)), F.lit(None))
+    for kind, patterns in SECRETS.items():
+        out = out.when(path.rlike(path_pattern(*patterns)), kind)
+    return out
 
 
 def jst_window(day: Column) -> tuple[Column, Column]:

@@ -11,7 +11,10 @@ from . import logs
 
 # The folder of a tool's settings, its files, folders that a scan passes over and the depth it stops at.
 FOLDER, NAMES, ONWARD = ".tool", ("settings.json", "settings.local.json"), "worktrees"
-PRUNED = ("node_modules", ".git", ".cache", "venv", "target")
+PRUNED = (
+    "node_modules", ".git", "Library", ".cache", ".Trash", ".npm", ".cargo", ".rustup", ".pyenv", ".venv", "venv", "__pycache__", ".next", ".nuxt", "dist", "build", ".terraform", ".gradle", ".m2",
+    "Pictures", "Movies", "Music", ".bun", ".vscode-server", ".vscode", ".nvm", ".deno", ".pnpm-store", ".yarn", ".local", "go", "site-packages", ".tox", "target", "vendor", f"{FOLDER}-server-commander",
+)
 DEPTH = 8
 # Names below the users' folder that are no users.
 NO_USERS = ("Default", "Default User", "Public", "All Users", "desktop.ini")
@@ -29,11 +32,15 @@ def config_tree(paths: DataFrame, home: str) -> DataFrame:
     return paths.where(F.col("path").startswith(home + "/") & F.element_at(parts, -1).isin(*NAMES) & (n > 0) & (n < DEPTH) & at(n).eqNullSafe(FOLDER) & ok)
 
 
+#: Folder names of the paths below: the settings folder often, each pruned name once.
+POOL = ("a", FOLDER, ONWARD, "b", FOLDER, ONWARD, "c", FOLDER, ONWARD, "src", FOLDER, ONWARD, "d", "e", ONWARD, "f", FOLDER, "g", "h", "i", "lib", "docs", *PRUNED, "j", "k", "dist2", "goo", "Music2")
+
+
 def _paths(spark, sf_dir) -> DataFrame:
     """Paths made of the parts' columns, with contents."""
     p = corpus.table(spark, sf_dir, "part")
-    pool = F.array(*map(F.lit, ("a", "node_modules", FOLDER, ONWARD, "b", "c", FOLDER, ONWARD, "src", "d", ONWARD)))
-    folder = lambda i: F.element_at(pool, (F.pmod(F.floor(F.col("p_partkey") / (i * i + 1)) + i * F.col("p_size"), F.lit(11)) + 1).cast("int"))
+    pool = F.array(*map(F.lit, POOL))
+    folder = lambda i: F.element_at(pool, (F.pmod(F.floor(F.col("p_partkey") / (i * i + 1)) + i * F.col("p_size"), F.lit(len(POOL))) + 1).cast("int"))
     many = F.array(*(folder(i) for i in range(1, 10)))
     n = (F.pmod("p_partkey", F.lit(9))).cast("int")
     last = F.when(F.pmod("p_size", F.lit(3)) == 0, NAMES[1]).otherwise(NAMES[0])
@@ -134,14 +141,14 @@ def _findings(spark, sf_dir) -> DataFrame:
 
 
 def findings_ordered(spark, sf_dir) -> DataFrame:
-    """The first 100 findings: files in the order of a locale (letters before case), then lines, those without a number last."""
+    """Findings in order, with the line before each: files in the order of a locale (letters before case), then lines, those without a number last."""
     g = _findings(spark, sf_dir).groupBy("file", "line").agg(F.count("*").alias("n"))
-    order = [F.collate("file", "UNICODE"), F.asc_nulls_last("line")]
-    return g.orderBy(*order).limit(100).withColumn("place", F.row_number().over(Window.orderBy(*order))).select("place", "file", "line", "n")
+    before = F.lag(F.coalesce(F.col("line"), F.lit(-1))).over(Window.partitionBy("file").orderBy(F.asc_nulls_last("line")))
+    return g.withColumn("line_before", before).orderBy(F.collate("file", "UNICODE"), F.asc_nulls_last("line"))
 
 
 _RAW = """'{"z":1,"sandbox":{"mode":"x","enabled":' || CASE p_size % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'false' WHEN 2 THEN '"yes"' ELSE 'null' END || '}}'"""
-_P = f"""f AS (SELECT p_partkey, p_size, list_transform(range(1, 10), lambda i: (['a', 'node_modules', '{FOLDER}', '{ONWARD}', 'b', 'c', '{FOLDER}', '{ONWARD}', 'src', 'd', '{ONWARD}'])[(CAST(floor(p_partkey / (i * i + 1)) AS BIGINT) + i * p_size) % 11 + 1])[1:p_partkey % 9] || ['{FOLDER}'] AS l,
+_P = f"""f AS (SELECT p_partkey, p_size, list_transform(range(1, 10), lambda i: ({list(POOL)})[(CAST(floor(p_partkey / (i * i + 1)) AS BIGINT) + i * p_size) % {len(POOL)} + 1])[1:p_partkey % 9] || ['{FOLDER}'] AS l,
   CASE WHEN p_size % 3 = 0 THEN '{NAMES[1]}' ELSE '{NAMES[0]}' END AS name, {_RAW} AS raw FROM part),
 t AS (SELECT *, '/home/u/' || array_to_string(l, '/') || '/' || name AS path FROM f WHERE len(l) < {DEPTH}
   AND len(list_filter(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND l[i - 1] = '{FOLDER}' THEN l[i] <> '{ONWARD}' ELSE l[i] IN {PRUNED} END)) = 0)"""
@@ -158,5 +165,5 @@ SELECT c.base, c.sources, j.state, j.name AS decided_by FROM (SELECT base, count
     "pretty_json": """SELECT n_nationkey, replace('{|  "id" : ' || n_nationkey || ',|  "name" : "' || n_name || ' é"|}', '|', chr(10)) AS json FROM nation""",
     "untracked_guard": "SELECT o_custkey AS change_set, count(*) AS n, CASE WHEN count(*) > 20 THEN 'abort' ELSE 'go' END AS verdict FROM orders GROUP BY o_custkey",
     "findings_nested": f"WITH {_FIND} SELECT file, line, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(l_orderkey || ':' || l_returnflag || '-' || l_linestatus, ',' ORDER BY l_orderkey, l_linenumber, l_returnflag || '-' || l_linestatus)) AS items_sha256 FROM g GROUP BY file, line",
-    "findings_ordered": f"WITH {_FIND} SELECT CAST(row_number() OVER (ORDER BY lower(file), file DESC, line NULLS LAST) AS INTEGER) AS place, file, line, count(*) AS n FROM g GROUP BY file, line ORDER BY place LIMIT 100",
+    "findings_ordered": f"WITH {_FIND} SELECT file, line, count(*) AS n, lag(coalesce(line, -1)) OVER (PARTITION BY file ORDER BY line NULLS LAST) AS line_before FROM g GROUP BY file, line",
 }

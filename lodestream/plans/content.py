@@ -57,9 +57,6 @@ def path_basename(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("file_id", text.basename(F.col("path")).alias("name"))
 
 
-_GIT = [(1, 128, ""), (2, 0, "# branch.head main\n# branch.upstream o/main\n# branch.ab +0 -0"), (3, 0, "# branch.head dev\n# branch.upstream o/dev\n# branch.ab +2 -0"), (4, 0, "# branch.head x\n1 .M N... a.py"), (5, 0, "# branch.head new")]
-
-
 def level_color(spark, sf_dir):
     e = corpus.table(spark, sf_dir, "events").select("event_id", F.col("value").alias("v"))
     return e.select("event_id", text.rounded(F.col("v")).alias("shown"), text.level(F.col("v")).alias("color"))
@@ -92,10 +89,10 @@ def dedup_first_seen(spark, sf_dir):
 
 
 def turn_assignment(spark, sf_dir):
-    """Each event's turn: the last sign-up or purchase of its user so far."""
+    """Each event's group: the turn that runs (the last sign-up or purchase of its user so far), or itself before the first."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     start = F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_id"))
-    return _events(spark, sf_dir).select("event_id", F.last(start, True).over(w).alias("turn_id"))
+    return _events(spark, sf_dir).select("event_id", F.coalesce(F.last(start, True).over(w), "event_id").alias("turn_id"))
 
 
 def key_change_detection(spark, sf_dir):
@@ -127,7 +124,7 @@ SELECT doc_id, CASE WHEN t <> '' THEN 1 ELSE 0 END + k, (['table', 'code'])[k +
     "latest_value_state": f"WITH {_E} SELECT user_id, value FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "ring_buffer_last2": f"WITH {_E}, r AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS back, event_id FROM e) SELECT * FROM r WHERE back <= 2",
     "dedup_first_seen": f"WITH {_E} SELECT user_id, event_type, event_id FROM e QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
-    "turn_assignment": f"WITH {_E} SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn_id FROM e",
+    "turn_assignment": f"WITH {_E} SELECT event_id, coalesce(last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), event_id) AS turn_id FROM e",
     "key_change_detection": f"WITH {_E}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM e) SELECT user_id, count(*) AS changes FROM l WHERE b IS NULL OR b <> event_type GROUP BY user_id",
     "fold_groups": "SELECT conv_id, CAST(sum(n) AS BIGINT) AS lines, sum(n) > 1 AS foldable FROM (SELECT conv_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS n FROM conversations) GROUP BY conv_id",
 }

@@ -89,7 +89,8 @@ def root_status_counts(spark, sf_dir):
 def root_overview(spark, sf_dir):
     per = root_status_counts(spark, sf_dir)
     total = _status(spark, sf_dir).agg(F.count("*").alias("total_files"))
-    roots = spark.range(21).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("source"))
+    # Every root there is, and one that has no file yet.
+    roots = corpus.table(spark, sf_dir, "documents").select("source").distinct().unionByName(spark.createDataFrame([("none yet",)], "source string"))
     rows = roots.join(per, "source", "left").crossJoin(F.broadcast(total))
     return rows.select("source", F.coalesce("indexed", F.lit(0)).alias("indexed"), "total_files")
 
@@ -127,7 +128,7 @@ ORACLES = {
     "content_hash_dedup": "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "sidecar_orphans": "WITH f AS (SELECT doc_id, substr(sha256(text), 1, 2) || '/' || sha256(text) || '.txt' AS text_path FROM documents WHERE lang NOT IN ('en', 'fr')) SELECT DISTINCT text_path FROM f WHERE text_path NOT IN (SELECT text_path FROM f WHERE doc_id % 4 <> 0)",
     "root_status_counts": f"WITH {_ST} SELECT source, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM s GROUP BY source",
-    "root_overview": f"WITH {_ST}, r AS (SELECT 'src' || i AS source FROM range(21) t(i)) SELECT r.source, count(s.file_id) FILTER (status = 'indexed') AS indexed, (SELECT count(*) FROM s) AS total_files FROM r LEFT JOIN s USING (source) GROUP BY r.source",
+    "root_overview": f"WITH {_ST}, r AS (SELECT DISTINCT source FROM documents UNION ALL SELECT 'none yet') SELECT r.source, count(s.file_id) FILTER (status = 'indexed') AS indexed, (SELECT count(*) FROM s) AS total_files FROM r LEFT JOIN s USING (source) GROUP BY r.source",
     "root_strict_lookup": "SELECT q AS source, q IN (SELECT source FROM documents) AS known FROM (VALUES ('src1'), ('src3'), ('nowhere')) v(q)",
     "corpus_counts": "SELECT (SELECT count(*) FROM documents) AS files, (SELECT count(*) FROM embeddings) AS vectors",
     "bounded_count": "SELECT count(*) AS n FROM (SELECT doc_id FROM documents LIMIT 50)",

@@ -45,12 +45,9 @@ def session_jsonl_sizes(spark, sf_dir) -> DataFrame:
 
 
 def session_timeline(spark, sf_dir) -> DataFrame:
-    """The 50 first sessions by their start, with their place."""
-    from pyspark.sql import Window
-
+    """All sessions by their start."""
     s = corpus.sessions(spark, sf_dir).groupBy("file", "project").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    top = s.orderBy("start_ts", "file").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy("start_ts", "file")))
+    return s.orderBy("start_ts", "file")
 
 
 _RECORD = "event_id long, tool_name string, pattern string"
@@ -97,7 +94,7 @@ g AS (SELECT file, min(at1) AS start, max(at1) AS "end", min_by(json_extract_str
   FROM v WHERE at1 >= '2024-01-01T15:00:00.000Z' AND at1 < '2024-01-02T15:00:00.000Z' GROUP BY file)
 SELECT file, start, "end", regexp_extract(cwd, '[^/]+$') AS project FROM g WHERE a AND b""",
     "session_jsonl_sizes": f"WITH {_S} SELECT file, CAST(sum(1 + CASE WHEN damaged THEN 20 ELSE strlen(line) END) AS BIGINT) AS size, count(*) AS lines FROM l GROUP BY file HAVING size >= 700",
-    "session_timeline": f"WITH {_S} SELECT file, project, min(ts) AS start_ts, max(ts) AS end_ts, CAST(row_number() OVER (ORDER BY min(ts), file) AS INTEGER) AS place FROM s GROUP BY file, project ORDER BY start_ts, file LIMIT 50",
+    "session_timeline": f"WITH {_S} SELECT file, project, min(ts) AS start_ts, max(ts) AS end_ts FROM s GROUP BY file, project",
     "failure_log_period": f"WITH {_F} SELECT dt, tool_name, count(*) AS n FROM f WHERE dt BETWEEN '20240121' AND '20240127' GROUP BY ALL",
     "failure_log_delete": f"WITH {_F} SELECT dt, count(*) AS n FROM f WHERE dt <> '20240103' GROUP BY dt",
     "failure_log_stream": f"WITH {_F} SELECT dt, tool_name, count(*) AS n, min(event_id) AS first_id FROM f GROUP BY ALL",

@@ -103,11 +103,8 @@ def match_score(spark, sf_dir):
     return per.select("l_suppkey", percent.alias("percent"), F.when(percent >= 90, "A").when(percent >= 70, "B").when(percent >= 50, "C").otherwise("D").alias("bucket"))
 
 
-_SECRET = ["a/.env", "a/.env.example", "k/server.pem", "id_rsa", "id_rsa.pub", "conf/credentials.json", ".npmrc", "src/main.py"]
-
-
 # Branch prefixes and the commit type of each.
-TYPES = {"feature": "feat", "fix": "fix", "hotfix": "fix", "docs": "docs", "refactor": "refactor", "test": "test", "chore": "chore"}
+TYPES = {"feature": "feat", "bug": "fix"}
 
 
 _S = "s AS (SELECT conv_id AS file, 1704067200 + conv_id * 3600 + turn * 60 AS ts, 'p' || (conv_id % 7) AS project, role AS type, text FROM conversations)"

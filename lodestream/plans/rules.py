@@ -17,20 +17,21 @@ def _pick(c, *values):
 
 
 def _roots(spark, sf_dir) -> DataFrame:
-    p = corpus.table(spark, sf_dir, "part").where("p_partkey <= 400")
+    p = corpus.table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     whole = F.array(F.concat(F.lit("a"), (key % 5).cast("string")), F.concat(F.lit("b"), (key % 7).cast("string")), F.concat(F.lit("c"), (key % 3).cast("string")))
     return p.select(key.alias("id"), F.concat(F.lit("/"), F.array_join(F.slice(whole, 1, (F.col("p_size") % 3 + 1).cast("int")), "/")).alias("root"))
 
 
 def root_conflicts(spark, sf_dir) -> DataFrame:
-    """Roots that equal another or lie within one: a root's own path and those above it are joined, no pairs are compared."""
+    """Roots that equal others or lie within some, and how many: roots are counted first, then the paths above each distinct root look their counts up, so that no pairs are compared."""
     r = _roots(spark, sf_dir)
+    count = r.groupBy("root").agg(F.count("*").alias("n"))
     part = F.split("root", "/")
-    above = r.select(F.col("id").alias("inner_id"), F.explode(F.transform(F.sequence(F.lit(2), F.size(part)), lambda n: F.array_join(F.slice(part, 1, n), "/"))).alias("root"))
-    hit = above.join(r, "root").where("inner_id <> id").join(r.select(F.col("id").alias("inner_id"), F.col("root").alias("inner_root")), "inner_id")
-    same = F.col("inner_root") == F.col("root")
-    return hit.where(~same | (F.col("inner_id") < F.col("id"))).groupBy("inner_id").agg(F.count_if(same).alias("equal"), F.count_if(~same).alias("inside"))
+    above = count.select(F.col("root").alias("inner"), F.explode(F.transform(F.sequence(F.lit(1), F.size(part) - 1), lambda n: F.array_join(F.slice(part, 1, n), "/"))).alias("root"))
+    inside = above.join(count, "root").groupBy(F.col("inner").alias("root")).agg(F.sum("n").alias("inside"))
+    both = count.join(inside, "root", "left").select("root", (F.col("n") - 1).alias("equal"), F.coalesce("inside", F.lit(0)).alias("inside")).where("equal > 0 OR inside > 0")
+    return r.join(both, "root").select(F.col("id").alias("inner_id"), "equal", "inside")
 
 
 def settings_drift(spark, sf_dir) -> DataFrame:
@@ -69,8 +70,8 @@ def scan_path_filter(spark, sf_dir) -> DataFrame:
     """Paths that a scan takes: no excluded or hidden folder on the way, a supported ending in any case."""
     p = corpus.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    folder = _pick(k, "a", ".git", "node_modules", "b", "dist2", "dist", ".x", "src")
-    name = F.concat(F.lit("f"), k.cast("string"), _pick(F.col("p_size"), ".md", ".PDF", ".exe", ".docx", "", ".Txt", ".tar.csv"))
+    folder = _pick(k, "a", ".git", "node_modules", "Library", "dist2", "dist", ".x", "System", "AppData", "Applications", "src")
+    name = F.concat(F.lit("f"), k.cast("string"), _pick(F.col("p_size"), ".md", ".PDF", ".exe", ".docx", "", ".Txt", ".tar.csv", ".TEXT", ".rst"))
     paths = p.select(F.concat_ws("/", F.when(k % 9 == 0, "/elsewhere").otherwise("/r"), folder, _pick(F.col("p_size"), "c", "target", "d"), name).alias("path"))
     return files.keep(paths, "/r").select("path", "ext")
 
@@ -97,12 +98,15 @@ def robots_status_gate(spark, sf_dir) -> DataFrame:
 
 
 def candidate_cascade(spark, sf_dir) -> DataFrame:
-    """For each question: candidates that answer, in the ranker's order (else in their own), the first verified of three wins; all others are counted."""
+    """For each question: candidates that answer, in the ranker's order (else in their own), are verified one by one, three at most, until one passes; what was verified and the other candidates are told, also where none passes."""
     l = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("url"), (F.col("l_suppkey") % 3 != 0).alias("answers"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey") % 11).alias("ranked"), (F.col("l_returnflag") != "R").alias("verified"))
     w = Window.partitionBy("question").orderBy(F.coalesce("ranked", "pos"), "pos", "url", "answers", "verified")
-    top = l.where("answers").withColumn("r", F.row_number().over(w)).where("r <= 3 AND verified").groupBy("question").agg(F.min_by("pos", "r").alias("winner"), F.min_by("url", "r").alias("url"))
-    n = l.groupBy("question").agg(F.count("*").alias("n"))
-    return top.join(n, "question").select("question", "winner", "url", (F.col("n") - 1).alias("others"))
+    tried = l.where("answers").withColumn("r", F.row_number().over(w)).where("r <= 3").groupBy("question").agg(F.min(F.when(F.col("verified"), F.col("r"))).alias("best"), F.array_sort(F.collect_list(F.struct("r", "pos", "url"))).alias("asked"))
+    tried = tried.select("question", F.slice("asked", 1, F.coalesce("best", F.lit(3))).alias("asked"), F.when(F.col("best").isNotNull(), F.element_at("asked", F.col("best"))).alias("won"))
+    every = l.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("every"))
+    others = F.filter("every", lambda x: F.col("won").isNull() | (x["pos"] != F.col("won.pos")))
+    urls = lambda a: F.array_join(F.transform(a, lambda x: x["url"].cast("string")), ",")
+    return every.join(tried, "question", "left").select("question", F.col("won.pos").alias("winner"), F.col("won.url").alias("url"), F.coalesce(urls("asked"), F.lit("")).alias("verified"), urls(others).alias("others"))
 
 
 def diff_line_numbers(spark, sf_dir) -> DataFrame:
@@ -129,7 +133,7 @@ def session_jst_clock(spark, sf_dir) -> DataFrame:
 
 def branch_issue_type(spark, sf_dir) -> DataFrame:
     o = corpus.table(spark, sf_dir, "orders")
-    branch = F.concat(_pick(F.col("o_custkey"), "feature/", "fix/", "docs/", "", "hotfix/x/", "chore/", "other/"), F.col("o_orderkey").cast("string"), _pick(F.col("o_orderkey"), "", "", "a"))
+    branch = F.concat(_pick(F.col("o_custkey"), "feature/", "bug/", "docs/", "", "bug/x/", "features/", "Feature/"), F.col("o_orderkey").cast("string"), _pick(F.col("o_orderkey"), "", "", "a"))
     kinds = spark.createDataFrame(list(logs.TYPES.items()), "prefix string, type string")
     b = o.select("o_orderkey", branch.alias("branch")).withColumn("prefix", F.regexp_extract("branch", "^([^/]+)/", 1))
     return b.join(F.broadcast(kinds), "prefix", "left").select("o_orderkey", "type", text.issue_number(F.col("branch")).alias("issue"))
@@ -191,13 +195,22 @@ def pr_json_parse(spark, sf_dir) -> DataFrame:
     return p.where(F.col("p.url").startswith("https://git.example/")).select("o_orderkey", "p.number", F.when((F.col("p.state") == "OPEN") & F.col("p.isDraft"), "DRAFT").otherwise(F.col("p.state")).alias("state"))
 
 
-_SECRET = ("a/.env", "a/.ENV.local", ".env.example", "k/server.pem", "k/store.JKS", "id_rsa", "id_ed25519.pub", "conf/credentials.json", "secrets", "token.txt", ".npmrc", "x/.htpasswd", "src/main.py", "keyboard", "a.env")
+_SECRET = (
+    "a/.env", "a/.ENV.local", ".env.example", ".envrc", ".env-x", "b/.dev.vars", ".env.sample", "k/server.pem", "k/store.JKS", "id_rsa", "id_dsa", "id_ed25519.pub", "conf/credentials.json", "credentials", "credentials.yml", "client_secret_7.json",
+    "service-account.json", "my-secret-x.json", "secrets.yaml", "secrets", "token.txt", ".npmrc", ".pgpass", ".my.cnf", ".aws/credentials", ".aws/config", ".ssh/known_hosts", ".ssh/a/b.pub", "x/.htpasswd", "prod.tfvars", "x.tfstate",
+    "x.tfstate.backup", "x.tfstate.bak", "src/main.py", "keyboard", "a.env", "envrc", "c/.ssh", "id_rsa.template",
+)
 
 
 def secret_paths(spark, sf_dir) -> DataFrame:
+    """The class of paths that may hold secrets, by a table of patterns; the first class in its order counts."""
     p = corpus.table(spark, sf_dir, "part")
     path = F.concat((F.col("p_size") % 5).cast("string"), F.lit("/"), _pick(F.col("p_partkey"), *_SECRET))
-    return p.select("p_partkey", text.secret_path(path).alias("category"))
+    own = p.select("p_partkey", path.alias("path"))
+    patterns = spark.createDataFrame([(i, k, text.path_pattern(*x)) for i, (k, x) in enumerate(text.SECRETS.items())], "ord int, category string, pattern string")
+    bare = own.where(~F.col("path").rlike(text.path_pattern(*text.NO_SECRETS)))
+    hit = bare.join(F.broadcast(patterns), F.expr("path RLIKE pattern")).groupBy("p_partkey").agg(F.min_by("category", "ord").alias("category"))
+    return own.join(hit, "p_partkey", "left").select("p_partkey", "category")
 
 
 def source_fallback(spark, sf_dir) -> DataFrame:
@@ -237,9 +250,11 @@ def robots_rules(spark, sf_dir) -> DataFrame:
 def git_status_class(spark, sf_dir) -> DataFrame:
     o = corpus.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    out = F.concat(F.lit("# branch.head b"), k.cast("string"), F.when(k % 4 != 1, F.lit("\n# branch.upstream o/b")).otherwise(""), F.when(k % 4 != 1, F.concat(F.lit("\n# branch.ab +"), (F.col("o_custkey") % 3).cast("string"), F.lit(" -0"))).otherwise(""), F.when(k % 5 == 0, F.lit("\n1 .M N... a.py")).otherwise(""))
+    head = F.when(k % 7 == 3, "(detached)").otherwise(F.concat(F.lit("b"), k.cast("string")))
+    behind = F.concat(F.lit("\n# branch.ab +"), (F.col("o_custkey") % 3 * 10).cast("string"), F.lit(" -4"))
+    out = F.concat(F.lit("# branch.oid "), F.when(k % 13 == 5, "(initial)").otherwise("04dbebab"), F.lit("\n# branch.head "), head, F.when(k % 4 != 1, F.concat(F.lit("\n# branch.upstream o/b"), behind)).otherwise(""), F.when(k % 5 == 0, F.lit("\n1 .M N... a.py")).when(k % 5 == 1, F.lit("\n? new file\n")).otherwise(""))
     code = F.when(k % 11 == 0, 128).otherwise(0)
-    return o.select("o_orderkey", text.git_status(code, out).alias("status"), F.when(code == 0, text.branch_header(out, "head")).alias("branch"))
+    return o.select("o_orderkey", text.git_status(code, out).alias("status"), text.branch_name(code, out).alias("branch"))
 
 
 def lookup_labels(spark, sf_dir) -> DataFrame:
@@ -265,7 +280,7 @@ def decode_bytes(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.sha2(documents.decoded(raw), 256).alias("text_sha256"))
 
 
-_WIDE = (("日本語", 6), ("é", 1), ("e\u0301", 1), ("ｱｲ", 2), ("\U0001f600x", 3), ("", 0), ("한글", 4), ("a\u200bb", 2))
+_WIDE = (("日本語", 6), ("é", 1), ("e\u0301", 1), ("ｱｲ", 2), ("\U0001f600x", 3), ("", 0), ("한글", 4), ("a\u200bb", 2), ("\u303f\u3040", 4), ("\U00020000", 1), ("\u200e", 1), ("\ufe00\ufe0f", 1))
 
 
 def display_width(spark, sf_dir) -> DataFrame:
@@ -275,10 +290,10 @@ def display_width(spark, sf_dir) -> DataFrame:
 
 
 def first_line(spark, sf_dir) -> DataFrame:
-    """The first line with text, without its mark and inline marks."""
-    p = corpus.table(spark, sf_dir, "part")
-    t = F.concat(_pick(F.col("p_size"), "", "\n", "  \n\n"), _pick(F.col("p_partkey"), "# ", "  - ", "1. ", "", "### ", "> "), F.lit("*"), F.col("p_type"), F.lit("* `x`\nmore"))
-    return p.select("p_partkey", text.first_line(t).alias("line"))
+    """The first line with text of each document behind a mark, without the mark and inline marks."""
+    d = corpus.table(spark, sf_dir, "documents")
+    t = F.concat(_pick(F.col("doc_id"), "", "\n", "  \n\t\n"), _pick(F.floor(F.col("doc_id") / 3), "# ", "  - ", "1. ", "", "####### ", "> ", "* ", "+ ", "1) ", "**a__b_c** ", "-"), F.col("text"))
+    return d.select("doc_id", text.first_line(t).alias("line"))
 
 
 def name_from_path(spark, sf_dir) -> DataFrame:
@@ -335,14 +350,16 @@ _JSON = (None, "{}", '{"sandbox":{"enabled":true}}', '{"sandbox":{"enabled":fals
 _HAS = lambda names, ends=(): f"len(list_filter(l, lambda e: e IN {(*names, '')} OR regexp_matches(e, '[.]({'|'.join(ends) or '#'})$'))) > 0"
 QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile, latest_run, status_projection, scan_path_filter, config_tristate, config_precedence, robots_status_gate, candidate_cascade, diff_line_numbers, int_parse_default, session_jst_clock, branch_issue_type, project_detect, review_flags, override_state, ordered_distinct, refresh_schedule, ttl_expiry, reload_state_machine,
     config_scan_classify, findings_failed_reviewers, pr_json_parse, secret_paths, source_fallback, union_flatten, frontmatter_descriptions, robots_rules, git_status_class, lookup_labels, rate_limit_summary, decode_bytes, display_width, first_line, name_from_path, model_label)}
-_GIT = "g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no-git' WHEN o_orderkey % 5 = 0 THEN 'uncommitted' WHEN o_orderkey % 4 = 1 OR o_custkey % 3 > 0 THEN 'unpushed' ELSE 'clean' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN 'b' || o_orderkey END AS branch FROM orders)"
+_GIT = """g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no-git' WHEN NOT (o_orderkey % 13 = 5 OR o_orderkey % 7 = 3) AND (o_orderkey % 4 = 1 OR o_custkey % 3 > 0) THEN 'unpushed' WHEN o_orderkey % 5 IN (0, 1) THEN 'uncommitted' ELSE 'clean' END AS status,
+  CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 3 THEN '' ELSE 'b' || o_orderkey END AS branch FROM orders)"""
 ORACLES = {
     "config_scan_classify": "SELECT p_partkey, CASE WHEN p_partkey % 60 = 7 THEN 'user' WHEN p_partkey % 60 IN (SELECT n_nationkey FROM nation) THEN 'current' ELSE 'other' END AS kind FROM part",
     "findings_failed_reviewers": "SELECT c_custkey AS reviewer FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)",
     "pr_json_parse": f"SELECT o_orderkey, o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 4 = 0 THEN 'DRAFT' ELSE {_choose('o_orderkey', 'OPEN', 'MERGED', 'CLOSED')} END AS state FROM orders WHERE o_orderkey % 19 <> 0",
-    "secret_paths": f"""WITH n AS (SELECT p_partkey, lower(regexp_extract({_choose('p_partkey', *_SECRET)}, '[^/]+$')) AS n FROM part)
-SELECT p_partkey, CASE WHEN regexp_matches(n, '(example|sample|template|dist)$|[.]pub$') THEN NULL WHEN regexp_matches(n, '^[.]env([.].+)?$') THEN 'env' WHEN regexp_matches(n, '[.](pem|key|p12|pfx|jks|keystore)$') THEN 'key' WHEN regexp_matches(n, '^id_(rsa|dsa|ecdsa|ed25519)$') THEN 'ssh'
-  WHEN regexp_matches(n, '^(credentials|secrets?|token)([.].+)?$') THEN 'credentials' WHEN regexp_matches(n, '^[.](npmrc|pypirc|netrc|htpasswd)$') THEN 'config' END AS category FROM n""",
+    "secret_paths": f"""WITH n AS (SELECT p_partkey, lower((p_size % 5) || '/' || {_choose('p_partkey', *_SECRET)}) AS p FROM part), b AS (SELECT *, split_part(p, '/', -1) AS n FROM n)
+SELECT p_partkey, CASE WHEN n LIKE '%.example' OR n LIKE '%.sample' OR n LIKE '%.template' OR n LIKE '%.pub' THEN NULL WHEN n LIKE '.env%' OR n = '.dev.vars' THEN 'env' WHEN split_part(n, '.', -1) IN ('pem', 'key', 'p12', 'pfx', 'jks', 'keystore') AND contains(n, '.') OR n IN ('id_rsa', 'id_ecdsa', 'id_ed25519') THEN 'key'
+  WHEN n IN ('credentials', 'credentials.json', 'secrets.yml', 'secrets.yaml') OR n LIKE '%.json' AND (starts_with(n, 'service-account') OR contains(n, 'secret')) THEN 'credentials'
+  WHEN n IN ('.npmrc', '.pypirc', '.netrc', '.pgpass', '.my.cnf') OR p LIKE '%/.ssh/%' THEN 'tool' WHEN n LIKE '%.tfvars' OR n LIKE '%.tfstate' OR n LIKE '%.tfstate.backup' THEN 'infra' END AS category FROM b""",
     "source_fallback": "WITH o AS (SELECT o_custkey % 300 AS change_set, o_orderkey AS file, o_orderkey % 9 = 0 AS staged FROM orders) SELECT change_set, file FROM o WHERE staged OR change_set NOT IN (SELECT change_set FROM o WHERE staged)",
     "union_flatten": "SELECT o_orderkey, 'even' AS finding FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'third' FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 3 = 0",
     "frontmatter_descriptions": "SELECT p_partkey, trim(p_type) AS description FROM part WHERE p_partkey % 4 IN (0, 2)",
@@ -351,18 +368,21 @@ SELECT p_partkey, CASE WHEN regexp_matches(n, '(example|sample|template|dist)$|[
     "lookup_labels": f"WITH {_GIT} SELECT o_orderkey, CASE status WHEN 'clean' THEN 'green' WHEN 'uncommitted' THEN 'yellow' WHEN 'unpushed' THEN 'cyan' ELSE 'gray' END AS color FROM g",
     "rate_limit_summary": f"WITH o AS (SELECT o_custkey, {_choose('o_orderkey', '5h', '7d', 'x')} AS kind, max(o_orderkey % 1000 / 10.0::DOUBLE) AS used FROM orders GROUP BY ALL) SELECT c_custkey, ord, v.kind || ':' || coalesce(CAST(floor(used + 0.5) AS BIGINT) || '%', '--') AS shown FROM customer CROSS JOIN (VALUES (1, '5h'), (2, '7d')) v(ord, kind) LEFT JOIN o ON o_custkey = c_custkey AND o.kind = v.kind",
     "decode_bytes": "SELECT doc_id, sha256(CASE doc_id % 9 WHEN 0 THEN '検索' WHEN 2 THEN 'ab' || chr(65533) ELSE text END) AS text_sha256 FROM documents WHERE text IS NOT NULL",
-    "display_width": "WITH w AS (SELECT p_partkey, length(p_type) + ([" + ", ".join(str(n) for _, n in _WIDE) + "])[p_partkey % 8 + 1] AS width, length(p_type) + ([" + ", ".join(str(len(w)) for w, _ in _WIDE) + "])[p_partkey % 8 + 1] AS n FROM part) SELECT p_partkey, CAST(width AS INTEGER) AS width, CAST(n + greatest(60 - width, 0) AS INTEGER) AS padded FROM w",
-    "first_line": "SELECT p_partkey, p_type || ' x' AS line FROM part",
+    "display_width": "WITH w AS (SELECT p_partkey, length(p_type) + ([" + ", ".join(str(n) for _, n in _WIDE) + "])[p_partkey % 12 + 1] AS width, length(p_type) + ([" + ", ".join(str(len(w)) for w, _ in _WIDE) + "])[p_partkey % 12 + 1] AS n FROM part) SELECT p_partkey, CAST(width AS INTEGER) AS width, CAST(n + greatest(60 - width, 0) AS INTEGER) AS padded FROM w",
+    "first_line": f"""WITH t AS (SELECT doc_id, {_choose('doc_id // 3', '', '', '', '', '', '> ', '', '+ ', '1) ', '**a__b_c** ', '-')} AS mark, {_choose('doc_id // 3', '# ', '  - ', '1. ', '', '####### ', '> ', '* ', '+ ', '1) ', '**a__b_c** ', '-')} AS full_mark, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, list_filter(string_split(full_mark || text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{{0b}}\\x{{a0}}]'))[1] AS l FROM t)
+SELECT doc_id, coalesce(regexp_replace(replace(replace(replace(regexp_replace(l, '^\\s*(#+|[-*]|\\d+[.])\\s+', ''), '**', ''), '__', ''), '`', ''), '^\\s+|\\s+$', '', 'g'), '') AS line FROM l RIGHT JOIN documents USING (doc_id)""",
     "name_from_path": "SELECT p_partkey, 'n' || p_partkey || (['', '.txt', '', '.md', ''])[p_partkey % 5 + 1] AS name FROM part",
     "model_label": "SELECT p_partkey, (['', '', 'own-vendor-'])[p_size % 3 + 1] || 'm' || (['4.1', '5', '', '4', '3.5', ''])[p_partkey % 6 + 1] AS label FROM part",
-    "root_conflicts": """WITH r AS (SELECT p_partkey AS id, '/' || array_to_string((['a' || p_partkey % 5, 'b' || p_partkey % 7, 'c' || p_partkey % 3])[1:p_size % 3 + 1], '/') AS root FROM part WHERE p_partkey <= 400)
-SELECT a.id AS inner_id, count(*) FILTER (a.root = b.root) AS equal, count(*) FILTER (a.root <> b.root) AS inside FROM r a JOIN r b ON a.id <> b.id AND (starts_with(a.root, b.root || '/') OR a.root = b.root AND a.id < b.id) GROUP BY a.id""",
+    "root_conflicts": """WITH r AS (SELECT p_partkey AS id, '/' || array_to_string((['a' || p_partkey % 5, 'b' || p_partkey % 7, 'c' || p_partkey % 3])[1:p_size % 3 + 1], '/') AS root FROM part),
+d AS (SELECT root, count(*) AS n FROM r GROUP BY root), g AS (SELECT a.root, a.n - 1 AS equal, coalesce((SELECT sum(b.n) FROM d b WHERE starts_with(a.root, b.root || '/')), 0) AS inside FROM d a)
+SELECT id AS inner_id, equal, CAST(inside AS BIGINT) AS inside FROM r JOIN g USING (root) WHERE equal > 0 OR inside > 0""",
     "settings_drift": "SELECT n_nationkey AS key, lower(n_name) AS value, n_name AS expected FROM nation WHERE n_nationkey % 4 <> 3 AND n_nationkey % 5 <> 0 AND n_nationkey % 3 = 0 AND lower(n_name) <> n_name",
     "run_reconcile": f"WITH {_RUN} SELECT run_id, mode, CASE WHEN state IN ('running', 'preparing_model') THEN 'interrupted' ELSE state END AS state FROM r",
     "latest_run": f"WITH {_RUN} SELECT root_id, run_id, mode, state FROM r QUALIFY row_number() OVER (PARTITION BY root_id ORDER BY run_id DESC) = 1",
     "status_projection": f"WITH {_RUN} SELECT run_id, CASE WHEN run_id % 6 = 1 THEN 'running' ELSE state END AS state, CASE WHEN run_id % 6 = 1 THEN scanned + 7 ELSE scanned END AS scanned, CASE WHEN run_id % 6 = 1 AND run_id % 4 = 1 THEN 9 ELSE failed END AS failed FROM r",
-    "scan_path_filter": f"""WITH p AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN '/elsewhere' ELSE '/r' END || '/' || {_choose('p_partkey', 'a', '.git', 'node_modules', 'b', 'dist2', 'dist', '.x', 'src')} || '/' || {_choose('p_size', 'c', 'target', 'd')} || '/f' || p_partkey || {_choose('p_size', '.md', '.PDF', '.exe', '.docx', '', '.Txt', '.tar.csv')} AS path FROM part)
-SELECT path, lower(regexp_extract(path, '[.][^./]+$')) AS ext FROM p WHERE path LIKE '/r/%' AND NOT regexp_matches(path, '/([.][^/]*|node_modules|__pycache__|venv|dist|build|target|vendor|site-packages)/') AND regexp_matches(lower(path), '[.](md|txt|markdown|rst|csv|pdf|docx|pptx)$')""",
+    "scan_path_filter": f"""WITH p AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN '/elsewhere' ELSE '/r' END || '/' || {_choose('p_partkey', 'a', '.git', 'node_modules', 'Library', 'dist2', 'dist', '.x', 'System', 'AppData', 'Applications', 'src')} || '/' || {_choose('p_size', 'c', 'target', 'd')} || '/f' || p_partkey || {_choose('p_size', '.md', '.PDF', '.exe', '.docx', '', '.Txt', '.tar.csv', '.TEXT', '.rst')} AS path FROM part)
+SELECT path, lower(regexp_extract(path, '[.][^./]+$')) AS ext FROM p WHERE path LIKE '/r/%' AND NOT regexp_matches(path, '/([.][^/]*|node_modules|venv|__pycache__|site-packages|Library|AppData|Applications|System)/') AND regexp_matches(lower(path), '[.](md|markdown|txt|text|rst|pdf|docx|pptx)$')""",
     "config_tristate": f"""WITH p AS (SELECT p_partkey, {_choose('p_size + p_partkey', *_JSON)} AS raw FROM part), v AS (SELECT p_partkey, raw, CASE WHEN json_valid(raw) THEN raw END AS j FROM p)
 SELECT p_partkey, CASE WHEN raw IS NULL THEN 'missing' WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN 'error' WHEN json_type(j, '$.sandbox') IS NULL THEN 'unset' WHEN json_type(j, '$.sandbox') <> 'OBJECT' THEN 'error'
   WHEN json_type(j, '$.sandbox.enabled') IS NULL THEN 'unset' WHEN json_type(j, '$.sandbox.enabled') = 'BOOLEAN' THEN json_extract_string(j, '$.sandbox.enabled') ELSE 'error' END AS state FROM v""",
@@ -371,14 +391,15 @@ d AS (SELECT * FROM l WHERE state IN ('true', 'false') QUALIFY row_number() OVER
 SELECT a.site, coalesce(d.state, 'false') AS effective, d.layer AS decided_by FROM (SELECT DISTINCT site FROM l) a LEFT JOIN d USING (site)""",
     "robots_status_gate": "SELECT event_id, CASE WHEN event_id % 400 IN (201, 203) THEN 'deny' WHEN event_id % 400 BETWEEN 200 AND 299 THEN 'allow' ELSE 'parse' END AS gate FROM events",
     "candidate_cascade": """WITH l AS (SELECT l_orderkey AS question, l_linenumber AS pos, l_partkey AS url, l_suppkey % 3 <> 0 AS answers, CASE WHEN l_orderkey % 2 = 0 THEN l_partkey % 11 END AS ranked, l_returnflag <> 'R' AS verified FROM lineitem),
-t AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY coalesce(ranked, pos), pos, url, answers, verified) AS r FROM l WHERE answers), w AS (SELECT * FROM t WHERE r <= 3 AND verified QUALIFY row_number() OVER (PARTITION BY question ORDER BY r) = 1)
-SELECT question, w.pos AS winner, url, (SELECT count(*) FROM l WHERE l.question = w.question) - 1 AS others FROM w""",
+t AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY coalesce(ranked, pos), pos, url, answers, verified) AS r FROM l WHERE answers QUALIFY r <= 3), b AS (SELECT question, min(r) AS best FROM t WHERE verified GROUP BY question),
+v AS (SELECT question, string_agg(url, ',' ORDER BY r) AS verified, max(pos) FILTER (r = best) AS winner, max(url) FILTER (r = best) AS url FROM t LEFT JOIN b USING (question) WHERE r <= coalesce(best, 3) GROUP BY question)
+SELECT question, winner, v.url, coalesce(verified, '') AS verified, coalesce((SELECT string_agg(l.url, ',' ORDER BY l.pos, l.url) FROM l WHERE l.question = q.question AND (winner IS NULL OR l.pos <> winner)), '') AS others FROM (SELECT DISTINCT question FROM l) q LEFT JOIN v USING (question)""",
     "diff_line_numbers": f"""WITH l AS (SELECT l_suppkey AS file, l_orderkey * 8 + l_linenumber AS n, l_partkey AS part, l_linenumber = 1 AS head, l_orderkey % 90 AS start, {_choose('l_partkey', ' a', '-b', '+c')} <> '-b' AND l_linenumber <> 1 AS counts FROM lineitem),
 h AS (SELECT *, sum(head::INT) OVER (PARTITION BY file ORDER BY n, part ROWS UNBOUNDED PRECEDING) AS hunk FROM l),
 c AS (SELECT *, first_value(start) OVER w + sum(counts::INT) OVER w - 1 AS line_no FROM h WHERE hunk > 0 WINDOW w AS (PARTITION BY file, hunk ORDER BY n, part ROWS UNBOUNDED PRECEDING)) SELECT file, n, CAST(line_no AS BIGINT) AS line_no FROM c WHERE counts""",
     "int_parse_default": f"WITH p AS (SELECT p_partkey, {_choose('p_partkey', '', '  ', '-', '+', 'x', '')} || p_size || {_choose('p_partkey', '', 'abc', '.5', '12345678901', ' 3', '9' * 20)} AS x FROM part), v AS (SELECT p_partkey, try_cast(regexp_extract(x, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) AS n FROM p) SELECT p_partkey, CASE WHEN n >= 1 THEN n ELSE 10 END AS value FROM v",
     "session_jst_clock": "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'soon' ELSE strftime(ts + INTERVAL 9 HOUR, '%H:%M') END AS clock FROM events",
-    "branch_issue_type": f"WITH b AS (SELECT o_orderkey, {_choose('o_custkey', 'feature/', 'fix/', 'docs/', '', 'hotfix/x/', 'chore/', 'other/')} || o_orderkey || {_choose('o_orderkey', '', '', 'a')} AS branch FROM orders) SELECT o_orderkey, CASE split_part(branch, '/', 1) WHEN 'feature' THEN 'feat' WHEN 'fix' THEN 'fix' WHEN 'hotfix' THEN 'fix' WHEN 'docs' THEN 'docs' WHEN 'chore' THEN 'chore' END AS type, CASE WHEN regexp_matches(branch, '(^|/)[0-9]+$') THEN regexp_extract(branch, '[0-9]+$') END AS issue FROM b",
+    "branch_issue_type": f"WITH b AS (SELECT o_orderkey, {_choose('o_custkey', 'feature/', 'bug/', 'docs/', '', 'bug/x/', 'features/', 'Feature/')} || o_orderkey || {_choose('o_orderkey', '', '', 'a')} AS branch FROM orders) SELECT o_orderkey, CASE WHEN starts_with(branch, 'feature/') THEN 'feat' WHEN starts_with(branch, 'bug/') THEN 'fix' END AS type, CASE WHEN regexp_matches(branch, '(^|/)[0-9]+$') THEN regexp_extract(branch, '[0-9]+$') END AS issue FROM b",
     "project_detect": f"""WITH d AS (SELECT p_partkey, [{_choose('p_partkey', 'package.json', 'readme', 'main.ts', 'go.mod', 'x.py', 'Cargo.toml', 'main.tf', 'node_modules/', '.terraform/', 'Godeps/', 'lib.rs', 'bunfig.toml', 'setup.py')}, {_choose('p_size', 'a.txt', 'bun.lock', 'deno.json', 'esy.lock/', 'b.go', 'state.tfstate')}] AS l FROM part)
 SELECT p_partkey, {_HAS(['package.json', 'node_modules/'], ['ts'])} AND NOT ({_HAS(['bunfig.toml', 'bun.lock', 'deno.json', 'esy.lock/'])}) AS node, p_partkey % 17 = 0 OR {_HAS(['setup.py'], ['py'])} AS python, {_HAS(['Cargo.toml'], ['rs'])} AS rust, {_HAS(['go.mod', 'Godeps/'], ['go'])} AS go, {_HAS(['bun.lock', 'bunfig.toml'])} AS bun, {_HAS(['.terraform/'], ['tf', 'tfstate'])} AS terraform FROM d""",
     "review_flags": f"WITH o AS (SELECT o_orderkey, [{_choose('o_custkey', 'lint', 'test', 'docs')}, {_choose('o_orderkey', 'test', 'lint', 'none', 'docs')}] AS d FROM orders) SELECT o_orderkey, ord, label, list_contains(d, label) AS done FROM o, (VALUES (1, 'lint'), (2, 'test'), (3, 'docs')) v(ord, label)",

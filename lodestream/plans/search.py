@@ -20,7 +20,7 @@ def query_vector(spark, sf_dir) -> list[float]:
 
 def _fulltext(query: str, **options):
     def run(spark, sf_dir):
-        return lexical.fulltext(chunks(spark, sf_dir), query, **options).drop("bm25")
+        return lexical.search(corpus.index(spark, sf_dir), query, **options).drop("bm25")
 
     return run
 
@@ -39,16 +39,17 @@ def _count(p: str) -> str:
     return f"(length({t}) - length(replace({t}, '{p}', ''))) // {len(p)}"
 
 
-def _bm25_sql(phrases: list[str], keep: str, every: bool = True, rows: str = _FILES, limit: int = 10, gate: str = "") -> str:
+def _bm25_sql(phrases: list[str], keep: str, every: bool = True, rows: str = _FILES, limit: int = 10, note: str | None = None) -> str:
     n = range(len(phrases))
     terms = " + ".join(f"(CASE WHEN ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) END) * f{i} * 2.2::DOUBLE / (f{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))" for i in n)
+    note_sql = f"'{note}'" if note else "CAST(NULL AS VARCHAR)"
     hit = (" AND " if every else " OR ").join(f"f{i} > 0" for i in n)
     return f"""WITH RECURSIVE {rows},
 t AS (SELECT *, greatest(length(text) - 2, 0) AS dl, {', '.join(f"{_count(p)} AS f{i}" for i, p in enumerate(phrases))} FROM c),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (f{i} > 0) AS df{i}' for i in n)} FROM t),
-b AS (SELECT chunk_id, path, text_path, ext, start_line, end_line, -({terms}) AS bm25 FROM t, s WHERE ({hit}) AND {keep} {gate} ORDER BY bm25, chunk_id LIMIT {limit})
-SELECT CAST(row_number() OVER (ORDER BY bm25, chunk_id) AS INTEGER) AS rank, chunk_id, path, text_path, ext, start_line, end_line, count(*) OVER () AS total_candidates, CAST(NULL AS VARCHAR) AS note,
-  round(CASE WHEN min(bm25) OVER () = max(bm25) OVER () THEN 1.0::DOUBLE ELSE (max(bm25) OVER () - bm25) / (max(bm25) OVER () - min(bm25) OVER ()) END, 6) AS score FROM b"""
+best AS (SELECT chunk_id, path, text_path, ext, start_line, end_line, -({terms}) AS bm25 FROM t, s WHERE ({hit}) AND {keep} ORDER BY bm25, chunk_id LIMIT {limit})
+SELECT CAST(row_number() OVER (ORDER BY bm25, chunk_id) AS INTEGER) AS rank, chunk_id, path, text_path, ext, start_line, end_line, count(*) OVER () AS total_candidates, {note_sql} AS note,
+  round(CASE WHEN min(bm25) OVER () = max(bm25) OVER () THEN 1.0::DOUBLE ELSE (max(bm25) OVER () - bm25) / (max(bm25) OVER () - min(bm25) OVER ()) END, 6) AS score FROM best"""
 
 
 _CJK_ROWS = [(1, "検索エンジンの設計"), (2, "全文検索と索引"), (3, "天気予報"), (4, "search engine"), (5, "検索エンジン最適化")]
@@ -87,7 +88,7 @@ def semantic_search(spark, sf_dir, limit=10):
 
 def hybrid(spark, sf_dir, query="erat", limit=10, semantic=True):
     n = fusion.pool(limit)
-    lists = {"fts": lexical.fulltext(chunks(spark, sf_dir), query, n).select("chunk_id", "rank")}
+    lists = {"fts": lexical.search(corpus.index(spark, sf_dir), query, n).select("chunk_id", "rank")}
     if semantic:
         lists["vector"] = _knn(n)(spark, sf_dir).select("chunk_id", "rank")
     return lists, limit
@@ -172,7 +173,7 @@ ORACLES = {
     "fulltext_extensions": _bm25_sql(["ent"], "ext IN ('.txt', '.pdf')"),
     "fulltext_mixed_short": _bm25_sql(["erat"], _SHORT("wh")),
     "fulltext_all_short": f"WITH RECURSIVE {_FILES}, b AS (SELECT * FROM c WHERE {_SHORT('wh')} AND {_SHORT('é')} ORDER BY chunk_id LIMIT 10) SELECT CAST(row_number() OVER (ORDER BY chunk_id) AS INTEGER) AS rank, chunk_id, path, text_path, ext, start_line, end_line, count(*) OVER () AS total_candidates, '{lexical.SHORT_NOTE}' AS note, 1.0::DOUBLE AS score FROM b",
-    "fulltext_relaxed_or": _bm25_sql(["erat", "zzzznone"], "TRUE", every=False),
+    "fulltext_relaxed_or": _bm25_sql(["erat", "zzzznone"], "TRUE", every=False, note=lexical.RELAXED_NOTE),
     "fulltext_relaxed_cjk": _bm25_sql(sorted({"検索エ", "索エン", "エンジ", "ンジン", "ジン技", "ン技術"}), "TRUE", every=False, rows=_CJK_SQL),
     "fulltext_empty": _bm25_sql(["zzzznone"], "TRUE"),
     "fulltext_overlap": _bm25_sql(["ana"], "TRUE"),

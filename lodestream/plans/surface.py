@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from ..functions import html, text
 from ..operators import encoders, vector
 from ..sources import corpus
+from . import build
 from .search import _FILES
 
 
 def encoder_search(spark, sf_dir) -> DataFrame:
-    """The ten chunks nearest to a query, both encoded by a pluggable encoder."""
-    rows = corpus.chunks(spark, sf_dir).select("chunk_id", "path", "start_line", encoders.encoded(F.col("text"), encoders.LetterEncoder).alias("embedding"))
+    """The ten chunks nearest to a query, both encoded by a pluggable encoder, the chunks once, when the index is built."""
     query = encoders.query_vector("the night sea", encoders.LetterEncoder())
-    near = vector.nearest(rows.where(vector.norm(F.col("embedding")) > 0), query, 10)
+    near = vector.nearest_stored(_indexed(spark, sf_dir), query, 10)
     return near.select("rank", "chunk_id", "path", "start_line", F.round(vector.similarity(F.col("distance")), 4).alias("score"))
 
 
+def _indexed(spark, sf_dir):
+    return corpus.index(spark, sf_dir, build.encoding(encoders.LetterEncoder))
+
+
+def semantic_batch(spark, sf_dir) -> DataFrame:
+    """The five chunks nearest to each benchmark text, all texts at once against the stored vectors."""
+    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), encoders.encoded(F.col("text"), encoders.LetterEncoder).alias("embedding"))
+    return vector.nearest_batch(_indexed(spark, sf_dir).snapshot.vectors(spark), asked.where(vector.norm(F.col("embedding")) > 0), 5)
+
+
 def agent_answers(spark, sf_dir) -> DataFrame:
-    """An agent's structured answers; those that are no JSON are null."""
-    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("prompt"))
+    """An agent's structured answers to whole texts; those that are no JSON are null."""
+    d = corpus.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
     out = encoders.judged(d, F.col("prompt"), encoders.letters_judge, "answers boolean, confidence int")
     return out.select("doc_id", "answer.answers", "answer.confidence")
 
@@ -81,9 +91,13 @@ def turn_lifecycle(spark, sf_dir) -> DataFrame:
 
 
 def turn_notices(spark, sf_dir) -> DataFrame:
-    """What is shown after each event: tools of the running turn, agents' rows while it runs, notices unless a turn has ended and none runs."""
-    t = turn_lifecycle(spark, sf_dir)
-    return t.select("event_id", (F.col("tools") > 0).alias("tool_group_shown"), F.col("running").alias("agent_row_shown"), (~F.col("has_ended") | F.col("running")).alias("notice_shown"))
+    """What is shown after each event, which draws one of its user's five agent rows: tools of the running turn, the row while a turn runs unless it was drawn before an end, notices unless a turn has ended and none runs."""
+    e = corpus.table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts"), "event_type", (F.floor("value") % 5).alias("row"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumn("n", F.row_number().over(w))
+    e = e.withColumn("ended", F.last(F.when(F.col("event_type") == "purchase", F.col("n")), True).over(w)).withColumn("drawn", F.min("n").over(Window.partitionBy("user_id", "row")))
+    t = turn_lifecycle(spark, sf_dir).join(e.select("event_id", F.coalesce(F.col("drawn") < F.col("ended"), F.lit(False)).alias("old")), "event_id")
+    return t.select("event_id", (F.col("tools") > 0).alias("tool_group_shown"), (F.col("running") & ~F.col("old")).alias("agent_row_shown"), (~F.col("has_ended") | F.col("running")).alias("notice_shown"))
 
 
 def reset_clock(spark, sf_dir) -> DataFrame:
@@ -140,23 +154,29 @@ def tool_versions(spark, sf_dir) -> DataFrame:
 
 
 _LETTERS = ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
+_UNIT = "list_transform(n, lambda x: (x / sqrt(list_inner_product(n, n)))::FLOAT)"
 _QUERY = ", ".join(str("the night sea".count(c)) for c in "abcdefghijklmnopqrstuvwxyz")
 _ROUTE_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x).upper() for x in r) + ")" for r in ROUTES)
 _T = """e AS (SELECT event_id, user_id, epoch(ts) AS ts, event_type, event_type IN ('signup', 'purchase') AS edge FROM events),
 n AS (SELECT *, sum(edge::INT) OVER w AS turn, last_value(CASE WHEN edge THEN event_type END IGNORE NULLS) OVER w AS state, bool_or(event_type = 'purchase') OVER w AS has_ended FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT event_id, coalesce(state = 'signup', FALSE) AS running, count(*) FILTER (event_type = 'click') OVER (PARTITION BY user_id, turn ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS tools, has_ended FROM n)"""
-QUERIES = {f.__name__: f for f in (encoder_search, agent_answers, parallel_map_batches, page_fetch_raw, page_status, event_routes, turn_lifecycle, turn_notices, reset_clock, name_color, map_updates, button_labels, tool_versions)}
+QUERIES = {f.__name__: f for f in (encoder_search, semantic_batch, agent_answers, parallel_map_batches, page_fetch_raw, page_status, event_routes, turn_lifecycle, turn_notices, reset_clock, name_color, map_updates, button_labels, tool_versions)}
 ORACLES = {
     "encoder_search": f"""WITH RECURSIVE {_FILES}, v AS (SELECT chunk_id, path, start_line, CAST([{_LETTERS}] AS DOUBLE[]) AS e, CAST([{_QUERY}] AS DOUBLE[]) AS q FROM c),
 d AS (SELECT chunk_id, path, start_line, list_inner_product(e, q) / sqrt(list_inner_product(e, e)) / sqrt(list_inner_product(q, q)) AS s FROM v WHERE list_inner_product(e, e) > 0)
 SELECT CAST(row_number() OVER (ORDER BY s DESC, chunk_id) AS INTEGER) AS rank, chunk_id, path, start_line, round(s, 4) AS score FROM d ORDER BY rank LIMIT 10""",
-    "agent_answers": "SELECT doc_id, CASE WHEN n % 11 <> 0 THEN contains(p, 'e') END AS answers, CASE WHEN n % 11 <> 0 THEN CAST(n % 5 AS INTEGER) END AS confidence FROM (SELECT doc_id, substr(text, 1, 80) AS p, length(substr(text, 1, 80)) AS n FROM documents)",
+    "semantic_batch": f"""WITH RECURSIVE {_FILES}, v AS MATERIALIZED (SELECT chunk_id, {_UNIT} AS e FROM (SELECT chunk_id, list_transform({_UNIT}, lambda x: x::DOUBLE) AS n FROM (SELECT chunk_id, [{_LETTERS}]::DOUBLE[] AS n FROM c) WHERE list_inner_product(n, n) > 0)),
+q AS (SELECT item_id AS query_id, {_UNIT.replace('::FLOAT', '::DOUBLE')} AS e FROM (SELECT item_id, list_transform({_UNIT}, lambda x: x::DOUBLE) AS n FROM (SELECT item_id, [{_LETTERS}]::DOUBLE[] AS n FROM benchmark) WHERE list_inner_product(n, n) > 0)),
+s AS (SELECT query_id, chunk_id, round(greatest(list_inner_product(q.e, list_transform(v.e, lambda x: x::DOUBLE)), 0), 6) AS score FROM q CROSS JOIN v)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM s QUALIFY rank <= 5""",
+    "agent_answers": "SELECT doc_id, CASE WHEN n % 11 <> 0 THEN contains(p, 'e') END AS answers, CASE WHEN n % 11 <> 0 THEN CAST(n % 5 AS INTEGER) END AS confidence FROM (SELECT doc_id, coalesce(text, '') AS p, length(coalesce(text, '')) AS n FROM documents)",
     "parallel_map_batches": "SELECT conv_id, turn, CAST(len(string_split(text, ' ')) AS BIGINT) AS n FROM conversations WHERE len(string_split(text, ' ')) >= 4",
     "page_fetch_raw": "SELECT page_id, CASE WHEN length(html) > 3000 THEN 'error' ELSE 'raw' END AS kind, sha256(CASE WHEN length(html) > 3000 THEN 'too long: ' || length(html) ELSE html END) AS content_sha256 FROM pages",
     "page_status": "SELECT page_id, CASE page_id % 5 WHEN 3 THEN 'HTTP 404' WHEN 4 THEN 'HTTP 500' END AS error, CASE WHEN page_id % 5 < 3 THEN CAST(length(html) AS INTEGER) END AS length FROM pages",
     "event_routes": f"WITH r AS (SELECT * FROM (VALUES {_ROUTE_ROWS}) v(event_type, handler, main_only, needs)) SELECT handler, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events JOIN r USING (event_type) WHERE (NOT main_only OR user_id % 4 <> 0) AND (needs IS NULL OR needs = CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END) GROUP BY handler",
     "turn_lifecycle": f"WITH {_T} SELECT * FROM t",
-    "turn_notices": f"WITH {_T} SELECT event_id, tools > 0 AS tool_group_shown, running AS agent_row_shown, NOT has_ended OR running AS notice_shown FROM t",
+    "turn_notices": f"""WITH {_T}, r AS (SELECT event_id, user_id, CAST(floor(value) AS BIGINT) % 5 AS row, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT event_id, tools > 0 AS tool_group_shown, running AND NOT EXISTS (SELECT 1 FROM r x JOIN r z ON z.user_id = x.user_id AND z.event_type = 'purchase' AND z.n > x.n WHERE x.user_id = r.user_id AND x.row = r.row AND z.n <= r.n) AS agent_row_shown, NOT has_ended OR running AS notice_shown FROM t JOIN r USING (event_id)""",
     "reset_clock": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%m/%d %H:%M') END AS resets FROM events",
     "name_color": "SELECT p_partkey, CASE WHEN regexp_matches(p_type, 'brass', 'i') THEN 'green' WHEN regexp_matches(p_type, 'nickel|tin', 'i') THEN 'yellow' WHEN regexp_matches(p_type, 'steel$', 'i') THEN 'red' ELSE 'blue' END AS color FROM part",
     "map_updates": """WITH m AS (SELECT o_orderkey, ['a' || o_orderkey % 2, 'c' || o_orderkey % 2, 'd' || o_orderkey % 5, 'b' || o_orderkey % 3] AS k, [1, 3, 4, 9] AS v FROM orders),

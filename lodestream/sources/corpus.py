@@ -25,11 +25,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def index(spark: SparkSession, sf_dir: str):
-    """The index of the documents' chunks, built once a session."""
+def index(spark: SparkSession, sf_dir: str, encode=None):
+    """The index of the documents' chunks, built once a session; with vectors where `encode` gives them."""
     from .store import index_of
 
-    return index_of(spark, f"{sf_dir}/documents.parquet", files(spark, sf_dir))
+    return index_of(spark, f"{sf_dir}/documents.parquet", files(spark, sf_dir), encode)
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tables that the engine writes: a shared folder, and an index of chunks with postings."""
+"""Tables that the engine writes: a shared folder, and the index of a source's files."""
 
 from __future__ import annotations
 
@@ -6,16 +6,11 @@ import tempfile
 import uuid
 from functools import cached_property
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.chunking import chunks_of
-
-#: Folders that postings are dealt to by a hash of their gram, so that a lookup reads one of them.
-BUCKETS = 64
-GRAM = 3
+from . import segments
+from .manifest import Log
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,54 +42,51 @@ def changed_at(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
 
 
-def grams(c, length: int = GRAM):
-    """The distinct grams of a text, out of its letters, which are split once."""
-    windows = lambda letters: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(letters) - length), lambda i: F.concat(*(letters[i + k] for k in range(length)))))
-    return F.when(F.length(c) >= length, F.element_at(F.transform(F.array(F.split(c, "")), windows), 1)).otherwise(F.array().cast("array<string>"))
+class Index:
+    """Files (file_id, path, text_path, ext) and a snapshot of their chunks and postings."""
 
+    def __init__(self, files: DataFrame, snapshot: segments.Snapshot):
+        self.spark, self.files, self.snapshot = files.sparkSession, files, snapshot
 
-class Index:
-    """chunks (with dl, their number of grams) and stats (n, avgdl), written when the index is built; postings (bucket, gram, chunk_id) and the grams' chunk counts, written when they are first asked for."""
+    @property
+    def n(self) -> int:
+        return self.snapshot.n
 
-    def __init__(self, chunks: DataFrame, stats: DataFrame):
-        self.chunks, self.stats = chunks, stats
+    @property
+    def avgdl(self) -> float:
+        return self.snapshot.total / self.snapshot.n if self.snapshot.n else 0.0
 
     @cached_property
-    def postings(self) -> DataFrame:
-        spark, path = self.chunks.sparkSession, fresh(self.chunks.sparkSession, "postings")
-
-        def run(batches):
-            for batch in batches:
-                for a in range(0, batch.num_rows, 500):
-                    own = batch.slice(a, 500)
-                    found = [sorted({t[i : i + GRAM] for i in range(len(t) - GRAM + 1)}) for t in own.column(1).to_pylist()]
-                    ids = np.repeat(own.column(0).to_numpy(), [len(g) for g in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([g for own_grams in found for g in own_grams], pa.string())], ["chunk_id", "gram"])
-
-        posted = self.chunks.select("chunk_id", F.lower("text").alias("text")).mapInArrow(run, "chunk_id long, gram string")
-        posted = posted.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
-        posted.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
-        return spark.read.parquet(path)
+    def bare(self) -> DataFrame:
+        return self.snapshot.chunks(self.spark)
 
     @cached_property
-    def gram_counts(self) -> DataFrame:
-        return kept(self.postings.groupBy("bucket", "gram").agg(F.count("*").alias("n")), "gram-counts")
+    def chunks(self) -> DataFrame:
+        """Live chunks with their files' paths."""
+        return self.bare.join(self.files.select("file_id", "path", "text_path", "ext"), "file_id")
 
 
-def build(files: DataFrame) -> Index:
-    """The index of files (file_id, path, text_path, ext, text); nothing else is kept in step with it."""
-    dl = F.greatest(F.length("text") - (GRAM - 1), F.lit(0))
-    own = chunks_of(files.select("file_id", "text")).join(files.select("file_id", "path", "text_path", "ext"), "file_id").withColumn("dl", dl)
-    chunks = kept(own, "chunks")
-    return Index(chunks, kept(chunks.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "stats"))
+def build(files: DataFrame, encode=None) -> Index:
+    """The index of files (file_id, path, text_path, ext, text) as one segment, with vectors where `encode` gives them."""
+    spark = files.sparkSession
+    log = Log(spark, fresh(spark, "index"))
+    run = log.begin()
+    own = run.keep(files.select("file_id", "path", "text_path", "ext"), "files")
+    none = files.select("file_id").where("false")
+    snapshot = segments.apply(run, segments.Snapshot(), 1, segments.shaped(chunks_of(files.select("file_id", "text"))), none, encode)
+    run.commit({"index": snapshot.as_json()})
+    return Index(own, snapshot)
 
 
 _built: dict[tuple, Index] = {}
 
 
-def index_of(spark: SparkSession, source: str, files: DataFrame) -> Index:
-    """The index of the files read from `source`; built anew in another application or when the source has changed."""
-    mark = (spark.sparkContext.applicationId, source, changed_at(spark, source))
+def index_of(spark: SparkSession, source: str, files: DataFrame, encode=None) -> Index:
+    """The index of the files read from `source`; built anew in another application or when the source has changed, which the one before is forgotten for."""
+    own = (spark.sparkContext.applicationId, source, encode is not None)
+    mark = (*own, changed_at(spark, source))
     if mark not in _built:
-        _built[mark] = build(files)
+        for old in [m for m in _built if m[:3] == own]:
+            del _built[old]
+        _built[mark] = build(files, encode)
     return _built[mark]

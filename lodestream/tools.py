@@ -5,25 +5,29 @@ from __future__ import annotations
 import threading
 import uuid
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import encoders, fusion, lexical, vector
 from .plans import build
-from .sources import files
+from .sources import files, store
+from .sources.manifest import Log
 
 STATES = ("idle", "running", "completed", "failed", "cancelled", "interrupted")
 
 
 @dataclass
 class Job:
-    """One run of the index: its state and, once it has ended, its counts or its error."""
+    """One run of the index: its state, its counts so far, the root it works on, and its errors."""
 
     job_id: str = field(default_factory=lambda: uuid.uuid4().hex)
     state: str = "running"
-    counts: dict = field(default_factory=dict)
+    counts: dict = field(default_factory=lambda: dict.fromkeys(build._COUNTS, 0))
     error: str | None = None
+    current: str | None = None
+    recent_errors: list = field(default_factory=list)
     cancel: threading.Event = field(default_factory=threading.Event)
 
 
@@ -33,12 +37,21 @@ def reconciled(runs: DataFrame) -> DataFrame:
 
 
 class Tools:
-    """One index; at most one job runs at a time, and a job can be cancelled between roots and through its Spark jobs."""
+    """One index; at most one job runs at a time, works batch by batch of files, and can be cancelled between batches and through its Spark jobs.
 
-    def __init__(self, spark: SparkSession, encoder: encoders.Encoder | None = None):
+    Every batch is a commit of the log below `path`, so that what is done stays, whatever happens
+    then; another object that opens the same path goes on there.
+    """
+
+    #: Files of a batch, whose paths the driver holds, and errors that a status tells.
+    BATCH, ERRORS = 2000, 5
+
+    def __init__(self, spark: SparkSession, encoder: encoders.Encoder | None = None, path: str | None = None):
         self.spark, self.encoder = spark, encoder
         self.roots: dict[str, bool] = {}
-        self.state, self.job = build.empty(spark), None
+        self.log = Log(spark, path or store.fresh(spark, "tools"))
+        self.interrupted = self.log.reconcile()
+        self.state, self.job = build.opened(self.log), None
         self._lock, self._thread = threading.Lock(), None
 
     def add_search_path(self, path: str, recursive: bool = True) -> str:
@@ -50,8 +63,10 @@ class Tools:
         """Takes a root and all that was indexed below it away."""
         if self.roots.pop(path, None) is None:
             return False
-        gone = self.state.files.where(F.col("root") == path).select("file_id")
-        self.state = build.State(self.state.files.where(F.col("root") != path), self.state.chunks.join(gone, "file_id", "left_anti"), self.state.texts)
+        under = self.log.begin()
+        state = build.forget(self.state, path, under)
+        under.commit(state.as_json())
+        self.state = state
         return True
 
     def list_search_paths(self) -> DataFrame:
@@ -77,21 +92,49 @@ class Tools:
             self._thread.join()
         return job
 
+    def _step(self, job: Job, now: DataFrame, roots: list[str], force: bool) -> None:
+        """One batch of files as a run and a commit; its counts are added to the job's."""
+        under = self.log.begin()
+        try:
+            state, counts = build.run(self.state, now, roots, force=force, under=under, make=type(self.encoder) if self.encoder else None)
+            under.commit(state.as_json())
+        except Exception:
+            under.abort()
+            raise
+        self.state = state
+        job.counts = {k: job.counts[k] + counts[k] for k in job.counts}
+        self.log.clean()
+
     def _work(self, job: Job, roots: list[str], force: bool) -> None:
         context = self.spark.sparkContext
-        total: dict = {}
         try:
             context.setJobGroup(job.job_id, "index", interruptOnCancel=True)
             for root in roots:
+                job.current, recursive = root, self.roots[root]
+                found = files.listed(self.spark, root, recursive)
+                paths = (r.path for r in found.select("path").toLocalIterator())
+                for part in iter(lambda: list(islice(paths, self.BATCH)), []):
+                    if job.cancel.is_set():
+                        break
+                    self._step(job, files.loaded(self.spark, part, root, recursive), [], force)
+                    errors = self.state.files.where(F.col("path").isin(*part[: self.BATCH]) & F.col("error").isNotNull()).select("path", "error").limit(self.ERRORS).collect()
+                    job.recent_errors = ([f"{r.path}: {r.error}" for r in errors] + job.recent_errors)[: self.ERRORS]
                 if job.cancel.is_set():
                     break
-                state, counts = build.run(self.state, files.scan(self.spark, root, self.roots[root]), [root], force=force)
-                self.state = state
-                for k, v in counts.first().asDict().items():
-                    total[k] = total.get(k, 0) + v
-            job.counts, job.state = total, "cancelled" if job.cancel.is_set() else "completed"
+                # What the walk has not met goes once it is complete, and only then.
+                gone = self.state.files.where(F.col("root") == root).join(found.select("path"), "path", "left_anti").select("file_id")
+                removed = gone.count()
+                if removed:
+                    under = self.log.begin()
+                    state = build.prune(self.state, gone, under)
+                    under.commit(state.as_json())
+                    self.state = state
+                    job.counts = job.counts | {"removed": job.counts["removed"] + removed}
+            job.state = "cancelled" if job.cancel.is_set() else "completed"
         except Exception as e:  # the job's own state tells of it
-            job.counts, job.state, job.error = total, "cancelled" if job.cancel.is_set() else "failed", str(e)[:500]
+            job.state, job.error = "cancelled" if job.cancel.is_set() else "failed", str(e)[:500]
+        finally:
+            job.current = None
 
     def cancel_indexing(self) -> bool:
         if not self.job or self.job.state != "running":
@@ -101,37 +144,33 @@ class Tools:
         return True
 
     def get_index_status(self) -> dict:
-        """The running or last job, and how many files and chunks the index holds; live values stand before stored ones."""
-        job = self.job
-        out = {"state": job.state if job else "idle", "job_id": job.job_id if job else None, "error": job.error if job else None, **(job.counts if job else {})}
-        if out["state"] != "running":
-            out |= {"files": self.state.files.count(), "all_chunks": self.state.chunks.count()}
-        return out
+        """The running or last job with its counts so far, and how many files and chunks the last commit holds; live values stand before stored ones."""
+        job, state = self.job, self.state
+        out = {"state": job.state if job else "idle", "job_id": job.job_id if job else None, "error": job.error if job else None, "current": job.current if job else None, "recent_errors": list(job.recent_errors) if job else []}
+        return out | (job.counts if job else {}) | {"files": state.files.count(), "all_chunks": state.index.n}
 
-    def _chunks(self) -> DataFrame:
-        own = self.state.files.select("file_id", "path", "text_path", "ext")
-        return self.state.chunks.join(own, "file_id")
+    def _index(self) -> store.Index:
+        return store.Index(self.state.files, self.state.index)
 
     def search_fulltext(self, query: str, limit: int = 10, path_prefix: str | None = None, extensions: list[str] | None = None) -> DataFrame:
-        return lexical.fulltext(self._chunks(), query, _limit(limit), path_prefix, extensions).drop("bm25")
+        return lexical.search(self._index(), query, _limit(limit), path_prefix, extensions).drop("bm25")
 
     def search_semantic(self, query: str, limit: int = 10, path_prefix: str | None = None, extensions: list[str] | None = None) -> DataFrame:
-        """RuntimeError without an encoder."""
-        if self.encoder is None:
+        """The stored vectors nearest to the query's, the only text that is encoded; RuntimeError without an encoder."""
+        asked = encoders.query_vector(query, self.encoder) if self.encoder is not None else None
+        if asked is None:
             raise RuntimeError("no encoder is ready")
-        make = type(self.encoder)
-        rows = self._chunks().where(lexical.filters(path_prefix, extensions)).withColumn("embedding", encoders.encoded(F.col("text"), make))
-        near = vector.nearest(rows.where(vector.norm(F.col("embedding")) > 0), encoders.query_vector(query, self.encoder), _limit(limit))
+        near = vector.nearest_stored(self._index(), asked, _limit(limit), lexical.filters(path_prefix, extensions))
         return near.select("rank", "chunk_id", "path", F.coalesce("text_path", "path").alias("text_path"), "start_line", "end_line", F.round(vector.similarity(F.col("distance")), 6).alias("score"))
 
     def search_hybrid(self, query: str, limit: int = 10, path_prefix: str | None = None, extensions: list[str] | None = None) -> DataFrame:
         """Both lists fused; the full-text list alone, with a note, where there is no encoder."""
         pool = fusion.pool(_limit(limit))
-        lists = {"fts": lexical.fulltext(self._chunks(), query, pool, path_prefix, extensions).select("chunk_id", "rank")}
+        lists = {"fts": lexical.search(self._index(), query, pool, path_prefix, extensions).select("chunk_id", "rank")}
         if self.encoder is not None:
             lists["vector"] = self.search_semantic(query, min(pool, 50), path_prefix, extensions).select("chunk_id", "rank")
         note = None if self.encoder is not None else "full-text only: no encoder is ready"
-        places = self._chunks().select("chunk_id", "path", "start_line", "end_line")
+        places = self._index().chunks.select("chunk_id", "path", "start_line", "end_line")
         return fusion.rrf(lists, limit).join(places, "chunk_id").withColumn("note", F.lit(note).cast("string"))
 
 
