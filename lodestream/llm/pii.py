@@ -6,11 +6,12 @@ conditions. The trees are boosted on the driver from the features of a bounded s
 sentences, which the same expressions compute; half of them choose each kind's threshold, as the
 least probability at which the required precision holds.
 
-Candidates beyond the base patterns: e-mail addresses with at and dot in brackets or as words, in any
-case, IPv6 addresses, whole or compressed, cards with dots or slashes, telephone numbers without a
-plus sign, of two groups, three or five pairs. Several patterns generate one kind, and candidates
-may overlap; the trees choose. Base spans always stay; added
-ones never overlap them. Spans are code points, end exclusive.
+Candidates beyond the base patterns: e-mail addresses with at and dot in brackets or as words, of four
+languages and in any case, IPv6 addresses, whole, compressed or with an IPv4 end, IPv4 addresses with
+dots in brackets, cards with dots, slashes, low lines or wide gaps, telephone numbers without a plus
+sign: in one run of digits, of two groups, three or five pairs, with 00 or (0) before. Several patterns
+generate one kind, and candidates may overlap; the trees choose. Base spans always stay, and an added
+one is never within one, but may reach beyond it. Spans are code points, end exclusive.
 
 Defined results: a null or empty text has no spans; equal texts have equal spans; repeated rows are
 kept; of added spans that overlap the likelier stays, then the earlier, then the first kind; a very
@@ -39,26 +40,36 @@ BASE = {
 }
 #: Several generators a kind, each a scan of its own, so that candidates overlap; beside each a pattern that is true wherever it matches.
 _LOCAL, _LABEL, _OWN = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}", "[A-Za-z0-9-]{2,63}", r"(?<![0-9A-Za-z.+/-])"
+_AT, _DOT = "(?:at|ät|arroba|arobase)", "(?:dot|punkt|punto|point)"
 _GROUPS, _DONE = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}", r"(?![0-9A-Za-z/])(?![.-][0-9])"
 MORE = {
     "email": (
-        (rf"(?i){_LOCAL}\x20?[\[({{<]\x20?at\x20?[\])}}>]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:[\[({{<]\x20?dot\x20?[\])}}>]|\.)\x20?{_LABEL}){{1,4}}", r"(?i)[\[({<]\x20?at\x20?[\])}>]"),
-        (rf"(?i){_LOCAL}\x20at\x20[A-Za-z0-9-]{{1,63}}(?:(?:\x20dot\x20|\.){_LABEL}){{1,4}}", r"(?i)\x20at\x20[A-Za-z0-9-]{1,63}(?:\x20dot\x20|\.)[A-Za-z0-9-]"),
+        (rf"(?i){_LOCAL}\x20?[\[({{<]\x20?{_AT}\x20?[\])}}>]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:[\[({{<]\x20?{_DOT}\x20?[\])}}>]|\.)\x20?{_LABEL}){{1,4}}", rf"(?i)[\[({{<]\x20?{_AT}\x20?[\])}}>]"),
+        (rf"(?i){_LOCAL}\x20{_AT}\x20[A-Za-z0-9-]{{1,63}}(?:(?:\x20{_DOT}\x20|\.){_LABEL}){{1,4}}", rf"(?i)\x20{_AT}\x20[A-Za-z0-9-]{{1,63}}(?:\x20{_DOT}\x20|\.)[A-Za-z0-9-]"),
+        (rf"(?i){_LOCAL}@[A-Za-z0-9-]{{1,63}}(?:\x20?[\[({{<]\x20?(?:{_DOT}|\.)\x20?[\])}}>]\x20?{_LABEL}){{1,4}}", rf"(?i)@[A-Za-z0-9-]{{1,63}}\x20?[\[({{<]\x20?(?:{_DOT}|\.)"),
     ),
     "ip": (
         (r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
-        (rf"(?<![0-9A-Za-z:])(?:{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![0-9A-Za-z:])", "::"),
+        (rf"(?<![0-9A-Za-z:])(?:{_GROUPS}::(?:{_GROUPS})?|::{_GROUPS})(?![0-9A-Za-z:])(?!\.[0-9])", "::"),
+        (r"(?<![0-9A-Za-z:])(?:::|(?:[0-9A-Fa-f]{1,4}:){1,7}:?)(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z.])", r":[0-9]{1,3}\.[0-9]{1,3}\.[0-9]"),
+        (r"(?i)(?<![0-9A-Za-z.])[0-9]{1,3}(?:\x20?[\[({]\x20?(?:\.|dot|,)\x20?[\])}]\x20?[0-9]{1,3}){3}(?![0-9A-Za-z])", r"(?i)[0-9]\x20?[\[({]\x20?(?:\.|dot|,)\x20?[\])}]\x20?[0-9]"),
+    ),
+    "card": (
+        (r"(?<![0-9./_])[0-9]{4}([./_]|\x20?[-\u2013]\x20|\x20{2,4}|\u00A0)[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9])", r"[0-9]{4}(?:[./_]|\x20?[-\u2013]\x20|\x20{2,4}|\u00A0)[0-9]{4}"),
+        (r"(?<![0-9./_])[0-9]{4}([./_])[0-9]{6}\1[0-9]{4,5}(?![0-9])", r"[0-9]{4}[./_][0-9]{6}[./_]"),
     ),
-    "card": ((r"(?<![0-9./])[0-9]{4}([./])[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}(?![0-9])", r"[0-9]{4}[./][0-9]{4}[./]"),),
     "phone": (
         (rf"{_OWN}(?:\([0-9]{{2,4}}\)[\x20.-]?|[0-9]{{2,4}}[\x20.-])[0-9]{{3,4}}[\x20.-][0-9]{{3,4}}{_DONE}", r"[0-9]\)?[\x20.-]?[0-9]{3,4}[\x20.-][0-9]{3}"),
         (rf"{_OWN}(?:\([0-9]{{2,5}}\)\x20?|[0-9]{{2,5}}[\x20/-])[0-9]{{5,8}}{_DONE}", r"[0-9][)\x20/-]\x20?[0-9]{5}"),
         (rf"{_OWN}[0-9]{{2}}(?:[\x20.-][0-9]{{2}}){{4}}{_DONE}(?!\x20[0-9])", r"[0-9]{2}(?:[\x20.-][0-9]{2}){4}"),
+        (rf"{_OWN}(?!(?:19|20)[0-9]{{6}}(?![0-9]))[0-9]{{9,11}}{_DONE}", r"[0-9]{9}"),
+        (rf"{_OWN}00[1-9][0-9]{{0,2}}(?:[\x20./-]?\(?[0-9]{{1,8}}\)?){{2,5}}{_DONE}", "00[1-9]"),
+        (rf"(?<![0-9A-Za-z])\(0\)[\x20]?[0-9]{{2,4}}[\x20./-]?[0-9]{{3,8}}(?:[\x20-][0-9]{{1,5}}){{0,2}}{_DONE}", r"\(0\)"),
     ),
 }
 _NONE = "array<struct<kind:int,start:int,end:int,text:string>>"
 CONTEXT = 32
-PRECISION, ROUNDS, RATE, EXAMPLES = 0.98, 32, 0.3, 8192
+PRECISION, ROUNDS, RATE, EXAMPLES = 0.98, 48, 0.3, 8192
 
 
 #: Matches that one step gathers; places are summed within steps, then over them.
@@ -132,10 +143,12 @@ def candidates(text: Column) -> Column:
 # Words near personal data of each kind, and near numbers that are none.
 NEAR = (
     "e?-?mails?|contact|write|reach|send|cc|schreib|ecri[rv]|escrib", "ip|hosts?|server|address|login|peer|ping|ssh|connect|gateway|dns|from|node",
-    "card|visa|credit|debit|payment|master|pay|amex|charged?|billing|karte|carte|tarjeta", "phone|tel|call|mobile|fax|dial|sms|ring|text|cell|contact|hotline|reach|telefon|anruf|appel|llam|number",
+    "card|visa|credit|debit|payment|master|pay|amex|charged?|billing|karte|carte|tarjeta", "phone|tel|call|mobile|fax|dial|sms|ring|text|cell|contact|hotline|reach|telefon|anruf|appel|llam|(?:my|his|her|our|your|their)\\x20number",
 )
 AGAINST = "order|invoice|isbn|version|build|ref|serial|total|price|sku|batch|hash|time|page|item|score|tracking|model|part|case|ticket|between|ratio|measured|license"
-FEATURES = ("kind", "length", "digits", "seps", "near", "against", "luhn", "opens", "groups", "zero", "gap", "dot", "bracket", "long_hex", "dates")
+# Common ends of the names of hosts.
+ENDINGS = "com|org|net|edu|gov|info|biz|io|co|eu|de|at|ch|fr|be|nl|es|it|pt|uk|us|ca|au|se|no|dk|fi|pl|jp"
+FEATURES = ("kind", "length", "digits", "seps", "near", "against", "luhn", "opens", "groups", "zero", "gap", "dot", "bracket", "long_hex", "dates", "foreign", "parts", "sign", "ending")
 
 
 def features(text: Column, s: Column) -> list[Column]:
@@ -149,8 +162,12 @@ def features(text: Column, s: Column) -> list[Column]:
     return [
         s.kind, F.length(s.text), n, F.length(F.regexp_replace(s.text, "[0-9A-Za-z]", "")), near, far(AGAINST),
         F.when(n > 0, luhn(digits(s.text)).cast("int")).otherwise(0), s.text.startswith("(").cast("int"), F.size(F.split(s.text, "[^0-9A-Za-z]+")),
-        digits(s.text).startswith("0").cast("int"), F.contains(s.text, F.lit("::")).cast("int"), s.text.rlike(r"(?i)\bdot\b").cast("int"),
-        s.text.rlike(r"(?i)[\[({<]\x20?at\x20?[\])}>]").cast("int"), s.text.rlike("[0-9A-Fa-f]{3}:").cast("int"), s.text.rlike(r"^(?:19|20)[0-9]{2}[\x20./-]").cast("int"),
+        digits(s.text).startswith("0").cast("int"), F.contains(s.text, F.lit("::")).cast("int"), s.text.rlike(rf"(?i)\b{_DOT}\b").cast("int"),
+        s.text.rlike(rf"(?i)[\[({{<]\x20?(?:{_AT}|{_DOT}|\.|,)\x20?[\])}}>]").cast("int"), s.text.rlike("[0-9A-Fa-f]{3}:").cast("int"), s.text.rlike(r"^(?:19|20)[0-9]{2}[\x20./-]").cast("int"),
+        s.text.rlike(r"(?i)^00[1-9]|^\(0\)|\x20(?:ät|arroba|arobase)\x20").cast("int"),
+        # Numbers in an address beyond what one can hold.
+        F.size(F.filter(F.split(s.text, "[^0-9]+"), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)) > 255)),
+        F.contains(s.text, F.lit("@")).cast("int"), s.text.rlike(rf"[^a-z](?:{ENDINGS})$").cast("int"),
     ]
 
 
@@ -180,24 +197,41 @@ def _examples(spark: SparkSession, n: int) -> DataFrame:
     joined = F.concat(*three)
     check = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: luhn(F.concat(joined, d.cast("string")))), True) - 1
     last = F.when(good, check).otherwise((check + 1 + F.pmod(F.xxhash64("id", F.lit("off")), F.lit(9))) % 10)
-    dot = pick("dot", ".", "/")
-    card = F.concat(three[0], dot, three[1], dot, three[2], dot, three[3], last.cast("string"))
+    dot = pick("dot", ".", "/", "_", " - ", "  ", "\u00a0")
+    long = F.concat(three[0], three[1], three[2], three[3], last.cast("string"))
+    whole = F.concat(three[0], dot, three[1], dot, three[2], dot, three[3], last.cast("string"))
+    # Fifteen digits of four, six and five.
+    amex = F.concat(F.substring(long, 1, 4), dot, F.substring(long, 5, 6), dot, F.substring(long, 11, 4))
+    check15 = F.array_position(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: luhn(F.concat(F.substring(long, 1, 14), d.cast("string")))), True) - 1
+    amex = F.concat(amex, F.when(good, check15).otherwise((check15 + 1 + F.pmod(F.xxhash64("id", F.lit("off2")), F.lit(9))) % 10).cast("string"))
+    card = F.when((F.pmod(F.xxhash64("id", F.lit("amex")), F.lit(6)) == 0) & dot.isin(".", "/", "_"), amex).otherwise(whole)
     ip = F.when(good, F.concat_ws(":", *(hexa(f"x{i}") for i in range(8)))).when(F.pmod(F.xxhash64("id", F.lit("mac")), F.lit(2)) == 0, F.concat_ws(":", *(F.lpad(F.hex(F.pmod(F.xxhash64("id", F.lit(f"m{i}")), F.lit(256))), 2, "0") for i in range(6)))).otherwise(F.concat_ws(":", *(part(f"t{i}", 10, 60) for i in range(4))))
     # Every generator has its forms, and things that look like them: half of the e-mail and address examples, two thirds of the telephone ones.
     form = F.pmod(F.xxhash64("id", F.lit("form")), F.lit(6))
     bare = F.pmod(F.xxhash64("id", F.lit("bare")), F.lit(2)) == 0
     numbered = lambda word, salt: F.concat(word, F.when(bare, F.lit("")).otherwise(part(salt, 1, 99)))
-    at = F.when(form % 2 == 0, pick("at", " [at] ", "(at)", " (at) ", " [AT] ", "{at}", " <at> ")).otherwise(pick("at2", " at ", " at ", " AT "))
+    at = F.when(form % 2 == 0, pick("at", " [at] ", "(at)", " (at) ", " [AT] ", "{at}", " <at> ", "(ät)", " [arroba] ")).otherwise(pick("at2", " at ", " at ", " AT ", " ät ", " arroba ", " at "))
     # Without a dot in words, only what stands before tells an address from prose.
-    said = F.concat(numbered(pick("user", "user", "jo", "anna.k", "m_weber", "bob", "jane.doe", "k-smith", "info", "sales"), "m"), at, numbered(pick("host", "host", "example", "mailbox", "corp", "my-firm", "uni", "shop", "bank"), "h"), pick("dot2", " [dot] ", "(dot)", "{dot}", " dot ", " DOT ", "."), pick("tld", "org", "net", "com", "de", "fr", "io", "co", "edu"))
-    prose = F.concat(pick("verb", "look", "met", "arrived", "sold", "stay", "laugh", "work", "shout", "land"), at, numbered(pick("place", "noon", "page", "section", "cafe", "home", "dawn", "once", "least", "work"), "h"), F.lit("."), pick("next", "Then", "html", "We", "There", "It", "He", "And", "pdf"))
-    mail = F.when(good, said).otherwise(prose)
+    said = F.concat(numbered(pick("user", "user", "jo", "anna.k", "m_weber", "bob", "jane.doe", "k-smith", "info", "sales"), "m"), at, numbered(pick("host", "host", "example", "mailbox", "corp", "my-firm", "uni", "shop", "bank"), "h"), pick("dot2", " [dot] ", "(dot)", "{dot}", " dot ", " DOT ", ".", " punkt ", " punto "), pick("tld", "org", "net", "com", "de", "fr", "io", "co", "edu"))
+    prose = F.concat(pick("verb", "look", "met", "arrived", "sold", "stay", "laugh", "work", "shout", "land"), pick("at3", " at ", " at ", " at ", " AT "), numbered(pick("place", "noon", "page", "section", "cafe", "home", "dawn", "once", "least", "work"), "h"), F.lit("."), pick("next", "Then", "html", "We", "There", "It", "He", "And", "pdf"))
+    half = F.concat(numbered(pick("user", "user", "jo", "anna.k", "m_weber", "bob", "jane.doe", "k-smith", "info", "sales"), "m"), F.lit("@"), numbered(pick("host", "host", "example", "mailbox", "corp", "my-firm", "uni", "shop", "bank"), "h"), pick("dot4", "[.]", "(.)", " [dot] ", "(dot)", "{dot}"), pick("tld", "org", "net", "com", "de", "fr", "io", "co", "edu"))
+    mail = F.when(good, F.when(form == 5, half).otherwise(said)).otherwise(prose)
     short = F.concat(pick("net", "2001:db8::", "fe80::", "2a02:26f7::", "fd00:12::"), F.concat_ws(":", *(F.when(F.pmod(F.xxhash64("id", F.lit("groups")), F.lit(4)) >= i, hexa(f"z{i}")) for i in range(4))))
     scope = F.concat(pick("s1", "add", "face", "a", "bed", "12", "3", "dead"), F.lit("::"), pick("s2", "bad", "cafe", "b", "30", "4", "fade"))
-    ip = F.when(form % 2 == 0, ip).otherwise(F.when(good, short).otherwise(scope))
+    octet = lambda i, good_: F.when(good_, part(f"o{i}", 1, 255)).otherwise(part(f"w{i}", 256, 999))
+    four = lambda sep, good_: F.concat_ws(sep, *(octet(i, good_ | F.lit(i % 2 == 0)) for i in range(4)))
+    bracketed = F.concat(*(x for i in range(4) for x in ((octet(i, good | F.lit(i % 2 == 1)),) if i == 3 else (octet(i, good | F.lit(i % 2 == 1)), pick("brk", "[.]", "(.)", "[dot]", " [.] ", "{.}")))))
+    mapped = F.concat(F.when(good, pick("map", "::ffff:", "::FFFF:", "64:ff9b::", "::", "0:0:0:0:0:ffff:")).otherwise(pick("map2", "a:", "1:", "at:", "v:12:")), four(".", good))
+    ip = F.when(form == 0, ip).when(form == 1, bracketed).when(form == 2, mapped).when(form % 2 == 0, ip).otherwise(F.when(good, short).otherwise(scope))
     two = F.when(good, F.concat(F.lit("0"), part("a2", 20, 9999), pick("sep2", " ", "/", "-"), part("b2", 100000, 99999999))).otherwise(F.concat(pick("nought", "", "0"), part("a3", 10, 2999), pick("sep2", " ", "/", "-"), part("b3", 10000, 99999999)))
     pairs = F.concat(F.when(good, F.concat(F.lit("0"), part("w", 1, 10))).otherwise(pick("nought2", part("w2", 10, 100), F.concat(F.lit("0"), part("w3", 1, 10)))), *(x for i in range(3, 7) for x in (pick("sep3", " ", "-"), part(f"w{i}", 10, 100))))
-    phone = F.when(form < 2, phone).when(form < 4, two).otherwise(pairs)
+    # Whether a bare run of digits is a number to call only the words before it tell; a few of both stand after words that tell nothing.
+    run = F.concat(pick("r0", "0", "5", "2", "06", "01"), F.substring(F.concat(three[0], three[1], part("rr", 100, 999)), 1, 9))
+    after00 = F.concat(F.when(good, F.lit("00")).otherwise(pick("oo", "000", "00")), pick("cc", "1", "33", "44", "49", "34", "351"), pick("s6", " ", "-", ".", ""), part("n1", 20, 999), pick("s7", " ", "-", ""), part("n2", 1000, 99999), pick("s8", " ", ""), part("n3", 10, 99))
+    zero = F.concat(F.lit("(0)"), part("z1", 20, 999), pick("s9", "-", " ", "/"), part("z2", 10000, 9999999))
+    more = F.pmod(F.xxhash64("id", F.lit("more")), F.lit(8))
+    spread = F.concat(part("a", 200, 999), pick("s5", " ", "-"), part("bb", 2000000, 9999999))
+    phone = F.when(more == 0, run).when(more == 1, after00).when(more == 2, zero).when(more == 3, spread).when(form < 2, phone).when(form < 4, two).otherwise(pairs)
     value = F.element_at(F.array(mail, ip, card, phone), kind + 1)
     return spark.range(n).select("id", kind.alias("k"), good.cast("int").alias("y"), F.concat(F.lit("well "), lead, F.lit(" "), value, pick("after", " today", "", ".", ", thanks", "\nend")).alias("text"))
 
@@ -266,7 +300,7 @@ _model = functools.lru_cache(maxsize=1)(lambda spark: fit(spark))
 
 
 def added_spans(text: Column, base: Column, model: tuple) -> Column:
-    """Candidates whose probability reaches their kind's threshold and that overlap no base span, nor a likelier one."""
+    """Candidates whose probability reaches their kind's threshold and that are within no base span, nor overlap a likelier one."""
     trees, bounds, _ = model
 
     def rated(s):
@@ -278,8 +312,9 @@ def added_spans(text: Column, base: Column, model: tuple) -> Column:
         return F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.text.alias("text"), (1 / (1 + F.exp(-total))).alias("p"))
 
     meet = lambda a, b: (a.start < b.end) & (b.start < a.end)
+    within = lambda a, b: (a.start >= b.start) & (a.end <= b.end)
     least = F.array(*map(F.lit, bounds))
-    sure = F.filter(F.transform(F.filter(candidates(text), lambda s: ~F.exists(base, lambda b: meet(s, b))), rated), lambda s: s.p >= F.element_at(least, s.kind + 1))
+    sure = F.filter(F.transform(F.filter(candidates(text), lambda s: ~F.exists(base, lambda b: within(s, b))), rated), lambda s: s.p >= F.element_at(least, s.kind + 1))
     ahead = lambda a, b: (a.p > b.p) | ((a.p == b.p) & ((a.start < b.start) | ((a.start == b.start) & (a.kind < b.kind))))
     return F.filter(sure, lambda s: ~F.exists(sure, lambda o: meet(s, o) & ahead(o, s)))
 
