@@ -63,7 +63,7 @@ MORE = {
         (rf"{_OWN}(?:\([0-9]{{2,5}}\)\x20?|[0-9]{{2,5}}[\x20/-])[0-9]{{5,8}}{_DONE}", r"[0-9][)\x20/-]\x20?[0-9]{5}"),
         (rf"{_OWN}[0-9]{{2}}(?:[\x20.-][0-9]{{2}}){{4}}{_DONE}(?!\x20[0-9])", r"[0-9]{2}(?:[\x20.-][0-9]{2}){4}"),
         (rf"{_OWN}(?!(?:19|20)[0-9]{{6}}(?![0-9]))[0-9]{{9,11}}{_DONE}", r"[0-9]{9}"),
-        (rf"{_OWN}00[1-9][0-9]{{0,2}}(?:[\x20./-]?\(?[0-9]{{1,8}}\)?){{2,5}}{_DONE}", "00[1-9]"),
+        (rf"{_OWN}00[1-9](?:[0-9]{{0,2}}[\x20./-]\(?[0-9]{{1,8}}\)?(?:[\x20./-]?\(?[0-9]{{1,8}}\)?){{1,4}}|[0-9]{{8,11}}){_DONE}", "00[1-9]"),
         (rf"(?<![0-9A-Za-z])\(0\)[\x20]?[0-9]{{2,4}}[\x20./-]?[0-9]{{3,8}}(?:[\x20-][0-9]{{1,5}}){{0,2}}{_DONE}", r"\(0\)"),
     ),
 }
