@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_arrow
+
 # Characters of a chunk, of the repeated lines, of the least last chunk and of the longest line.
 CHUNK, OVERLAP, LEAST, MOST = 800, 160, 100, 2000
 _HEADING = re.compile(r"#{1,6}\s")
+#: Chunks of an Arrow batch.
+ROWS = 4096
 #: Bits of a chunk's id that tell its place in the file.
 ORDINAL_BITS = 24
 
@@ -66,13 +70,16 @@ def chunks_of(files: DataFrame, key: str = "file_id", text: str = "text") -> Dat
 
     def run(batches):
         for batch in batches:
+            names, found = [], []
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = chunk_lines((body.as_py() or "").splitlines())
-                if found:
-                    ordinal, first, last, own = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.int64()), *(pa.array(x, pa.int32()) for x in (ordinal, first, last)), pa.array(own, pa.string())], [key, "ordinal", "start_line", "end_line", "text"])
+                own = chunk_lines((body.as_py() or "").splitlines())
+                names += [name] * len(own)
+                found += own
+            for a in range(0, len(found), ROWS):
+                ordinal, first, last, own = zip(*found[a : a + ROWS], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names[a : a + ROWS], pa.int64()), *(pa.array(x, pa.int32()) for x in (ordinal, first, last)), pa.array(own, pa.string())], [key, "ordinal", "start_line", "end_line", "text"])
 
-    rows = files.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(run, f"{key} long, ordinal int, start_line int, end_line int, text string")
+    rows = map_arrow(files.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")), run, f"{key} long, ordinal int, start_line int, end_line int, text string")
     return rows.select((F.shiftleft(key, ORDINAL_BITS) + F.col("ordinal")).alias("chunk_id"), key, "ordinal", "start_line", "end_line", "text")
 
 

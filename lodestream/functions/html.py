@@ -2,86 +2,22 @@
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-EMPTY = "<error>Page failed to be simplified from HTML</error>"
-# Elements without text of their own, and those outside the main content.
-SILENT = {"script", "style", "noscript", "template", "svg"}
-ASIDE = {"nav", "footer", "header", "aside", "form", "button", "iframe"}
-BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "table", "tr", "blockquote", "pre", "br", "h1", "h2", "h3", "h4", "h5", "h6", "li"}
-
-
-class _Writer(HTMLParser):
-    def __init__(self, main_only: bool):
-        super().__init__(convert_charrefs=True)
-        self.main_only, self.out, self.hidden, self.links = main_only, [], 0, []
-
-    def _hides(self, tag, attrs) -> bool:
-        name = " ".join(v or "" for k, v in attrs if k in ("class", "id")).lower()
-        return tag in SILENT or self.main_only and (tag in ASIDE or bool(re.search(r"\b(ads?|advert|sidebar|cookie|promo)\b", name)))
-
-    def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            self.hidden += tag not in ("br", "img", "input", "meta", "link", "hr")
-            return
-        if self._hides(tag, attrs):
-            self.hidden = 1
-            return
-        if tag in BLOCKS:
-            self.out.append("\n" if tag in ("li", "tr", "br") else "\n\n")
-        a = dict(attrs)
-        if re.fullmatch("h[1-6]", tag):
-            self.out.append("#" * int(tag[1]) + " ")
-        elif tag == "li":
-            self.out.append("* ")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "code":
-            self.out.append("`")
-        elif tag in ("td", "th"):
-            self.out.append("| ")
-        elif tag == "img":
-            self.out.append(f"![{a.get('alt') or ''}]({a.get('src') or ''})")
-        elif tag == "a":
-            self.links.append(a.get("href"))
-            self.out.append("[")
+from . import dom
 
-    def handle_endtag(self, tag):
-        if self.hidden:
-            self.hidden -= tag not in ("br", "img", "input", "meta", "link", "hr")
-            return
-        if tag == "a" and self.links:
-            self.out.append(f"]({self.links.pop() or ''})")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "code":
-            self.out.append("`")
-        elif tag in BLOCKS:
-            self.out.append("\n" if tag in ("li", "tr") else "\n\n")
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(re.sub(r"\s+", " ", data))
+# Fixed value: what stands for a page without content.
+EMPTY = "<error>Page failed to be simplified from HTML. Retry with extract_main_content=false to get the whole page as Markdown.</error>"
 
 
 def to_markdown(html: str | None, main_only: bool = False) -> str:
-    w = _Writer(main_only)
-    body = html or ""
-    if main_only and (m := re.search(r"(?is)<(article|main)\b.*</\1>", body)):
-        body = m[0]
-    w.feed(body)
-    w.close()
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(w.out))).strip()
-    return text or EMPTY
+    """A page as Markdown; a page without main content gives an error text, one without any text an empty one."""
+    root = dom.parse(html)
+    if not main_only:
+        return dom.markdown(root)
+    return "\n\n".join(t for t in map(dom.markdown, dom.main_parts(root)) if t) or EMPTY
 
 
 @pandas_udf(StringType())
@@ -92,3 +28,9 @@ def main_content(html: pd.Series) -> pd.Series:
 @pandas_udf(StringType())
 def full_markdown(html: pd.Series) -> pd.Series:
     return html.map(to_markdown)
+
+
+@pandas_udf(StringType())
+def main_text(html: pd.Series) -> pd.Series:
+    """The words of the main content, with a space between them."""
+    return html.map(dom.main_text)

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from urllib import robotparser
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions import html, markdown, text
 from ..sources import corpus
@@ -32,20 +29,14 @@ def page_main_content(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", html.main_content("html").alias("markdown"))
 
 
-def page_full_markdown(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", html.full_markdown("html").alias("markdown"))
-
+def page_main_words(spark, sf_dir):
+    """How many words the main content of each page has, and what they are."""
+    words = F.split(html.main_text("html"), " ")
+    return _pages(spark, sf_dir).select("page_id", F.size(words).alias("n_words"), F.sha2(F.array_join(words, " "), 256).alias("words_sha256"))
 
-_ROBOTS = "# whole line\nUser-agent: *\nDisallow: /private\n\nUser-agent: bot\nDisallow: /"
 
-
-@F.pandas_udf(BooleanType())
-def allowed(rules, agent, url):
-    parsers = {}
-    for r in rules.unique():
-        parsers[r] = robotparser.RobotFileParser()
-        parsers[r].parse([x for x in r.splitlines() if not x.strip().startswith("#")])
-    return rules.__class__([parsers[r].can_fetch(a, u) for r, a, u in zip(rules, agent, url, strict=True)])
+def page_full_markdown(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", html.full_markdown("html").alias("markdown"))
 
 
 def nonempty_lines(spark, sf_dir):
@@ -107,7 +98,7 @@ def fold_groups(spark, sf_dir):
 
 
 _E = "e AS (SELECT event_id, user_id, CAST(epoch(ts) AS BIGINT) AS ts, event_type, value FROM events)"
-_NAMES = """page_robots_url page_html_sniff page_size_guard page_main_content page_full_markdown nonempty_lines path_basename
+_NAMES = """page_robots_url page_html_sniff page_size_guard page_main_content page_main_words page_full_markdown nonempty_lines path_basename
 level_color split_message_parts latest_value_state ring_buffer_last2
 dedup_first_seen turn_assignment key_change_detection fold_groups"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
@@ -118,6 +109,9 @@ SELECT doc_id, CASE WHEN t <> '' THEN 1 ELSE 0 END + k, (['table', 'code'])[k +
     "page_robots_url": "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/robots.txt' AS robots_url FROM pages",
     "page_html_sniff": "SELECT page_id, contains(substr(html, 1, 100), '<html') AS is_html FROM pages",
     "page_size_guard": "SELECT page_id, CASE WHEN length(html) > 5000 THEN 'error' ELSE 'ok' END AS guard FROM pages",
+    "page_main_words": r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+w AS (SELECT page_id, list_filter(regexp_split_to_array(replace(replace(replace(replace(regexp_replace(a, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+'), lambda x: x <> '') AS w FROM a)
+SELECT page_id, CAST(len(w) AS INTEGER) AS n_words, sha256(array_to_string(w, ' ')) AS words_sha256 FROM w""",
     "nonempty_lines": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) AS INTEGER) AS n FROM documents",
     "path_basename": "SELECT doc_id AS file_id, doc_id || CASE lang WHEN 'en' THEN '.md' WHEN 'fr' THEN '.txt' WHEN 'de' THEN '.pdf' ELSE '.docx' END AS name FROM documents",
     "level_color": f"WITH {_E} SELECT event_id, CAST(floor(value + 0.5) AS BIGINT) AS shown, CASE WHEN value >= 80 THEN 'danger' WHEN value >= 50 THEN 'warn' ELSE 'normal' END AS color FROM e",

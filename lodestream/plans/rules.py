@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import robots
 from ..sources import corpus, documents, files
 from ..streaming import state
 from . import logs
@@ -238,13 +239,23 @@ def frontmatter_descriptions(spark, sf_dir) -> DataFrame:
 _ROBOTS = "# whole line\nUser-agent: *\nDisallow: /private\n\nUser-agent: bot\nDisallow: /\n\nUser-agent: guest\nAllow: /open\nDisallow: /o"
 
 
-def robots_rules(spark, sf_dir) -> DataFrame:
-    """Whether an agent may read a path."""
-    from .content import allowed
+#: Robots files of the pages' hosts, dealt by the length of the host's name; AGENTS ask in turn.
+_ROBOTS = (
+    "# whole line: Disallow: /\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/*5\nDisallow: /*.html$ # pages\n\nUser-agent: bot\nDisallow: /",
+    "User-agent: Bot\nUser-agent: bot-news\nDisallow: /*?page=\nAllow: /en/\nDisallow: /en/1\n\nuser-agent: *\ndisallow:\n",
+    "User-agent: other\nDisallow: /\n",
+    "Sitemap: /x\nUser-agent: *\nDisallow: /es/*/\nAllow: /es/\nDisallow: /*$\nAllow: /*.html\nAllow: /de",
+)
+AGENTS = ("me", "bot", "Bot-News/2", "guest")
 
-    e = corpus.table(spark, sf_dir, "events")
-    agent, path = _pick(F.col("event_id"), "me", "bot", "guest"), _pick(F.col("user_id"), "/a", "/private/x", "/open/y", "/other", "/")
-    return e.select("event_id", allowed(F.lit(_ROBOTS), agent, F.concat(F.lit("http://h"), path)).alias("allowed"))
+
+def robots_rules(spark, sf_dir) -> DataFrame:
+    """Whether each page may be fetched by one of four agents, by its host's rules."""
+    pages = corpus.table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.parse_url("url", F.lit("HOST"))
+    files = pages.select(host.alias("host")).distinct().select("host", _pick(F.length("host"), *_ROBOTS).alias("body"))
+    asked = pages.select(F.col("page_id").alias("id"), "url", _pick(F.col("page_id"), *AGENTS).alias("agent"))
+    return robots.decided(asked, robots.rules_of(files)).select(F.col("id").alias("page_id"), "allowed")
 
 
 def git_status_class(spark, sf_dir) -> DataFrame:
@@ -363,7 +374,11 @@ SELECT p_partkey, CASE WHEN n LIKE '%.example' OR n LIKE '%.sample' OR n LIKE '%
     "source_fallback": "WITH o AS (SELECT o_custkey % 300 AS change_set, o_orderkey AS file, o_orderkey % 9 = 0 AS staged FROM orders) SELECT change_set, file FROM o WHERE staged OR change_set NOT IN (SELECT change_set FROM o WHERE staged)",
     "union_flatten": "SELECT o_orderkey, 'even' AS finding FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'third' FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 3 = 0",
     "frontmatter_descriptions": "SELECT p_partkey, trim(p_type) AS description FROM part WHERE p_partkey % 4 IN (0, 2)",
-    "robots_rules": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN user_id % 5 <> 1 WHEN 1 THEN FALSE ELSE user_id % 5 <> 3 END AS allowed FROM events",
+    "robots_rules": """WITH p AS (SELECT page_id, length(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) % 4 AS k, page_id % 4 AS a, regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]+', ''), '#.*$', '') AS raw FROM pages), u AS (SELECT *, CASE WHEN starts_with(raw, '/') THEN raw ELSE '/' || raw END AS path FROM p),
+r(k, a, size, allow, regex) AS (VALUES (0, 0, 4, FALSE, '^/fr/'), (0, 0, 6, TRUE, '^/fr/.*5'), (0, 0, 8, FALSE, '^/.*[.]html$'), (0, 1, 1, FALSE, '^/'), (1, 1, 8, FALSE, '^/.*[?]page='), (1, 1, 4, TRUE, '^/en/'), (1, 1, 5, FALSE, '^/en/1'),
+  (3, 0, 6, FALSE, '^/es/.*/'), (3, 0, 4, TRUE, '^/es/'), (3, 0, 3, FALSE, '^/.*$'), (3, 0, 7, TRUE, '^/.*[.]html'), (3, 0, 3, TRUE, '^/de')),
+g AS (SELECT page_id, k, path, CASE WHEN k = 3 THEN 0 WHEN a IN (1, 2) AND k IN (0, 1) THEN 1 ELSE 0 END AS a FROM u)
+SELECT g.page_id, coalesce(max_by(r.allow, r.size * 2 + r.allow::INT), TRUE) AS allowed FROM g LEFT JOIN r ON r.k = g.k AND r.a = g.a AND regexp_matches(g.path, r.regex) GROUP BY g.page_id""",
     "git_status_class": f"WITH {_GIT} SELECT o_orderkey, status, branch FROM g",
     "lookup_labels": f"WITH {_GIT} SELECT o_orderkey, CASE status WHEN 'clean' THEN 'green' WHEN 'uncommitted' THEN 'yellow' WHEN 'unpushed' THEN 'cyan' ELSE 'gray' END AS color FROM g",
     "rate_limit_summary": f"WITH o AS (SELECT o_custkey, {_choose('o_orderkey', '5h', '7d', 'x')} AS kind, max(o_orderkey % 1000 / 10.0::DOUBLE) AS used FROM orders GROUP BY ALL) SELECT c_custkey, ord, v.kind || ':' || coalesce(CAST(floor(used + 0.5) AS BIGINT) || '%', '--') AS shown FROM customer CROSS JOIN (VALUES (1, '5h'), (2, '7d')) v(ord, kind) LEFT JOIN o ON o_custkey = c_custkey AND o.kind = v.kind",

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrow import map_arrow
 from ..functions.chunking import ORDINAL_BITS
 
 GRAM = 3
@@ -175,7 +176,7 @@ def posted(chunks: DataFrame, blocks: int, buckets: int) -> DataFrame:
                 places = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(place.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(ids[owner[first]]), pa.array(dl[owner[first]]), places], ["gram", "chunk_id", "dl", "places"])
 
-    rows = chunks.select("chunk_id", F.lower("text").alias("text"), "dl").mapInArrow(run, "gram long, chunk_id long, dl int, places array<int>")
+    rows = map_arrow(chunks.select("chunk_id", F.lower("text").alias("text"), "dl"), run, "gram long, chunk_id long, dl int, places array<int>")
     block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int")
     return rows.select("gram", block.alias("block"), "chunk_id", "dl", "places", bucket("gram", buckets).alias("bucket"))
 

@@ -1,6 +1,6 @@
 import sqlite3
 
-from lodestream.functions import chunking, html, markdown
+from lodestream.functions import chunking, dom, html, markdown
 from lodestream.operators import lexical
 from lodestream.sources import documents
 from lodestream.streaming import state
@@ -34,7 +34,34 @@ def test_message_parts():
 def test_html_main_content_drops_navigation():
     page = "<html><nav>menu</nav><article><h2>T</h2><p>a <b>b</b></p><script>x</script></article><footer>f</footer></html>"
     assert html.to_markdown(page, True) == "## T\n\na **b**"
-    assert "menu" in html.to_markdown(page) and html.to_markdown("") == html.EMPTY
+    assert "menu" in html.to_markdown(page) and html.to_markdown("") == "" and html.to_markdown("", True) == html.EMPTY
+
+
+LONG = "It was a long way to the harbour, and the road, which had been mended in spring, was wet again."
+PAGES = {
+    "scored": f"<body><div id=nav><ul><li><a href=/>home</a><li><a href=/n>news</a></ul></div><div><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div></div><div><a href=/x>{LONG}</a></div></body>",
+    "named": f"<div class='sidebar'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='post-content'><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>",
+    "siblings": f"<div><p>{LONG}</p><p>Short.</p></div><div><p>{LONG}</p></div><div><a href=/>a</a> <a href=/b>b</a></div>",
+    "header": f"<header><p>{LONG}</p></header><article><p>{LONG}</p><p>Short.</p><p>{LONG}</p><form>{LONG}</form></article>",
+    "deep": "<div>" * 3000 + f"<p>{LONG}</p><p>Short.</p><p>{LONG}</p>",
+}
+
+
+def test_main_content_by_scores():
+    want = f"{LONG} Short. {LONG}"
+    for name, page in PAGES.items():
+        assert dom.main_text(page) == want, name
+    assert dom.main_text("<p>tiny</p>") == "tiny" and dom.main_text(None) == dom.main_text("<nav>x</nav>") == ""
+    # Scores rise: whole to the parent, by half to the next, then by a third of the level.
+    tree = dom.pruned(dom.parse(f"<section><div><div><p>{LONG}</p></div></div></section>"))
+    held = {n.tag + str(i): s for i, (n, s) in enumerate(dom.scores(tree).items())}
+    points = 1 + LONG.count(",") + len(LONG) // 100
+    assert list(held.values()) == [points, points / 2, points / 6, points / 9]
+
+
+def test_markdown_of_trees():
+    page = "<h2>T <i>x</i></h2><p>a <b>b</b><br>c <a href=u>l</a> <code>z</code><img src=s alt=t></p><ul><li>one<li>two<ol start=3><li>in</ol></ul><blockquote><p>q1<p>q2</blockquote><pre>a  b\n c</pre><table><tr><th>h|1<th>h2<tr><td>1</table><hr>"
+    assert html.to_markdown(page) == "## T *x*\n\na **b**  \nc [l](u) `z`![t](s)\n\n* one\n* two\n  3. in\n\n> q1\n>\n> q2\n\n```\na  b\n c\n```\n\n| h\\|1 | h2 |\n| --- | --- |\n| 1 |  |\n\n---"
 
 
 def test_decoding():
