@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from ..functions import text
 from ..operators import robots
@@ -282,13 +287,61 @@ def rate_limit_summary(spark, sf_dir) -> DataFrame:
     return both.select("c_custkey", "ord", F.concat("kind", F.lit(":"), F.coalesce(F.concat(text.rounded(F.col("used")).cast("string"), F.lit("%")), F.lit("--"))).alias("shown"))
 
 
-def decode_bytes(spark, sf_dir) -> DataFrame:
-    """Texts out of bytes: UTF-8 with and without a mark, another charset, and bytes of none."""
+#: Charsets that the documents are written in, by their ids; the last two are told from each other by the letters alone.
+CHARSETS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "cp1252", "mac_roman", "cp850")
+
+
+@F.pandas_udf(BinaryType())
+def _encoded(text: pd.Series, name: pd.Series) -> pd.Series:
+    return pd.Series([t.encode(n) for t, n in zip(text, name, strict=True)], dtype=object)
+
+
+def _bytes(spark, sf_dir) -> DataFrame:
     d = corpus.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    utf8 = F.encode("text", "UTF-8")
-    i = F.col("doc_id")
-    raw = F.when(i % 9 == 0, F.lit(bytearray("検索".encode("cp932")))).when(i % 9 == 1, F.concat(F.lit(bytearray(b"\xef\xbb\xbf")), utf8)).when(i % 9 == 2, F.lit(bytearray(b"ab\x81"))).otherwise(utf8)
-    return d.select("doc_id", F.sha2(documents.decoded(raw), 256).alias("text_sha256"))
+    name = _pick(F.col("doc_id"), *CHARSETS)
+    return d.select("doc_id", "text", name.alias("charset")).select("doc_id", "text", "charset", documents.decoded(_encoded("text", "charset")).alias("decoded"))
+
+
+def decode_bytes(spark, sf_dir) -> DataFrame:
+    """Texts out of bytes of five charsets."""
+    return _bytes(spark, sf_dir).where(F.col("charset").isin(*CHARSETS[:5])).select("doc_id", F.sha2("decoded", 256).alias("text_sha256"))
+
+
+def charset_shares(spark, sf_dir) -> DataFrame:
+    """For each charset the documents written in it, and whether at least 99 of 100 are read as they were."""
+    return _bytes(spark, sf_dir).groupBy("charset").agg(F.count("*").alias("n"), (F.avg((F.col("text") == F.col("decoded")).cast("int")) >= 0.99).alias("read"))
+
+
+def office_text(spark, sf_dir) -> DataFrame:
+    """The documents written as DOCX (a heading, paragraphs, a list, a table) and PPTX files, some of them damaged, read back as Markdown."""
+
+    @F.pandas_udf(BinaryType())
+    def written(doc_id: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([_office(i, t) for i, t in zip(doc_id, text, strict=True)], dtype=object)
+
+    @F.pandas_udf(StringType())
+    def read(doc_id: pd.Series, raw: pd.Series) -> pd.Series:
+        return pd.Series([documents.office_text(r, ".docx" if i % 2 else ".pptx") for i, r in zip(doc_id, raw, strict=True)], dtype=object)
+
+    d = corpus.table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^a-zA-Z]+", " ").alias("text"))
+    return d.select("doc_id", read("doc_id", written("doc_id", "text")).alias("t")).select("doc_id", F.sha2("t", 256).alias("text_sha256"))
+
+
+def _office(doc_id: int, text: str) -> bytes:
+    """A file of a text; every eleventh is cut off."""
+    p = lambda t, style="": f"<w:p><w:pPr>{style}</w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = p(f"Document {doc_id}", '<w:pStyle w:val="Heading2"/>') + p(text) + p("first", '<w:numPr><w:ilvl w:val="0"/></w:numPr>') + p("inner", '<w:numPr><w:ilvl w:val="1"/></w:numPr>')
+    cell = lambda t: f"<w:tc>{p(t)}</w:tc>"
+    body += f"<w:tbl><w:tr>{cell('a|b')}{cell('c')}</w:tr><w:tr>{cell('1')}{cell('2')}</w:tr></w:tbl>"
+    shape = lambda t, kind: f'<p:sp><p:nvSpPr><p:ph type="{kind}"/></p:nvSpPr><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:sp>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        if doc_id % 2:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{body}</w:body></w:document>')
+        else:
+            for n in (2, 1, 10):
+                z.writestr(f"ppt/slides/slide{n}.xml", f'<p:sld xmlns:p="urn:p" xmlns:a="urn:a">{shape(f"Slide {n}", "title")}{shape(text, "body") if n == 2 else ""}</p:sld>')
+    return out.getvalue()[: None if doc_id % 11 else 40]
 
 
 _WIDE = (("日本語", 6), ("é", 1), ("e\u0301", 1), ("ｱｲ", 2), ("\U0001f600x", 3), ("", 0), ("한글", 4), ("a\u200bb", 2), ("\u303f\u3040", 4), ("\U00020000", 1), ("\u200e", 1), ("\ufe00\ufe0f", 1))
@@ -360,7 +413,7 @@ _TO = "CASE WHEN s.st = 'idle' AND x.event = 'start' THEN 'loading' WHEN s.st =
 _JSON = (None, "{}", '{"sandbox":{"enabled":true}}', '{"sandbox":{"enabled":false}}', '{"sandbox":{"enabled":"yes"}}', "[1]", "{bad", '{"sandbox":3}', '{"a":1,"sandbox":{"b":{"enabled":true}}}', '{"sandbox":{"enabled":1}}', "")
 _HAS = lambda names, ends=(): f"len(list_filter(l, lambda e: e IN {(*names, '')} OR regexp_matches(e, '[.]({'|'.join(ends) or '#'})$'))) > 0"
 QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile, latest_run, status_projection, scan_path_filter, config_tristate, config_precedence, robots_status_gate, candidate_cascade, diff_line_numbers, int_parse_default, session_jst_clock, branch_issue_type, project_detect, review_flags, override_state, ordered_distinct, refresh_schedule, ttl_expiry, reload_state_machine,
-    config_scan_classify, findings_failed_reviewers, pr_json_parse, secret_paths, source_fallback, union_flatten, frontmatter_descriptions, robots_rules, git_status_class, lookup_labels, rate_limit_summary, decode_bytes, display_width, first_line, name_from_path, model_label)}
+    config_scan_classify, findings_failed_reviewers, pr_json_parse, secret_paths, source_fallback, union_flatten, frontmatter_descriptions, robots_rules, git_status_class, lookup_labels, rate_limit_summary, decode_bytes, charset_shares, office_text, display_width, first_line, name_from_path, model_label)}
 _GIT = """g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no-git' WHEN NOT (o_orderkey % 13 = 5 OR o_orderkey % 7 = 3) AND (o_orderkey % 4 = 1 OR o_custkey % 3 > 0) THEN 'unpushed' WHEN o_orderkey % 5 IN (0, 1) THEN 'uncommitted' ELSE 'clean' END AS status,
   CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 3 THEN '' ELSE 'b' || o_orderkey END AS branch FROM orders)"""
 ORACLES = {
@@ -382,7 +435,11 @@ SELECT g.page_id, coalesce(max_by(r.allow, r.size * 2 + r.allow::INT), TRUE) AS
     "git_status_class": f"WITH {_GIT} SELECT o_orderkey, status, branch FROM g",
     "lookup_labels": f"WITH {_GIT} SELECT o_orderkey, CASE status WHEN 'clean' THEN 'green' WHEN 'uncommitted' THEN 'yellow' WHEN 'unpushed' THEN 'cyan' ELSE 'gray' END AS color FROM g",
     "rate_limit_summary": f"WITH o AS (SELECT o_custkey, {_choose('o_orderkey', '5h', '7d', 'x')} AS kind, max(o_orderkey % 1000 / 10.0::DOUBLE) AS used FROM orders GROUP BY ALL) SELECT c_custkey, ord, v.kind || ':' || coalesce(CAST(floor(used + 0.5) AS BIGINT) || '%', '--') AS shown FROM customer CROSS JOIN (VALUES (1, '5h'), (2, '7d')) v(ord, kind) LEFT JOIN o ON o_custkey = c_custkey AND o.kind = v.kind",
-    "decode_bytes": "SELECT doc_id, sha256(CASE doc_id % 9 WHEN 0 THEN '検索' WHEN 2 THEN 'ab' || chr(65533) ELSE text END) AS text_sha256 FROM documents WHERE text IS NOT NULL",
+    "decode_bytes": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents WHERE text IS NOT NULL AND doc_id % 7 < 5",
+    "charset_shares": f"SELECT {_choose('doc_id', *CHARSETS)} AS charset, count(*) AS n, TRUE AS read FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "office_text": r"""WITH d AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256(CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 2 = 1 THEN replace('## Document ' || doc_id || CASE WHEN trim(t) = '' THEN '' ELSE '~~' || trim(t) END || '~~* first~~    * inner~~| a\|b | c |~| --- | --- |~| 1 | 2 |', '~', chr(10))
+  ELSE replace('# Slide 1~~# Slide 2' || CASE WHEN trim(t) = '' THEN '' ELSE '~~' || trim(t) END || '~~# Slide 10', '~', chr(10)) END) AS text_sha256 FROM d""",
     "display_width": "WITH w AS (SELECT p_partkey, length(p_type) + ([" + ", ".join(str(n) for _, n in _WIDE) + "])[p_partkey % 12 + 1] AS width, length(p_type) + ([" + ", ".join(str(len(w)) for w, _ in _WIDE) + "])[p_partkey % 12 + 1] AS n FROM part) SELECT p_partkey, CAST(width AS INTEGER) AS width, CAST(n + greatest(60 - width, 0) AS INTEGER) AS padded FROM w",
     "first_line": f"""WITH t AS (SELECT doc_id, {_choose('doc_id // 3', '', '', '', '', '', '> ', '', '+ ', '1) ', '**a__b_c** ', '-')} AS mark, {_choose('doc_id // 3', '# ', '  - ', '1. ', '', '####### ', '> ', '* ', '+ ', '1) ', '**a__b_c** ', '-')} AS full_mark, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, list_filter(string_split(full_mark || text, chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{{0b}}\\x{{a0}}]'))[1] AS l FROM t)

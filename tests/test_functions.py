@@ -64,6 +64,12 @@ def test_markdown_of_trees():
     assert html.to_markdown(page) == "## T *x*\n\na **b**  \nc [l](u) `z`![t](s)\n\n* one\n* two\n  3. in\n\n> q1\n>\n> q2\n\n```\na  b\n c\n```\n\n| h\\|1 | h2 |\n| --- | --- |\n| 1 |  |\n\n---"
 
 
+def test_charsets_by_disorder():
+    for name, s in (("cp932", "検索エンジンの設計と評価"), ("euc_jp", "検索エンジンの設計"), ("euc_kr", "안녕하세요 한국어 문장입니다"), ("gb18030", "你好，世界。这是中文的句子"), ("big5", "你好，這是繁體中文的句子"), ("cp1251", "Привет, это русский текст"), ("koi8_r", "Привет, это русский текст"), ("cp1252", "Le café déjà là, “bien sûr”"), ("mac_roman", "Äpfel und größere Bäume"), ("utf-16-be", "plain text")):
+        assert documents.decode_text(s.encode(name)) == s, name
+    assert documents.decode_text("été".encode("utf-16")) == "été" and documents.decode_text(None) == ""
+
+
 def test_decoding():
     assert documents.decode_text("検索".encode("cp932")) == "検索" and documents.decode_text(b"") == "" and documents.office_text(b"bad", ".docx") is None
 
