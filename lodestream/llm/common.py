@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -92,7 +94,21 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     now = conf.get(name)
     if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
         conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(work, schema)
+
+
+def release() -> None:
+    """Gives the memory that a task has freed back to the system, as an idle worker of one stage lives on beside the next stages'."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def small_batches(batches, rows: int = 1000):
