@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..sources import corpus
+from ..sources import corpus, store, writeback
 from . import logs
 
 # The folder of a tool's settings, its files, folders that a scan passes over and the depth it stops at.
@@ -115,6 +115,31 @@ def config_rewrite(spark, sf_dir) -> DataFrame:
     return _paths(spark, sf_dir).select("p_partkey", rewritten(F.col("raw"), action).alias("raw"))
 
 
+def config_writeback(spark, sf_dir) -> DataFrame:
+    """Settings files after a dry run, a write that fails in one file, and one that succeeds: what each file and its backup hold, and what else lies about."""
+    at = store.fresh(spark, "settings").removeprefix("file://")
+    s = corpus.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit(at + "/"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("path"))
+    raw = F.when(F.col("s_suppkey") % 5 == 0, '{"sandbox": {"enabled": true}}').when(F.col("s_suppkey") % 5 == 1, '{"z": 1}').otherwise('{"sandbox": {"mode": "é", "enabled": false}}')
+    writeback.write(s.withColumn("raw", raw))
+    new = s.withColumn("raw", rewritten(raw, F.when(F.col("s_suppkey") % 2 == 0, "set").otherwise("remove")))
+    writeback.write(new, dry_run=True)
+    failed = False
+    try:
+        writeback.write(new.withColumn("raw", F.when(F.col("s_suppkey") % 50 != 7, F.col("raw"))))
+    except Exception:  # one file without a text takes all the others back
+        failed = True
+    untouched = _held(spark, at).where("NOT backup").join(s.withColumn("old", raw).select("s_suppkey", "old"), "s_suppkey").agg(F.coalesce(F.bool_and(F.col("raw") == F.col("old")), F.lit(True)).alias("taken_back"))
+    taken_back = failed and untouched.first().taken_back
+    writeback.write(new)
+    return _held(spark, at).select("s_suppkey", "backup", "other", F.sha2("raw", 256).alias("raw_sha256"), F.lit(taken_back).alias("taken_back"))
+
+
+def _held(spark, at: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(at)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    return found.select(F.regexp_extract(name, "^s([0-9]+)", 1).cast("long").alias("s_suppkey"), name.endswith(writeback.BACKUP).alias("backup"), (~name.rlike(r"^s[0-9]+\.json(\.bak)?$")).alias("other"), F.decode("content", "UTF-8").alias("raw"))
+
+
 def pretty_json(spark, sf_dir) -> DataFrame:
     """A row as JSON of two-space indent; letters beyond ASCII stay as they are."""
     n = corpus.table(spark, sf_dir, "nation")
@@ -153,7 +178,7 @@ _P = f"""f AS (SELECT p_partkey, p_size, list_transform(range(1, 10), lambda i:
 t AS (SELECT *, '/home/u/' || array_to_string(l, '/') || '/' || name AS path FROM f WHERE len(l) < {DEPTH}
   AND len(list_filter(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND l[i - 1] = '{FOLDER}' THEN l[i] <> '{ONWARD}' ELSE l[i] IN {PRUNED} END)) = 0)"""
 _FIND = "g AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN upper('f' || lpad(l_suppkey::VARCHAR, 4, '0')) ELSE 'f' || lpad(l_suppkey::VARCHAR, 4, '0') END AS file, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS line, * FROM lineitem)"
-QUERIES = {f.__name__: f for f in (config_tree_scan, config_flags, config_layers, config_users, config_rewrite, pretty_json, untracked_guard, findings_nested, findings_ordered)}
+QUERIES = {f.__name__: f for f in (config_tree_scan, config_flags, config_layers, config_users, config_rewrite, config_writeback, pretty_json, untracked_guard, findings_nested, findings_ordered)}
 ORACLES = {
     "config_tree_scan": f"WITH {_P} SELECT p_partkey, path FROM t",
     "config_flags": f"WITH {_P} SELECT coalesce(bool_or(raw LIKE '%:false}}}}'), FALSE) AS any_false, coalesce(bool_or(raw LIKE '%:true}}}}'), FALSE) AS any_true, coalesce(bool_or(json_type(raw, '$.sandbox.enabled') NOT IN ('BOOLEAN')), FALSE) AS any_error FROM t",
@@ -162,6 +187,10 @@ j AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY name <> 'managed.j
 SELECT c.base, c.sources, j.state, j.name AS decided_by FROM (SELECT base, count(*) AS sources FROM r WHERE name LIKE '%.json' GROUP BY base) c LEFT JOIN j ON j.base = c.base AND j.back = 1""",
     "config_users": f"SELECT c_custkey, c_name AS user, c_nationkey % 2 = 0 AS is_anchor FROM customer WHERE c_custkey % 10 >= 5 AND c_custkey % 3 <> 0",
     "config_rewrite": f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace('{{|  "z": 1,|  "sandbox": {{|    "mode": "x",|    "enabled": true|  }}|}}|', '|', chr(10)) WHEN 1 THEN replace('{{|  "z": 1,|  "sandbox": {{|    "mode": "x"|  }}|}}|', '|', chr(10)) END AS raw FROM part""",
+    "config_writeback": """WITH o AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '{"sandbox": {"enabled": true}}' WHEN 1 THEN '{"z": 1}' ELSE '{"sandbox": {"mode": "é", "enabled": false}}' END AS old,
+  replace(CASE WHEN s_suppkey % 2 = 0 THEN CASE s_suppkey % 5 WHEN 0 THEN '{|  "sandbox": {|    "enabled": true|  }|}|' WHEN 1 THEN '{|  "z": 1,|  "sandbox": {|    "enabled": true|  }|}|' ELSE '{|  "sandbox": {|    "mode": "é",|    "enabled": true|  }|}|' END
+  ELSE CASE s_suppkey % 5 WHEN 0 THEN '{}|' WHEN 1 THEN '{|  "z": 1|}|' ELSE '{|  "sandbox": {|    "mode": "é"|  }|}|' END END, '|', chr(10)) AS new FROM supplier)
+SELECT s_suppkey, FALSE AS backup, FALSE AS other, sha256(new) AS raw_sha256, TRUE AS taken_back FROM o UNION ALL SELECT s_suppkey, TRUE, FALSE, sha256(old), TRUE FROM o""",
     "pretty_json": """SELECT n_nationkey, replace('{|  "id" : ' || n_nationkey || ',|  "name" : "' || n_name || ' é"|}', '|', chr(10)) AS json FROM nation""",
     "untracked_guard": "SELECT o_custkey AS change_set, count(*) AS n, CASE WHEN count(*) > 20 THEN 'abort' ELSE 'go' END AS verdict FROM orders GROUP BY o_custkey",
     "findings_nested": f"WITH {_FIND} SELECT file, line, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(l_orderkey || ':' || l_returnflag || '-' || l_linestatus, ',' ORDER BY l_orderkey, l_linenumber, l_returnflag || '-' || l_linestatus)) AS items_sha256 FROM g GROUP BY file, line",

@@ -8,7 +8,7 @@ import pytest
 
 from lodestream import tools
 from lodestream.operators import encoders
-from lodestream.sources import files, journals
+from lodestream.sources import files, journals, writeback
 
 
 def docx(*paragraphs):
@@ -68,6 +68,41 @@ def test_runs_over_a_folder(spark, folder):
         t.search_fulltext("x", limit=51)
 
 
+def test_walk_of_many_folders_and_links(spark, tmp_path):
+    root = tmp_path / "tree"
+    want = set()
+    for i in range(400):
+        at = root / f"a{i % 7}" / f"b{i % 13}" / f"c{i}"
+        at.mkdir(parents=True)
+        (at / "f.md").write_text("x" * i)
+        want.add((f"{at}/f.md", i))
+    for hidden in (root / ".git", root / "a1" / "Library", root / "a2" / "venv"):
+        hidden.mkdir(parents=True)
+        (hidden / "g.md").write_text("no")
+    os.symlink(root, root / "a1" / "loop")
+    os.symlink(root / "a2", root / "a3" / "other")
+    os.symlink(root / "a2" / "b2" / "nothing", root / "broken.md")
+    (root / "a1" / "UPPER.TXT").write_text("yes")
+    want.add((f"{root}/a1/UPPER.TXT", 3))
+    assert {(r.path, r.size) for r in files.walk(spark, str(root)).collect()} == want
+    assert files.walk(spark, str(root / "a1"), recursive=False).count() == 1 and files.walk(spark, str(root / "nowhere")).count() == 0
+
+
+def test_write_back_in_two_phases(spark, tmp_path):
+    paths = [str(tmp_path / f"d{i}" / "s.json") for i in range(6)]
+    rows = lambda *texts: spark.createDataFrame(list(zip(paths, texts, strict=False)), "path string, raw string").repartition(3)
+    held = lambda: {p.relative_to(tmp_path).as_posix(): p.read_text() for p in sorted(tmp_path.rglob("*.*"))}
+    writeback.write(rows(*"abcdef"))
+    first = held()
+    assert first == {f"d{i}/s.json": c for i, c in enumerate("abcdef")}
+    writeback.write(rows(*"ABCDEF"), dry_run=True)
+    with pytest.raises(Exception, match="no text"):
+        writeback.write(rows(*"ABCDE", None))
+    assert held() == first
+    writeback.write(rows("a", *"BCDEF"))
+    assert held() == {"d0/s.json": "a"} | {f"d{i}/s.json": c for i, c in enumerate("aBCDEF") if i} | {f"d{i}/s.json.bak": c for i, c in enumerate("abcdef") if i}
+
+
 def test_jobs(spark, folder):
     t = tools.Tools(spark)
     t.add_search_path(str(folder))
