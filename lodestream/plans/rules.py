@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
-from ..functions import text
+from ..functions import diffs, text
 from ..operators import robots
 from ..sources import corpus, documents, files
 from ..streaming import state
@@ -124,6 +124,20 @@ def diff_line_numbers(spark, sf_dir) -> DataFrame:
     return own.where("hunk > 0").withColumn("line_no", F.first("start").over(h) + F.sum("counts").over(h) - 1).where("counts = 1").select("file", "n", "line_no")
 
 
+def review_line_numbers(spark, sf_dir) -> DataFrame:
+    """Files and line numbers of mixed inputs: diffs of several files, listings with and without file names, diffs after them."""
+    l = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("n"), F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"))
+    text = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in (p.cast("string") if not isinstance(p, str) else p for p in parts)))
+    name = text("f", F.col("p") % 9, ".py")
+    kind = F.pmod(F.col("p") + F.col("o"), F.lit(9))
+    line = (
+        F.when(F.col("k") == 1, F.when(F.col("o") % 3 == 0, text(F.col("p") % 500, ":listed")).otherwise(text("diff --git a/", name, " b/", name))).when(F.col("k") == 2, F.when(F.col("o") % 3 == 1, text("+++ b/", name)).otherwise(text("index 1..2")))
+        .when(F.col("k") == 3, text("@@ -1,2 +", F.col("o") % 90, ",3 @@ def f(a: int):")).when(kind < 3, " same: 1:").when(kind < 5, "+new 2:").when(kind == 5, "-old").when(kind == 6, text("g", F.col("p") % 4, ".py:", F.col("p"), ":x")).when(kind == 7, "plain words").otherwise("\\ No newline")
+    )
+    rows = l.groupBy("key", "n").agg(F.min_by(line, F.struct("p", "o")).alias("line")).withColumn("path", F.lit("asked.py"))
+    return diffs.places(rows)
+
+
 def int_parse_default(spark, sf_dir) -> DataFrame:
     """The leading integer of a text, or ten."""
     p = corpus.table(spark, sf_dir, "part")
@@ -412,7 +426,7 @@ _WAIT = f"s.target = {_NAME} AND x.ts < s.due"
 _TO = "CASE WHEN s.st = 'idle' AND x.event = 'start' THEN 'loading' WHEN s.st = 'loading' AND x.event = 'ok' THEN 'done' WHEN s.st = 'loading' AND x.event = 'error' THEN 'failed' WHEN s.st IN ('done', 'failed') AND x.event = 'tick' THEN 'idle' ELSE s.st END"
 _JSON = (None, "{}", '{"sandbox":{"enabled":true}}', '{"sandbox":{"enabled":false}}', '{"sandbox":{"enabled":"yes"}}', "[1]", "{bad", '{"sandbox":3}', '{"a":1,"sandbox":{"b":{"enabled":true}}}', '{"sandbox":{"enabled":1}}', "")
 _HAS = lambda names, ends=(): f"len(list_filter(l, lambda e: e IN {(*names, '')} OR regexp_matches(e, '[.]({'|'.join(ends) or '#'})$'))) > 0"
-QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile, latest_run, status_projection, scan_path_filter, config_tristate, config_precedence, robots_status_gate, candidate_cascade, diff_line_numbers, int_parse_default, session_jst_clock, branch_issue_type, project_detect, review_flags, override_state, ordered_distinct, refresh_schedule, ttl_expiry, reload_state_machine,
+QUERIES = {f.__name__: f for f in (root_conflicts, settings_drift, run_reconcile, latest_run, status_projection, scan_path_filter, config_tristate, config_precedence, robots_status_gate, candidate_cascade, diff_line_numbers, review_line_numbers, int_parse_default, session_jst_clock, branch_issue_type, project_detect, review_flags, override_state, ordered_distinct, refresh_schedule, ttl_expiry, reload_state_machine,
     config_scan_classify, findings_failed_reviewers, pr_json_parse, secret_paths, source_fallback, union_flatten, frontmatter_descriptions, robots_rules, git_status_class, lookup_labels, rate_limit_summary, decode_bytes, charset_shares, office_text, display_width, first_line, name_from_path, model_label)}
 _GIT = """g AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'no-git' WHEN NOT (o_orderkey % 13 = 5 OR o_orderkey % 7 = 3) AND (o_orderkey % 4 = 1 OR o_custkey % 3 > 0) THEN 'unpushed' WHEN o_orderkey % 5 IN (0, 1) THEN 'uncommitted' ELSE 'clean' END AS status,
   CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 7 = 3 THEN '' ELSE 'b' || o_orderkey END AS branch FROM orders)"""
@@ -469,6 +483,13 @@ SELECT question, winner, v.url, coalesce(verified, '') AS verified, coalesce((SE
     "diff_line_numbers": f"""WITH l AS (SELECT l_suppkey AS file, l_orderkey * 8 + l_linenumber AS n, l_partkey AS part, l_linenumber = 1 AS head, l_orderkey % 90 AS start, {_choose('l_partkey', ' a', '-b', '+c')} <> '-b' AND l_linenumber <> 1 AS counts FROM lineitem),
 h AS (SELECT *, sum(head::INT) OVER (PARTITION BY file ORDER BY n, part ROWS UNBOUNDED PRECEDING) AS hunk FROM l),
 c AS (SELECT *, first_value(start) OVER w + sum(counts::INT) OVER w - 1 AS line_no FROM h WHERE hunk > 0 WINDOW w AS (PARTITION BY file, hunk ORDER BY n, part ROWS UNBOUNDED PRECEDING)) SELECT file, n, CAST(line_no AS BIGINT) AS line_no FROM c WHERE counts""",
+    "review_line_numbers": r"""WITH l AS (SELECT l_suppkey AS key, l_orderkey * 8 + l_linenumber AS n, l_partkey AS p, l_orderkey AS o, l_linenumber AS k FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_orderkey * 8 + l_linenumber ORDER BY l_partkey, l_orderkey) = 1),
+t AS (SELECT *, CASE WHEN k = 1 THEN CASE WHEN o % 3 = 0 THEN 'list' ELSE 'head' END WHEN k = 2 THEN CASE WHEN o % 3 = 1 THEN 'name' ELSE 'none' END WHEN k = 3 THEN 'hunk' WHEN (p + o) % 9 < 5 THEN 'count' WHEN (p + o) % 9 = 6 THEN 'named' ELSE 'none' END AS kind FROM l),
+m AS (SELECT *, last_value(CASE WHEN kind = 'head' THEN 'diff' WHEN kind IN ('list', 'named') THEN 'list' END IGNORE NULLS) OVER w AS mode, last_value(CASE kind WHEN 'head' THEN '' WHEN 'name' THEN 'f' || p % 9 || '.py' END IGNORE NULLS) OVER w AS of,
+  last_value(CASE kind WHEN 'head' THEN -1 WHEN 'hunk' THEN o % 90 END IGNORE NULLS) OVER w AS start, count(*) FILTER (kind IN ('head', 'hunk')) OVER w AS hunk FROM t WINDOW w AS (PARTITION BY key ORDER BY n ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, kind = 'count' AND mode = 'diff' AND start >= 0 AS counts FROM m),
+r AS (SELECT key, n, CASE WHEN counts THEN of WHEN kind = 'named' THEN 'g' || p % 4 || '.py' ELSE 'asked.py' END AS file, CASE WHEN counts THEN start + count(*) FILTER (counts) OVER (PARTITION BY key, hunk ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 WHEN kind = 'named' THEN p WHEN kind = 'list' THEN p % 500 END AS line_no FROM c)
+SELECT key, n, file, CAST(line_no AS BIGINT) AS line_no FROM r WHERE line_no IS NOT NULL""",
     "int_parse_default": f"WITH p AS (SELECT p_partkey, {_choose('p_partkey', '', '  ', '-', '+', 'x', '')} || p_size || {_choose('p_partkey', '', 'abc', '.5', '12345678901', ' 3', '9' * 20)} AS x FROM part), v AS (SELECT p_partkey, try_cast(regexp_extract(x, '^\\s*([+-]?[0-9]+)', 1) AS BIGINT) AS n FROM p) SELECT p_partkey, CASE WHEN n >= 1 THEN n ELSE 10 END AS value FROM v",
     "session_jst_clock": "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'soon' ELSE strftime(ts + INTERVAL 9 HOUR, '%H:%M') END AS clock FROM events",
     "branch_issue_type": f"WITH b AS (SELECT o_orderkey, {_choose('o_custkey', 'feature/', 'bug/', 'docs/', '', 'bug/x/', 'features/', 'Feature/')} || o_orderkey || {_choose('o_orderkey', '', '', 'a')} AS branch FROM orders) SELECT o_orderkey, CASE WHEN starts_with(branch, 'feature/') THEN 'feat' WHEN starts_with(branch, 'bug/') THEN 'fix' END AS type, CASE WHEN regexp_matches(branch, '(^|/)[0-9]+$') THEN regexp_extract(branch, '[0-9]+$') END AS issue FROM b",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions import text
+from lodestream.functions import diffs, text
 from lodestream.plans import audit, logs
 from lodestream.sources import files
 
@@ -53,6 +53,12 @@ def test_widths(spark):
     assert told(spark, text.display_width, cases) == list(cases.values())
 
 
+def test_lines_of_reviews(spark):
+    lines = ["10:x = 1", "diff --git a/m.py b/m.py", "--- a/m.py", "+++ b/m.py", "@@ -3,2 +7,3 @@ def f(a: int):", " a: 1", "-b", "+c 5:6", "+++ b", " d", "@@ -20 +30 @@", "+e", "src/n.py:44:+ f", "12:g", "+not a diff", "diff --git a/o b/o", "+before a hunk", "+++ b/o", "@@ -1 +1 @@", "+h"]
+    rows = spark.createDataFrame([("k", i, x, "p.py") for i, x in enumerate(lines)], "key string, n int, line string, path string")
+    assert [(r.n, r.file, r.line_no) for r in diffs.places(rows).orderBy("n").collect()] == [(0, "p.py", 10), (5, "m.py", 7), (7, "m.py", 8), (9, "m.py", 9), (11, "m.py", 30), (12, "src/n.py", 44), (13, "p.py", 12), (19, "o", 1)]
+
+
 def test_scans_and_branches(spark):
     paths = ["/r/a.md", "/r/Library/a.md", "/r/dist/a.md", "/r/build/x/a.text", "/r/target/a.RST", "/r/vendor/a.markdown", "/r/a.csv", "/r/AppData/a.md", "/r/x/Applications/a.md", "/r/System/a.md", "/r/System.md", "/r/.x/a.md", "/r/venv/a.pdf"]
     kept = files.keep(spark.createDataFrame([(p,) for p in paths], "path string"), "/r")
