@@ -195,5 +195,5 @@ def encode_and_decode(df: DataFrame, tokenizer: str | None = None, id_col: str =
 
 
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
-    both = encode_and_decode(common.table(spark, sf_dir, "documents"))
+    both = encode_and_decode(common.spread(common.table(spark, sf_dir, "documents")))
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))

@@ -338,4 +338,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op13_extraction(spark, sf_dir: str) -> DataFrame:
-    return extract(common.table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract(common.spread(common.table(spark, sf_dir, "pages"))).withColumn("n_chars", F.length("text").cast("long"))

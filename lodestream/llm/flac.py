@@ -575,7 +575,7 @@ def store_and_read(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op8_media(spark, sf_dir: str) -> DataFrame:
-    both = store_and_read(common.table(spark, sf_dir, "documents"))
+    both = store_and_read(common.spread(common.table(spark, sf_dir, "documents")))
     size = F.octet_length("pcm")
     return both.select(
         "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"),

@@ -232,6 +232,6 @@ def scan(df: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, id_
 
 
 def op6_licenses(spark, sf_dir: str) -> DataFrame:
-    found = scan(common.table(spark, sf_dir, "documents"))
+    found = scan(common.spread(common.table(spark, sf_dir, "documents")))
     text = F.transform("findings", lambda x: F.concat_ws(":", x.license, x.start.cast("string"), x.end.cast("string"), x.edits.cast("string")))
     return found.select("doc_id", F.size("findings").cast("long").alias("n_licenses"), F.array_join(text, ",").alias("licenses"))

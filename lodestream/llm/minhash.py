@@ -441,7 +441,7 @@ def keep_one(df: DataFrame, words: int = 5, threshold: tuple[int, int] = (4, 5))
 
 
 def op2_minhash(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(common.table(spark, sf_dir, "documents"), words=3, threshold=(85, 100))
+    return near_duplicates(common.spread(common.table(spark, sf_dir, "documents")), words=3, threshold=(85, 100))
 
 
 #: The same components by an inverted index over all shingles, for small tables.

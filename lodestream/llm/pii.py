@@ -360,6 +360,6 @@ def redact(df: DataFrame) -> DataFrame:
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
-    found = find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find(common.spread(common.table(spark, sf_dir, "documents")).select("doc_id", "text"))
     count = lambda i: F.size(F.filter("base", lambda s: s.kind == i)).cast("long")
     return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(F.encode(listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

@@ -224,5 +224,5 @@ def digest(spans) -> str:
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(common.table(spark, sf_dir, "documents"))
+    found = scan(common.spread(common.table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.encode("base", "UTF-8"), 256).alias("base_sha256"), "spans")

@@ -127,7 +127,7 @@ def misspelt(doc: Column, run: Column, every: int = 199) -> Column:
 
 
 def op11_spelling(spark, sf_dir: str) -> DataFrame:
-    return variants(count_words(common.table(spark, sf_dir, "documents"), change=misspelt))
+    return variants(count_words(common.spread(common.table(spark, sf_dir, "documents")), change=misspelt))
 
 
 _BYTES = "flatten(list_transform(string_split(doc || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END))"
