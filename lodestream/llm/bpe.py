@@ -1,7 +1,8 @@
 """BPE encoding by dynamic programming over prefixes, and decoding.
 
-For every prefix of a word exactly one token can be the last one of its encoding. An automaton over
-the vocabulary names the tokens that end at a place; of these, the one that is compatible with the
+For every prefix of a word exactly one token can be the last one of its encoding. A suffix automaton of
+the vocabulary follows the longest end of the prefix that lies in any token; the suffix links from there
+pass all tokens that end at this place. Of these, the one that is compatible with the
 last token of the prefix before it is stored. Back-pointers from the end give the ids. Two tokens
 are compatible if the merge order never joins symbols across their border: the symbols at the
 border are followed in merge order along the right side of the one token and the left side of the
@@ -17,7 +18,6 @@ from __future__ import annotations
 
 import json
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +34,96 @@ WORDS = 200_000
 PART_BYTES = 6_000_000
 
 
+class SuffixAutomaton:
+    """Of many strings with a value each. A state stands for the substrings that end at the same places of them.
+
+    A string is the longest of its state, as it begins where nothing stands before it, so that a state
+    has one value at most.
+    """
+
+    def __init__(self, values: dict[str, object]):
+        length, link, value = [0], [-1], [None]
+        self.step: dict[int, int] = {}
+        self.code = {c: i for i, c in enumerate(sorted({c for s in values for c in s}))}
+        self.width = width = max(len(self.code), 1)
+        step, below = self.step, [{}]  # transitions by state while it is built, for copies
+        for string, what in values.items():
+            last = 0
+            for c in string:
+                c = self.code[c]
+                if c in below[last]:
+                    q = below[last][c]
+                    if length[q] == length[last] + 1:
+                        last = q
+                        continue
+                    p, last = last, self._copy(length, link, value, below, q, length[last] + 1)
+                    while p >= 0 and below[p].get(c) == q:
+                        below[p][c] = last
+                        p = link[p]
+                    continue
+                new, p = len(length), last
+                length.append(length[last] + 1)
+                link.append(0)
+                value.append(None)
+                below.append({})
+                while p >= 0 and c not in below[p]:
+                    below[p][c] = new
+                    p = link[p]
+                if p >= 0:
+                    q = below[p][c]
+                    if length[q] == length[p] + 1:
+                        link[new] = q
+                    else:
+                        link[new] = copy = self._copy(length, link, value, below, q, length[p] + 1)
+                        while p >= 0 and below[p].get(c) == q:
+                            below[p][c] = copy
+                            p = link[p]
+                last = new
+            value[last] = what
+        for state, to in enumerate(below):
+            for c, q in to.items():
+                step[state * width + c] = q
+        self.length, self.link, self.value = length, link, value
+        # The next state of a string on the way of the suffix links.
+        self.ends = [0] * len(length)
+        for state in sorted(range(1, len(length)), key=length.__getitem__):
+            up = link[state]
+            self.ends[state] = up if value[up] is not None else self.ends[up]
+
+    @staticmethod
+    def _copy(length, link, value, below, q: int, size: int) -> int:
+        """A state like q for its substrings of at most `size` letters, which q then continues."""
+        length.append(size)
+        link.append(link[q])
+        value.append(None)
+        below.append(dict(below[q]))
+        link[q] = len(length) - 1
+        return link[q]
+
+    def iter(self, text: str):
+        """Place of the last letter and value of every string in a text, longer ones first."""
+        step, width, link, length, value, ends, codes = self.step, self.width, self.link, self.length, self.value, self.ends, self.code
+        state = held = 0
+        for at, letter in enumerate(text):
+            c = codes.get(letter)
+            if c is None:
+                state = held = 0
+                continue
+            to = step.get(state * width + c)
+            while to is None and state:
+                state = link[state]
+                held = length[state]
+                to = step.get(state * width + c)
+            if to is None:
+                held = 0
+                continue
+            state, held = to, held + 1
+            end = state if length[state] == held and value[state] is not None else ends[state]
+            while end:
+                yield at, value[end]
+                end = ends[end]
+
+
 class PrefixCoder:
     """Ids of one word, given as byte letters."""
 
@@ -64,7 +154,7 @@ class PrefixCoder:
                     ends, x = made[x][0], made[x][k]
                 sides[i] = chain[::-1]
         self.never = never
-        self.automaton = ahocorasick.Automaton()
+        words = {}
         for t, i in self.vocab.items():
             if suffix and t.endswith(suffix) and t != suffix:
                 word = t[: -len(suffix)] + _END
@@ -72,8 +162,8 @@ class PrefixCoder:
             else:
                 word, size = t, len(t)
             if self._reachable(i, made):
-                self.automaton.add_word(word, (i, size))
-        self.automaton.make_automaton()
+                words[word] = (i, size)
+        self.automaton = SuffixAutomaton(words)
         self._known: dict[int, bool] = {}
 
     def _reachable(self, i: int, made: dict) -> bool:

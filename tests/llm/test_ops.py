@@ -75,6 +75,17 @@ def test_prefix_coder_matches_merges():
         assert coder(w) == [t.id for t in enc.lib.model.tokenize(w)]
 
 
+def test_suffix_automaton_finds_every_string():
+    rnd = random.Random(7)
+    for letters in ("ab", "abcd"):
+        for _ in range(200):
+            strings = list({"".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))) for _ in range(rnd.randint(0, 25))})
+            automaton = bpe.SuffixAutomaton({s: s for s in strings})
+            text = "".join(rnd.choice(letters + "x") for _ in range(60))
+            want = [(e, s) for e in range(60) for s in sorted(strings, key=len, reverse=True) if text[: e + 1].endswith(s)]
+            assert list(automaton.iter(text)) == want
+
+
 def test_bpe_decodes(spark, odd):
     lib = encoder(vocabulary()).lib
     for r in bpe.decode(bpe.encode(odd)).collect():
