@@ -27,9 +27,9 @@ from . import common
 from .tokens import Encoder, encoder, vocabulary
 
 _END = "\x00"
-_PAIRS = 1_000_000
+_PAIRS = 600_000
 #: Words kept beside them.
-WORDS = 200_000
+WORDS = 450_000
 #: Bytes of text encoded at a time (a longer text is taken alone).
 PART_BYTES = 6_000_000
 
@@ -198,25 +198,46 @@ class PrefixCoder:
         if not n:
             return []
         last: list[tuple[int, int] | None] = [None] * (n + 1)
-        known = self._known
-        for end, (token, size) in self.automaton.iter(chars + (_END if self.suffix else "")):
-            at = n if end == n else end + 1
-            if at == n and self.suffix and end != n or last[at] is not None:
+        known, automaton = self._known, self.automaton
+        step, width, link, length, value, ends, codes = automaton.step, automaton.width, automaton.link, automaton.length, automaton.value, automaton.ends, automaton.code.get
+        state = held = 0
+        # The automaton's own walk, as in iter, left off at each place once its last token is known.
+        for place, letter in enumerate(chars + (_END if self.suffix else ""), 1):
+            c = codes(letter)
+            if c is None:
+                state = held = 0
+                continue
+            to = step.get(state * width + c)
+            while to is None and state:
+                state = link[state]
+                held = length[state]
+                to = step.get(state * width + c)
+            if to is None:
+                held = 0
+                continue
+            state, held = to, held + 1
+            end = state if length[state] == held and value[state] is not None else ends[state]
+            at = n if place > n else place
+            if at == n and self.suffix and place == n:
                 continue  # the last letter counts only together with the end of the word
-            begin = at - size
-            if begin:
+            while end:
+                token, size = value[end]
+                begin = at - size
+                if not begin:
+                    last[at] = (token, 0)
+                    break
                 before = last[begin]
-                if before is None:
-                    continue
-                pair = before[0] << 32 | token
-                fits = known.get(pair)
-                if fits is None:
-                    if len(known) >= _PAIRS:
-                        known.clear()
-                    fits = known[pair] = self.compatible(before[0], token)
-                if not fits:
-                    continue
-            last[at] = (token, begin)
+                if before is not None:
+                    pair = before[0] << 32 | token
+                    fits = known.get(pair)
+                    if fits is None:
+                        if len(known) >= _PAIRS:
+                            known.clear()
+                        fits = known[pair] = self.compatible(before[0], token)
+                    if fits:
+                        last[at] = (token, begin)
+                        break
+                end = ends[end]
         out, at = [], n
         while at:
             token, at = last[at]
