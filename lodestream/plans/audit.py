@@ -120,17 +120,17 @@ def config_writeback(spark, sf_dir) -> DataFrame:
     at = store.fresh(spark, "settings").removeprefix("file://")
     s = corpus.table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit(at + "/"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("path"))
     raw = F.when(F.col("s_suppkey") % 5 == 0, '{"sandbox": {"enabled": true}}').when(F.col("s_suppkey") % 5 == 1, '{"z": 1}').otherwise('{"sandbox": {"mode": "é", "enabled": false}}')
-    writeback.write(s.withColumn("raw", raw))
+    writeback.write(s.withColumn("raw", raw), at)
     new = s.withColumn("raw", rewritten(raw, F.when(F.col("s_suppkey") % 2 == 0, "set").otherwise("remove")))
-    writeback.write(new, dry_run=True)
+    writeback.write(new, at, dry_run=True)
     failed = False
     try:
-        writeback.write(new.withColumn("raw", F.when(F.col("s_suppkey") % 50 != 7, F.col("raw"))))
+        writeback.write(new.withColumn("raw", F.when(F.col("s_suppkey") % 50 != 7, F.col("raw"))), at)
     except Exception:  # one file without a text takes all the others back
         failed = True
     untouched = _held(spark, at).where("NOT backup").join(s.withColumn("old", raw).select("s_suppkey", "old"), "s_suppkey").agg(F.coalesce(F.bool_and(F.col("raw") == F.col("old")), F.lit(True)).alias("taken_back"))
     taken_back = failed and untouched.first().taken_back
-    writeback.write(new)
+    writeback.write(new, at)
     return _held(spark, at).select("s_suppkey", "backup", "other", F.sha2("raw", 256).alias("raw_sha256"), F.lit(taken_back).alias("taken_back"))
 
 

@@ -1,10 +1,11 @@
 """Settings files written back: a Python data source with backups, a dry run and a commit in two phases.
 
-Tasks write each file under another name beside its place; nothing that a reader sees changes. When all
-tasks are done, the commit keeps a copy of each file as it was and renames the new one onto its place;
-when a task fails, the abort deletes what was written and every file is as it was. What the driver
-holds is one path a file. Rows are path and text; a null text is an error. With dry_run only
-the paths that would change are counted, and nothing is written.
+Tasks write each file into a folder of the run's own below the root; nothing that a reader sees changes.
+When all tasks are done, the commit keeps a copy of each file as it was and renames the new one onto its
+place; when a task fails, the abort deletes that folder, with what killed tasks left, and every file is
+as it was. The root must be a folder that all executors have mounted. What the driver
+holds is one path a file. Rows are path and text; a null text is an error. With dry_run
+the rows are read and checked, and nothing is written.
 """
 
 from __future__ import annotations
@@ -28,27 +29,21 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, dry: bool, run: str):
-        self.dry, self.run = dry, run
+    def __init__(self, root: str, dry: bool):
+        self.dry, self.stage = dry, f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+        if not dry:
+            os.makedirs(self.stage)
 
     def write(self, iterator) -> Written:
         pairs: list[tuple[str, str]] = []
-        try:
-            for row in iterator:
-                if row.raw is None:
-                    raise ValueError(f"no text for {row.path}")
-                new = f"{row.path}.{self.run}-{uuid.uuid4().hex}"
-                if self._same(row.path, row.raw):
-                    continue
-                if not self.dry:
-                    os.makedirs(os.path.dirname(row.path), exist_ok=True)
-                    pairs.append((row.path, new))
-                    with open(new, "w", encoding="utf-8") as f:
-                        f.write(row.raw)
-        except BaseException:
-            # A failed task's message never arrives, so it cleans up itself.
-            _delete(pairs)
-            raise
+        for row in iterator:
+            if row.raw is None:
+                raise ValueError(f"no text for {row.path}")
+            if not self.dry and not self._same(row.path, row.raw):
+                new = f"{self.stage}/{uuid.uuid4().hex}"
+                with open(new, "w", encoding="utf-8") as f:
+                    f.write(row.raw)
+                pairs.append((row.path, new))
         return Written(pairs)
 
     @staticmethod
@@ -61,20 +56,14 @@ class _Writer(DataSourceWriter):
 
     def commit(self, messages) -> None:
         for path, new in (p for m in messages if m for p in m.pairs):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
             if os.path.exists(path):
                 shutil.copy2(path, path + BACKUP)
             os.replace(new, path)
+        self.abort(messages)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m:
-                _delete(m.pairs)
-
-
-def _delete(pairs) -> None:
-    for _, new in pairs:
-        if os.path.exists(new):
-            os.unlink(new)
+        shutil.rmtree(self.stage, ignore_errors=True)
 
 
 class SettingsFiles(DataSource):
@@ -86,11 +75,11 @@ class SettingsFiles(DataSource):
         return "path string, raw string"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options.get("dry_run", "false") == "true", uuid.uuid4().hex)
+        return _Writer(self.options["root"], self.options.get("dry_run", "false") == "true")
 
 
-def write(rows: DataFrame, dry_run: bool = False) -> None:
-    """Rows of path and raw as files; all of them or, where one fails, none."""
+def write(rows: DataFrame, root: str, dry_run: bool = False) -> None:
+    """Rows of path (below the root) and raw as files; all of them or, where one fails, none."""
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(SettingsFiles)
-    rows.select("path", "raw").write.format(NAME).option("dry_run", str(dry_run).lower()).mode("append").save()
+    rows.select("path", "raw").write.format(NAME).option("root", root).option("dry_run", str(dry_run).lower()).mode("append").save()

@@ -92,14 +92,14 @@ def test_write_back_in_two_phases(spark, tmp_path):
     paths = [str(tmp_path / f"d{i}" / "s.json") for i in range(6)]
     rows = lambda *texts: spark.createDataFrame(list(zip(paths, texts, strict=False)), "path string, raw string").repartition(3)
     held = lambda: {p.relative_to(tmp_path).as_posix(): p.read_text() for p in sorted(tmp_path.rglob("*.*"))}
-    writeback.write(rows(*"abcdef"))
+    writeback.write(rows(*"abcdef"), str(tmp_path))
     first = held()
     assert first == {f"d{i}/s.json": c for i, c in enumerate("abcdef")}
-    writeback.write(rows(*"ABCDEF"), dry_run=True)
+    writeback.write(rows(*"ABCDEF"), str(tmp_path), dry_run=True)
     with pytest.raises(Exception, match="no text"):
-        writeback.write(rows(*"ABCDE", None))
+        writeback.write(rows(*"ABCDE", None), str(tmp_path))
     assert held() == first
-    writeback.write(rows("a", *"BCDEF"))
+    writeback.write(rows("a", *"BCDEF"), str(tmp_path))
     assert held() == {"d0/s.json": "a"} | {f"d{i}/s.json": c for i, c in enumerate("aBCDEF") if i} | {f"d{i}/s.json.bak": c for i, c in enumerate("abcdef") if i}
 
 
