@@ -30,7 +30,7 @@ BLOCK, PAD, RATE = 1152, 192, 8000
 #: Frames of a seek point.
 SEEK = 1
 #: Bytes worked on together, a whole number of blocks; NumPy needs about 150 times as much.
-TOGETHER = 600 * BLOCK
+TOGETHER = 1200 * BLOCK
 #: Order of the adaptive predictor and bits of its coefficients.
 ORDER, PRECISION = 4, 12
 
@@ -53,9 +53,11 @@ def _crc(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: np.ndar
     order = np.argsort(-sizes, kind="stable")
     at, left = starts[order], sizes[order]
     value = np.zeros(len(order), np.uint16)
-    for step in range(int(left[0]), 0, -1):
-        n = int(np.searchsorted(-left, -step, "right"))
-        byte = data[at[:n] + left[:n] - step]
+    end = at + left
+    # How many slices are still as long as each step asks, longest first.
+    counts = np.searchsorted(-left, -np.arange(int(left[0]), 0, -1), "right").tolist()
+    for n, step in zip(counts, range(int(left[0]), 0, -1), strict=True):
+        byte = data[end[:n] - step]
         v = value[:n]
         value[:n] = table[v ^ byte] if bits == 8 else (v << 8) ^ table[(v >> 8) ^ byte]
     out[order] = value
@@ -390,8 +392,8 @@ def _lockstep(data, following, bit, order, n, precision, rice):
         res[high + j, own] = _signed(_uint(data, bit[own] + 8 * j, 8), 8)
     sort = np.argsort(-n, kind="stable")
     at, k_, o_, n_ = rice[sort] + 10, k[sort], order[sort], n[sort]
-    for step in range(int(o_.min()), most):
-        m = int(np.searchsorted(-n_, -step, "left"))
+    begins = range(int(o_.min()), most)
+    for m, step in zip(np.searchsorted(-n_, -np.array(begins, np.int64), "left").tolist(), begins, strict=True):
         go = slice(0, m) if step >= high else np.flatnonzero(o_[:m] <= step)
         stop = following[at[go]]
         u = (stop - at[go]) << k_[go] | _uint(data, stop + 1, k_[go])

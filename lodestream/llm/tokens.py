@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import json
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of a worker's dictionary of words, which is emptied when full.
-WORDS = 600_000
+WORDS = 700_000
 
 # The splitter's pattern for lower-case Latin-1 texts.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -26,6 +27,7 @@ _NUMBER = "0-9²³¹¼-¾"
 _SPACE = "\t\n\x0b\x0c\r \u0085 "
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+"
 _SPLIT, _LINES = re.compile(_PATTERN), re.compile(_PATTERN + "|\n")
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 _BEYOND = re.compile("[^\x00-\xff]")
 
 
@@ -72,7 +74,8 @@ class Encoder:
         self._special = {t.content: i for i, t in added.items()}
         self._special_re = re.compile("|".join(map(re.escape, sorted(self._special, key=len, reverse=True)))) if added else None
         self._plain = not any(s.isascii() and s.isalpha() for s in self._special)
-        self._model_ids = word_ids or (lambda chars: [t.id for t in self.lib.model.tokenize(chars)])
+        tokenize = self.lib.model.tokenize
+        self._model_ids = word_ids or (lambda chars: [t.id for t in tokenize(chars)])
         self._words = _Words(self._word, most)
 
     def chars(self, word: str) -> str:
@@ -82,7 +85,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         # Letters and digits of ASCII stand for themselves.
         ids = self._model_ids(word if word.isascii() and word.isalnum() else self.chars(word))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if _LITTLE else np.array(ids, "<u4").tobytes()
 
     def words(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -112,15 +115,18 @@ class Encoder:
     def _odd(self, piece: str) -> bool:
         return _BEYOND.search(piece) is not None or (self._special_re is not None and self._special_re.search(piece) is not None)
 
-    def _coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces without ASCII white space, joined, and how many each has."""
-        text = "\n".join(pieces)
+        if not len(pieces):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), "\n")[0].as_py()
         if self._odd(text):
             # Few pieces are odd; the others are coded together.
-            odd = np.fromiter(map(self._odd, pieces), bool, len(pieces))
-            apart = {i: self.encode(pieces[i]) for i in np.flatnonzero(odd).tolist()}
-            flat, size = self._coded([p for p, x in zip(pieces, odd.tolist(), strict=True) if not x])
-            whole = np.zeros(len(pieces), np.int64)
+            every = pieces.to_pylist()
+            odd = np.fromiter(map(self._odd, every), bool, len(every))
+            apart = {i: self.encode(every[i]) for i in np.flatnonzero(odd).tolist()}
+            flat, size = self._coded(pieces.filter(pa.array(~odd)))
+            whole = np.zeros(len(every), np.int64)
             whole[~odd] = size
             ends = np.cumsum(whole)
             cuts = [0, *(int(ends[i]) for i in apart), len(flat)]
@@ -146,12 +152,14 @@ class Encoder:
         bounds = bounds - bounds[0]
         if not len(coded):
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        flat, size = self._coded(coded.dictionary.to_pylist())
+        flat, size = self._coded(coded.dictionary)
         at = coded.indices.to_numpy()
         lengths = size[at]
         ends = np.cumsum(lengths)
         first = (np.cumsum(size) - size)[at] - (ends - lengths)
-        out = flat[np.repeat(first, lengths) + np.arange(int(ends[-1]))]
+        # Places of a batch fit 32 bits.
+        kind = np.int32 if ends[-1] < 1 << 31 and len(flat) < 1 << 31 else np.int64
+        out = flat[np.repeat(first.astype(kind), lengths) + np.arange(int(ends[-1]), dtype=kind)]
         return out, np.concatenate([[0], ends])[bounds]
 
 
