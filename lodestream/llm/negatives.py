@@ -173,7 +173,8 @@ def mine(rows: DataFrame, asked: Column, positives: int = 5, keep: int = 10, low
 
     def met(anchors: DataFrame, *extra: str) -> DataFrame:
         blocks = _blocks(anchors, min(ANCHORS, fit), size.q, "q", extra)
-        return blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(ours, "c")
+        # Always a shuffle: the planner sees compressed files or shuffles, small beside the blocks, which a broadcast would gather on the driver.
+        return blocks.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(ours.hint("merge"), "c")
 
     def leaders(batches):
         for batch in common.small_batches(batches, 1):
@@ -192,7 +193,7 @@ def mine(rows: DataFrame, asked: Column, positives: int = 5, keep: int = 10, low
     best = first.withColumn("rank", F.row_number().over(_ranked("anchor"))).where(F.col("rank") <= positives)
     told = space.keep(best.select("anchor", "rank", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"), "exact"), "positives")
     per_anchor = told.groupBy(F.col("anchor").alias("row")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "exact"))), lambda x: x["exact"]).alias("exact"))
-    anchors = table.where("asked").join(per_anchor, "row")
+    anchors = table.where("asked").join(per_anchor.hint("merge"), "row")
 
     def fitting(batches):
         for batch in common.small_batches(batches, 1):
@@ -209,7 +210,7 @@ def mine(rows: DataFrame, asked: Column, positives: int = 5, keep: int = 10, low
 
     second = common.map_arrow(met(anchors, "exact"), fitting, "anchor long, anchor_id long, of int, row long, id long, score long, wide string")
     ranked = second.withColumn("rank", F.row_number().over(_ranked("anchor", "of"))).where(F.col("rank") <= keep)
-    pairs = ranked.join(told.select("anchor", F.col("rank").alias("of"), "positive_id", "positive_score"), ["anchor", "of"])
+    pairs = ranked.join(told.select("anchor", F.col("rank").alias("of"), "positive_id", "positive_score").hint("merge"), ["anchor", "of"])
     return pairs.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 
 

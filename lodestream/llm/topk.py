@@ -101,7 +101,8 @@ def top_k(vectors: DataFrame, asked: str, k: int = 20) -> DataFrame:
     theirs = blocks(queries, min(QUERIES, fit), size.q, "q")
     groups = max(1, -(-size.n // min(CANDIDATES, fit)))
     ours = blocks(vectors, min(CANDIDATES, fit), size.n, "c")
-    met = theirs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(ours, "c")
+    # Always a shuffle: the planner sees compressed files or shuffles, small beside the blocks, which a broadcast would gather on the driver.
+    met = theirs.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).join(ours.hint("merge"), "c")
 
     def run(batches):
         for batch in common.small_batches(batches, 1):

@@ -66,3 +66,11 @@ def test_query_is_its_sql(spark):
     names = ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     found = negatives.op12_hard_negatives(spark, DIR).select(*names).collect()
     assert sorted(map(tuple, found)) == sorted(con.sql(negatives.OP12_SQL).select(", ".join(names)).fetchall()) and found
+
+
+def test_blocks_are_never_broadcast(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(300)], "vec_id long, embedding array<double>, label int")
+    rows = topk.quantise(df, 256, extra=("label",))
+    for out in (negatives.mine(rows, F.col("id") % 100 == 0), topk.top_k(rows, "id % 20 = 0")):
+        assert out.count()
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
