@@ -147,3 +147,18 @@ def test_progress_and_cancel_between_batches(spark, tmp_path, monkeypatch):
     job = again.start_indexing(wait=True)
     assert job.state == "completed" and again.get_index_status()["files"] == 12 and job.recent_errors == [f"{own}/bad.docx: unreadable"] and job.counts["failed"] == 1
     assert again.search_fulltext("sea", limit=50).count() == 11
+
+
+def test_postings_are_one_row_a_gram_and_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "BLOCK", 8)
+    rows = [(f, 0, "the night sea " + "tide " * (f % 3)) for f in range(40)]
+    snapshot = segments.apply(Log(spark, str(tmp_path / "index")).begin(), segments.Snapshot(), 1, chunks(spark, rows), spark.createDataFrame([], "file_id long"))
+    held = spark.read.parquet(snapshot.segments[0].postings).groupBy("gram", "block").count()
+    assert held.count() and not held.where("count > 1").count()
+    text = {f << 24: t for f, _, t in rows}
+    told = {(r.gram, r.chunk_id): (r.dl, r.places) for r in snapshot.postings(spark).collect()}
+    brute = {}
+    for i, t in text.items():
+        for _, g, at in zip(*(x.tolist() for x in segments.keys([t])), strict=True):
+            brute.setdefault((g, i), (len(t) - 2, []))[1].append(at)
+    assert told == brute
