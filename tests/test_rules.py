@@ -66,3 +66,18 @@ def test_scans_and_branches(spark):
     assert len(files.EXCLUDED) == 8 and len(audit.PRUNED) == 36 and logs.TYPES == {"feature": "feat", "bug": "fix"}
     home = [f"/h/{d}/.tool/settings.json" for d in ("a", "Pictures", "go", "a/.tox", "dist", "goo", ".tool/worktrees/b", ".tool/other/b")]
     assert {r.path.split("/")[2] for r in audit.config_tree(spark.createDataFrame([(p,) for p in home], "path string"), "/h").collect()} == {"a", "goo", ".tool"}
+
+
+def test_findings_of_keys_beyond_four_digits(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as e
+
+    at = f"{tmp_path}/lineitem.parquet"
+    duckdb.sql(f"COPY (SELECT l_orderkey, l_suppkey + i * 9996 AS l_suppkey, l_linenumber, l_returnflag, l_linestatus FROM '/root/testdata/sf0.001/lineitem.parquet', range(7) r(i) WHERE l_suppkey < 9) TO '{at}'")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{at}'")
+        for name in ("findings_grouped", "findings_nested", "findings_ordered"):
+            own = e.queries()[name](spark, str(tmp_path))
+            told = c.execute(f"SELECT {', '.join(own.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
+            assert sorted(map(str, told)) == sorted(str(tuple(r)) for r in own.collect()), name
