@@ -92,3 +92,10 @@ def test_main_words_keep_references_without_semicolon(spark, tmp_path):
     spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     words = ("up & down&amp " + "many words of a page that says much, " * 9 + "<b>").split()
     assert [tuple(r) for r in e.queries()["page_main_words"](spark, str(tmp_path)).collect()] == [(1, len(words), hashlib.sha256(" ".join(words).encode()).hexdigest())]
+
+
+def test_short_texts_out_of_bytes():
+    from lodestream.sources.documents import decode_text
+
+    for name, text in (("utf-16-le", "H"), ("utf-16-be", "H"), ("utf-8", ""), ("cp1251", "Hello world Привет"), ("koi8_r", "Хорошая погода")):
+        assert decode_text(text.encode(name)) == text, (name, text)
