@@ -99,3 +99,10 @@ def test_short_texts_out_of_bytes():
 
     for name, text in (("utf-16-le", "H"), ("utf-16-be", "H"), ("utf-8", ""), ("cp1251", "Hello world Привет"), ("koi8_r", "Хорошая погода")):
         assert decode_text(text.encode(name)) == text, (name, text)
+
+
+def test_bytes_are_read_in_bounded_batches(spark):
+    import __spark_entry__ as e
+
+    plan = e.queries()["charset_shares"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
