@@ -162,3 +162,13 @@ def test_postings_are_one_row_a_gram_and_block(spark, tmp_path, monkeypatch):
         for _, g, at in zip(*(x.tolist() for x in segments.keys([t])), strict=True):
             brute.setdefault((g, i), (len(t) - 2, []))[1].append(at)
     assert told == brute
+
+
+def test_postings_are_made_in_place_and_are_small(spark, tmp_path):
+    rows = [(f, 0, " ".join(random.Random(f).choices(["lighthouse", "harbour", "the", "night", "sea", "tide", "of", "winter"], k=120))) for f in range(300)]
+    made = chunks(spark, rows)
+    plan = segments.posted(made, 10**6)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    snapshot = segments.apply(Log(spark, str(tmp_path / "index")).begin(), segments.Snapshot(), 1, made, spark.createDataFrame([], "file_id long"))
+    held = spark.read.parquet(snapshot.segments[0].postings)
+    assert held.agg(F.sum(F.length("body"))).first()[0] < 3 * sum(len(t) for _, _, t in rows)
