@@ -172,3 +172,13 @@ def test_postings_are_made_in_place_and_are_small(spark, tmp_path):
     snapshot = segments.apply(Log(spark, str(tmp_path / "index")).begin(), segments.Snapshot(), 1, made, spark.createDataFrame([], "file_id long"))
     held = spark.read.parquet(snapshot.segments[0].postings)
     assert held.agg(F.sum(F.length("body"))).first()[0] < 3 * sum(len(t) for _, _, t in rows)
+
+
+def test_vector_searches_build_no_postings(spark, monkeypatch):
+    from lodestream.plans import search
+
+    def none(*_):
+        raise AssertionError("an index was built")
+
+    monkeypatch.setattr(store, "index_of", none)
+    assert search.QUERIES["knn_l2"](spark, "/root/testdata/sf0.001").count() == 10
