@@ -22,9 +22,12 @@ def places(lines: DataFrame) -> DataFrame:
     head, listed, hunk = line.startswith("diff --git "), line.rlike(LISTED), line.rlike(r"^@@ -\S+ \+[0-9]+")
     mode = F.last(F.when(head, "diff").when(listed, "list"), True).over(w)
     named = F.when(head, "").when(line.startswith("+++ b/"), F.substring(line, 7, 1 << 20))
-    own = lines.select("key", "n", "line", "path", mode.alias("mode"), F.last(named, True).over(w).alias("of"), F.count_if(head | hunk).over(w).alias("hunk"), F.last(F.when(head, -1).when(hunk, F.regexp_extract(line, r"^@@ -\S+ \+([0-9]+)", 1).cast("int")), True).over(w).alias("start"))
+    own = lines.select("key", "n", "line", "path", mode.alias("mode"), F.last(named, True).over(w).alias("of"), (head | hunk).alias("begins"), F.last(F.when(head, -1).when(hunk, F.regexp_extract(line, r"^@@ -\S+ \+([0-9]+)", 1).cast("int")), True).over(w).alias("start"))
     counts = (F.col("mode") == "diff") & F.col("line").rlike("^[ +]") & ~F.col("line").startswith("+++ ") & (F.col("start") >= 0)
-    h = Window.partitionBy("key", "hunk").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.when(counts, F.col("start") + F.count_if(counts).over(h) - 1).when(F.col("line").rlike(LISTED), F.regexp_extract("line", LISTED, 2).try_cast("long"))
+    # Lines counted so far, without those before the hunk, so that one sort serves all windows.
+    own = own.withColumn("counts", F.coalesce(counts, F.lit(False))).withColumn("so_far", F.count_if("counts").over(w))
+    own = own.withColumn("earlier", F.coalesce(F.last(F.when(F.col("begins"), F.col("so_far")), True).over(w), F.lit(0)))
+    counts = F.col("counts")
+    number = F.when(counts, F.col("start") + F.col("so_far") - F.col("earlier") - 1).when(F.col("line").rlike(LISTED), F.regexp_extract("line", LISTED, 2).try_cast("long"))
     file = F.when(counts, F.col("of")).otherwise(F.coalesce(F.nullif(F.regexp_extract("line", LISTED, 1), F.lit("")), "path"))
     return own.select("key", "n", file.alias("file"), number.cast("long").alias("line_no")).where("line_no IS NOT NULL")

@@ -1,10 +1,12 @@
 """Rules case by case: states of a repository, secret paths, first lines, widths, scans, branches."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import diffs, text
-from lodestream.plans import audit, logs
+from lodestream.plans import audit, logs, rules
 from lodestream.sources import files
 
 
@@ -106,3 +108,30 @@ def test_bytes_are_read_in_bounded_batches(spark):
 
     plan = e.queries()["charset_shares"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("name", ["diff_line_numbers", "review_line_numbers"])
+def test_line_numbers_sort_once(spark, name):
+    plan = rules.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1 and "Aggregate" not in plan
+
+
+def test_backup_is_a_second_name_and_replaces_an_older_one(tmp_path):
+    from lodestream.sources.writeback import BACKUP, Written, _Writer
+
+    path = str(tmp_path / "a" / "s.json")
+    before = None
+    for text in ("one", "two", "three"):
+        w = _Writer(str(tmp_path), False)
+        new = f"{w.stage}/x"
+        with open(new, "w") as f:
+            f.write(text)
+        w.commit([Written([(path, new)])])
+        with open(path) as f:
+            assert f.read() == text
+        if text == "two":
+            assert os.stat(path + BACKUP).st_ino == before
+        before = os.stat(path).st_ino
+    with open(path + BACKUP) as f:
+        assert f.read() == "two"
+    assert sorted(os.listdir(tmp_path)) == ["a"] and sorted(os.listdir(tmp_path / "a")) == ["s.json", "s.json" + BACKUP]
