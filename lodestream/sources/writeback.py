@@ -55,13 +55,27 @@ class _Writer(DataSourceWriter):
             return False
 
     def commit(self, messages) -> None:
-        for path, new in (p for m in messages if m for p in m.pairs):
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            if os.path.exists(path):
-                shutil.copy2(path, path + BACKUP)
+        pairs = [p for m in messages if m for p in m.pairs]
+        for folder in {os.path.dirname(path) for path, _ in pairs}:
+            os.makedirs(folder, exist_ok=True)
+        for path, new in pairs:
+            self._kept(path)
             os.replace(new, path)
         self.abort(messages)
 
+    @staticmethod
+    def _kept(path: str) -> None:
+        """The file as it is under its backup's name too: a second name of it, which costs no copy, or a copy where a mount has no such names."""
+        try:
+            os.link(path, path + BACKUP)
+        except FileNotFoundError:
+            return
+        except OSError:
+            # There is a backup already, which another file replaces at once.
+            spare = f"{path}{BACKUP}-{uuid.uuid4().hex}"
+            shutil.copy2(path, spare)
+            os.replace(spare, path + BACKUP)
+
     def abort(self, messages) -> None:
         shutil.rmtree(self.stage, ignore_errors=True)
 
