@@ -55,3 +55,21 @@ def test_turns_end_by_themselves(spark, tmp_path):
         (0, 0, "group:0"), (1, 1, "start"), (2, 2, "tools:2"), (3, 3, "tools:2+3"), (4, 4, "group:1"), (5, 5, "group:0"), (25, -1, "idle"), (30, 6, "tools:6"), (31, 7, "start"), (32, 8, "new"), (33, 9, "seen"),
         (34, 10, "end"), (35, 11, "group:1"), (90, 12, "start"), (110, -1, "idle"),
     ]
+
+
+def test_turns_ask_the_store_once_a_call():
+    import pandas as pd
+
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name)
+
+    p = timers._Turns(20)
+    p.handle, p.value, p.tools, p.seen = Store(), Store(), Store(), Store()
+    p.tools.get = lambda: calls.append("list") or iter([(1,)])
+    rows = pd.DataFrame({"ts": range(50), "event_id": range(2, 52), "event": ["tool", "question:a"] * 25})
+    out = next(p.handleInputRows(("u",), iter([rows]), None))
+    assert out.result[0] == "tools:1+2" and list(out.result[1::2]) == ["new"] + ["seen"] * 24
+    assert len(calls) <= 6
