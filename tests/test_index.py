@@ -182,3 +182,52 @@ def test_vector_searches_build_no_postings(spark, monkeypatch):
 
     monkeypatch.setattr(store, "index_of", none)
     assert search.QUERIES["knn_l2"](spark, "/root/testdata/sf0.001").count() == 10
+
+
+def test_vectors_runs_build_no_postings(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("postings were built")
+
+    monkeypatch.setattr(segments, "posted", none)
+    monkeypatch.setattr(build, "_made", {})
+    rows = build.index_vectors_runs(spark, "/root/testdata/sf0.001").orderBy("run").collect()
+    assert rows[0].written_encoded and rows[3].written_encoded and [rows[i].written_encoded for i in (1, 2, 4)] == [0, 0, 0]
+
+
+def test_vectors_in_parts_are_those_of_each_text_encoded_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "PART", 4)
+    log, snapshot, known = Log(spark, str(tmp_path / "index")), segments.Snapshot(), set()
+    word = lambda n: "".join(random.Random(n).choices("abcdefgh", k=9))
+    for number, files in enumerate((range(0, 20), range(10, 30), range(10, 30)), 1):
+        rows = [(f, o, word((f * 3 + o * number) % 23)) for f in files for o in range(3)]
+        run = log.begin()
+        dead = spark.createDataFrame([(f,) for f in files], "file_id long")
+        snapshot = segments.apply(run, snapshot, number, chunks(spark, rows), dead, build.encoding(encoders.LetterEncoder), False)
+        texts = {t for _, _, t in rows}
+        assert snapshot.written["encoded"] == len(texts - known)
+        known |= texts
+        # Nothing is left besides what the segment is made of.
+        assert {n.rpartition("-")[0] for n in log.folder.names(f"data/{run.name}")} <= {"chunks", "vectors", "tombstones"}
+    text = {r.chunk_id: r.text for r in snapshot.chunks(spark).collect()}
+    held = {r.chunk_id: r.embedding for r in snapshot.vectors(spark).collect()}
+    assert held.keys() == text.keys() and len(text) == snapshot.n == snapshot.vectors(spark).count()
+    assert all(held[i] == pytest.approx(encoders.LetterEncoder().encode([t])[0]) for i, t in text.items())
+
+
+def test_new_texts_alone_are_shuffled_for_vectors(spark, tmp_path, monkeypatch):
+    log, rows, asked = Log(spark, str(tmp_path / "index")), [(f, 0, f"text {f}") for f in range(9)], []
+    none = spark.createDataFrame([], "file_id long")
+    encode = build.encoding(encoders.LetterEncoder)
+    first = segments.apply(log.begin(), segments.Snapshot(), 1, chunks(spark, rows), none, encode, False)
+    # A run that makes known texts anew asks nothing of the encoder.
+    again = segments.apply(log.begin(), first, 2, chunks(spark, rows), spark.createDataFrame([(f,) for f in range(9)], "file_id long"), lambda new: asked.append(new) or encode(new), False)
+    assert not asked and again.written["encoded"] == 0 and again.vectors(spark).count() == 9
+
+
+def test_texts_as_read_go_before_vectors_and_postings_are_made(spark, tmp_path, monkeypatch):
+    log, seen = Log(spark, str(tmp_path / "runs")), []
+    under, posted = log.begin(), segments.posted
+    monkeypatch.setattr(segments, "posted", lambda *a: seen.append(log.folder.names(f"data/{under.name}")) or posted(*a))
+    state, counts = build.run(build.empty(spark), build._snapshot(spark, "/root/testdata/sf0.001", 1), ["/docs"], build.LARGE, under=under, make=encoders.LetterEncoder)
+    assert counts["chunks"] and state.index.segments[0].postings and state.index.segments[0].vectors
+    assert len(seen) == 1 and not [n for n in seen[0] if n.startswith("read-")]
