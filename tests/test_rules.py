@@ -135,3 +135,12 @@ def test_backup_is_a_second_name_and_replaces_an_older_one(tmp_path):
     with open(path + BACKUP) as f:
         assert f.read() == "two"
     assert sorted(os.listdir(tmp_path)) == ["a"] and sorted(os.listdir(tmp_path / "a")) == ["s.json", "s.json" + BACKUP]
+
+
+def test_accented_words_among_latin_ones_are_no_other_script():
+    from lodestream.sources.documents import decode_text
+
+    for text in ("Oi on èê, le", "ich öü " * 40 + "und", "ege ää sts ist das", "der üöö enb und ö, de", "una óí. " * 30 + "ciónes jagañ", "eleoi èèé " * 60 + "Équer treêê êieroi", "ter ßö ßö ßö"):
+        assert decode_text(text.encode("cp1252")) == text, text
+    for name, text in (("cp1251", "Hello кот"), ("cp1251", "Plain words and more words, then Привет and no more"), ("koi8_r", "Good weather: Хорошая погода"), ("cp932", "Hello 検索"), ("cp1251", "Я не знаю")):
+        assert decode_text(text.encode(name)) == text, (name, text)
