@@ -231,3 +231,18 @@ def test_texts_as_read_go_before_vectors_and_postings_are_made(spark, tmp_path,
     state, counts = build.run(build.empty(spark), build._snapshot(spark, "/root/testdata/sf0.001", 1), ["/docs"], build.LARGE, under=under, make=encoders.LetterEncoder)
     assert counts["chunks"] and state.index.segments[0].postings and state.index.segments[0].vectors
     assert len(seen) == 1 and not [n for n in seen[0] if n.startswith("read-")]
+
+
+def test_runs_for_files_and_chunks_build_no_postings_and_shuffle_no_content(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("postings were built")
+
+    monkeypatch.setattr(segments, "posted", none)
+    monkeypatch.setattr(build, "_made", {})
+    rows = build.index_final_state(spark, "/root/testdata/sf0.001").collect()
+    counts = build.index_incremental_runs(spark, "/root/testdata/sf0.001").collect()
+    assert rows and sum(r.n_chunks for r in rows) > 0 and counts[-1].scanned == len(rows)
+    now = build._snapshot(spark, "/root/testdata/sf0.001", 1)
+    before = spark.createDataFrame([], build._FILES)
+    wide = build.actions(now, before)._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in build.actions(now, before).columns and "content" not in wide.partition("Join")[0]
