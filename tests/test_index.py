@@ -246,3 +246,29 @@ def test_runs_for_files_and_chunks_build_no_postings_and_shuffle_no_content(spar
     before = spark.createDataFrame([], build._FILES)
     wide = build.actions(now, before)._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in build.actions(now, before).columns and "content" not in wide.partition("Join")[0]
+
+
+def test_runs_in_parts_leave_the_same_and_drop_dead_segments(spark, monkeypatch):
+    """No second index beside the old one: a segment that is dead goes with its part, and no tombstone is left."""
+    told = []
+    monkeypatch.setattr(build, "PARTS", 2)
+    for size in (10**12, 2_000):
+        monkeypatch.setattr(build, "PART", size)
+        monkeypatch.setattr(build, "_made", {})
+        state, rows = build._runs(spark, "/root/testdata/sf0.001")
+        assert state.index.whole and not state.index.tombstones and sum(s.n for s in state.index.segments) == state.index.n == state.chunks.count()
+        index = store.Index(state.files, state.index)
+        found = [[(r.rank, r.score, r.total_candidates) for r in lexical.search(index, q).orderBy("rank").collect()] for q in build.ASKED]
+        files = sorted(map(tuple, state.files.select("path", "status", "size", "mtime", "hash").collect()))
+        told.append(([{k: v for k, v in r.items() if k != "segments"} for r in rows], found, files, sorted(map(tuple, state.chunks.select("ordinal", "start_line", "text").collect()))))
+        assert len({s.part for s in state.index.segments}) == (1 if size > 2_000 else build.PARTS)
+    assert told[0] == told[1]
+
+
+def test_a_mostly_dead_segment_is_written_anew(spark, tmp_path):
+    log, rows = Log(spark, str(tmp_path / "index")), [(f, 0, f"text of file {f}") for f in range(20)]
+    none = spark.createDataFrame([], "file_id long")
+    first = segments.apply(log.begin(), segments.Snapshot(), 1, chunks(spark, rows), none)
+    again = segments.apply(log.begin(), first, 2, chunks(spark, rows[:16]), spark.createDataFrame([(f,) for f in range(16)], "file_id long"))
+    assert again.n == 20 and sorted(s.n for s in again.segments) == [4, 16] and again.whole and again.written["chunks"] == again.written["dead"] == 16
+    assert sorted(r.text for r in again.chunks(spark).collect()) == sorted(t for _, _, t in rows)
